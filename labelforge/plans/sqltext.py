@@ -11,7 +11,7 @@ def oracle(views: tuple[str, ...] | list[str], body: str) -> str:
     head = with_views(*views)
     body = body.strip()
     if not head:
-        return body
+        return body if body.upper().startswith("SELECT") else "WITH " + body
     if body.upper().startswith("SELECT") or body.upper().startswith("("):
         return head + body
     return head + ", " + body
