@@ -6,3 +6,4 @@ Import order matters only for the registry's insertion order.
 from labelforge.plans import q_consensus  # noqa: F401
 from labelforge.plans import q_text  # noqa: F401
 from labelforge.plans import q_metrics  # noqa: F401
+from labelforge.plans import q_teacher  # noqa: F401
