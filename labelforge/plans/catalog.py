@@ -7,3 +7,5 @@ from labelforge.plans import q_consensus  # noqa: F401
 from labelforge.plans import q_text  # noqa: F401
 from labelforge.plans import q_metrics  # noqa: F401
 from labelforge.plans import q_teacher  # noqa: F401
+from labelforge.plans import q_cost  # noqa: F401
+from labelforge.plans import q_io  # noqa: F401

@@ -60,7 +60,7 @@ def read_report_files(spark: SparkSession, root: str, glob: str = "*.txt") -> Da
     decode with errors ignored.
     """
     df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-          .option("wholetext", True).text(root))
+          .text(root, wholetext=True))
     return df.select(F.col("_metadata.file_path").alias("path"),
                      F.regexp_replace(F.col("value"), "�", "").alias("text"))
 
@@ -117,8 +117,8 @@ def read_metrics_glob(spark: SparkSession, pattern: str, schema: T.StructType |
 def describe_source(df: DataFrame) -> DataFrame:
     """``(position, name, type, nullable)`` of a DataFrame's schema.
 
-    Built with a ``stack`` over the (one-row) schema literal — the schema is
-    metadata, not data, so it is tiny by construction."""
+    The schema is metadata (one row per column), not data, so building it on
+    the driver is bounded by the column count."""
     fields = df.schema.fields
     spark = df.sparkSession
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)]
