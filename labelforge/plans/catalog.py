@@ -9,3 +9,4 @@ from labelforge.plans import q_metrics  # noqa: F401
 from labelforge.plans import q_teacher  # noqa: F401
 from labelforge.plans import q_cost  # noqa: F401
 from labelforge.plans import q_io  # noqa: F401
+from labelforge.plans import q_vectors  # noqa: F401
