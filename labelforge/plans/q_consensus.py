@@ -239,3 +239,13 @@ def c4_provenance(spark, sf_dir):
     out = C.sentence_consensus(view(spark, sf_dir, "sentence_votes"))
     return C.with_provenance(out).select("text_file", "parquet_file", "row_index", "sentence_index",
                                          "Result", "source")
+
+
+@register("u3_concat_vote_lists", oracle(["sentence_votes"], """
+SELECT parquet_file, row_index, sentence_index, pass, Result, confidence FROM sentence_votes
+"""))
+def u3_concat_vote_lists(spark, sf_dir):
+    # the three per-pass vote lists stacked by column name (any number of lists)
+    sv = view(spark, sf_dir, "sentence_votes")
+    lists = [sv.where(F.col("pass") == p) for p in (1, 2, 3)]
+    return C.union_votes(lists)

@@ -169,3 +169,13 @@ def o6_cap_folders(spark, sf_dir):
         "path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"))
     # the reference caps a test-set run at 700 folders
     return cap_folders(raw, "folder", 700)
+
+
+@register("a8_corpus_totals", oracle(["reports"], f"""
+c AS (SELECT len({_PUNCT_LIST}) AS n FROM reports)
+SELECT count(*) AS total_reports, sum(n) AS total_sentences, avg(n) AS mean_sentences_per_report FROM c
+"""))
+def a8_corpus_totals(spark, sf_dir):
+    r = view(spark, sf_dir, "reports").select(S.count_sentences(_count_text(), "punct").alias("n"))
+    return r.agg(F.count(F.lit(1)).alias("total_reports"), F.sum("n").alias("total_sentences"),
+                 F.avg("n").alias("mean_sentences_per_report"))
