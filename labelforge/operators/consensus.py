@@ -134,11 +134,15 @@ def rank_labels(stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def pick_winner(rows: DataFrame, keys: list[str] = KEYS, order: str = "model") -> DataFrame:
-    """First row per study by ``order`` (one shuffle on the key)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(order))
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """The first row per study by ``order`` (ties broken by the other columns).
+
+    A ``min(struct(order, ...))`` aggregation rather than a ``row_number``
+    window: partial aggregation keeps one row per study per task, so a study
+    holding a third of all rows never lands in one task."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    first = F.min(F.struct(F.col(order), *[F.col(c) for c in others])).alias("_w")
+    out = rows.groupBy(*keys).agg(first)
+    return out.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in [order, *others]]).select(*rows.columns)
 
 
 def majority_join(stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:

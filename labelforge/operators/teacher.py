@@ -170,6 +170,10 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = teacher()
+        # error counts live for the whole task: the passes of one sentence are
+        # adjacent rows and share one budget even across an Arrow batch boundary
+        errors: dict[tuple, int] = {}
+        dead: dict[tuple, str] = {}
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             n = len(pdf)
@@ -177,9 +181,7 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
             attempts = [0] * n
             error: list[str | None] = [None] * n
             gkey = [tuple(pdf.iat[i, j] for j in gidx) for i in range(n)]
-            errors: dict[tuple, int] = {}
-            dead: dict[tuple, str] = {}
-            pending = list(range(n))
+            pending = [i for i in range(n) if gkey[i] not in dead]
             while pending:
                 res = call(pdf[prompt].iloc[pending])
                 nxt = []
