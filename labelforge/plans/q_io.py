@@ -239,7 +239,12 @@ def s18_write_predictions(spark, sf_dir):
     return sinks.read_predictions(spark, path, "doc_id long, text string, prediction int, true_label int")
 
 
-@register("s20_describe_source")
+@register("s20_describe_source", oracle([], """
+SELECT ordinal_position - 1 AS position, column_name AS name,
+       CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'
+                      WHEN 'DOUBLE' THEN 'double' ELSE lower(data_type) END AS type, true AS nullable
+FROM information_schema.columns WHERE table_name = 'documents'
+"""))
 def s20_describe_source(spark, sf_dir):
     return files.describe_source(table(spark, sf_dir, "documents"))
 
