@@ -106,7 +106,7 @@ def sampled_token_estimate(sample_sentences: DataFrame, total_sentences: DataFra
     m = sample_sentences.agg(F.avg(chat).alias("chat_tokens_per_call"), F.avg(emb).alias("embed_tokens_per_sentence"))
     per = m.select("*", (F.col("chat_tokens_per_call") * NUM_PASSES).alias("chat_tokens_per_sentence_all_passes"),
                    (F.col("embed_tokens_per_sentence") * 2 * NUM_PASSES).alias("embed_tokens_per_sentence_all_passes"))
-    tot = total_sentences.agg(F.count(F.lit(1)).alias("total_sentences"))
-    out = per.crossJoin(tot)  # 1 row × 1 row
+    total = total_sentences.agg(F.count(F.lit(1))).scalar()  # scalar subquery
+    out = per.withColumn("total_sentences", total)
     return out.select("*", (F.col("chat_tokens_per_sentence_all_passes") * F.col("total_sentences")).alias("total_chat_tokens"),
                       (F.col("embed_tokens_per_sentence_all_passes") * F.col("total_sentences")).alias("total_embed_tokens"))

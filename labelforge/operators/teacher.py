@@ -15,6 +15,7 @@ registered queries; its rule is simple enough to restate in SQL.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -125,6 +126,33 @@ def label_documents(reports: DataFrame, teacher: TeacherFactory, model: str,
                       "raw_ai_output", F.lit(model).alias("model"))
 
 
+def label_documents_all(reports: DataFrame, teachers: dict[str, TeacherFactory],
+                        keys: list[str] = ["subject_id", "study_id"], partitions: int | None = None) -> DataFrame:
+    """T1 for several teachers in one pass: the reports are scanned and shipped
+    to Python once; every teacher labels each Arrow batch; one output row per
+    (report, teacher).  Same columns as ``label_documents``."""
+    src = reports.select(*keys, "findings", "impression", doc_prompt("findings", "impression").alias("prompt"))
+    if partitions:
+        src = src.repartition(partitions)
+    keep = [*keys, "findings", "impression"]
+    schema = src.select(*keep, F.lit(None).cast("string").alias("raw_ai_output"),
+                        F.lit(None).cast("string").alias("model")).schema
+    names = list(teachers)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = {m: teachers[m]() for m in names}
+        for pdf in batches:
+            for m in names:
+                res = calls[m](pdf["prompt"]).map(lambda v: None if isinstance(v, BaseException) else v)
+                yield pdf[keep].assign(raw_ai_output=res.values, model=m)
+
+    raw = src.mapInPandas(run, schema)
+    return raw.select(*keys, "findings", "impression",
+                      extract_label_json("raw_ai_output", "label").alias("label"),
+                      extract_label_json("raw_ai_output", "explanation").alias("explanation"),
+                      "raw_ai_output", "model")
+
+
 def with_passes(df: DataFrame, passes: int = 3, col: str = "pass") -> DataFrame:
     """T2 fan-out: every row ``passes`` times (narrow ``explode``; the passes of
     one sentence stay adjacent in the same task)."""
@@ -280,37 +308,84 @@ def api_budget(plan: DataFrame, order: list[str], budget: int, calls: str = "cal
 
 # --------------------------------------------------------------- confidence
 
+try:  # the same token rule as the JVM side: runs of letters / digits
+    import regex as _re
+
+    _TOKEN_SPLIT = _re.compile(r"[^\p{L}\p{N}]+")
+except ImportError:  # pragma: no cover
+    import re as _re
+
+    _TOKEN_SPLIT = _re.compile(r"[\W_]+")
+
+
+def _tf(text) -> dict:
+    counts: dict[str, int] = {}
+    if text:
+        for t in _TOKEN_SPLIT.split(text.lower()):
+            if t:
+                counts[t] = counts.get(t, 0) + 1
+    return counts
+
+
+def _cosine(a, b) -> float:
+    ta, tb = _tf(a), _tf(b)
+    if len(tb) < len(ta):
+        small, big = tb, ta
+    else:
+        small, big = ta, tb
+    dot = sum(c * big.get(t, 0) for t, c in small.items())
+    na = sum(c * c for c in ta.values())
+    nb = sum(c * c for c in tb.values())
+    if na == 0 or nb == 0:
+        return 0.0
+    return dot / (math.sqrt(na) * math.sqrt(nb))
+
+
+def _cosine_series(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_cosine(x, y) for x, y in zip(a, b)], index=a.index, dtype="float64")
+
+
+_TF_COSINE_UDF = None
+
+
+def tf_cosine_udf(a: Column | str, b: Column | str) -> Column:
+    """T5 similarity per row: cosine of the term-frequency vectors of two texts
+    (lower-cased runs of letters/digits).  Arrow-batched, linear in the text
+    length, no shuffle — the computation needs nothing outside its row.
+    (Built lazily: a module-level ``pandas_udf`` would need a session on the
+    Python workers that import this module.)"""
+    global _TF_COSINE_UDF
+    if _TF_COSINE_UDF is None:
+        _TF_COSINE_UDF = F.pandas_udf(_cosine_series, "double")
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return _TF_COSINE_UDF(a, b)
+
+
 def tf_cosine(df: DataFrame, key: list[str], a: str, b: str, out: str = "similarity") -> DataFrame:
-    """T5 similarity: cosine of term-frequency vectors of two texts per row.
-
-    Tokens = lower-cased runs of letters/digits.  Both texts are exploded to
-    ``(key, token)`` counts (partial aggregation), full-outer joined on
-    ``(key, token)`` (co-partitioned, no extra exchange) and reduced to
-    ``dot / (|a| |b|)`` per key.  Linear in the text length; long reports are
-    never collected into one value."""
-    def counts(col: str, name: str) -> DataFrame:
-        toks = F.filter(F.split(F.lower(F.col(col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-        return (df.select(*key, F.explode(toks).alias("tok")).groupBy(*key, "tok")
-                .agg(F.count(F.lit(1)).alias(name)))
-
-    ca, cb = counts(a, "ca"), counts(b, "cb")
-    j = ca.join(cb, [*key, "tok"], "full")
-    g = j.groupBy(*key).agg(
-        F.sum(F.coalesce("ca", F.lit(0)) * F.coalesce("cb", F.lit(0))).alias("dot"),
-        F.sum(F.coalesce("ca", F.lit(0)) * F.coalesce("ca", F.lit(0))).alias("na"),
-        F.sum(F.coalesce("cb", F.lit(0)) * F.coalesce("cb", F.lit(0))).alias("nb"))
+    """T5 similarity as a relational plan: tokens exploded to ``(key, token, side)``
+    counts, one aggregation per (key, token) and one per key.  Pure JVM but it
+    shuffles every token; ``tf_cosine_udf`` is the default (no shuffle)."""
+    toks = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    tagged = F.concat(F.transform(toks(a), lambda t: F.struct(t.alias("tok"), F.lit(0).alias("side"))),
+                      F.transform(toks(b), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("side"))))
+    e = df.select(*key, F.explode(tagged).alias("x"))
+    per_tok = e.groupBy(*key, F.col("x.tok").alias("tok")).agg(
+        F.count_if(F.col("x.side") == 0).alias("ca"), F.count_if(F.col("x.side") == 1).alias("cb"))
+    g = per_tok.groupBy(*key).agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"),
+                                  F.sum(F.col("ca") * F.col("ca")).alias("na"),
+                                  F.sum(F.col("cb") * F.col("cb")).alias("nb"))
     sim = F.try_divide(F.col("dot").cast("double"), F.sqrt("na") * F.sqrt("nb"))
     return g.select(*key, F.coalesce(sim, F.lit(0.0)).alias(out))
 
 
-def explanation_confidence(extract: DataFrame, key: list[str]) -> DataFrame:
+def explanation_confidence(extract: DataFrame, key: list[str] | None = None) -> DataFrame:
     """T5: add ``confidence`` — NULL for a blank explanation, else the TF cosine
-    of the context text (P6) and the explanation."""
-    base = extract.select("*", context_sql("findings", "impression").alias("_ctx"))
-    scored = tf_cosine(base.where(~is_blank("explanation")), key, "_ctx", "explanation", "_sim")
-    j = base.join(scored, key, "left")
-    conf = F.when(is_blank("explanation"), F.lit(None).cast("double")).otherwise(F.coalesce("_sim", F.lit(0.0)))
-    return j.select(*extract.columns, conf.alias("confidence"))
+    of the context text (P6) and the explanation.  A per-row column: no
+    shuffle, no join; ``key`` is accepted for API compatibility."""
+    ctx = context_sql("findings", "impression")
+    conf = F.when(is_blank("explanation"), F.lit(None).cast("double")).otherwise(tf_cosine_udf(ctx, F.col("explanation")))
+    return extract.withColumn("confidence", conf)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -219,11 +219,10 @@ def s17_read_metrics_glob(spark, sf_dir):
 
     root = scratch_path(spark, "metrics_dir")
     m = M.split_metrics(scored(spark, sf_dir), ["model_name", "method", "split"])
-    # one <clean model name>_metrics.csv per model, as the trainer writes them
-    names = [r[0] for r in m.select(clean_name("model_name")).distinct().collect()]  # a handful of model names
-    for n in names:
-        sinks.overwrite_metrics(m.where(clean_name("model_name") == n), f"{root}/{n}_metrics.csv")
-    return files.read_metrics_glob(spark, f"{root}/*_metrics.csv", _METRICS_SCHEMA)
+    # one <clean model name>_metrics.csv folder per model, written in one job
+    named = m.withColumn("metrics_file", F.concat(clean_name("model_name"), F.lit("_metrics.csv")))
+    named.write.mode("overwrite").option("header", True).partitionBy("metrics_file").csv(root)
+    return files.read_metrics_glob(spark, f"{root}/metrics_file=*_metrics.csv", _METRICS_SCHEMA)
 
 
 @register("s18_write_predictions", oracle(["predictions"], """

@@ -32,9 +32,8 @@ def _lab(idx: str, labels: list[str]) -> str:
 
 def doc_teachers(spark, sf_dir, reports=None):
     reports = reports if reports is not None else view(spark, sf_dir, "reports")
-    tables = [TE.label_documents(reports, TE.rule_teacher(shift, gate=gate), model)
-              for model, shift, gate in DOC_TEACHERS]
-    return C.union_votes(tables)
+    return TE.label_documents_all(reports, {model: TE.rule_teacher(shift, gate=gate)
+                                            for model, shift, gate in DOC_TEACHERS})
 
 
 _T1_CTE = f"""

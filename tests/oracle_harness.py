@@ -27,10 +27,15 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # compare floats bit-exactly
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
+        if STRICT:
+            return v + 0.0  # -0.0 == 0.0
         return float(f"{v:.9g}")
     if hasattr(v, "tolist"):
         v = v.tolist()
@@ -47,6 +52,38 @@ def canon(rows, cols):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def _spark_cat(dt) -> str:
+    n = type(dt).__name__
+    if n in ("ByteType", "ShortType", "IntegerType", "LongType"):
+        return "int"
+    if n in ("FloatType", "DoubleType"):
+        return "float"
+    if n == "DecimalType":
+        return "decimal"
+    if n == "ArrayType":
+        return "list<" + _spark_cat(dt.elementType) + ">"
+    return {"StringType": "string", "BooleanType": "bool", "StructType": "struct"}.get(n, n)
+
+
+def _duck_cat(t: str) -> str:
+    t = str(t).upper()
+    if t.endswith("[]"):
+        return "list<" + _duck_cat(t[:-2]) + ">"
+    if t in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT"):
+        return "int"
+    if t in ("FLOAT", "DOUBLE"):
+        return "float"
+    if t.startswith("DECIMAL"):
+        return "decimal"
+    if t == "VARCHAR":
+        return "string"
+    if t == "BOOLEAN":
+        return "bool"
+    if t.startswith("STRUCT"):
+        return "struct"
+    return t
+
+
 def compare(spark, con, sf_dir: str, name: str, query, sql: str | None):
     t0 = time.time()
     df = query(spark, sf_dir)
@@ -57,12 +94,18 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str | None):
         return dict(name=name, ok=None, rows=len(spark_rows), spark_s=round(t1 - t0, 2))
     res = con.execute(sql)
     duck_cols = [d[0] for d in res.description]
+    duck_types = {d[0]: _duck_cat(d[1]) for d in res.description}
+    spark_types = {f.name: _spark_cat(f.dataType) for f in df.schema.fields}
     duck_rows = res.fetchall()
     t2 = time.time()
     info = dict(name=name, rows=len(spark_rows), oracle_rows=len(duck_rows),
                 spark_s=round(t1 - t0, 2), duck_s=round(t2 - t1, 2))
     if sorted(spark_cols) != sorted(duck_cols):
         return dict(info, ok=False, why=f"columns {spark_cols} vs {duck_cols}")
+    bad_types = {c: (spark_types[c], duck_types[c]) for c in spark_cols
+                 if c in duck_types and spark_types[c] != duck_types[c]}
+    if bad_types:
+        info["type_mismatch"] = bad_types
     a = canon(spark_rows, spark_cols)
     b = canon(duck_rows, duck_cols)
     if a != b:

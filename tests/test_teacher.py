@@ -61,6 +61,7 @@ def test_tf_cosine_matches_python(spark):
     pairs = [("the cat sat on the mat", "the cat"), ("", "x"), ("Été chaud, été!", "été"), ("a b", "c d")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "k int, a string, b string")
     got = {r.k: r.similarity for r in TE.tf_cosine(df, ["k"], "a", "b").collect()}
+    per_row = {r.k: r.s for r in df.select("k", TE.tf_cosine_udf("a", "b").alias("s")).collect()}
 
     def cos(a, b):
         ta = Counter(t for t in re.split(r"[^\w]+", a.lower()) if t)
@@ -72,6 +73,7 @@ def test_tf_cosine_matches_python(spark):
 
     for i, (a, b) in enumerate(pairs):
         assert abs(got.get(i, 0.0) - cos(a, b)) < 1e-12
+        assert abs(per_row[i] - cos(a, b)) < 1e-12
 
 
 def test_embedding_confidence(spark):
