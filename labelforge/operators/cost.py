@@ -12,7 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.functions.text import SENTENCE_SYSTEM, flatten_newlines, sentence_prompt
+from labelforge.functions.text import SENTENCE_SYSTEM, SENTENCE_TEMPLATE, flatten_newlines, sentence_prompt
+
+
+def _word_count(text: str) -> int:
+    return len(text.split())
+
+
+def _template_is_whitespace_bounded() -> bool:
+    head, tail = SENTENCE_TEMPLATE.split("{sentence}")
+    return (not head or head[-1].isspace()) and (not tail or tail[0].isspace())
 
 # ---------------------------------------------------------------- fixed values
 # Configured numbers of the reference cost plan.
@@ -68,8 +77,16 @@ def token_plan(sentences: DataFrame, sentence: str = "sentence",
     """K4: exact token totals over all sentences and passes (one aggregation).
 
     chat = passes·Σ(system + prompt); embedding = passes·Σ context + passes·S·40."""
-    chat = counter(F.lit(SENTENCE_SYSTEM)) + counter(sentence_prompt(sentence))
-    emb = counter(flatten_newlines(sentence))
+    if counter is word_tokens and _template_is_whitespace_bounded():
+        # whitespace words are additive across the fixed template (it meets the
+        # sentence at whitespace) and unchanged by newline flattening: one split
+        # per sentence instead of three
+        fixed = _word_count(SENTENCE_SYSTEM) + sum(_word_count(p) for p in SENTENCE_TEMPLATE.split("{sentence}"))
+        w = counter(sentence)
+        chat, emb = w + F.lit(fixed), w
+    else:
+        chat = counter(F.lit(SENTENCE_SYSTEM)) + counter(sentence_prompt(sentence))
+        emb = counter(flatten_newlines(sentence))
     g = sentences.agg(F.count(F.lit(1)).alias("S"), F.sum(chat).alias("chat_once"), F.sum(emb).alias("ctx_once"))
     return g.select(
         F.col("S").alias("total_sentences"),
