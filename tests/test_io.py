@@ -93,3 +93,19 @@ def test_predictions_csv_round_trip_with_newlines(spark):
 def test_describe_source(spark):
     df = spark.createDataFrame([(1, "a")], "k long, v string")
     assert [tuple(r) for r in files.describe_source(df).collect()] == [(0, "k", "bigint", True), (1, "v", "string", True)]
+
+
+def test_stream_resume_only_new_files(spark):
+    from labelforge.streaming.resume import run_to_completion
+
+    base = tempfile.mkdtemp(prefix="lf-stream-")
+    inbox, out, ckpt = f"{base}/inbox", f"{base}/out", f"{base}/ckpt"
+    mk = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    mk([("files/p10/p1/s1.txt", "FINDINGS: a\nIMPRESSION: b")]).write.mode("append").parquet(inbox)
+    schema = spark.read.parquet(inbox).schema
+    first = run_to_completion(spark, inbox, schema, out, ckpt, files.parse_reports, files_per_trigger=1)
+    assert first.count() == 1
+    mk([("files/p10/p2/s2.txt", "IMPRESSION: c")]).write.mode("append").parquet(inbox)
+    second = run_to_completion(spark, inbox, schema, out, ckpt, files.parse_reports, files_per_trigger=1)
+    got = sorted((r.study_id, r.impression) for r in second.collect())
+    assert got == [("s1", "b"), ("s2", "c")]  # the first file was not processed again
