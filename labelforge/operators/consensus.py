@@ -9,9 +9,10 @@ labels, ties, and a winning NULL label → drop.  Explanation and report text
 come from the winning label's vote of the first teacher by name.
 
 Plan shape: two partial+final aggregations over narrow rows (key, label,
-model, confidence), then one join back to the votes for the winner's text.
-Partial aggregation collapses a hot study before any shuffle, the long text
-crosses the network once, and no group is ever collected into a list.
+model, confidence), then one join of the votes to the decision for the
+winner's text and a final deduplication of the winners.  Partial aggregation
+collapses a hot study before the narrow shuffles, the long text crosses the
+network once, and no group is ever collected into a list.
 """
 
 from __future__ import annotations
@@ -93,21 +94,25 @@ def consensus(votes: DataFrame, keys: list[str] = KEYS, text_cols: tuple[str, ..
               ignore_failed_votes: bool = False) -> DataFrame:
     """Consensus table ``keys + text_cols + label, explanation, confidence``.
 
-    The decision is made on narrow rows; the text is reduced to one row per
-    (study, label, model) with a partial+final aggregation (a hot study or
-    duplicated vote rows collapse before the shuffle, rule D6 picks one row
-    deterministically) and joined to the decision on all four columns, so the
-    long text crosses the network once.
+    The decision is made on narrow rows (two partial+final aggregations over
+    ``key, label, model, confidence`` — the Parquet scan reads only those
+    columns).  The votes are then joined to the decision on
+    ``(key, label, model)``: the long text crosses the network once and only
+    the winning rows (about one per kept study) reach the final
+    deduplication, which picks one row deterministically when a study has
+    duplicated vote rows (rule D6).  A study holding a third of all votes is
+    split by AQE's skew-join handling (the decision side is one row per
+    study) and collapsed by the partial aggregation before the last shuffle.
     """
     decided = consensus_labels(votes, keys, ignore_failed_votes=ignore_failed_votes).select(
         *keys, F.col("consensus_label").alias("label"), F.col("winner_model").alias("model"),
         F.col("consensus_confidence").alias("confidence"))
-    texts = (votes.where(F.col("label").isNotNull())
-             .groupBy(*keys, "label", "model")
-             .agg(F.min(F.struct(F.col("explanation"), *[F.col(c) for c in text_cols])).alias("w")))
-    joined = texts.join(decided, [*keys, "label", "model"], "inner")
-    return joined.select(*keys, *[F.col(f"w.{c}").alias(c) for c in text_cols], "label",
-                         F.col("w.explanation").alias("explanation"), "confidence")
+    v = votes.select(*keys, "label", "model", "explanation", *text_cols)
+    winners = v.join(decided, [*keys, "label", "model"], "inner")
+    pick = F.min(F.struct(F.col("explanation"), *[F.col(c) for c in text_cols])).alias("w")
+    out = winners.groupBy(*keys).agg(F.first("label").alias("label"), F.first("confidence").alias("confidence"), pick)
+    return out.select(*keys, *[F.col(f"w.{c}").alias(c) for c in text_cols], "label",
+                      F.col("w.explanation").alias("explanation"), "confidence")
 
 
 def consensus_with_text(votes: DataFrame, keys: list[str] = KEYS,
