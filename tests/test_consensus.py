@@ -137,3 +137,16 @@ def test_consensus_plan_has_no_python_and_bounded_exchanges(spark):
     # keys + winners to the study key (only the votes exchange carries all the text)
     assert plan2.count("Exchange hashpartitioning") == 2
     assert plan.count("Exchange hashpartitioning") == 5
+
+
+def test_hot_study_third_of_rows(spark):
+    # one study holds a third of all votes (massively duplicated rows): still one
+    # exact answer, computed without collecting the study's votes anywhere
+    rows = [("p", "hot", "Normal", 0.75, "a")] * 2000 + [("p", "hot", "Abnormal", 0.25, "b")] * 1000
+    rows += [("q", f"s{i}", "Abnormal", 0.5, m) for i in range(1000) for m in ("a", "b", "c")]
+    v = votes(spark, rows).repartition(8)
+    out = result(C.consensus(v))
+    assert out["hot"] == ("Normal", 0.75, "Normal because a")
+    assert len(out) == 1001
+    plan = C.consensus(v)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
