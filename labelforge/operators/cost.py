@@ -60,11 +60,16 @@ def batch_counter(counter_factory: Callable[[], Callable[[str], int]]):
     return count
 
 
-def call_plan(sentences: DataFrame, reports: DataFrame | None = None) -> DataFrame:
-    """K1: chat 3·S, embedding 6·S, total 9·S (one aggregation)."""
-    s = F.count(F.lit(1))
+def call_plan(df: DataFrame, n_sentences: str | None = None) -> DataFrame:
+    """K1: chat 3·S, embedding 6·S, total 9·S in one aggregation.
+
+    ``df`` is either one row per sentence, or one row per report with its
+    sentence count in ``n_sentences`` (then ``total_reports`` is reported too)."""
+    s = F.sum(n_sentences) if n_sentences else F.count(F.lit(1))
     per_pass = CHAT_CALLS_PER_PASS + EMBEDDING_CALLS_PER_PASS
-    return sentences.agg(
+    aggs = [F.count(F.lit(1)).alias("total_reports")] if n_sentences else []
+    return df.agg(
+        *aggs,
         s.alias("total_sentences"),
         (s * NUM_PASSES * CHAT_CALLS_PER_PASS).alias("chat_calls"),
         (s * NUM_PASSES * EMBEDDING_CALLS_PER_PASS).alias("embedding_calls"),

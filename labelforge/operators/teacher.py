@@ -237,7 +237,10 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
 def skip_after_failure(results: DataFrame, report_keys: list[str], index: str = "sentence_index") -> DataFrame:
     """T3 skip-rest: drop every result of a report at or after its first failed
     sentence (the reference stops the report there).  The first failure per
-    report is a partial+final ``min`` aggregation, joined back."""
+    report is a partial+final ``min`` aggregation, joined back.  Calls are
+    sent per Arrow batch, so later sentences of a failed report may already
+    have been answered; their results are dropped here, which gives the
+    reference's output at the price of those calls."""
     first_bad = (results.where(F.col("error").isNotNull()).groupBy(*report_keys)
                  .agg(F.min(index).alias("_first_bad")))
     j = results.join(first_bad, report_keys, "left")

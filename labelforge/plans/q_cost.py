@@ -48,10 +48,7 @@ SELECT count(*) AS total_reports, sum(n) AS total_sentences, 3 * sum(n) AS chat_
 def k1_call_plan(spark, sf_dir):
     r = view(spark, sf_dir, "reports")
     per = r.select(S.count_sentences(_count_text(), "punct").alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("total_reports"), F.sum("n").alias("total_sentences"),
-                   (F.sum("n") * K.NUM_PASSES * K.CHAT_CALLS_PER_PASS).alias("chat_calls"),
-                   (F.sum("n") * K.NUM_PASSES * K.EMBEDDING_CALLS_PER_PASS).alias("embedding_calls"),
-                   (F.sum("n") * K.NUM_PASSES * (K.CHAT_CALLS_PER_PASS + K.EMBEDDING_CALLS_PER_PASS)).alias("total_requests"))
+    return K.call_plan(per, "n")
 
 
 @register("k2_token_count", oracle(["reports"], _PERIOD_CTE + f"""
