@@ -47,8 +47,10 @@ def test_rules(spark):
     # ignoring failed votes rescues s6
     out2 = result(C.consensus(v, ignore_failed_votes=True))
     assert out2["s6"] == ("Normal", 0.7, "Normal because a")
-    # the text-in-aggregation variant agrees
+    # the text-in-aggregation variant and the undictionaried string path agree
     assert result(C.consensus_with_text(v)) == out
+    assert result(C.consensus(v, dictionary_limit=0)) == out
+    assert result(C.consensus(v, dictionary_limit=2)) == out  # 3 labels > 2: falls back
 
 
 def test_duplicates_count_as_votes(spark):
@@ -101,6 +103,8 @@ def test_sentence_consensus_matches_python(spark):
                 truth[i] = (a, ma)
     df = spark.createDataFrame(rows)
     got = {r.row_index: (r.Result, r.confidence) for r in C.sentence_consensus(df).collect()}
+    assert got == {r.row_index: (r.Result, r.confidence)
+                   for r in C.sentence_consensus(df, dictionary_limit=0).collect()}
     assert got.keys() == truth.keys()
     for k in truth:
         assert got[k][0] == truth[k][0] and abs(got[k][1] - truth[k][1]) < 1e-12
@@ -147,6 +151,7 @@ def test_hot_study_third_of_rows(spark):
     v = votes(spark, rows).repartition(8)
     out = result(C.consensus(v))
     assert out["hot"] == ("Normal", 0.75, "Normal because a")
+    assert result(C.consensus(v, dictionary_limit=0)) == out
     assert len(out) == 1001
     plan = C.consensus(v)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
