@@ -306,6 +306,19 @@ def alignment_audit(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_col:
     return per_key.where(bad)
 
 
+def check_alignment(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_col: str = "pass",
+                    n_passes: int = 3) -> None:
+    """C3 (strict form): raise when the per-pass vote sets are not aligned —
+    the reference refuses to merge vote lists of different lengths.  Runs one
+    aggregation job; only the count and three example keys reach the driver."""
+    bad = alignment_audit(votes, keys, pass_col, n_passes)
+    examples = bad.limit(3).collect()
+    if examples:
+        n = bad.count()
+        raise ValueError(f"{n} sentence keys do not have exactly one vote per pass, e.g. "
+                         f"{[tuple(r[k] for k in keys) for r in examples]}")
+
+
 def consensus_audit(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_col: str = "pass",
                     n_passes: int = 3, label: str = "Result", score: str = "confidence") -> DataFrame:
     """A5: one row of counters over the aligned sentences: total, disagree,

@@ -131,6 +131,45 @@ def supcon_loss(df: DataFrame, batch: str, vec: str, label: str | None = "label"
     return df.select(*cols).groupBy(batch).applyInPandas(per_batch, schema)
 
 
+def supcon_loss_masked(df: DataFrame, pairs: DataFrame, batch: str, key: str, vec: str,
+                       temperature: float = 0.07, base_temperature: float = 0.07) -> DataFrame:
+    """V9 with a user mask: ``pairs`` holds ``(batch, anchor, positive)`` key
+    pairs (may be asymmetric; self pairs are ignored) instead of labels.
+
+    Rows and mask pairs of one mini-batch meet in one co-grouped
+    ``applyInPandas`` call; the mask is at most B×B for a batch of B rows."""
+    if "label" in pairs.columns:
+        raise ValueError("Cannot define both `labels` and `mask`")
+
+    def per_batch(rows: pd.DataFrame, mask: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({batch: [], "loss": [], "anchors": []})
+        rows = rows.sort_values(key)
+        ids = rows[key].to_numpy()
+        pos_of = {k: i for i, k in enumerate(ids)}
+        n = len(ids)
+        m = np.zeros((n, n), dtype=bool)
+        for a, p in zip(mask["anchor"], mask["positive"]):
+            if a in pos_of and p in pos_of:
+                m[pos_of[a], pos_of[p]] = True
+        z = _unit_rows(np.vstack(rows[vec].to_numpy()).astype(np.float64))
+        s = (z @ z.T) / temperature
+        g = s - s.max(axis=1, keepdims=True)
+        not_self = ~np.eye(n, dtype=bool)
+        pos = m & not_self
+        lse = np.log((np.exp(g) * not_self).sum(axis=1) + 1e-12)
+        cnt = pos.sum(axis=1)
+        mean_pos = np.where(cnt > 0, (g * pos).sum(axis=1) / np.maximum(cnt, 1) - lse, 0.0)
+        loss = -(temperature / base_temperature) * mean_pos
+        return pd.DataFrame({batch: [rows[batch].iloc[0]], "loss": [float(loss.mean())], "anchors": [n]})
+
+    # fresh aliases: the mask is usually derived from the same rows, and
+    # co-grouping two plans that share attributes would be ambiguous
+    left = df.select(*[F.col(c).alias(c) for c in (batch, key, vec)]).groupBy(batch)
+    right = pairs.select(*[F.col(c).alias(c) for c in (batch, "anchor", "positive")]).groupBy(batch)
+    return left.cogroup(right).applyInPandas(per_batch, f"{batch} long, loss double, anchors long")
+
+
 def gram_rows(df: DataFrame, batch: str, key: str, vec: str, scale: float = 1.0,
               normalize: bool = False) -> DataFrame:
     """The Gram matrix of each mini-batch as one row per anchor:

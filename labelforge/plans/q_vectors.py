@@ -129,6 +129,31 @@ def v9_supcon_unsupervised_one(spark, sf_dir):
     return s.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
 
 
+@register("v9_supcon_user_mask", oracle(["batches"], _NZ + """,
+pr AS (SELECT a.batch_id, a.vec_id AS i, c.vec_id AS j, c.label = (a.label + 1) % 10 AS same,
+              list_dot_product(a.z, c.z) / 0.07 AS s
+       FROM nz a JOIN nz c ON a.batch_id = c.batch_id),
+mx AS (SELECT batch_id, i, max(s) AS m FROM pr GROUP BY batch_id, i),
+gg AS (SELECT pr.batch_id, pr.i, pr.j, pr.same, pr.s - mx.m AS g FROM pr JOIN mx ON pr.batch_id = mx.batch_id AND pr.i = mx.i),
+per AS (SELECT batch_id, i, ln(sum(exp(g)) FILTER (WHERE i <> j) + 1e-12) AS lse,
+               sum(g) FILTER (WHERE same AND i <> j) AS sp, count(*) FILTER (WHERE same AND i <> j) AS np
+        FROM gg GROUP BY batch_id, i),
+li AS (SELECT batch_id, i, CASE WHEN np = 0 THEN 0 ELSE -(sp / np - lse) END AS l FROM per)
+SELECT batch_id, round(avg(l), 6) AS loss, count(*) AS anchors FROM li GROUP BY batch_id
+"""))
+def v9_supcon_user_mask(spark, sf_dir):
+    # an asymmetric mask: j is a positive of i when label_j = (label_i + 1) mod 10.
+    # The pairs come from an equi-join inside each mini-batch on that key, so
+    # only the mask's own pairs are produced.
+    b = view(spark, sf_dir, "batches")
+    anchors = b.select("batch_id", F.col("vec_id").alias("anchor"), ((F.col("label") + 1) % 10).alias("want"))
+    cands = view(spark, sf_dir, "batches").select("batch_id", F.col("vec_id").alias("positive"),
+                                                  F.col("label").alias("want"))
+    pairs = anchors.join(cands, ["batch_id", "want"]).select("batch_id", "anchor", "positive")
+    s = V.supcon_loss_masked(b, pairs, "batch_id", "vec_id", "embedding")
+    return s.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
+
+
 @register("v10_ntxent_loss", oracle(["batches"], _NZ + """,
 r AS (SELECT a.batch_id, a.vec_id AS i, c.vec_id AS k, list_dot_product(a.z, c.z) / 0.1 AS r
       FROM nz a JOIN nz c ON a.batch_id = c.batch_id),

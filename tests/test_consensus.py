@@ -155,3 +155,14 @@ def test_hot_study_third_of_rows(spark):
     assert len(out) == 1001
     plan = C.consensus(v)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_check_alignment_raises(spark):
+    import pytest
+
+    ok = spark.createDataFrame([("f", 0, 0, p, "Yes", 0.5) for p in (1, 2, 3)],
+                               "parquet_file string, row_index long, sentence_index int, pass int, "
+                               "Result string, confidence double")
+    C.check_alignment(ok)
+    with pytest.raises(ValueError):
+        C.check_alignment(ok.where("pass <> 2"))

@@ -67,3 +67,12 @@ def test_prediction_report_joins_by_key(spark):
     texts = spark.createDataFrame([(1, "one"), (2, "two")], "k long, Context string")
     got = {r.k: (r.text, r.status) for r in M.prediction_report(preds, texts, ["k"]).collect()}
     assert got == {1: ("one", "TN"), 2: ("two", "FP")}
+
+
+def test_pluggable_token_counter_matches_builtin(spark):
+    from labelforge.operators import cost as K
+
+    df = spark.createDataFrame([("a b  c",), ("",), (None,), ("one\\ntwo",)], "t string")
+    count = K.batch_counter(lambda: (lambda s: len(s.split())))
+    got = [tuple(r) for r in df.select(count("t"), K.word_tokens("t")).collect()]
+    assert all(a == b for a, b in got)

@@ -95,3 +95,17 @@ def test_gram_rows(spark):
     df = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [1.0, 1.0])], "batch_id long, vec_id long, embedding array<double>")
     got = {r.vec_id: (r.partners, r.sims) for r in V.gram_rows(df, "batch_id", "vec_id", "embedding").collect()}
     assert got == {1: ([1, 2], [1.0, 1.0]), 2: ([1, 2], [1.0, 2.0])}
+
+
+def test_user_mask_equals_label_mask(spark):
+    # a mask built from "same label" gives the label loss
+    rng = np.random.default_rng(5)
+    rows = [(0, i, int(rng.integers(0, 3)), rng.normal(size=6).tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "batch_id long, vec_id long, label int, embedding array<double>")
+    pairs = spark.createDataFrame([(0, a[1], b[1]) for a in rows for b in rows if a[2] == b[2]],
+                                  "batch_id long, anchor long, positive long")
+    masked = V.supcon_loss_masked(df, pairs, "batch_id", "vec_id", "embedding").first().loss
+    labelled = V.supcon_loss(df, "batch_id", "embedding").first().loss
+    assert masked == pytest.approx(labelled, abs=1e-12)
+    with pytest.raises(ValueError):
+        V.supcon_loss_masked(df, pairs.withColumn("label", pairs.anchor), "batch_id", "vec_id", "embedding")
