@@ -1,17 +1,18 @@
 """Writers (S7–S19) and the file-layout writers used to stage report files.
 
-Table writes go through the DataFrame writer (parallel, one file per task).
-The only Python writers are the per-task file writers for layouts Spark's
-writers cannot produce (one ``.txt`` per report, zip archives, JSON-array
-files); they use ``pyarrow.fs`` so the same code writes to local disk, HDFS
-or object storage, and each task writes only its own rows.
+Table writes go through the DataFrame writer (parallel, one file per task,
+commit protocol).  The only Python writers are the per-task file writers for
+layouts Spark's writers cannot produce (one ``.txt`` per report, zip
+archives, JSON-array files); they use ``pyarrow.fs`` so the same code writes
+to local disk, HDFS or object storage, each task writes only its own rows,
+and file names are derived from the row / partition / batch, so a retried
+task overwrites what its failed attempt wrote.
 """
 
 from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -125,15 +126,19 @@ def write_zip_archives(df: DataFrame, root: str, member: str = "path", text: str
     root = root.rstrip("/")
 
     def run(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
         fs, base = _fs(root)
         fs.create_dir(base, recursive=True)
-        for pdf in batches:
+        for i, pdf in enumerate(batches):
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
                 for m, t in zip(pdf[member], pdf[text]):
                     zf.writestr(m, (t or "").encode("utf-8"))
                 zf.writestr("README.md", b"not a report")
-            with fs.open_output_stream(f"{base}/part-{uuid.uuid4().hex}.zip") as out:
+            # deterministic name: a retried task overwrites its own archive
+            with fs.open_output_stream(f"{base}/part-{pid:05d}-{i:05d}.zip") as out:
                 out.write(buf.getvalue())
             yield pd.DataFrame({"n": [1]})
 
@@ -147,12 +152,15 @@ def write_json_arrays(df: DataFrame, root: str, add_empty: bool = True) -> int:
     cols = df.columns
 
     def run(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
         fs, base = _fs(root)
         fs.create_dir(base, recursive=True)
-        for pdf in batches:
+        for i, pdf in enumerate(batches):
             recs = [{c: (None if pd.isna(v) else (v.item() if hasattr(v, "item") else v)) for c, v in zip(cols, row)}
                     for row in pdf.itertuples(index=False)]
-            with fs.open_output_stream(f"{base}/votes-{uuid.uuid4().hex}.json") as out:
+            with fs.open_output_stream(f"{base}/votes-{pid:05d}-{i:05d}.json") as out:
                 out.write(json.dumps(recs).encode("utf-8"))
             yield pd.DataFrame({"n": [1]})
 
