@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelforge.operators import consensus as C
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
-from labelforge.sources.fixtures import view
+from labelforge.sources.fixtures import stored_view, view
 
 TEACHERS = ["teacher_a", "teacher_b", "teacher_c"]
 
@@ -36,7 +36,9 @@ win AS (SELECT v.subject_id, v.study_id, v.findings, v.impression, cons.cl, v.ex
 SELECT subject_id, study_id, findings, impression, cl AS label, explanation, cc AS confidence FROM win WHERE rn = 1
 """))
 def c1_consensus(spark, sf_dir):
-    return C.consensus(view(spark, sf_dir, "votes"))
+    # votes as a stored table: the operator scans it three times (dictionary
+    # check, narrow decision, text join), each reading only the columns it needs
+    return C.consensus(stored_view(spark, sf_dir, "votes"))
 
 
 @register("c1_consensus_text_in_agg", oracle(["votes"], _CONSENSUS_CTES + """
@@ -51,7 +53,7 @@ def c1_consensus_text_in_agg(spark, sf_dir):
 SELECT subject_id, study_id, findings, impression, cl AS label, explanation, cc AS confidence FROM win WHERE rn = 1
 """))
 def c1_consensus_ignore_failed(spark, sf_dir):
-    return C.consensus(view(spark, sf_dir, "votes"), ignore_failed_votes=True)
+    return C.consensus(stored_view(spark, sf_dir, "votes"), ignore_failed_votes=True)
 
 
 @register("a1_label_stats", oracle(["votes"], """

@@ -103,8 +103,10 @@ SELECT subject_id, study_id, findings, impression, cl AS label, explanation, rou
 FROM win WHERE rn = 1
 """))
 def c1_consensus_from_teachers(spark, sf_dir):
+    # teachers → confidence, written once (a sampling teacher must not be
+    # called again when the consensus reads its votes) → consensus
     extract = doc_teachers(spark, sf_dir)
-    scored = TE.explanation_confidence(extract, [*KEYS, "model"])
+    scored = TE.materialize(TE.explanation_confidence(extract, [*KEYS, "model"]), "scored_votes")
     out = C.consensus(scored)
     return out.withColumn("confidence", F.round("confidence", 9))
 

@@ -144,6 +144,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{d: view(spark, sf_dir, d) for d in deps})
 
 
+def stored_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view written once to the shared checkpoint folder and read
+    back: the realistic input for operators that scan their input more than
+    once (the votes are a stored table in a real pipeline)."""
+    from labelforge.session import scratch_path
+
+    path = scratch_path(spark, f"view-{name}")
+    view(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _closure(names: tuple[str, ...]) -> list[str]:
     order: list[str] = []
 
