@@ -442,14 +442,18 @@ def batch_encoder(encoder_factory: Callable[[], Callable[[pd.Series], list]]) ->
     return encode
 
 
-def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding") -> DataFrame:
+def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", dedupe: bool = True) -> DataFrame:
     """Embed newline-flattened text with a pluggable encoder.
 
-    Distinct texts are embedded once and joined back (the reference embeds
-    the same context in each of 3 passes)."""
+    ``dedupe=True`` embeds each distinct text once and joins the vectors back
+    (the reference embeds the same context in each of 3 passes) — worth two
+    text shuffles when the encoder is a paid or slow model; with the cheap
+    JVM hashing encoder ``dedupe=False`` embeds in place without a shuffle."""
     from labelforge.functions.text import flatten_newlines
 
     encoder = encoder or hashed_encoder()
+    if not dedupe:
+        return encoder(df.withColumn("_flat", flatten_newlines(text)), "_flat", out).drop("_flat")
     distinct = df.select(flatten_newlines(text).alias("_flat")).distinct()
     emb = encoder(distinct, "_flat", out)
     return df.withColumn("_flat", flatten_newlines(text)).join(emb, "_flat", "left").drop("_flat")

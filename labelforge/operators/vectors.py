@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 
 from labelforge.operators.teacher import running_total
 
+MAX_BATCH_ROWS = 4096  # a mini-batch is a B×B matrix in one task: refuse unbounded groups
+
+
+def _check_batch(n: int, limit: int, batch_value) -> None:
+    if n > limit:
+        raise ValueError(f"mini-batch {batch_value!r} has {n} rows (> {limit}); assign bounded batches "
+                         "with assign_batches() before computing pairwise losses")
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -106,7 +114,7 @@ def supcon_batch(z: np.ndarray, labels: np.ndarray | None, sample: np.ndarray |
 
 def supcon_loss(df: DataFrame, batch: str, vec: str, label: str | None = "label", sample: str | None = None,
                 view: str | None = None, temperature: float = 0.07, base_temperature: float = 0.07,
-                mode: str = "all") -> DataFrame:
+                mode: str = "all", max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
     """V9: SupCon loss per mini-batch → ``(batch, loss, anchors)``.
 
     Each row is one view of one sample.  ``label=None`` gives the
@@ -119,6 +127,7 @@ def supcon_loss(df: DataFrame, batch: str, vec: str, label: str | None = "label"
     cols = [batch, vec] + [c for c in (label, sample, view) if c]
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        _check_batch(len(pdf), max_batch_rows, pdf[batch].iloc[0])
         z = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
         labs = pdf[label].to_numpy() if label else None
         smp = pdf[sample].to_numpy() if sample else None
@@ -132,7 +141,8 @@ def supcon_loss(df: DataFrame, batch: str, vec: str, label: str | None = "label"
 
 
 def supcon_loss_masked(df: DataFrame, pairs: DataFrame, batch: str, key: str, vec: str,
-                       temperature: float = 0.07, base_temperature: float = 0.07) -> DataFrame:
+                       temperature: float = 0.07, base_temperature: float = 0.07,
+                       max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
     """V9 with a user mask: ``pairs`` holds ``(batch, anchor, positive)`` key
     pairs (may be asymmetric; self pairs are ignored) instead of labels.
 
@@ -144,6 +154,7 @@ def supcon_loss_masked(df: DataFrame, pairs: DataFrame, batch: str, key: str, ve
     def per_batch(rows: pd.DataFrame, mask: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame({batch: [], "loss": [], "anchors": []})
+        _check_batch(len(rows), max_batch_rows, rows[batch].iloc[0])
         rows = rows.sort_values(key)
         ids = rows[key].to_numpy()
         pos_of = {k: i for i, k in enumerate(ids)}
@@ -171,12 +182,13 @@ def supcon_loss_masked(df: DataFrame, pairs: DataFrame, batch: str, key: str, ve
 
 
 def gram_rows(df: DataFrame, batch: str, key: str, vec: str, scale: float = 1.0,
-              normalize: bool = False) -> DataFrame:
+              normalize: bool = False, max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
     """The Gram matrix of each mini-batch as one row per anchor:
     ``(batch, key, partners, sims)`` with ``sims[j] = z_key · z_partners[j] / scale``
     (partners in key order)."""
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        _check_batch(len(pdf), max_batch_rows, pdf[batch].iloc[0])
         pdf = pdf.sort_values(key)
         z = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
         if normalize:
@@ -213,10 +225,11 @@ def ntxent_batch(z: np.ndarray, labels: np.ndarray, scale: float = 0.1, temperat
 
 
 def ntxent_loss(df: DataFrame, batch: str, vec: str, label: str, scale: float = 0.1,
-                temperature: float = 0.07) -> DataFrame:
+                temperature: float = 0.07, max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
     """Archived NT-Xent variant per mini-batch → ``(batch, loss, pairs)``."""
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        _check_batch(len(pdf), max_batch_rows, pdf[batch].iloc[0])
         z = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
         labs = pdf[label].to_numpy()
         loss = ntxent_batch(z, labs, scale, temperature)

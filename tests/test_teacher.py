@@ -97,3 +97,10 @@ def test_embed_text_hashed(spark):
     assert emb[1] == emb[2]  # newline-flattened text embeds identically
     assert abs(sum(x * x for x in emb[3]) - 1.0) < 1e-12
     assert df.select(F.col("k")).count() == 3
+
+
+def test_embed_text_without_dedupe(spark):
+    df = spark.createDataFrame([(1, "a b\nc"), (2, "a b c")], "k int, t string")
+    a = {r.k: r.embedding for r in TE.embed_text(df, "t").collect()}
+    b = {r.k: r.embedding for r in TE.embed_text(df, "t", dedupe=False).collect()}
+    assert a == b

@@ -109,3 +109,10 @@ def test_user_mask_equals_label_mask(spark):
     assert masked == pytest.approx(labelled, abs=1e-12)
     with pytest.raises(ValueError):
         V.supcon_loss_masked(df, pairs.withColumn("label", pairs.anchor), "batch_id", "vec_id", "embedding")
+
+
+def test_unbounded_batch_is_refused(spark):
+    df = spark.createDataFrame([(0, i, 1, [1.0, float(i)]) for i in range(20)],
+                               "batch_id long, vec_id long, label int, embedding array<double>")
+    with pytest.raises(Exception, match="mini-batch"):
+        V.supcon_loss(df, "batch_id", "embedding", max_batch_rows=10).collect()
