@@ -194,7 +194,9 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
     src = df.select(*keep, prompt)
     schema = src.select(*keep, F.lit(None).cast("string").alias(out), F.lit(0).alias("attempts"),
                         F.lit(None).cast("string").alias("error")).schema
-    gidx = [keep.index(g) for g in group]
+    missing = [g for g in group if g not in keep]
+    if missing:
+        raise ValueError(f"group columns {missing} must be kept")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = teacher()
@@ -208,7 +210,7 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
             reply = [None] * n
             attempts = [0] * n
             error: list[str | None] = [None] * n
-            gkey = [tuple(pdf.iat[i, j] for j in gidx) for i in range(n)]
+            gkey = list(zip(*[pdf[g].tolist() for g in group]))
             pending = [i for i in range(n) if gkey[i] not in dead]
             while pending:
                 res = call(pdf[prompt].iloc[pending])
