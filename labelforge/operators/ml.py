@@ -45,8 +45,23 @@ def text_classifier(text: str = "Context", label: str = "Result", num_features:
 
 
 def train_text_classifier(train: DataFrame, text: str = "Context", label: str = "Result", **kw) -> PipelineModel:
-    """V6: fit the text pipeline (label must be numeric)."""
-    return text_classifier(text, label, **kw).fit(train.withColumn(label, F.col(label).cast("double")))
+    """V6: fit the text pipeline (label cast to double).
+
+    The stages are fitted one by one so the hashed term frequencies are
+    computed once and persisted (memory, spilling to disk) for both the IDF
+    pass and the iterative logistic regression, then released; the result
+    is the same ``PipelineModel`` a ``Pipeline.fit`` returns."""
+    from pyspark import StorageLevel
+
+    tok, tf, idf, lr = text_classifier(text, label, **kw).getStages()
+    feats = tf.transform(tok.transform(train.withColumn(label, F.col(label).cast("double"))))
+    feats = feats.select(label, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        idf_model = idf.fit(feats)
+        lr_model = lr.fit(idf_model.transform(feats))
+    finally:
+        feats.unpersist()
+    return PipelineModel(stages=[tok, tf, idf_model, lr_model])
 
 
 def with_features(df: DataFrame, vec: str, out: str = "_features") -> DataFrame:

@@ -206,7 +206,7 @@ def _doc_split(spark, sf_dir):
 @register("v6_train_text_classifier")
 def v6_train_text_classifier(spark, sf_dir):
     train, test = _doc_split(spark, sf_dir)
-    model = ML.train_text_classifier(train, "Context", "Result", num_features=1 << 16, max_iter=30)
+    model = ML.train_text_classifier(train, "Context", "Result", num_features=1 << 16, max_iter=20)
     preds = ML.score_model(model, test, ["doc_id"], label="Result")
     return M.split_metrics(preds, [], "label", "prediction")
 
@@ -214,7 +214,7 @@ def v6_train_text_classifier(spark, sf_dir):
 @register("v12_score_model")
 def v12_score_model(spark, sf_dir):
     train, test = _doc_split(spark, sf_dir)
-    model = ML.train_text_classifier(train, "Context", "Result", num_features=1 << 16, max_iter=30)
+    model = ML.train_text_classifier(train, "Context", "Result", num_features=1 << 16, max_iter=20)
     return ML.score_model(model, test, ["doc_id"], label="Result")
 
 
