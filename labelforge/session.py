@@ -64,6 +64,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``labelforge`` importable on the executors' Python workers.
+
+    UDFs and Arrow batch functions are pickled by reference to this package;
+    on a cluster the executors do not have the repository, so the package is
+    zipped once per driver process and registered with ``addPyFile`` (Spark
+    distributes it with the job).  Idempotent per SparkContext."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="labelforge-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "labelforge"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table (Parquet); projection and filters push into the scan."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
