@@ -320,3 +320,13 @@ SELECT study_id, model, explanation IS NULL OR trim(explanation) = '' AS blank F
 def p24_is_blank(spark, sf_dir):
     v = view(spark, sf_dir, "votes")
     return v.select("study_id", "model", T.is_blank("explanation").alias("blank"))
+
+
+@register("p17_extract_json_events", oracle([], """
+SELECT event_id, event_type, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k
+FROM events
+"""))
+def p17_extract_json_events(spark, sf_dir):
+    # the same field extraction over a driver column of JSON text
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", "event_type", E.extract_label_json("props", "k").alias("k"))

@@ -19,18 +19,21 @@ from pyspark.sql import types as T
 
 def start_labelling_stream(spark: SparkSession, inbox: str, schema: T.StructType, out: str, checkpoint: str,
                            label: Callable[[DataFrame], DataFrame], files_per_trigger: int = 10,
-                           fmt: str = "parquet"):
-    """Start the stream; returns the ``StreamingQuery`` (caller awaits it)."""
+                           fmt: str = "parquet", processing_time: str | None = None):
+    """Start the stream; returns the ``StreamingQuery`` (caller awaits it).
+
+    By default the inbox is drained and the query stops (``availableNow``,
+    the batch-run behaviour); ``processing_time="1 minute"`` keeps it running
+    and picks up new files as they land."""
     src = (spark.readStream.format(fmt).schema(schema)
            .option("maxFilesPerTrigger", files_per_trigger).load(inbox))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         label(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return (src.writeStream.foreachBatch(write_batch)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start())
+    w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    return w.start()
 
 
 def run_to_completion(spark: SparkSession, inbox: str, schema: T.StructType, out: str, checkpoint: str,
