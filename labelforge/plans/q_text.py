@@ -304,14 +304,24 @@ def p22_tag_column(spark, sf_dir):
     return view(spark, sf_dir, "reports").select("subject_id", "study_id").withColumn("model", F.lit("teacher_a"))
 
 
-@register("p23_run_metadata")
+@register("p23_run_metadata", oracle(["predictions"], """
+p AS (SELECT *, CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS prediction FROM predictions)
+SELECT true AS stamped, 'local/other-model' AS model_name, method,
+       count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+       count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+       20 AS num_epochs, CAST(4e-5 AS DOUBLE) AS learning_rate
+FROM p GROUP BY method
+"""))
 def p23_run_metadata(spark, sf_dir):
     from labelforge.operators.metrics import confusion, run_metadata
 
     p = view(spark, sf_dir, "predictions").withColumn(
         "prediction", F.when(F.col("logit1") > F.col("logit0"), 1).otherwise(0))
-    return run_metadata(confusion(p, "label", "prediction", ["method"]), model_name="local/other-model",
-                        num_epochs=20, learning_rate=4e-5)
+    m = run_metadata(confusion(p, "label", "prediction", ["method"]), model_name="local/other-model",
+                     num_epochs=20, learning_rate=4e-5)
+    # the run time differs per run: check its shape (ISO, UTC) rather than its value
+    stamped = F.col("run_timestamp_utc").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$")
+    return m.select(stamped.alias("stamped"), *[c for c in m.columns if c != "run_timestamp_utc"])
 
 
 @register("p24_is_blank", oracle(["votes"], """
