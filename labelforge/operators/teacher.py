@@ -427,6 +427,34 @@ def hashed_encoder(num_features: int = 64) -> Callable[[DataFrame, str, str], Da
     return encode
 
 
+def bucket_encoder(dim: int = 64) -> Callable[[DataFrame, str, str], DataFrame]:
+    """T7 offline encoder, JVM expressions only: lower-cased letter/digit
+    tokens are hashed to ``dim`` buckets by the first 32 bits of their md5,
+    counted, and L2-normalised → ``array<double>``.  Simple enough to restate
+    in SQL, so embeddings and everything built on them can be checked."""
+    from labelforge.operators.vectors import l2_normalize
+
+    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
+        toks = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+        idx = F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim)
+        # bucket counts from the sorted bucket ids: first and last position of
+        # each bucket (compiled array_position) instead of a per-token pass
+        # over all buckets
+        srt = "_buckets_sorted"
+        d = df.withColumn(srt, F.coalesce(F.array_sort(idx), F.array().cast("array<bigint>")))
+        n = F.size(srt)
+
+        def count(b):
+            first = F.array_position(srt, b)
+            last = n - F.array_position(F.reverse(srt), b) + 1
+            return F.when(first > 0, last - first + 1).otherwise(0).cast("double")
+
+        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<bigint>"), count)
+        return d.withColumn(out, l2_normalize(counts)).drop(srt)
+
+    return encode
+
+
 def batch_encoder(encoder_factory: Callable[[], Callable[[pd.Series], list]]) -> Callable[[DataFrame, str, str], DataFrame]:
     """T7 remote/local model encoder: a batch function ``texts -> vectors``
     opened once per partition (Arrow batches via ``mapInPandas``)."""
@@ -450,10 +478,11 @@ def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", d
     ``dedupe=True`` embeds each distinct text once and joins the vectors back
     (the reference embeds the same context in each of 3 passes) — worth two
     text shuffles when the encoder is a paid or slow model; with the cheap
-    JVM hashing encoder ``dedupe=False`` embeds in place without a shuffle."""
+    JVM encoders (``bucket_encoder`` — the default —, ``hashed_encoder``)
+    ``dedupe=False`` embeds in place without a shuffle."""
     from labelforge.functions.text import flatten_newlines
 
-    encoder = encoder or hashed_encoder()
+    encoder = encoder or bucket_encoder()
     if not dedupe:
         return encoder(df.withColumn("_flat", flatten_newlines(text)), "_flat", out).drop("_flat")
     distinct = df.select(flatten_newlines(text).alias("_flat")).distinct()

@@ -31,10 +31,13 @@ def _c(x: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str, eps: float = 1e-12) -> Column:
-    """V5: ``v / max(||v||, eps)`` element-wise (JVM higher-order functions)."""
+    """V5: ``v / max(||v||, eps)`` element-wise (JVM higher-order functions).
+
+    The sum of squares is one ``aggregate`` whose finish function divides, so
+    the norm is computed once per row, not once per element."""
     v = _c(v)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(eps)))
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+                       lambda ss: F.transform(v, lambda x: x.cast("double") / F.greatest(F.sqrt(ss), F.lit(eps))))
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:

@@ -228,20 +228,71 @@ def t6_embedding_confidence(spark, sf_dir):
     return j.select("vec_id", F.round(TE.embedding_confidence("embedding", "other"), 6).alias("confidence"))
 
 
-@register("t7_embed_text")
+def _emb_sql(text: str) -> str:
+    """DuckDB restatement of ``bucket_encoder(64)`` over a text expression."""
+    toks = rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    idx = f"list_transform({toks}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64)"
+    counts = f"list_transform(range(0, 64), lambda i: CAST(len(list_filter({idx}, lambda x: x = i)) AS DOUBLE))"
+    return counts
+
+
+def _unit_sql(counts: str) -> str:
+    return (f"list_transform({counts}, lambda c: c / greatest(sqrt(list_reduce(list_transform({counts}, "
+            f"lambda y: y * y), lambda a, b: a + b)), 1e-12))")
+
+
+@register("t7_embed_text", oracle(["reports"], _SENT_CTE + f""",
+ce AS (SELECT subject_id, study_id, sentence_index, {_emb_sql("replace(sentence, chr(10), ' ')")} AS counts FROM se)
+SELECT subject_id, study_id, sentence_index, {_unit_sql("counts")} AS embedding FROM ce
+"""))
 def t7_embed_text(spark, sf_dir):
     s = sentences(spark, sf_dir)
     return TE.embed_text(s, "sentence").select(*SENT_KEYS, "embedding")
 
 
-@register("c2_consensus_from_teachers")
+_C2_CHAIN_SQL = _SENT_CTE + f""",
+pt AS (SELECT 1 AS pass, 0 AS shift, 1 AS gate UNION ALL SELECT 2, 1, 3 UNION ALL SELECT 3, 2, 2),
+lb AS (SELECT sn.*, pt.pass, pt.shift,
+              {_lab('n + CASE WHEN n % gate = 0 THEN shift ELSE 0 END', TE.SENTENCE_LABELS)} AS lab
+       FROM sn CROSS JOIN pt),
+ex AS (SELECT subject_id, study_id, sentence_index, pass, lab,
+              {_emb_sql("replace(sentence, chr(10), ' ')")} AS cc,
+              {_emb_sql("replace(lab || ' by rule ' || cast(shift AS VARCHAR) || ': ' || cast(n AS VARCHAR) || ' characters', chr(10), ' ')")} AS ec
+       FROM lb),
+un AS (SELECT subject_id, study_id, sentence_index, pass, lab, {_unit_sql("cc")} AS cu, {_unit_sql("ec")} AS eu FROM ex),
+sc AS (SELECT subject_id, study_id, sentence_index, pass, lab AS r,
+              (list_reduce(list_transform(list_zip(cu, eu), lambda p: p[1] * p[2]), lambda a, b: a + b) + 1) / 2 AS s
+       FROM un),
+pv AS (SELECT a.subject_id, a.study_id, a.sentence_index, a.r AS r1, b.r AS r2, c.r AS r3, a.s AS s1, b.s AS s2, c.s AS s3
+       FROM sc a JOIN sc b ON a.subject_id = b.subject_id AND a.study_id = b.study_id AND a.sentence_index = b.sentence_index
+                 JOIN sc c ON a.subject_id = c.subject_id AND a.study_id = c.study_id AND a.sentence_index = c.sentence_index
+       WHERE a.pass = 1 AND b.pass = 2 AND c.pass = 3),
+dec AS (SELECT *,
+          CASE WHEN r1 = r2 AND r2 = r3 THEN 'same'
+               WHEN r1 <> r2 AND r1 <> r3 AND r2 <> r3 THEN 'alldiff' ELSE 'two' END AS kind,
+          CASE WHEN r1 = r2 THEN r1 WHEN r1 = r3 THEN r1 ELSE r2 END AS maj_label,
+          CASE WHEN r1 = r2 THEN (s1 + s2) / 2 WHEN r1 = r3 THEN (s1 + s3) / 2 ELSE (s2 + s3) / 2 END AS maj_score,
+          CASE WHEN r1 = r2 THEN s3 WHEN r1 = r3 THEN s2 ELSE s1 END AS min_score
+        FROM pv)
+SELECT subject_id, study_id, sentence_index, r1 AS Result, round((s1 + s2 + s3) / 3, 9) AS confidence
+FROM dec WHERE kind = 'same'
+UNION ALL
+SELECT subject_id, study_id, sentence_index, maj_label AS Result, round(maj_score, 9) AS confidence
+FROM dec WHERE kind = 'two' AND maj_score > min_score
+"""
+
+
+@register("c2_consensus_from_teachers", oracle(["reports"], _C2_CHAIN_SQL))
 def c2_consensus_from_teachers(spark, sf_dir):
     """T2 votes → T7 embeddings of context and explanation → T6 confidence → C2."""
     teachers = [TE.rule_teacher(shift, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0, gate=gate)
                 for shift, gate in PASS_TEACHERS]
     votes = TE.label_sentences(sentences(spark, sf_dir), teachers, SENT_KEYS, passes=3)
+    # the three passes share each context, and explanations repeat: embed distinct texts once
     ctx = TE.embed_text(votes, "Context", out="ctx_emb")
     both = TE.embed_text(ctx, "Explanation", out="exp_emb")
-    scored = both.select(*SENT_KEYS, "pass", "Result",
-                         TE.embedding_confidence("ctx_emb", "exp_emb").alias("confidence"))
-    return C.sentence_consensus(scored, keys=SENT_KEYS)
+    scored = TE.materialize(both.select(*SENT_KEYS, "pass", "Result",
+                                        TE.embedding_confidence("ctx_emb", "exp_emb").alias("confidence")),
+                            "sentence_votes_scored")
+    out = C.sentence_consensus(scored, keys=SENT_KEYS)
+    return out.withColumn("confidence", F.round("confidence", 9))
