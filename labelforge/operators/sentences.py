@@ -70,3 +70,35 @@ def cap_work(df: DataFrame, max_files: int | None = None, max_rows_per_file: int
         first = df.select(file_col).distinct().orderBy(file_col).limit(max_files)
         out = out.join(F.broadcast(first), file_col, "left_semi")
     return out
+
+
+def top_k(df: DataFrame, order: list[str], k: int, small_k: int = 1000, oversample: float = 3.0,
+          seed: int = 17) -> DataFrame:
+    """The first ``k`` rows in ``order`` (ascending, NULLs first), exact.
+
+    ``orderBy(order).limit(k)`` keeps ``k`` rows per task and merges them in
+    one task — fine for a small ``k``, but partitions × ``k`` rows for a large
+    ``k`` on a wide table.  For ``k > small_k`` a threshold key is read from a
+    sample of about ``oversample × k × 20`` keys (bounded, sorted on the
+    driver), checked with one count, and only rows at or below it go through
+    the final exact ``orderBy().limit(k)``; an unlucky sample widens the
+    threshold (doubling), so the answer is always exact.
+    """
+    if k <= small_k:
+        return df.orderBy(*order).limit(k)
+    key = F.struct(*[F.col(c) for c in order])
+    total = df.count()
+    if total <= k:
+        return df.orderBy(*order)
+    frac = min(1.0, 20.0 * oversample * k / total)
+    sample = sorted((tuple(r) for r in df.select(*order).sample(fraction=frac, seed=seed).collect()),
+                    key=lambda t: tuple((v is not None, v) for v in t))
+    pos = int(oversample * k * frac) if frac < 1.0 else k - 1
+    while pos < len(sample):
+        t = sample[pos]
+        bound = F.struct(*[F.lit(v).cast(df.schema[c].dataType) for v, c in zip(t, order)])
+        cand = df.where(key <= bound)
+        if cand.count() >= k:
+            return cand.orderBy(*order).limit(k)
+        pos = pos * 2 + 1
+    return df.orderBy(*order).limit(k)

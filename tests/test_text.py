@@ -115,3 +115,22 @@ def test_encodings(spark):
     names = spark.createDataFrame([("zzxslp/RadBERT-RoBERTa-4m",), ("other/x",)], "n string")
     got = names.select(E.short_model_name("n"), E.clean_name("n")).collect()
     assert [tuple(r) for r in got] == [("RadBERT-4m-document", "zzxslp_RadBERT-RoBERTa-4m"), ("other/x", "other_x")]
+
+
+def test_top_k_exact_for_large_k(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"p{rnd.randint(0, 50):03d}", f"s{i:06d}", i) for i in range(20000)]
+    df = spark.createDataFrame(rows, "a string, b string, x long").repartition(16)
+    for k in (5, 1500, 7000, 19999, 25000):
+        got = [tuple(r) for r in S.top_k(df, ["a", "b"], k, small_k=1000).collect()]
+        assert got == sorted(rows)[:k], k
+
+
+def test_top_k_with_nulls(spark):
+    rows = [(None if i % 7 == 0 else f"a{i % 13:02d}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a string, x long").repartition(8)
+    want = sorted(rows, key=lambda t: ((t[0] is not None, t[0]), t[1]))[:2500]
+    got = [tuple(r) for r in S.top_k(df, ["a", "x"], 2500, small_k=100).collect()]
+    assert got == want
