@@ -109,3 +109,20 @@ def test_stream_resume_only_new_files(spark):
     second = run_to_completion(spark, inbox, schema, out, ckpt, files.parse_reports, files_per_trigger=1)
     got = sorted((r.study_id, r.impression) for r in second.collect())
     assert got == [("s1", "b"), ("s2", "c")]  # the first file was not processed again
+
+
+def test_resume_with_dead_letters(spark):
+    root = tempfile.mkdtemp(prefix="lf-dead-")
+    units = spark.createDataFrame([(f"f{i % 4}", i) for i in range(20)], "folder string, x long")
+    # folder f3 always fails: its rows go to the dead-letter table, the rest are committed
+    label = lambda d: d.withColumn("error", F.when(F.col("folder") == "f3", F.lit("boom")))
+    I.resume_labelling(spark, units, "folder", root, label, error_col="error")
+    processed, dead = I.load_state(spark, root)
+    assert sorted(r.unit for r in processed.collect()) == ["f0", "f1", "f2"]
+    assert [(r.unit, r.error) for r in dead.collect()] == [("f3", "boom")]
+    # the trouble list is reloaded and extended, not used to skip: f3 is tried again
+    I.resume_labelling(spark, units, "folder", root, label, error_col="error")
+    _, dead2 = I.load_state(spark, root)
+    assert dead2.count() == 2
+    got = sorted(r.x for r in I.committed_results(spark, root, "folder").collect())
+    assert got == sorted(i for i in range(20) if i % 4 != 3)
