@@ -166,3 +166,18 @@ def test_check_alignment_raises(spark):
     C.check_alignment(ok)
     with pytest.raises(ValueError):
         C.check_alignment(ok.where("pass <> 2"))
+
+
+def test_budget_five_sample_files_do_not_align(spark):
+    # fixed values: the reference's budget-5 run wrote one pass-1 record and two
+    # empty pass files; merging them must refuse (unequal vote lists) and the
+    # key-aligned consensus keeps nothing
+    import pytest
+
+    rec = ("train-00000-of-00002.parquet", 0, 0, 1, "No", 238.3225100357622)
+    df = spark.createDataFrame([rec], "parquet_file string, row_index long, sentence_index int, pass int, "
+                                      "Result string, confidence double")
+    with pytest.raises(ValueError):
+        C.check_alignment(df)
+    assert C.sentence_consensus(df).count() == 0
+    assert C.consensus_audit(df).first().total == 0
