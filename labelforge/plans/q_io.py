@@ -239,10 +239,15 @@ def s18_write_predictions(spark, sf_dir):
 
 
 @register("s20_describe_source", oracle([], """
-SELECT ordinal_position - 1 AS position, column_name AS name,
-       CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'
-                      WHEN 'DOUBLE' THEN 'double' ELSE lower(data_type) END AS type, true AS nullable
-FROM information_schema.columns WHERE table_name = 'documents'
+c AS (SELECT count(*) AS n, count(doc_id) AS c0, count(text) AS c1, count(lang) AS c2, count(source) AS c3,
+             count(n_chars) AS c4 FROM documents),
+s AS (SELECT ordinal_position - 1 AS position, column_name AS name,
+             CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'
+                            WHEN 'DOUBLE' THEN 'double' ELSE lower(data_type) END AS type, true AS nullable
+      FROM information_schema.columns WHERE table_name = 'documents')
+SELECT s.position, s.name, s.type, s.nullable, c.n AS rows,
+       CASE s.position WHEN 0 THEN c.c0 WHEN 1 THEN c.c1 WHEN 2 THEN c.c2 WHEN 3 THEN c.c3 ELSE c.c4 END AS non_null
+FROM s CROSS JOIN c
 """))
 def s20_describe_source(spark, sf_dir):
     return files.describe_source(table(spark, sf_dir, "documents"))

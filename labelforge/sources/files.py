@@ -114,12 +114,25 @@ def read_metrics_glob(spark: SparkSession, pattern: str, schema: T.StructType |
     return spark.read.option("header", True).schema(schema).csv(pattern)
 
 
-def describe_source(df: DataFrame) -> DataFrame:
-    """``(position, name, type, nullable)`` of a DataFrame's schema.
+def describe_source(df: DataFrame, with_counts: bool = True) -> DataFrame:
+    """``(position, name, type, nullable[, rows, non_null])`` per column.
 
-    The schema is metadata (one row per column), not data, so building it on
-    the driver is bounded by the column count."""
+    The schema part is metadata; with ``with_counts`` one aggregation pass
+    counts rows and non-NULL values of every column (partial aggregation, one
+    row out) and ``stack`` turns that row into one row per column — nothing
+    but the schema is built on the driver."""
     fields = df.schema.fields
-    spark = df.sparkSession
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)]
-    return spark.createDataFrame(rows, "position int, name string, type string, nullable boolean")
+    if not with_counts:
+        rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)]
+        return df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean")
+    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(F.col(f"`{f.name}`")).alias(f"_nn{i}")
+                                                 for i, f in enumerate(fields)]
+    one = df.agg(*aggs)
+
+    def lit(v) -> str:
+        return "'" + str(v).replace("'", "''") + "'"
+
+    parts = ", ".join(f"{i}, {lit(f.name)}, {lit(f.dataType.simpleString())}, {str(f.nullable).lower()}, _nn{i}"
+                      for i, f in enumerate(fields))
+    stacked = one.select("_rows", F.expr(f"stack({len(fields)}, {parts}) AS (position, name, type, nullable, non_null)"))
+    return stacked.select("position", "name", "type", "nullable", F.col("_rows").alias("rows"), "non_null")
