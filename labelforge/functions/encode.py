@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,9 +48,10 @@ def extract_label_json(raw: Column | str, field: str) -> Column:
     return F.get_json_object(_c(raw), f"$.{field}")
 
 
-def parse_json_strict(raw: Column | str, schema: str = "label string, explanation string") -> Column:
-    """Struct ``(ok, value)``: ``ok`` only for one complete JSON object
-    (Spark's parser alone accepts trailing text; the anchor rejects it)."""
+def parse_json_strict_jvm(raw: Column | str, schema: str = "label string, explanation string") -> Column:
+    """P18, JVM approximation: struct ``(ok, value)``; ``ok`` for text shaped
+    like one object that ``from_json`` parses.  Differs from ``json.loads``
+    on two concatenated objects (accepted here)."""
     raw = _c(raw)
     parsed = F.from_json(raw, f"{schema}, _corrupt_record string",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
@@ -59,6 +61,51 @@ def parse_json_strict(raw: Column | str, schema: str = "label string, explanatio
                     F.when(ok, parsed.dropFields("_corrupt_record")).alias("value"))
 
 
+def _as_text(v):
+    import json
+
+    if v is None or isinstance(v, str):
+        return v
+    return json.dumps(v, separators=(",", ":"))
+
+
+_STRICT_UDFS: dict = {}
+
+
+def parse_json_strict(raw: Column | str, fields: tuple[str, ...] = ("label", "explanation")) -> Column:
+    """Struct ``(ok, value)`` with exactly ``json.loads`` semantics: ``ok``
+    only when the whole text is one JSON object (trailing data, single quotes,
+    truncation and non-objects fail); ``value`` holds the named fields as text.
+
+    A small Arrow-batched helper — no built-in parser rejects trailing data
+    the way the reference's parser does; replies are short, so the cost is a
+    ``json.loads`` per reply."""
+    key = tuple(fields)
+    if key not in _STRICT_UDFS:
+        names = list(fields)
+
+        def parse(texts: pd.Series) -> pd.DataFrame:
+            import json
+
+            rows = []
+            for t in texts:
+                try:
+                    v = json.loads(t) if t is not None else None
+                except (ValueError, TypeError):
+                    v = None
+                if isinstance(v, dict):
+                    rows.append([True] + [_as_text(v.get(n)) for n in names])
+                else:
+                    rows.append([False] + [None] * len(names))
+            return pd.DataFrame(rows, columns=["ok", *names])
+
+        schema = "ok boolean, " + ", ".join(f"`{n}` string" for n in names)
+        _STRICT_UDFS[key] = F.pandas_udf(parse, schema)
+    out = _STRICT_UDFS[key](_c(raw))
+    value = F.struct(*[out[n].alias(n) for n in fields])
+    return F.struct(out["ok"].alias("ok"), F.when(out["ok"], value).alias("value"))
+
+
 def first_text_part(parts: Column | str) -> Column:
     """Text of the first ``type='text'`` part with non-NULL text, else ``""``."""
     hits = F.filter(_c(parts), lambda p: (p["type"] == "text") & p["text"].isNotNull())
