@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.functions.encode import extract_label_json
+from labelforge.functions.encode import extract_label_json, parse_json_strict
 from labelforge.functions.text import context_sql, doc_prompt, is_blank, sentence_prompt
 from labelforge.session import checkpoint_root, scratch_path
 
@@ -178,19 +178,31 @@ def label_sentences(sentences: DataFrame, teacher: TeacherFactory | list[Teacher
     else:
         fan = with_passes(base, passes)
         raw = call_teacher(fan, "prompt", teacher, [*keys, "pass", "Context"], partitions=partitions)
-    return raw.select(*keys, "pass", extract_label_json("raw_ai_output", "Result").alias("Result"),
-                      extract_label_json("raw_ai_output", "Explanation").alias("Explanation"), "Context",
-                      "raw_ai_output")
+    # the sentence path parses replies as strict JSON (one object, nothing after it)
+    parsed = raw.withColumn("_p", parse_json_strict("raw_ai_output", ("Result", "Explanation")))
+    return parsed.select(*keys, "pass", F.col("_p.value.Result").alias("Result"),
+                         F.col("_p.value.Explanation").alias("Explanation"), "Context", "raw_ai_output")
+
+
+def strict_json_object(text) -> bool:
+    """Reply validator: the whole reply is one JSON object (``json.loads``)."""
+    try:
+        return isinstance(json.loads(text), dict)
+    except (ValueError, TypeError):
+        return False
 
 
 def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: list[str], group: list[str],
-                    max_errors: int = 50, out: str = "raw_ai_output") -> DataFrame:
+                    max_errors: int = 50, out: str = "raw_ai_output",
+                    validate: Callable[[str], bool] | None = None) -> DataFrame:
     """Calls with retries inside the task.
 
-    Failed calls are re-sent (only the failed rows) until they succeed or the
-    error count shared by all rows of the same ``group`` (the passes of one
-    sentence) exceeds ``max_errors``; those rows come back with ``error`` set.
-    Output adds ``attempts`` and ``error`` (NULL on success)."""
+    Failed calls — an exception, or a reply ``validate`` rejects (e.g.
+    ``strict_json_object``: the reference retries replies it cannot parse) —
+    are re-sent (only the failed rows) until they succeed or the error count
+    shared by all rows of the same ``group`` (the passes of one sentence)
+    exceeds ``max_errors``; those rows come back with ``error`` set.  Output
+    adds ``attempts`` and ``error`` (NULL on success)."""
     src = df.select(*keep, prompt)
     schema = src.select(*keep, F.lit(None).cast("string").alias(out), F.lit(0).alias("attempts"),
                         F.lit(None).cast("string").alias("error")).schema
@@ -218,6 +230,8 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
                 for i, r in zip(pending, res):
                     attempts[i] += 1
                     g = gkey[i]
+                    if not isinstance(r, BaseException) and validate is not None and not validate(r):
+                        r = ValueError("reply is not one JSON object")
                     if isinstance(r, BaseException):
                         errors[g] = errors.get(g, 0) + 1
                         if errors[g] > max_errors and g not in dead:

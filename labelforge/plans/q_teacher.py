@@ -146,7 +146,8 @@ def _retry_results(spark, sf_dir):
     fan = TE.with_passes(sentences(spark, sf_dir), 3).select(
         *SENT_KEYS, "pass", T.sentence_prompt("sentence").alias("prompt"))
     teacher = TE.scripted_failures(TE.rule_teacher(0, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0))
-    res = TE.call_with_retry(fan, "prompt", teacher, [*SENT_KEYS, "pass"], SENT_KEYS, max_errors=50)
+    res = TE.call_with_retry(fan, "prompt", teacher, [*SENT_KEYS, "pass"], SENT_KEYS, max_errors=50,
+                             validate=TE.strict_json_object)
     # calls are made once: the skip-rest step reads the results twice
     return TE.materialize(res.withColumn("Result", F.get_json_object("raw_ai_output", "$.Result")), "retry_results")
 

@@ -104,3 +104,25 @@ def test_embed_text_without_dedupe(spark):
     a = {r.k: r.embedding for r in TE.embed_text(df, "t").collect()}
     b = {r.k: r.embedding for r in TE.embed_text(df, "t", dedupe=False).collect()}
     assert a == b
+
+
+def test_invalid_replies_are_retried(spark):
+    import pandas as pd
+
+    def flaky():
+        seen = {}
+
+        def call(prompts):
+            out = []
+            for p in prompts:
+                seen[p] = seen.get(p, 0) + 1
+                # first reply has trailing text (json.loads fails), the second is clean
+                out.append('{"Result": "No"} extra' if seen[p] == 1 else '{"Result": "No", "Explanation": "e"}')
+            return pd.Series(out, index=prompts.index, dtype=object)
+
+        return call
+
+    df = spark.createDataFrame([("r", 0, "p0")], "rep string, sentence_index int, prompt string")
+    res = TE.call_with_retry(df, "prompt", flaky, ["rep", "sentence_index"], ["rep", "sentence_index"],
+                             validate=TE.strict_json_object).first()
+    assert res.attempts == 2 and res.error is None and res.raw_ai_output.endswith('"e"}')
