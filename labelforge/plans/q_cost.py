@@ -8,6 +8,7 @@ from labelforge.functions import text as T
 from labelforge.operators import cost as K
 from labelforge.operators import sentences as S
 from labelforge.plans.q_text import _PERIOD_LIST, lit, strip_sql
+from labelforge.plans import settings as ST
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
 from labelforge.sources.fixtures import view
@@ -96,7 +97,7 @@ first200 AS (SELECT * FROM ss ORDER BY h, study_id, i LIMIT 200)"""
 SELECT subject_id, study_id FROM reports ORDER BY md5('42' || study_id), study_id LIMIT 200
 """))
 def o5_sample_reports(spark, sf_dir):
-    return K.sample_reports(view(spark, sf_dir, "reports"), 200, 42, ["study_id"]).select(*KEYS)
+    return K.sample_reports(view(spark, sf_dir, "reports"), ST.COST_SAMPLE_SIZE, ST.COST_SAMPLE_SEED, ["study_id"]).select(*KEYS)
 
 
 @register("k3_sampled_token_estimate", oracle(["reports"], _SAMPLE_SQL + f""",
@@ -128,13 +129,13 @@ def o1_order_reports(spark, sf_dir):
     return view(spark, sf_dir, "reports").select(*KEYS, "findings", "impression").orderBy(*KEYS)
 
 
-@register("o2_test_slice", oracle(["reports"], """
-SELECT subject_id, study_id, findings, impression FROM reports ORDER BY subject_id, study_id LIMIT 5217
+@register("o2_test_slice", oracle(["reports"], f"""
+SELECT subject_id, study_id, findings, impression FROM reports ORDER BY subject_id, study_id LIMIT {ST.TEST_SLICE_ROWS}
 """))
 def o2_test_slice(spark, sf_dir):
     # the reference's test split: first 5,217 reports of the sorted partition
     r = view(spark, sf_dir, "reports").select(*KEYS, "findings", "impression")
-    return S.top_k(r, KEYS, 5217)
+    return S.top_k(r, KEYS, ST.TEST_SLICE_ROWS)
 
 
 @register("o3_preview", oracle(["votes"], """
@@ -145,18 +146,18 @@ def o3_preview(spark, sf_dir):
     return v.orderBy(*KEYS, "model").limit(10)
 
 
-@register("o4_prefix_subset", oracle(["reports"], """
-SELECT study_id, findings FROM reports ORDER BY subject_id, study_id LIMIT 2000
+@register("o4_prefix_subset", oracle(["reports"], f"""
+SELECT study_id, findings FROM reports ORDER BY subject_id, study_id LIMIT {ST.PREFIX_SUBSET_ROWS}
 """))
 def o4_prefix_subset(spark, sf_dir):
     # the same first 2,000 rows for every model: explicit key order
     r = view(spark, sf_dir, "reports")
-    return S.top_k(r, KEYS, 2000).select("study_id", "findings")
+    return S.top_k(r, KEYS, ST.PREFIX_SUBSET_ROWS).select("study_id", "findings")
 
 
-@register("o6_cap_folders", oracle(["reports_raw"], r"""
+@register("o6_cap_folders", oracle(["reports_raw"], rf"""
 f AS (SELECT path, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS folder FROM reports_raw),
-keep AS (SELECT DISTINCT folder FROM f ORDER BY folder LIMIT 700)
+keep AS (SELECT DISTINCT folder FROM f ORDER BY folder LIMIT {ST.TEST_FOLDER_CAP})
 SELECT path, folder FROM f WHERE folder IN (SELECT folder FROM keep)
 """))
 def o6_cap_folders(spark, sf_dir):
@@ -165,7 +166,7 @@ def o6_cap_folders(spark, sf_dir):
     raw = view(spark, sf_dir, "reports_raw").select(
         "path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"))
     # the reference caps a test-set run at 700 folders
-    return cap_folders(raw, "folder", 700)
+    return cap_folders(raw, "folder", ST.TEST_FOLDER_CAP)
 
 
 @register("a8_corpus_totals", oracle(["reports"], f"""

@@ -10,6 +10,7 @@ from labelforge.operators import sentences as S
 from labelforge.operators import teacher as TE
 from labelforge.plans.q_consensus import _CONSENSUS_CTES
 from labelforge.plans.q_text import _PERIOD_LIST, lit
+from labelforge.plans import settings as ST
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
 from labelforge.sources.fixtures import view
@@ -146,7 +147,7 @@ def _retry_results(spark, sf_dir):
     fan = TE.with_passes(sentences(spark, sf_dir), 3).select(
         *SENT_KEYS, "pass", T.sentence_prompt("sentence").alias("prompt"))
     teacher = TE.scripted_failures(TE.rule_teacher(0, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0))
-    res = TE.call_with_retry(fan, "prompt", teacher, [*SENT_KEYS, "pass"], SENT_KEYS, max_errors=50,
+    res = TE.call_with_retry(fan, "prompt", teacher, [*SENT_KEYS, "pass"], SENT_KEYS, max_errors=ST.MAX_ERRORS_PER_SENTENCE,
                              validate=TE.strict_json_object)
     # calls are made once: the skip-rest step reads the results twice
     return TE.materialize(res.withColumn("Result", F.get_json_object("raw_ai_output", "$.Result")), "retry_results")
@@ -198,11 +199,11 @@ def w3_budget_running_total(spark, sf_dir):
 
 
 @register("t4_api_budget", oracle(["reports"], _PLAN_CTE + """
-SELECT subject_id, study_id, sentence_index, pass, cum_calls FROM pl WHERE cum_calls <= 5
-"""))
+SELECT subject_id, study_id, sentence_index, pass, cum_calls FROM pl WHERE cum_calls <= {ST.SMALL_RUN_CALL_BUDGET}
+""".format(ST=ST)))
 def t4_api_budget(spark, sf_dir):
     # the reference's debugging budget: 5 calls → one complete pass-1 record
-    kept = TE.api_budget(_plan(spark, sf_dir), [*SENT_KEYS, "pass"], budget=5)
+    kept = TE.api_budget(_plan(spark, sf_dir), [*SENT_KEYS, "pass"], budget=ST.SMALL_RUN_CALL_BUDGET)
     return kept.select(*SENT_KEYS, "pass", "cum_calls")
 
 

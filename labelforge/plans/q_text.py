@@ -9,6 +9,7 @@ from labelforge.functions import text as T
 from labelforge.operators import consensus as C
 from labelforge.operators import sentences as S
 from labelforge.plans.q_consensus import _CONSENSUS_CTES
+from labelforge.plans import settings as ST
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
 from labelforge.sources import files
@@ -161,7 +162,7 @@ def p12_split_punct(spark, sf_dir):
 l AS (SELECT 'shard-' || cast(doc_id % 3 AS string) || '.parquet' AS parquet_file, doc_id AS row_index,
              {_PERIOD_LIST} AS s FROM reports),
 e AS (SELECT parquet_file, row_index, unnest(range(0, len(s))) AS sentence_index, unnest(s) AS sentence FROM l)
-SELECT * FROM e WHERE row_index < 5 AND sentence_index < 3
+SELECT * FROM e WHERE row_index < {ST.SMALL_RUN_MAX_ROWS_PER_FILE} AND sentence_index < {ST.SMALL_RUN_MAX_SENTENCES}
   AND parquet_file = (SELECT min(parquet_file) FROM e)
 """))
 def p13_cap_work(spark, sf_dir):
@@ -169,7 +170,9 @@ def p13_cap_work(spark, sf_dir):
     r = view(spark, sf_dir, "reports").select(
         F.concat(F.lit("shard-"), (F.col("doc_id") % 3).cast("string"), F.lit(".parquet")).alias("parquet_file"),
         F.col("doc_id").alias("row_index"), T.context_period("findings", "impression").alias("text"))
-    return S.cap_work(S.split_sentences(r, "text", "period"), max_files=1, max_rows_per_file=5, max_sentences=3)
+    return S.cap_work(S.split_sentences(r, "text", "period"), max_files=ST.SMALL_RUN_MAX_FILES,
+                       max_rows_per_file=ST.SMALL_RUN_MAX_ROWS_PER_FILE,
+                       max_sentences=ST.SMALL_RUN_MAX_SENTENCES)
 
 
 @register("w4_provenance_index", oracle([], f"""
@@ -263,9 +266,10 @@ def p19_first_text_part(spark, sf_dir):
 
 # ------------------------------------------------------------- names, tags
 
-_MODEL_NAMES_SQL = """CASE doc_id % 5 WHEN 0 THEN 'zzxslp/RadBERT-RoBERTa-4m' WHEN 1 THEN 'emilyalsentzer/Bio_ClinicalBERT'
-                       WHEN 2 THEN 'microsoft/deberta-v3-base' WHEN 3 THEN 'local/other-model'
-                       ELSE 'zzxslp/RadBERT-RoBERTa-4m' END"""
+_M0, _M1, _M2 = ST.MODEL_NAMES
+_MODEL_NAMES_SQL = f"""CASE doc_id % 5 WHEN 0 THEN '{_M0}' WHEN 1 THEN '{_M1}'
+                       WHEN 2 THEN '{_M2}' WHEN 3 THEN 'local/other-model'
+                       ELSE '{_M0}' END"""
 
 
 def model_name_col():
@@ -318,7 +322,7 @@ def p23_run_metadata(spark, sf_dir):
     p = view(spark, sf_dir, "predictions").withColumn(
         "prediction", F.when(F.col("logit1") > F.col("logit0"), 1).otherwise(0))
     m = run_metadata(confusion(p, "label", "prediction", ["method"]), model_name="local/other-model",
-                     num_epochs=20, learning_rate=4e-5)
+                     num_epochs=ST.NUM_EPOCHS, learning_rate=ST.LEARNING_RATE)
     # the run time differs per run: check its shape (ISO, UTC) rather than its value
     stamped = F.col("run_timestamp_utc").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$")
     return m.select(stamped.alias("stamped"), *[c for c in m.columns if c != "run_timestamp_utc"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelforge.operators import metrics as M
 from labelforge.operators import ml as ML
 from labelforge.operators import vectors as V
+from labelforge.plans import settings as ST
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
 from labelforge.sources.fixtures import view
@@ -28,7 +29,7 @@ FROM t
 """))
 def v1_token_budget(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", ML.token_budget("text", 120).alias("b")).select("doc_id", "b.*")
+    return d.select("doc_id", ML.token_budget("text", ST.MAX_TOKENS).alias("b")).select("doc_id", "b.*")
 
 
 @register("v1_truncation_report", oracle([], r"""
@@ -37,7 +38,7 @@ SELECT texts, truncated, truncated / texts AS truncated_share
 FROM (SELECT count(*) AS texts, count(*) FILTER (WHERE n > 120) AS truncated FROM t)
 """))
 def v1_truncation_report(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(ML.token_budget("text", 120).alias("b"))
+    d = table(spark, sf_dir, "documents").select(ML.token_budget("text", ST.MAX_TOKENS).alias("b"))
     g = d.agg(F.count(F.lit(1)).alias("texts"), F.count_if("b.truncated").alias("truncated"))
     return g.select("texts", "truncated", (F.col("truncated") / F.col("texts")).alias("truncated_share"))
 
@@ -182,7 +183,7 @@ SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS batch_id FROM
 """))
 def v11_assign_batches(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id")
-    return V.assign_batches(e, 32, ["vec_id"], "ordered")
+    return V.assign_batches(e, ST.BATCH_SIZE, ["vec_id"], "ordered")
 
 
 @register("v11_assign_batches_shuffled", oracle([], """
@@ -191,7 +192,7 @@ FROM embeddings
 """))
 def v11_assign_batches_shuffled(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id")
-    return V.assign_batches(e, 32, ["vec_id"], "shuffled", seed=42)
+    return V.assign_batches(e, ST.BATCH_SIZE, ["vec_id"], "shuffled", seed=ST.COST_SAMPLE_SEED)
 
 
 # --------------------------------------------------------------------- ML
