@@ -91,12 +91,21 @@ def scripted_failures(base: TeacherFactory, permanent_mod: int = 13, transient_m
 
 # ---------------------------------------------------------------- calling
 
+def _chunked(call: Teacher, prompts: pd.Series, size: int | None) -> pd.Series:
+    """Send an Arrow batch to the teacher in requests of at most ``size`` prompts."""
+    if not size or len(prompts) <= size:
+        return call(prompts)
+    return pd.concat([call(prompts.iloc[i:i + size]) for i in range(0, len(prompts), size)])
+
+
 def call_teacher(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: list[str],
-                 out: str = "raw_ai_output", partitions: int | None = None) -> DataFrame:
+                 out: str = "raw_ai_output", partitions: int | None = None,
+                 request_batch: int | None = None) -> DataFrame:
     """T1 core: one teacher call per row, batched per Arrow batch.
 
     ``partitions`` sets the concurrency against the endpoint (a round-robin
-    repartition; the teacher client is opened once per partition)."""
+    repartition; the teacher client is opened once per partition);
+    ``request_batch`` caps the prompts per request (the endpoint's limit)."""
     src = df.select(*keep, prompt)
     if partitions:
         src = src.repartition(partitions)
@@ -105,7 +114,7 @@ def call_teacher(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: list
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = teacher()
         for pdf in batches:
-            res = call(pdf[prompt])
+            res = _chunked(call, pdf[prompt], request_batch)
             res = res.map(lambda v: None if isinstance(v, BaseException) else v)
             yield pdf[keep].assign(**{out: res.values})
 
@@ -127,7 +136,8 @@ def label_documents(reports: DataFrame, teacher: TeacherFactory, model: str,
 
 
 def label_documents_all(reports: DataFrame, teachers: dict[str, TeacherFactory],
-                        keys: list[str] = ["subject_id", "study_id"], partitions: int | None = None) -> DataFrame:
+                        keys: list[str] = ["subject_id", "study_id"], partitions: int | None = None,
+                        request_batch: int | None = None) -> DataFrame:
     """T1 for several teachers in one pass: the reports are scanned and shipped
     to Python once; every teacher labels each Arrow batch; one output row per
     (report, teacher).  Same columns as ``label_documents``."""
@@ -143,7 +153,8 @@ def label_documents_all(reports: DataFrame, teachers: dict[str, TeacherFactory],
         calls = {m: teachers[m]() for m in names}
         for pdf in batches:
             for m in names:
-                res = calls[m](pdf["prompt"]).map(lambda v: None if isinstance(v, BaseException) else v)
+                res = _chunked(calls[m], pdf["prompt"], request_batch)
+                res = res.map(lambda v: None if isinstance(v, BaseException) else v)
                 yield pdf[keep].assign(raw_ai_output=res.values, model=m)
 
     raw = src.mapInPandas(run, schema)

@@ -126,3 +126,20 @@ def test_invalid_replies_are_retried(spark):
     res = TE.call_with_retry(df, "prompt", flaky, ["rep", "sentence_index"], ["rep", "sentence_index"],
                              validate=TE.strict_json_object).first()
     assert res.attempts == 2 and res.error is None and res.raw_ai_output.endswith('"e"}')
+
+
+def test_request_batches_are_capped(spark):
+    import pandas as pd
+
+    sizes = []
+
+    def counting():
+        def call(prompts):
+            sizes.append(len(prompts))
+            return pd.Series(['{"label": "Normal"}'] * len(prompts), index=prompts.index, dtype=object)
+
+        return call
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(25)], "k int, prompt string").coalesce(1)
+    out = TE.call_teacher(df, "prompt", counting, ["k"], request_batch=10).collect()
+    assert len(out) == 25 and all(r.raw_ai_output for r in out)
