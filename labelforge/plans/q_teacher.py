@@ -9,7 +9,7 @@ from labelforge.operators import consensus as C
 from labelforge.operators import sentences as S
 from labelforge.operators import teacher as TE
 from labelforge.plans.q_consensus import _CONSENSUS_CTES
-from labelforge.plans.q_text import _PERIOD_LIST, lit
+from labelforge.plans.q_text import _PERIOD_LIST
 from labelforge.plans import settings as ST
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
