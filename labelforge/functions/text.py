@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 # Values that must equal the reference for equal results: the section
 # headings, the document-level instruction, and the sentence-level system
 # message and question template.  {sentence} marks where the sentence goes.
-FINDINGS_PATTERN = r"(?isdU)FINDINGS:\s*(.*?)\n\s*(IMPRESSION:|$)"
-IMPRESSION_PATTERN = r"(?isdU)IMPRESSION:\s*(.*)"
+FINDINGS_REGEX = r"FINDINGS:\s*(.*?)\n\s*(IMPRESSION:|$)"  # Python re, DOTALL | IGNORECASE
+IMPRESSION_REGEX = r"IMPRESSION:\s*(.*)"                     # Python re, DOTALL | IGNORECASE
 DOC_INSTRUCTION = (
     "Given the input as findings and impression, output ONLY a valid & strict JSON object within {} "
     "(and strictly not string) with two fields: label (a single word: Normal, Abnormal, or Uncertain) "
@@ -38,7 +38,20 @@ SENTENCE_TEMPLATE = '''Use the below sentence to answer the subsequent question.
     '''
 # ------------------------------------------------------------ end fixed values
 
-_STRIP = r"(?U)^\s+|\s+$"
+# Python's whitespace (str.isspace, re's \s) = Java's Unicode \s plus U+001C–U+001F
+PY_SPACE = r"[\s\x1c-\x1f]"
+
+
+def java_regex(python_regex: str) -> str:
+    """A Python ``re`` pattern (DOTALL | IGNORECASE) as a Java pattern with the
+    same matches: Unicode classes and case, ``$`` before a final ``\n`` only,
+    and Python's whitespace set."""
+    return "(?isdU)" + python_regex.replace(r"\s", PY_SPACE)
+
+
+FINDINGS_PATTERN = java_regex(FINDINGS_REGEX)
+IMPRESSION_PATTERN = java_regex(IMPRESSION_REGEX)
+_STRIP = rf"(?U)^{PY_SPACE}+|{PY_SPACE}+$"
 
 
 def _c(x: Column | str) -> Column:
@@ -46,7 +59,8 @@ def _c(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    """Unicode whitespace strip on both ends (Spark ``trim`` removes spaces only)."""
+    """Python's ``str.strip()`` — Unicode whitespace on both ends (Spark
+    ``trim`` removes spaces only)."""
     return F.regexp_replace(_c(x), _STRIP, "")
 
 

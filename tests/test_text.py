@@ -26,6 +26,8 @@ CASES = [
     "no headings at all",
     "FINDINGS: nbsp  \nIMPRESSION: x ",
     "FINDINGS: a\r\nIMPRESSION: b\r\n",
+    "FINDINGS:\x1c x\x1f\n\x1e IMPRESSION:\x1d y\x1c",
+    "FINDINGS: \u00a0nbsp\u2003\nIMPRESSION: \u3000z\u2029",
 ]
 
 
