@@ -35,7 +35,8 @@ def cap_folders(df: DataFrame, folder: str, n: int) -> DataFrame:
 
 def remaining_work(units: DataFrame, processed: DataFrame, key: str) -> DataFrame:
     """Units not yet processed (left anti-join)."""
-    return units.join(processed.select(F.col("unit").alias(key)), key, "left_anti")
+    # hash table on the processed-unit list (one row per unit), the rows stream through
+    return units.join(processed.select(F.col("unit").alias(key)).hint("shuffle_hash"), key, "left_anti")
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
