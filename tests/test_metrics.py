@@ -76,3 +76,27 @@ def test_pluggable_token_counter_matches_builtin(spark):
     count = K.batch_counter(lambda: (lambda s: len(s.split())))
     got = [tuple(r) for r in df.select(count("t"), K.word_tokens("t")).collect()]
     assert all(a == b for a, b in got)
+
+
+def test_published_deltas_all_cells(spark):
+    # fixed values: the published summary (percent) and its deltas, contrastive minus baseline
+    published = [
+        ("Bio_ClinicalBERT", "baseline loss", 95.62, 89.34, 98.25, 96.93),
+        ("Bio_ClinicalBERT", "contrastive loss", 95.57, 92.97, 96.67, 96.85),
+        ("DeBERTa-v3-base", "baseline loss", 96.15, 93.88, 97.11, 97.26),
+        ("DeBERTa-v3-base", "contrastive loss", 96.11, 92.59, 97.59, 97.25),
+        ("RadBERT-4m", "baseline loss", 96.38, 93.95, 97.40, 97.43),
+        ("RadBERT-4m", "contrastive loss", 96.29, 93.50, 97.46, 97.37),
+    ]
+    deltas = {"Bio_ClinicalBERT": (-0.05, 3.63, -1.58, -0.08),
+              "DeBERTa-v3-base": (-0.04, -1.29, 0.48, -0.01),
+              "RadBERT-4m": (-0.09, -0.45, 0.06, -0.06)}
+    df = spark.createDataFrame(published, "Model string, Loss string, accuracy double, specificity double, "
+                                          "sensitivity double, f1 double")
+    got = {r.Model: r for r in M.method_delta(df).collect()}
+    for model, (da, ds, dn, df1) in deltas.items():
+        r = got[model]
+        assert (r.accuracy_delta, r.specificity_delta, r.sensitivity_delta, r.f1_delta) == \
+            pytest.approx((da, ds, dn, df1), abs=1e-9)
+        for metric, d in zip(("accuracy", "specificity", "sensitivity", "f1"), (da, ds, dn, df1)):
+            assert r[f"{metric}_best"] == ("contrastive" if d > 0 else "baseline")
