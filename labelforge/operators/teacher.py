@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -348,12 +349,11 @@ except ImportError:  # pragma: no cover
     _TOKEN_SPLIT = _re.compile(r"[\W_]+")
 
 
-def _tf(text) -> dict:
-    counts: dict[str, int] = {}
-    if text:
-        for t in _TOKEN_SPLIT.split(text.lower()):
-            if t:
-                counts[t] = counts.get(t, 0) + 1
+def _tf(text) -> Counter:
+    if not text:
+        return Counter()
+    counts = Counter(_TOKEN_SPLIT.split(text.lower()))
+    counts.pop("", None)
     return counts
 
 
