@@ -167,9 +167,11 @@ def consensus(votes: DataFrame, keys: list[str] = KEYS, text_cols: tuple[str, ..
         *keys, F.col("consensus_label").alias("label"), F.col("winner_model").alias("model"),
         F.col("consensus_confidence").alias("confidence"))
     v = votes.select(*keys, "label", "model", "explanation", *text_cols)
-    # hash join built on the narrow decision (about one row per study and
-    # partition slice): the votes' text is streamed through, not sorted
-    winners = v.join(decided.hint("shuffle_hash"), [*keys, "label", "model"], "inner")
+    # join strategy left to AQE: a broadcast while the decision is small,
+    # else a shuffled hash join built on the narrow decision when the session
+    # sets spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold (the text
+    # is then streamed, not sorted)
+    winners = v.join(decided, [*keys, "label", "model"], "inner")
     pick = F.min(F.struct(F.col("explanation"), *[F.col(c) for c in text_cols])).alias("w")
     out = winners.groupBy(*keys).agg(F.first("label").alias("label"), F.first("confidence").alias("confidence"), pick)
     return out.select(*keys, *[F.col(f"w.{c}").alias(c) for c in text_cols], "label",

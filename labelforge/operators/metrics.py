@@ -97,8 +97,7 @@ def prediction_report(preds: DataFrame, texts: DataFrame, key: list[str], text:
                       label: str = "label", pred: str = "prediction") -> DataFrame:
     """E4 + J7: predictions joined to their texts by key (never by position),
     with the TP/FP/FN/TN status."""
-    # hash table on the narrow predictions; the texts stream through unsorted
-    j = texts.select(*key, text).join(preds.hint("shuffle_hash"), key, "inner")
+    j = texts.select(*key, text).join(preds, key, "inner")
     return j.select(*key, F.col(text).alias("text"), F.col(pred).alias("prediction"),
                     F.col(label).alias("true_label"), classification_status(label, pred).alias("status"))
 

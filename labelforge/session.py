@@ -28,6 +28,9 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "la
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # let AQE pick a shuffled hash join (no sort of the streamed side) when
+        # every build partition is small, and a broadcast when a side is small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
