@@ -66,3 +66,21 @@ def test_training_filter_pushed_to_scan(no_aqe, tmp_path):
            "PushedFilters: [IsNotNull(findings), In(label" in p
     assert "ReadSchema: struct<study_id:string,findings:string,label:string>" in p
     assert sinks is not None
+
+
+def test_consensus_text_join_is_hash_join_when_not_broadcast(spark):
+    # at scale the decision cannot be broadcast; AQE then builds a hash table
+    # on the narrow decision instead of sorting the votes' text
+    from labelforge.operators.consensus import consensus
+    from labelforge.sources.fixtures import view
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = consensus(view(spark, SMALL, "votes"))
+        df.collect()
+        p = df._jdf.queryExecution().executedPlan().toString()
+        final = p.split("Initial Plan")[0]
+        assert "isFinalPlan=true" in p and "ShuffledHashJoin" in final and "SortMergeJoin" not in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
