@@ -84,3 +84,26 @@ def test_consensus_text_join_is_hash_join_when_not_broadcast(spark):
         assert "isFinalPlan=true" in p and "ShuffledHashJoin" in final and "SortMergeJoin" not in final
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bucketed_votes_consensus_without_shuffles(no_aqe):
+    from labelforge.operators.consensus import consensus
+    from labelforge.session import scratch_path
+    from labelforge.sources import sinks
+    from labelforge.sources.fixtures import view
+
+    spark = no_aqe
+    name = "votes_bucketed_test"
+    sinks.save_votes_bucketed(view(spark, SMALL, "votes"), name, 4, scratch_path(spark, name))
+    old = (spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition"),
+           spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = consensus(spark.table(name))
+        assert plan_summary(df)["shuffle_exchanges"] == 0
+        ref = consensus(view(spark, SMALL, "votes"))
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, ref.collect()))
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", old[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[1])
