@@ -74,8 +74,9 @@ def test_consensus_text_join_is_hash_join_when_not_broadcast(spark):
     from labelforge.operators.consensus import consensus
     from labelforge.sources.fixtures import view
 
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    old = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
     try:
         df = consensus(view(spark, SMALL, "votes"))
         df.collect()
@@ -83,7 +84,8 @@ def test_consensus_text_join_is_hash_join_when_not_broadcast(spark):
         final = p.split("Initial Plan")[0]
         assert "isFinalPlan=true" in p and "ShuffledHashJoin" in final and "SortMergeJoin" not in final
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
 
 
 def test_bucketed_votes_consensus_without_shuffles(no_aqe):
