@@ -113,7 +113,9 @@ def consensus_labels(votes: DataFrame, keys: list[str] = KEYS, label: str = "lab
     v = votes.select(*keys, label, score, model)
     if ignore_failed_votes:
         v = v.where(F.col(label).isNotNull())
-    dicts = small_dictionaries(v, [label, model], dictionary_limit) if dictionary_limit else None
+    types = dict(v.dtypes)
+    encodable = dictionary_limit and types[label] == "string" and types[model] == "string"
+    dicts = small_dictionaries(v, [label, model], dictionary_limit) if encodable else None
     if dicts is None:
         return _consensus_labels_strings(v, keys, label, score, model)
     enc = _encode(_encode(v, label, dicts[label], "_lid"), model, dicts[model], "_mid")
@@ -261,7 +263,8 @@ def _sentence_decisions(votes: DataFrame, keys: list[str], pass_col: str, n_pass
     mask = F.bit_or(F.expr(f"shiftleft(1, cast(`{pass_col}` AS int))")).alias("m")
     full_mask = sum(1 << p for p in range(1, n_passes + 1))
     v = votes.select(*keys, label, score, pass_col)
-    dicts = small_dictionaries(v, [label], dictionary_limit) if dictionary_limit else None
+    encodable = dictionary_limit and dict(v.dtypes)[label] == "string"
+    dicts = small_dictionaries(v, [label], dictionary_limit) if encodable else None
     if dicts is not None:
         enc = _encode(v, label, dicts[label], "_lid")
         per_label = enc.groupBy(*keys, "_lid").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("c"), mask)

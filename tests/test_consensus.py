@@ -181,3 +181,13 @@ def test_budget_five_sample_files_do_not_align(spark):
         C.check_alignment(df)
     assert C.sentence_consensus(df).count() == 0
     assert C.consensus_audit(df).first().total == 0
+
+
+def test_integer_labels_use_the_string_path(spark):
+    # labels that are not strings are not dictionary-encoded (the codes are string-keyed)
+    rows = [("p", "s1", 1, 0.5, "a"), ("p", "s1", 1, 0.25, "b"), ("p", "s2", 0, 0.75, "a"),
+            ("p", "s2", 0, 0.5, "b"), ("p", "s2", 1, 0.25, "c")]
+    v = spark.createDataFrame(rows, "subject_id string, study_id string, label int, confidence double, model string")
+    got = {r.study_id: (r.consensus_label, r.consensus_confidence, r.winner_model)
+           for r in C.consensus_labels(v).collect()}
+    assert got == {"s1": (1, 0.375, "a"), "s2": (0, 0.625, "a")}
