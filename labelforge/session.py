@@ -46,8 +46,9 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "la
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private
-    folder under the system temp dir is created and registered.
+    Read from the session; only when it is unset on a local master (tests) a
+    private folder under the system temp dir is created and registered.  On a
+    cluster a folder of the driver alone would lose data, so that is an error.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
@@ -57,6 +58,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return (sc.getCheckpointDir() or conf_dir).rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="labelforge-ckpt-")
     sc.setCheckpointDir(local)
     return (sc.getCheckpointDir() or local).rstrip("/")
