@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import block_naming, simhash
+from labelforge.llm import block_naming, fm_dedup, simhash
 from labelforge.session import table
 
 QUERIES: dict = {}
@@ -37,3 +37,18 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 3-word shingles, at most 3 differing bits."""
     found = simhash.near_groups(spark, table(spark, sf_dir, "documents"), simhash.SHINGLE_WORDS, simhash.MAX_BITS)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op9_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY t) AS o FROM win) WHERE o < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM rep),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT k.doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word k ANTI JOIN gone g ON g.doc_id = k.doc_id AND g.i = k.i GROUP BY k.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) c ON c.doc_id = d.doc_id
+""")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 13 words or more, removed from all documents but the first."""
+    return fm_dedup.removed_words(spark, table(spark, sf_dir, "documents"), fm_dedup.MIN_WORDS).select("doc_id", "n_words", "n_removed", "kept_sha256")
