@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import block_naming, fm_dedup, simhash
+from labelforge.llm import block_naming, fm_dedup, pu_quality, simhash, toxicity
 from labelforge.session import table
 
 QUERIES: dict = {}
@@ -52,3 +52,15 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 13 words or more, removed from all documents but the first."""
     return fm_dedup.removed_words(spark, table(spark, sf_dir, "documents"), fm_dedup.MIN_WORDS).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by positive-unlabelled learning."""
+    return pu_quality.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a weighted lexicon."""
+    return toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
