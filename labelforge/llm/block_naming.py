@@ -76,10 +76,11 @@ def exact_groups(spark: SparkSession, docs: DataFrame, block_chars: int = BLOCK_
 
     Of equal texts the row with the largest doc_id stays; among rows that
     repeat it, the last one by position.  A NULL id is smaller than any other.
-    The group sums are pre-aggregated, so a hot text costs each task one row.
+    The group sums are pre-aggregated, so a hot text costs each task one row;
+    they are written before the join, which can then split a hot group.
     """
     named = stored(spark, name_texts(spark, docs, block_chars), "identities")
-    groups = named.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top"))
+    groups = stored(spark, named.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top")), "groups")
     return named.join(groups, ["level", "name"]).select(
         "row", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256")

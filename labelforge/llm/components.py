@@ -14,18 +14,18 @@ def connected_components(spark: SparkSession, links: DataFrame, a: str, b: str)
 
     Each round links every node's larger neighbours to its smallest neighbour
     (large star), then its smaller neighbours and itself (small star).  Minima
-    are pre-aggregated; a hub's rows only meet in a join, which splits.  Rounds
+    are pre-aggregated and written, so that the joins can split a hub's rows.  Rounds
     are written to the shared folder; the driver sees a count and a checksum.
     """
     edges = stored(spark, links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(spark, both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = (both.join(least, "u").where("v > u")
                  .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         large = stored(spark, large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(spark, large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         edges = stored(spark, small, "small-star")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import block_naming, fm_dedup, pu_quality, simhash, toxicity
+from labelforge.llm import block_naming, crf_langid, fm_dedup, pu_quality, simhash, toxicity
 from labelforge.session import table
 
 QUERIES: dict = {}
@@ -64,3 +64,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by a weighted lexicon."""
     return toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a conditional random field over its words."""
+    return (crf_langid.identify(spark, table(spark, sf_dir, "documents"))
+            .select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans")))

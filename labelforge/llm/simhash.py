@@ -168,6 +168,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS
     distinct = stored(spark, rows.groupBy("fp").agg(first), "distinct-fingerprints")
     roots = connected_components(spark, link(spark, distinct.select("fp"), max_bits), "a", "b")
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    owners = labelled.groupBy("root").agg(F.min("first").alias("owner"))
+    labelled = stored(spark, labelled, "labelled")
+    owners = stored(spark, labelled.groupBy("root").agg(F.min("first").alias("owner")), "owners")
     named = stored(spark, labelled.join(owners, "root").select("fp", F.col("owner.doc_id").alias("component_id"), F.col("owner.row").alias("first_row")), "components")
     return rows.join(named, "fp").select("row", "doc_id", "fp", "component_id", "first_row")

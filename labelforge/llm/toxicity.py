@@ -132,7 +132,7 @@ class Matcher:
         return (np.log1p(total), np.log1p(100 * total / max(folded.count(" ") + folded.count("\n") + 1, 1))) if total else (0.0, 0.0)
 
 
-def learn_lexicon(sample: DataFrame, size: int = MAX_LEXICON, min_z: float = MIN_Z, min_weight: float = MIN_WEIGHT, support: float = MIN_SUPPORT) -> dict[str, float]:
+def learn_lexicon(spark: SparkSession, sample: DataFrame, size: int = MAX_LEXICON, min_z: float = MIN_Z, min_weight: float = MIN_WEIGHT, support: float = MIN_SUPPORT) -> dict[str, float]:
     """At most ``size`` entries: folded words, or beginnings of words marked by a
     ``*``, weighted by the log ratio of their rates in toxic and other texts.
 
@@ -143,7 +143,7 @@ def learn_lexicon(sample: DataFrame, size: int = MAX_LEXICON, min_z: float = MIN
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            sums: dict[str, np.ndarray] = {}
+            documents_, words_ = (Counter(), Counter()), (Counter(), Counter())
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 own: Counter[str] = Counter()
                 for word, k in Counter(_WORD.findall(fold_text(text))).items():
@@ -151,12 +151,16 @@ def learn_lexicon(sample: DataFrame, size: int = MAX_LEXICON, min_z: float = MIN
                     own[word] += k
                     for n in range(PREFIX[0], min(PREFIX[1] + 1, len(word))):
                         own[word[:n] + "*"] += k
-                for entry, k in own.items():
-                    sums.setdefault(entry, np.zeros(4, np.int64))[2 * bool(label):2 * bool(label) + 2] += (1, k)
-            found = np.array(list(sums.values()), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(found[:, i]) for i in range(4))], names=["entry", "b", "tb", "a", "ta"])
-
-    counts = sample.mapInArrow(entries, "entry string, b bigint, tb bigint, a bigint, ta bigint").groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("a", "b", "ta", "tb")))
+                documents_[bool(label)].update(own.keys())
+                words_[bool(label)].update(own)
+            for at in (0, 1):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(documents_[at]), pa.string()), pa.array(list(documents_[at].values()), pa.int64()),
+                     pa.array([words_[at][e] for e in documents_[at]], pa.int64()), pa.array([at] * len(documents_[at]), pa.int32())], names=["entry", "d", "t", "label"])
+
+    counted = (sample.mapInArrow(entries, "entry string, d bigint, t bigint, label int").groupBy("entry")
+               .agg(*(F.sum(F.when(F.col("label") == at, F.col(x)).otherwise(0)).alias(name) for name, x, at in (("a", "d", 1), ("b", "d", 0), ("ta", "t", 1), ("tb", "t", 0)))))
+    counts = stored(spark, counted.where("a >= 3 or entry = ''"), "lexicon-counts")
     total = counts.where("entry = ''").first()
     if not total or not total.a or not total.b:
         return {}
@@ -168,7 +172,7 @@ def learn_lexicon(sample: DataFrame, size: int = MAX_LEXICON, min_z: float = MIN
     lack = F.lit(total.a + total.b) - have
     ratio = 2 * (part(F.col("a"), total.a, have) + part(F.col("b"), total.b, have) + part(total.a - F.col("a"), total.a, lack) + part(total.b - F.col("b"), total.b, lack))
     weight = F.log((F.col("ta") + 0.5) / total.ta) - F.log((F.col("tb") + 0.5) / total.tb)
-    ranked = (counts.where("entry <> '' and a >= 3").withColumn("g", ratio).withColumn("weight", weight)
+    ranked = (counts.where("entry <> ''").withColumn("g", ratio).withColumn("weight", weight)
               .where((F.col("g") >= min_z**2) & (F.col("weight") >= min_weight)).orderBy(F.desc(F.round("g", 6)), F.desc(F.length("entry")), "entry").limit(size).collect())
     lexicon: dict[str, float] = {}
     documents_of: dict[str, int] = {}
@@ -186,7 +190,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_fold: C
     """Lexicon and calibration from at most about ``rows`` labelled training rows."""
     ship(spark)
     sample = stored(spark, label_sample(spark, docs, labels, "toxic", train_fold, rows)[0].select("text", "label"), "toxic-sample")
-    lexicon = learn_lexicon(sample)
+    lexicon = learn_lexicon(spark, sample)
     matcher_of = Model(lexicon, exceptions, (0.0, 0.0, 0.0))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
