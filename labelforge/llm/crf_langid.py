@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 #: Words whose potentials a task keeps.
 CACHE_WORDS = 1 << 18
-STEPS = 120
+STEPS = 60
 _WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import block_naming, crf_langid, fm_dedup, pu_quality, simhash, toxicity
-from labelforge.session import table
+from labelforge.llm import (
+    block_naming, crf_langid, decontaminate, fm_dedup, license_scan, mixing, pu_quality, simhash, token_rollup, toxicity,
+)
+from labelforge.session import scratch_path, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +73,60 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a conditional random field over its words."""
     return (crf_langid.identify(spark, table(spark, sf_dir, "documents"))
             .select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans")))
+
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_SHINGLE = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t, unnest(range(0, len(w) - 4)) AS p"
+_LICENSES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
+
+
+@register("op2_license_scan", f"""
+WITH lic(license, text) AS (VALUES {_LICENSES}),
+ls AS (SELECT DISTINCT license, t FROM (SELECT license, {_SHINGLE} FROM (SELECT license, {_TOKENS} AS w FROM lic))),
+ln AS (SELECT license, count(*) AS n, 2 * cast(pow(2, ceil(log2(count(*)))) AS int) AS size FROM ls GROUP BY 1),
+ds AS (SELECT doc_id, {_SHINGLE} FROM (SELECT doc_id, {_TOKENS} AS w FROM documents) WHERE len(w) >= 5),
+hit AS (SELECT doc_id, license, n, size, p, t FROM ds JOIN ls USING (t) JOIN ln USING (license)),
+win AS (SELECT doc_id, license, n, p // (size // 2) - d AS b, t FROM hit, (VALUES (0), (1)) q(d) WHERE p // (size // 2) - d >= 0),
+con AS (SELECT doc_id, license, count(DISTINCT t) / n AS containment FROM win GROUP BY doc_id, license, n, b)
+SELECT doc_id, license, max(containment) AS containment FROM con WHERE containment >= 0.8 GROUP BY 1, 2
+""")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in all documents."""
+    return license_scan.scan(spark, table(spark, sf_dir, "documents")).select("doc_id", "license", "containment")
+
+
+@register("op7_benchmark_decontamination", f"""
+WITH it AS (SELECT item_id, len(w) - 4 AS m, {_SHINGLE} FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) >= 5),
+q AS (SELECT item_id, m, t, count(*) AS q FROM it GROUP BY ALL),
+ds AS (SELECT doc_id, len(w) - 4 AS n, {_SHINGLE} FROM (SELECT doc_id, {_TOKENS} AS w FROM documents) WHERE len(w) >= 5),
+hit AS (SELECT doc_id, n, p, item_id, m, t, q FROM ds JOIN q USING (t)),
+win AS (SELECT doc_id, item_id, n, m, t, q, unnest(range(greatest(0, p - m + 1), least(p, greatest(0, n - m)) + 1)) AS s FROM hit),
+com AS (SELECT doc_id, item_id, n, m, s, sum(least(k, q)) AS c FROM (SELECT doc_id, item_id, n, m, s, t, q, count(*) AS k FROM win GROUP BY ALL) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, s, c / (least(n, m) + m - c) AS similarity FROM com)
+SELECT doc_id, item_id, similarity, s AS first_word FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+""")
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items repeated in any document."""
+    return decontaminate.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+@register("op6_token_rollup")
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version, kept by deltas: all
+    documents are inserted (a replay of the batch changes nothing), then all
+    exact copies but the one with the largest id are deleted."""
+    docs = table(spark, sf_dir, "documents")
+    store = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
+    counts = token_rollup.token_counts(spark, docs, "byte_bpe_50k")
+    store.insert("load", counts)
+    store.insert("load", counts)
+    same = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+    last = same.groupBy("h").agg(F.max("doc_id").alias("doc_id"))
+    store.delete("copies", same.select("doc_id").join(last.select("doc_id"), "doc_id", "left_anti"))
+    return store.totals()
+
+
+@register("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probabilities of all documents, raked to tempered marginals."""
+    return mixing.mix(spark, table(spark, sf_dir, "documents")).drop("row")
