@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from labelforge.llm.common import documents, ship, small_batches, stored, utf8
 
 MIN_WORDS = 13
-GRAM_WORDS = 6
+GRAM_WORDS = 4
 #: Words that one shard's index holds, about.
 SHARD_WORDS = 1 << 18
-#: Distinct segments of one minimizer from which it is routed by its single windows instead.
-HOT_SEGMENTS = 2048
+#: Documents of one minimizer above which its segments are routed as single windows, each by its own words.
+HOT_DOCUMENTS = 2048
+#: Distinct segments that a task holds before it passes them on.
+HELD_SEGMENTS = 1 << 16
 #: Bits of the filter of shared minimizers: 16 for each, within these bounds.  A
 #: fuller filter only lets more segments through.
 FILTER_BITS = (1 << 16, 1 << 27)
@@ -146,31 +148,61 @@ def segments_of(texts: list[bytes], min_words: int, gram_words: int) -> tuple[li
     return words, text, start - (np.cumsum(sizes) - sizes)[text], count, grams[lowest[start]].view(np.int64)
 
 
-def _shared_minimizers(spark: SparkSession, docs: DataFrame, min_words: int, gram_words: int) -> np.ndarray:
-    """Bit filter of the minimizers that occur in two documents or more.
+def _bit_filter(minimizers: DataFrame, bits: int) -> np.ndarray:
+    """Bit filter of a column ``gram``; its size is bounded by FILTER_BITS, so it
+    may be collected and broadcast."""
+    place = F.pmod("gram", F.lit(bits))
+    filled = (minimizers.groupBy(F.floor(place / 64).alias("word"))
+              .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(gram, {bits}) % 64 as int))")).alias("mask")).toArrow())
+    out = np.zeros(bits // 64, np.uint64)
+    out[filled.column("word").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def _has(masks: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    place = gram % (len(masks) * 64)
+    return (masks[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
-    Its size is bounded by FILTER_BITS, so it may be collected and broadcast."""
+
+def minimizer_filters(spark: SparkSession, docs: DataFrame, min_words: int, gram_words: int, hot_documents: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Filters of the minimizers that occur in two documents or more and in more
+    than ``hot_documents``, and how many pairs of a document and a shared minimizer there are."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             _, text, _, _, gram = segments_of(utf8(batch), min_words, gram_words)
-            both = np.unique(np.stack([text, gram], axis=1), axis=0)[:, 1] if len(text) else gram
-            yield pa.RecordBatch.from_arrays([pa.array(both)], names=["gram"])
+            order = np.lexsort((gram, text))
+            text, gram = text[order], gram[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = (np.diff(text) != 0) | (np.diff(gram) != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new])], names=["gram"])
 
-    found = docs.select("text").mapInArrow(grams, "gram bigint").groupBy("gram").count().where("count > 1").select("gram")
+    found = docs.select("text").mapInArrow(grams, "gram bigint").groupBy("gram").count().where("count > 1")
     shared = stored(spark, found, "shared-minimizers")
+    n, pairs = shared.agg(F.count("*"), F.sum("count")).first()
     bits = FILTER_BITS[0]
-    while bits < min(16 * shared.count(), FILTER_BITS[1]):
+    while bits < min(16 * n, FILTER_BITS[1]):
         bits *= 2
-    place = F.pmod("gram", F.lit(bits))
-    filled = (shared.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(gram, {bits}) % 64 as int))")).alias("mask")).toArrow())
-    out = np.zeros(bits // 64, np.uint64)
-    out[filled.column("word").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
-    return out
+    return _bit_filter(shared, bits), _bit_filter(shared.where(F.col("count") > hot_documents), bits), pairs or 0
+
+
+def shared_segments(texts: list[bytes], shared: np.ndarray, hot: np.ndarray, min_words: int, gram_words: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(text number, first word, route, words) of each segment with a shared
+    minimizer; those with a hot one window by window."""
+    words, text, start, count, gram = segments_of(texts, min_words, gram_words)
+    live = np.flatnonzero(_has(shared, gram))
+    wide = _has(hot, gram[live])
+    for t, s, n, g, split in zip(text[live].tolist(), start[live].tolist(), count[live].tolist(), gram[live].tolist(), wide.tolist(), strict=True):
+        if split:
+            for i in range(s, s + n):
+                piece = b" ".join(words[t][i:i + min_words])
+                yield t, i, xxhash.xxh64_intdigest(piece) >> 1, piece
+        else:
+            yield t, s, g, b" ".join(words[t][s:s + n + min_words - 1])
 
 
 def removed_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS,
-                  shard_words: int = SHARD_WORDS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+                  shard_words: int = SHARD_WORDS, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """``row, doc_id, n_words, n_removed, kept_sha256, kept_text, intervals`` for every row.
 
     A word is removed if a window of ``min_words`` words covers it whose word
@@ -180,89 +212,82 @@ def removed_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     no window; a NULL id is neither smaller nor larger than any other; rows
     that repeat an id are no repeats of each other.  Memory grows with the
     longest document and the shard size, not with the corpus.
+
+    The documents are read four times (minimizers, segments, places, result):
+    cheaper in disk than to keep the segments, which overlap.  Between distinct
+    segments and their places a 128-bit digest stands for the words.
     """
     ship(spark)
     base = documents(docs, "doc_id", "text")
-    shared = spark.sparkContext.broadcast(_shared_minimizers(spark, base, min_words, gram_words))
+    masks, hot, pairs = minimizer_filters(spark, base, min_words, gram_words, hot_documents)
+    shards = int(pairs * (min_words + 4) // shard_words) + 1
+    filters = spark.sparkContext.broadcast((masks, hot))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held.values(), strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(list(held), pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())],
+                                              names=["shard", "segment", "owner", "latest"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = shared.value
-        bits = len(masks) * 64
         for batch in small_batches(batches):
-            texts = utf8(batch)
-            words, text, start, count, gram = segments_of(texts, min_words, gram_words)
-            place = gram % bits
-            live = np.flatnonzero(masks[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
-            text, start, count, gram = text[live], start[live], count[live], gram[live]
-            wanted = set(text.tolist())
-            n = len(texts)
-            pieces = [b" ".join(words[t][s:s + c + min_words - 1]) for t, s, c in zip(text, start, count, strict=True)]
-            rows, ids = batch.column("row"), batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([rows, rows.take(pa.array(text))]), pa.concat_arrays([ids, ids.take(pa.array(text))]),
-                 pa.array([len(w) for w in words] + [None] * len(text), pa.int64()),
-                 pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words] + [None] * len(text), pa.string()),
-                 pa.array([t if i in wanted else None for i, t in enumerate(texts)] + [None] * len(text), pa.binary()),
-                 pa.array([None] * n + gram.tolist(), pa.int64()), pa.array([None] * n + start.tolist(), pa.int64()),
-                 pa.array([None] * n + pieces, pa.binary())],
-                names=["row", "doc_id", "n_words", "whole_sha256", "text", "gram", "start", "segment"])
-
-    pieces = stored(spark, base.mapInArrow(cut, "row bigint, doc_id bigint, n_words bigint, whole_sha256 string, text binary, gram bigint, start bigint, segment binary"), "segments")
-    heads = pieces.where("gram is null").select("row", "doc_id", "n_words", "whole_sha256", "text")
-    segments = pieces.where("gram is not null").select("row", "doc_id", "start", "gram", "segment")
-
-    distinct = segments.select("gram", F.xxhash64("segment").alias("s")).distinct()
-    hot = stored(spark, distinct.groupBy("gram").count().where(F.col("count") > hot_segments).select("gram", F.lit(True).alias("hot")), "hot-minimizers")
-    marked = segments.join(hot, "gram", "left")
-    list_of = F.split(F.col("segment").cast("string"), " ")
-    single = (marked.where("hot").withColumn("w", list_of)
-              .select("row", "doc_id", "start", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {min_words}), i -> array_join(slice(w, i + 1, {min_words}), ' '))")).alias("i", "piece"))
-              .select("row", "doc_id", (F.col("start") + F.col("i")).alias("start"), F.xxhash64("piece").alias("gram"), F.col("piece").cast("binary").alias("segment")))
-    placed = stored(spark, marked.where("hot is null").select("row", "doc_id", "start", "gram", "segment").unionByName(single), "placed-segments")
-
-    entries = stored(spark, placed.groupBy("gram", "segment").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("latest")), "distinct-segments")
-    total = entries.agg(F.sum(F.length("segment") / 6)).first()[0] or 0
-    shards = int(total // shard_words) + 1
+            ids = batch.column("doc_id").to_pylist()
+            for t, _, route, piece in shared_segments(utf8(batch), *filters.value, min_words, gram_words):
+                i = ids[t]
+                seen = held.setdefault(piece, [route % shards, NO_OWNER, -NO_OWNER])
+                if i is not None:
+                    seen[1], seen[2] = min(seen[1], i), max(seen[2], i)
+            if len(held) > HELD_SEGMENTS:
+                yield out()
+                held.clear()
+        yield out()
 
     def index(shard: pa.Table) -> pa.Table:
-        texts = shard.column("segment").to_pylist()
-        owner = shard.column("owner").fill_null(NO_OWNER).to_numpy()
-        latest = shard.column("latest").fill_null(-NO_OWNER).to_numpy()
-        found = window_owners(texts, owner, min_words)
-        live = np.array([i for i, o in enumerate(found) if o.min() < latest[i]], np.int64)
-        return pa.table({"gram": shard.column("gram").take(live), "segment": shard.column("segment").take(live),
+        merged: dict[bytes, list[int]] = {}
+        for piece, owner, latest in zip(*(shard.column(c).to_pylist() for c in ("segment", "owner", "latest")), strict=True):
+            seen = merged.setdefault(piece, [owner, latest])
+            seen[0], seen[1] = min(seen[0], owner), max(seen[1], latest)
+        pieces = [p for p, (owner, latest) in merged.items()]
+        found = window_owners(pieces, np.array([x[0] for x in merged.values()], np.int64), min_words)
+        live = [i for i, (o, x) in enumerate(zip(found, merged.values(), strict=True)) if o.min() < x[1]]
+        return pa.table({"digest": pa.array([xxhash.xxh3_128_digest(pieces[i]) for i in live], pa.binary()),
                          "owners": pa.array([found[i].tolist() for i in live], pa.list_(pa.int64()))})
 
-    owned = stored(spark, entries.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard")
-                   .applyInArrow(index, "gram bigint, segment binary, owners array<bigint>"), "window-owners")
-    repeats = (placed.join(owned, ["gram", "segment"])
+    owned = stored(spark, base.select("doc_id", "text").mapInArrow(distinct, "shard int, segment binary, owner bigint, latest bigint")
+                   .groupBy("shard").applyInArrow(index, "digest binary, owners array<bigint>"), "window-owners")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found = [(t, s, xxhash.xxh3_128_digest(piece)) for t, s, _, piece in shared_segments(utf8(batch), *filters.value, min_words, gram_words)]
+            at = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), pa.array([x[1] for x in found], pa.int64()),
+                                              pa.array([x[2] for x in found], pa.binary())], names=["row", "doc_id", "start", "digest"])
+
+    repeats = (base.mapInArrow(places, "row bigint, doc_id bigint, start bigint, digest binary").join(owned, "digest")
                .select("row", "start", F.expr("transform(owners, o -> o < doc_id)").alias("gone"))
                .where("exists(gone, g -> g)")
                .groupBy("row").agg(F.collect_list(F.struct("start", "gone")).alias("repeats")))  # within one document
-    joined = heads.join(repeats, "row", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            removed, sha, kept, spans = [], [], [], []
-            for text, n, whole, found in zip(batch.column("text").to_pylist(), batch.column("n_words").to_pylist(),
-                                             batch.column("whole_sha256").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
-                if not found:
-                    removed.append(0), sha.append(whole), kept.append(None), spans.append([])
-                    continue
-                edge = np.zeros(n + 1, np.int64)
-                for x in found:
+            total, removed, sha, kept, spans = [], [], [], [], []
+            for text, found in zip(utf8(batch), batch.column("repeats").to_pylist(), strict=True):
+                words = text.split()
+                edge = np.zeros(len(words) + 1, np.int64)
+                for x in found or ():
                     at = x["start"] + np.flatnonzero(x["gone"])
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + min_words, -1)
-                gone = np.cumsum(edge)[:n] > 0
-                words = text.split()
-                rest = b" ".join(words[i] for i in np.flatnonzero(~gone))
-                turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                removed.append(int(gone.sum())), sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest.decode()), spans.append(turns.reshape(-1, 2).tolist())
+                gone = np.cumsum(edge)[:len(words)] > 0
+                rest = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if found else words)
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))) if found else np.zeros(0, np.int64)
+                total.append(len(words)), removed.append(int(gone.sum())), sha.append(hashlib.sha256(rest).hexdigest())
+                kept.append(rest.decode() if found else None), spans.append(turns.reshape(-1, 2).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()),
+                [batch.column("row"), batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()),
                  pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
                 names=["row", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "intervals"])
 
-    return joined.mapInArrow(finish, "row bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, intervals array<array<bigint>>")
+    return base.join(repeats, "row", "left").mapInArrow(
+        finish, "row bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, intervals array<array<bigint>>")
