@@ -71,7 +71,8 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity:
     hits = (once(base, "hs", hashes("w")).select("row", F.size("hs").alias("n"), F.posexplode("hs").alias("place", "h"))
             .join(lookup(shared, n_shingles), "h").select("row", "n", "m", "place").distinct())
     hits = stored(spark, hits, "benchmark-hits")
-    found = stored(spark, base.join(hits.select("row").distinct(), "row", "left_semi"), "benchmark-documents")
+    rows = stored(spark, hits.select("row").distinct(), "benchmark-rows")
+    found = stored(spark, base.join(lookup(rows, rows.count()), "row", "left_semi"), "benchmark-documents")
 
     # windows around them, and their fingerprints
     starts = stored(spark, hits.withColumn("start", F.explode(F.expr("sequence(greatest(0, place - m + 1), least(place, greatest(0, n - m)))")))
