@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ TEMPERATURE = 0.5
 KEEP = 0.5
 TOLERANCE = 1e-3
 MAX_ROUNDS = 30
+#: Cells up to which the raking runs on the driver.
+LOCAL_CELLS = 100_000
 SEED = 17
 #: Stands for a NULL source or language, a category of its own.
 NONE = "\x00"
@@ -74,8 +77,11 @@ def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], k
     no weight changes by more than ``tolerance`` of itself.  Where the targets
     can be met, the marginals then meet them; a value with fewer tokens than its
     target is kept whole.  A value without a target gets nothing; shares are
-    rescaled over the values that have tokens.  The cells stay in Spark: one
-    number comes back each round."""
+    rescaled over the values that have tokens.  Up to LOCAL_CELLS cells, by
+    count, are raked on the driver; more stay in Spark and one number comes back
+    each round.  Both ways do the same steps."""
+    if cells.count() <= LOCAL_CELLS:
+        return _rake_here(spark, cells, targets, keep, tolerance, max_rounds)
     now = cells.where("n > 0").withColumn("weight", F.col("n") * F.lit(float(keep)))
     budget = float(keep) * float(cells.agg(F.sum("n")).first()[0] or 0)
     goals = {}
@@ -97,6 +103,32 @@ def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], k
     return now
 
 
+def _rake_here(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], keep: float, tolerance: float, max_rounds: int) -> DataFrame:
+    """The same raking of a counted, small number of cells in arrays."""
+    rows = cells.where("n > 0").orderBy(*DIMENSIONS).collect()
+    tokens = np.array([r.n for r in rows], float)
+    weight = tokens * keep
+    codes, goals = {}, {}
+    for d, target in targets.items():
+        values = sorted({r[d] for r in rows})
+        share = dict.fromkeys(values, 0.0)
+        present = spark.createDataFrame([(v,) for v in values], "value string")
+        share |= {r.value: r.share or 0.0 for r in target.join(present, "value", "left_semi").collect()}
+        place = {v: i for i, v in enumerate(values)}
+        codes[d] = np.array([place[r[d]] for r in rows], np.int64)
+        goal = np.array([share[v] for v in values])
+        goals[d] = goal / (goal.sum() or 1.0) * keep * tokens.sum()
+    for _ in range(max_rounds if rows else 0):
+        before = weight
+        for d, goal in goals.items():
+            have = np.bincount(codes[d], weight, minlength=len(goal))
+            weight = np.minimum(weight * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[codes[d]], tokens)
+        if (np.abs(weight - before) / np.maximum(before, 1e-12)).max() <= tolerance:
+            break
+    return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), int(r.n), float(w)) for r, w in zip(rows, weight, strict=True)],
+                                 ", ".join(f"{d} string" for d in DIMENSIONS) + ", n bigint, weight double")
+
+
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = TEMPERATURE, keep: float = KEEP) -> DataFrame:
     """``row, doc_id, source, lang, topic, n_tokens, probability, kept`` for every row.
 
