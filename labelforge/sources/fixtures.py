@@ -26,25 +26,31 @@ SELECT 'files/p1' || cast(doc_id % 2 AS string) || '/p' || lpad(cast(doc_id % 97
          WHEN 1 THEN 'FINDINGS: ' || text
          WHEN 2 THEN 'IMPRESSION: ' || text
          WHEN 3 THEN 'FINDINGS:' || chr(10) || chr(10) || 'IMPRESSION: ' || text || chr(10)
-         WHEN 4 THEN 'findings: ' || substr(text, 1, 80) || chr(10) || ' impression: ' || substr(text, 81, 80)
-         WHEN 5 THEN 'FINDINGS: ' || substr(text, 1, 80) || ' IMPRESSION: ' || substr(text, 81, 80)
-         ELSE 'EXAM: x' || chr(10) || 'FINDINGS: ' || substr(text, 1, 400) || chr(10) || chr(10)
-              || 'IMPRESSION: ' || substr(text, 401, 200) || chr(10)
+         WHEN 4 THEN 'findings: ' || substr(text, 1, k) || chr(10) || ' impression: ' || substr(text, k + 1)
+         WHEN 5 THEN 'FINDINGS: ' || substr(text, 1, k) || ' IMPRESSION: ' || substr(text, k + 1)
+         ELSE 'EXAM: x' || chr(10) || 'FINDINGS: ' || substr(text, 1, k) || chr(10) || chr(10)
+              || 'IMPRESSION: ' || substr(text, k + 1) || chr(10)
        END AS text
-FROM {documents}
+FROM (SELECT doc_id, text, cast(floor(length(text) * 2 / 3e0) AS int) AS k FROM {documents}) d
 """,
     ("documents",),
 )
 
+# The two sections hold the whole text between them (two thirds and the rest);
+# rows with empty, blank and missing sections are added under ids of their own.
 VIEWS["reports"] = (
     """
 SELECT 'p' || lpad(cast(doc_id % 97 AS string), 8, '0') AS subject_id,
-       's' || lpad(cast(doc_id AS string), 8, '0') AS study_id,
-       CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 11 = 0 THEN ' ' || chr(10)
-            ELSE substr(text, 1, 400) END AS findings,
-       CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' ELSE substr(text, 401, 200) END AS impression,
-       doc_id
-FROM {documents}
+       's' || lpad(cast(doc_id AS string), 8, '0') AS study_id, findings, impression, doc_id
+FROM (
+  SELECT doc_id, substr(text, 1, k) AS findings, substr(text, k + 1) AS impression
+  FROM (SELECT doc_id, text, cast(floor(length(text) * 2 / 3e0) AS int) AS k FROM {documents}) d
+  UNION ALL
+  SELECT doc_id + 50000000 AS doc_id,
+         CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 11 = 0 THEN ' ' || chr(10) ELSE text END AS findings,
+         CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' ELSE text END AS impression
+  FROM {documents} WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0
+) r
 """,
     ("documents",),
 )

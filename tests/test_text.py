@@ -142,3 +142,15 @@ def test_top_k_with_nulls(spark):
     want = sorted(rows, key=lambda t: ((t[0] is not None, t[0]), t[1]))[:2500]
     got = [tuple(r) for r in S.top_k(df, ["a", "x"], 2500, small_k=100).collect()]
     assert got == want
+
+
+def test_report_sections_hold_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SMALL
+    from labelforge.sources.fixtures import view
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    joined = view(spark, SMALL, "reports").join(docs, "doc_id")
+    assert joined.count() == docs.count()
+    assert joined.where(F.concat("findings", "impression") != F.col("text")).count() == 0
