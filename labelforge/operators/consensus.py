@@ -65,77 +65,17 @@ def _decide(per_label: DataFrame, keys: list[str], label: str, extra: list[str])
     return per_key.where(keep)
 
 
-DICTIONARY_LIMIT = 10_000  # distinct labels / teacher names that may be dictionary-encoded
-
-
-def small_dictionaries(df: DataFrame, cols: list[str], limit: int = DICTIONARY_LIMIT) -> dict[str, list] | None:
-    """Sorted distinct non-NULL values of each column, or ``None`` when any
-    column has more than ``limit`` of them.
-
-    One narrow job (distinct with partial aggregation); at most
-    ``len(cols) * (limit + 1)`` values reach the driver, so the size is
-    checked before anything is broadcast."""
-    tagged = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
-                                           for i, c in enumerate(cols)])).alias("t")).select("t.i", "t.v")
-    rows = tagged.where(F.col("v").isNotNull()).distinct().limit(len(cols) * (limit + 1)).collect()
-    out: dict[str, list] = {c: [] for c in cols}
-    for i, v in rows:
-        out[cols[i]].append(v)
-    if any(len(vals) > limit for vals in out.values()) or len(rows) >= len(cols) * (limit + 1):
-        return None
-    return {c: sorted(vals) for c, vals in out.items()}
-
-
-def _encode(df: DataFrame, col: str, values: list, out: str) -> DataFrame:
-    """Dictionary code of ``col`` (rank in sorted order; NULL stays NULL) via a
-    broadcast hash join on a dictionary of proven size."""
-    d = df.sparkSession.createDataFrame(list(enumerate(values)), f"{out} int, {col} string")
-    return df.join(F.broadcast(d), col, "left")
-
-
-def _decode(code: str, values: list) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(code) + 1)
-
-
 def consensus_labels(votes: DataFrame, keys: list[str] = KEYS, label: str = "label",
                      score: str = "confidence", model: str = "model",
-                     ignore_failed_votes: bool = False, dictionary_limit: int = DICTIONARY_LIMIT) -> DataFrame:
+                     ignore_failed_votes: bool = False) -> DataFrame:
     """Winning (label, confidence, first model) per study — narrow columns only.
 
-    Labels and teacher names are dictionary-encoded when their domains are
-    small (checked: at most ``dictionary_limit`` distinct values each), so
-    both aggregations are hash aggregations over numeric buffers
-    (``count``/``avg``/``min`` per label, ``max_by``/``min_by`` by vote count
-    per study).  Otherwise the string form (struct buffers, sort-based
-    aggregation) is used.  ``ignore_failed_votes=True`` drops NULL-label votes
-    before counting (D4 alternative); the default keeps the reference
-    behaviour."""
+    One plan at every size: votes are read once, and no job runs while it is
+    built.  ``ignore_failed_votes=True`` drops NULL-label votes before counting
+    (D4 alternative); the default keeps the reference behaviour."""
     v = votes.select(*keys, label, score, model)
     if ignore_failed_votes:
         v = v.where(F.col(label).isNotNull())
-    types = dict(v.dtypes)
-    encodable = dictionary_limit and types[label] == "string" and types[model] == "string"
-    dicts = small_dictionaries(v, [label, model], dictionary_limit) if encodable else None
-    if dicts is None:
-        return _consensus_labels_strings(v, keys, label, score, model)
-    enc = _encode(_encode(v, label, dicts[label], "_lid"), model, dicts[model], "_mid")
-    per_label = enc.groupBy(*keys, "_lid").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(score).alias("c"), F.min("_mid").alias("fm"))
-    per_key = per_label.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k"), F.max("n").alias("top_n"), F.min("n").alias("bot_n"),
-        F.max_by("c", "n").alias("top_c"), F.min_by("c", "n").alias("bot_c"),
-        F.max_by("_lid", "n").alias("top_l"), F.max_by("fm", "n").alias("top_m"))
-    # with two labels the counts differ whenever the study is kept, so the
-    # *_by picks are unambiguous; a NULL label (failed vote) has a NULL code
-    keep = F.col("top_l").isNotNull() & (
-        (F.col("k") == 1)
-        | ((F.col("k") == 2) & (F.col("top_n") > F.col("bot_n")) & (F.col("top_c") > F.col("bot_c"))))
-    return per_key.where(keep).select(
-        *keys, _decode("top_l", dicts[label]).alias("consensus_label"), F.col("top_c").alias("consensus_confidence"),
-        _decode("top_m", dicts[model]).alias("winner_model"))
-
-
-def _consensus_labels_strings(v: DataFrame, keys: list[str], label: str, score: str, model: str) -> DataFrame:
     per_label = v.groupBy(*keys, label).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(score).alias("c"),
@@ -151,7 +91,7 @@ def _consensus_labels_strings(v: DataFrame, keys: list[str], label: str, score:
 
 
 def consensus(votes: DataFrame, keys: list[str] = KEYS, text_cols: tuple[str, ...] = ("findings", "impression"),
-              ignore_failed_votes: bool = False, dictionary_limit: int = DICTIONARY_LIMIT) -> DataFrame:
+              ignore_failed_votes: bool = False) -> DataFrame:
     """Consensus table ``keys + text_cols + label, explanation, confidence``.
 
     The decision is made on narrow rows (two partial+final aggregations over
@@ -164,8 +104,7 @@ def consensus(votes: DataFrame, keys: list[str] = KEYS, text_cols: tuple[str, ..
     split by AQE's skew-join handling (the decision side is one row per
     study) and collapsed by the partial aggregation before the last shuffle.
     """
-    decided = consensus_labels(votes, keys, ignore_failed_votes=ignore_failed_votes,
-                               dictionary_limit=dictionary_limit).select(
+    decided = consensus_labels(votes, keys, ignore_failed_votes=ignore_failed_votes).select(
         *keys, F.col("consensus_label").alias("label"), F.col("winner_model").alias("model"),
         F.col("consensus_confidence").alias("confidence"))
     v = votes.select(*keys, "label", "model", "explanation", *text_cols)
@@ -254,41 +193,26 @@ def align_passes(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_col: st
 
 
 def _sentence_decisions(votes: DataFrame, keys: list[str], pass_col: str, n_passes: int,
-                        label: str, score: str, dictionary_limit: int = DICTIONARY_LIMIT) -> DataFrame:
+                        label: str, score: str) -> DataFrame:
     """Per sentence key: number of labels, top/bottom (count, mean), the top
     label, and whether every pass voted exactly once.  Two partial+final
-    aggregations; the pass set travels as a bit mask, so no extra join.
-    Labels are dictionary-encoded when their domain is small (hash
-    aggregation over numeric buffers), else carried in struct buffers."""
+    aggregations; the pass set travels as a bit mask, so no extra join."""
     mask = F.bit_or(F.expr(f"shiftleft(1, cast(`{pass_col}` AS int))")).alias("m")
     full_mask = sum(1 << p for p in range(1, n_passes + 1))
     v = votes.select(*keys, label, score, pass_col)
-    encodable = dictionary_limit and dict(v.dtypes)[label] == "string"
-    dicts = small_dictionaries(v, [label], dictionary_limit) if encodable else None
-    if dicts is not None:
-        enc = _encode(v, label, dicts[label], "_lid")
-        per_label = enc.groupBy(*keys, "_lid").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("c"), mask)
-        per_key = per_label.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("k"), F.max("n").alias("top_n"), F.min("n").alias("bot_n"),
-            F.max_by("c", "n").alias("top_c"), F.min_by("c", "n").alias("bot_c"),
-            F.max_by("_lid", "n").alias("top_l"), F.sum("n").alias("votes"), F.bit_or("m").alias("mask"))
-        flat = per_key.select(*keys, "k", "top_n", "bot_n", "top_c", "bot_c", "votes", "mask",
-                              _decode("top_l", dicts[label]).alias("top_lbl"))
-    else:
-        per_label = v.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("c"), mask)
-        packed = F.struct(F.col("n"), F.col("c"), F.col(label).alias("lbl"))
-        per_key = per_label.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("k"), F.max(packed).alias("top"), F.min(packed).alias("bot"),
-            F.sum("n").alias("votes"), F.bit_or("m").alias("mask"))
-        flat = per_key.select(*keys, "k", F.col("top.n").alias("top_n"), F.col("bot.n").alias("bot_n"),
-                              F.col("top.c").alias("top_c"), F.col("bot.c").alias("bot_c"), "votes", "mask",
-                              F.col("top.lbl").alias("top_lbl"))
+    per_label = v.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("c"), mask)
+    packed = F.struct(F.col("n"), F.col("c"), F.col(label).alias("lbl"))
+    per_key = per_label.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k"), F.max(packed).alias("top"), F.min(packed).alias("bot"),
+        F.sum("n").alias("votes"), F.bit_or("m").alias("mask"))
+    flat = per_key.select(*keys, "k", F.col("top.n").alias("top_n"), F.col("bot.n").alias("bot_n"),
+                          F.col("top.c").alias("top_c"), F.col("bot.c").alias("bot_c"), "votes", "mask",
+                          F.col("top.lbl").alias("top_lbl"))
     return flat.withColumn("complete", (F.col("mask") == full_mask) & (F.col("votes") == n_passes))
 
 
 def sentence_consensus(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_col: str = "pass",
-                       n_passes: int = 3, label: str = "Result", score: str = "confidence",
-                       dictionary_limit: int = DICTIONARY_LIMIT) -> DataFrame:
+                       n_passes: int = 3, label: str = "Result", score: str = "confidence") -> DataFrame:
     """Per sentence, all passes agree → keep with the mean score; exactly
     two labels → keep the strict count majority iff its mean score is
     strictly higher; all different / no winner → drop.
@@ -297,7 +221,7 @@ def sentence_consensus(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_c
     exactly one vote in every pass take part (the reference requires equal
     vote lists); ``alignment_audit`` lists the others.
     """
-    d = _sentence_decisions(votes, keys, pass_col, n_passes, label, score, dictionary_limit)
+    d = _sentence_decisions(votes, keys, pass_col, n_passes, label, score)
     keep = F.col("complete") & F.col("top_lbl").isNotNull() & (
         (F.col("k") == 1)
         | ((F.col("k") == 2) & (F.col("top_n") > F.col("bot_n")) & (F.col("top_c") > F.col("bot_c"))))

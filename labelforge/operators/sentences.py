@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import strip
+from labelforge.operators.teacher import running_total
 
 
 def _c(x: Column | str) -> Column:
@@ -72,33 +73,28 @@ def cap_work(df: DataFrame, max_files: int | None = None, max_rows_per_file: int
     return out
 
 
-def top_k(df: DataFrame, order: list[str], k: int, small_k: int = 1000, oversample: float = 3.0,
-          seed: int = 17) -> DataFrame:
+def preview(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """O3: the first few rows in ``order``: every task keeps ``k`` rows and one
+    task merges them.  For slices of thousands of rows use ``first_rows``."""
+    return df.orderBy(*order).limit(k)
+
+
+def first_rows(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """The first ``k`` rows in ``order`` (ascending, NULLs first), exact.
 
-    ``orderBy(order).limit(k)`` keeps ``k`` rows per task and merges them in
-    one task — fine for a small ``k``, but partitions × ``k`` rows for a large
-    ``k`` on a wide table.  For ``k > small_k`` a threshold key is read from a
-    sample of about ``oversample × k × 20`` keys (bounded, sorted on the
-    driver), checked with one count, and only rows at or below it go through
-    the final exact ``orderBy().limit(k)``; an unlucky sample widens the
-    threshold (doubling), so the answer is always exact.
+    The keys are counted and ranked by the distributed running total, and the
+    rows are joined to the keys that start before rank ``k``; no key reaches
+    the driver and no task holds more than its share.  Where equal keys
+    straddle rank ``k``, those rows are ranked by their other columns.
     """
-    if k <= small_k:
-        return df.orderBy(*order).limit(k)
-    key = F.struct(*[F.col(c) for c in order])
-    total = df.count()
-    if total <= k:
-        return df.orderBy(*order)
-    frac = min(1.0, 20.0 * oversample * k / total)
-    sample = sorted((tuple(r) for r in df.select(*order).sample(fraction=frac, seed=seed).collect()),
-                    key=lambda t: tuple((v is not None, v) for v in t))
-    pos = int(oversample * k * frac) if frac < 1.0 else k - 1
-    while pos < len(sample):
-        t = sample[pos]
-        bound = F.struct(*[F.lit(v).cast(df.schema[c].dataType) for v, c in zip(t, order)])
-        cand = df.where(key <= bound)
-        if cand.count() >= k:
-            return cand.orderBy(*order).limit(k)
-        pos = pos * 2 + 1
-    return df.orderBy(*order).limit(k)
+    others = [c for c in df.columns if c not in order]
+    keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_total(keys, order, "_n", out="_upto")
+    wanted = ranked.where(F.col("_upto") - F.col("_n") < k).select(
+        *[F.col(c).alias(f"_key_{i}") for i, c in enumerate(order)],
+        (F.lit(k) - F.col("_upto") + F.col("_n")).alias("_room"), "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(order)]
+    found = df.join(wanted, same, "inner").select(*df.columns, "_room", "_n")
+    whole = found.where(F.col("_n") <= F.col("_room")).select(*df.columns)
+    cut = running_total(found.where(F.col("_n") > F.col("_room")), [*order, *others], F.lit(1), out="_rank")
+    return whole.unionByName(cut.where(F.col("_rank") <= F.col("_room")).select(*df.columns)).orderBy(*order)

@@ -510,9 +510,11 @@ def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", d
     encoder = encoder or bucket_encoder()
     if not dedupe:
         return encoder(df.withColumn("_flat", flatten_newlines(text)), "_flat", out).drop("_flat")
-    distinct = df.select(flatten_newlines(text).alias("_flat")).distinct()
-    emb = encoder(distinct, "_flat", out)
-    return df.withColumn("_flat", flatten_newlines(text)).join(emb, "_flat", "left").drop("_flat")
+    distinct = df.select(flatten_newlines(text).alias("_key")).distinct()
+    emb = encoder(distinct, "_key", out)
+    flat = df.withColumn("_flat", flatten_newlines(text))
+    # null-safe: a NULL text gets the encoder's answer for NULL, as in place
+    return flat.join(emb, F.col("_flat").eqNullSafe(F.col("_key")), "left").drop("_flat", "_key")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,29 +1,33 @@
 """Vector operators.
 
-Pooling is one aggregation per sequence with one ``avg``/``sum`` per
-dimension (hash aggregation, partial before the shuffle; no explode, no
-collected lists).  The contrastive losses need every pair of a mini-batch;
-instead of emitting those pairs as rows they run as one ``applyInPandas``
-task per mini-batch on a B×B matrix, and a batch never holds more than the
-``size`` rows given to ``assign_batches``.
+Pooling is one vector aggregate per sequence, whatever the dimension (partial
+before the shuffle; no explode, no collected lists).  The contrastive losses
+need every pair of a mini-batch; instead of emitting those pairs as rows they
+run as one ``applyInPandas`` task per mini-batch that walks the B×B product in
+blocks of ``BLOCK_ROWS`` rows, so memory is block × B and a batch of any size
+is computed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.operators.teacher import running_total
 
-MAX_BATCH_ROWS = 4096  # a mini-batch is a B×B matrix in one task: refuse unbounded groups
+BLOCK_ROWS = 512
 
 
-def _check_batch(n: int, limit: int, batch_value) -> None:
-    if n > limit:
-        raise ValueError(f"mini-batch {batch_value!r} has {n} rows (> {limit}); assign bounded batches "
-                         "with assign_batches() before computing pairwise losses")
+def _blocks(n: int) -> Iterator[np.ndarray]:
+    """Consecutive row numbers of an n-row matrix, a block at a time."""
+    for start in range(0, n, BLOCK_ROWS):
+        yield np.arange(start, min(start + BLOCK_ROWS, n))
 
 
 def _c(x: Column | str) -> Column:
@@ -45,17 +49,26 @@ def vector_dim(df: DataFrame, vec: str) -> int:
     return int(df.select(F.size(vec)).first()[0])
 
 
+def _vector_sum(v: Column, dim: int) -> Column:
+    """Element-wise sum of vectors as one aggregate; a NULL vector adds nothing."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return vector_to_array(Summarizer.sum(array_to_vector(F.coalesce(v, zero))))
+
+
 def mean_pool(tokens: DataFrame, seq: str, vec: str, dim: int) -> DataFrame:
-    """V2: unmasked mean over all positions of a sequence (padding counted)."""
-    return tokens.groupBy(seq).agg(F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dim)]).alias("pooled"))
+    """V2: unmasked mean over all positions of a sequence (padding counted;
+    NULL vectors are left out, a sequence of NULL vectors only gives NULL)."""
+    g = tokens.groupBy(seq).agg(_vector_sum(F.col(vec).cast("array<double>"), dim).alias("_sum"), F.count(vec).alias("_n"))
+    return g.select(seq, F.when(F.col("_n") > 0, F.transform("_sum", lambda x: x / F.col("_n"))).alias("pooled"))
 
 
 def masked_mean_pool(tokens: DataFrame, seq: str, vec: str, mask: str, dim: int) -> DataFrame:
-    """V3: ``sum(v * m) / max(sum(m), 1)`` per sequence."""
-    m = F.col(mask).cast("double")
-    denom = F.greatest(F.sum(m), F.lit(1.0))
-    return tokens.groupBy(seq).agg(
-        F.array(*[F.sum(F.col(vec)[i].cast("double") * m) / denom for i in range(dim)]).alias("pooled"))
+    """V3: ``sum(v * m) / max(sum(m), 1)`` per sequence (an all-masked sequence
+    gives the zero vector)."""
+    m = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+    masked = F.transform(F.col(vec), lambda x: x.cast("double") * m)
+    g = tokens.groupBy(seq).agg(_vector_sum(masked, dim).alias("_sum"), F.greatest(F.sum(m), F.lit(1.0)).alias("_n"))
+    return g.select(seq, F.transform("_sum", lambda x: x / F.col("_n")).alias("pooled"))
 
 
 def first_token(tokens: DataFrame, seq: str, vec: str, pos: str) -> DataFrame:
@@ -101,23 +114,33 @@ def supcon_batch(z: np.ndarray, labels: np.ndarray | None, sample: np.ndarray |
 
     Positives: same label (or, without labels, same sample); self excluded.
     Anchors without a positive score 0."""
-    z = _unit_rows(z)
-    s = (z @ z.T) / temperature
-    g = s - s.max(axis=1, keepdims=True)
-    n = len(z)
-    not_self = ~np.eye(n, dtype=bool)
     key = labels if labels is not None else sample
-    pos = (key[:, None] == key[None, :]) & not_self
-    lse = np.log((np.exp(g) * not_self).sum(axis=1) + 1e-12)
-    p = pos.sum(axis=1)
-    mean_pos = np.where(p > 0, (g * pos).sum(axis=1) / np.maximum(p, 1) - np.where(p > 0, lse, 0), 0.0)
-    loss = -(temperature / base_temperature) * mean_pos
+    loss = _anchor_losses(z, lambda rows: key[rows, None] == key[None, :], temperature, base_temperature)
     return loss[anchors]
 
 
+def _anchor_losses(z: np.ndarray, positives: Callable[[np.ndarray], np.ndarray], temperature: float,
+                   base_temperature: float) -> np.ndarray:
+    """Loss of every row as anchor; ``positives(rows)`` is the block of the mask for those anchors."""
+    z = _unit_rows(z)
+    loss = np.zeros(len(z))
+    for rows in _blocks(len(z)):
+        g = (z[rows] @ z.T) / temperature
+        g -= g.max(axis=1, keepdims=True)
+        own = (np.arange(len(rows)), rows)
+        pos = positives(rows)
+        pos[own] = False
+        e = np.exp(g)
+        e[own] = 0.0
+        p = pos.sum(axis=1)
+        mean_pos = (g * pos).sum(axis=1) / np.maximum(p, 1) - np.log(e.sum(axis=1) + 1e-12)
+        loss[rows] = np.where(p > 0, -(temperature / base_temperature) * mean_pos, 0.0)
+    return loss
+
+
 def supcon_loss(df: DataFrame, batch: str, vec: str, label: str | None = "label", sample: str | None = None,
                 view: str | None = None, temperature: float = 0.07, base_temperature: float = 0.07,
-                mode: str = "all", max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
+                mode: str = "all") -> DataFrame:
     """V9: SupCon loss per mini-batch → ``(batch, loss, anchors)``.
 
     Each row is one view of one sample.  ``label=None`` gives the
@@ -126,11 +149,10 @@ def supcon_loss(df: DataFrame, batch: str, vec: str, label: str | None = "label"
     if label is None and sample is None:
         raise ValueError("unsupervised loss needs a sample column (views of one sample are positives)")
     if mode not in ("all", "one"):
-        raise ValueError(f"Unknown mode: {mode}")
+        raise ValueError(f"mode must be 'all' or 'one', got {mode!r}")
     cols = [batch, vec] + [c for c in (label, sample, view) if c]
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        _check_batch(len(pdf), max_batch_rows, pdf[batch].iloc[0])
         z = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
         labs = pdf[label].to_numpy() if label else None
         smp = pdf[sample].to_numpy() if sample else None
@@ -144,37 +166,35 @@ def supcon_loss(df: DataFrame, batch: str, vec: str, label: str | None = "label"
 
 
 def supcon_loss_masked(df: DataFrame, pairs: DataFrame, batch: str, key: str, vec: str,
-                       temperature: float = 0.07, base_temperature: float = 0.07,
-                       max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
+                       temperature: float = 0.07, base_temperature: float = 0.07) -> DataFrame:
     """V9 with a user mask: ``pairs`` holds ``(batch, anchor, positive)`` key
     pairs (may be asymmetric; self pairs are ignored) instead of labels.
 
     Rows and mask pairs of one mini-batch meet in one co-grouped
-    ``applyInPandas`` call; the mask is at most B×B for a batch of B rows."""
+    ``applyInPandas`` call; the pairs stay a list, spread over one block of
+    anchors at a time."""
     if "label" in pairs.columns:
-        raise ValueError("Cannot define both `labels` and `mask`")
+        raise ValueError("positives come from labels or from a mask, not from both")
 
     def per_batch(rows: pd.DataFrame, mask: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame({batch: [], "loss": [], "anchors": []})
-        _check_batch(len(rows), max_batch_rows, rows[batch].iloc[0])
-        rows = rows.sort_values(key)
-        ids = rows[key].to_numpy()
-        pos_of = {k: i for i, k in enumerate(ids)}
+        ids = pd.Index(rows[key])
         n = len(ids)
-        m = np.zeros((n, n), dtype=bool)
-        for a, p in zip(mask["anchor"], mask["positive"]):
-            if a in pos_of and p in pos_of:
-                m[pos_of[a], pos_of[p]] = True
-        z = _unit_rows(np.vstack(rows[vec].to_numpy()).astype(np.float64))
-        s = (z @ z.T) / temperature
-        g = s - s.max(axis=1, keepdims=True)
-        not_self = ~np.eye(n, dtype=bool)
-        pos = m & not_self
-        lse = np.log((np.exp(g) * not_self).sum(axis=1) + 1e-12)
-        cnt = pos.sum(axis=1)
-        mean_pos = np.where(cnt > 0, (g * pos).sum(axis=1) / np.maximum(cnt, 1) - lse, 0.0)
-        loss = -(temperature / base_temperature) * mean_pos
+        a, p = ids.get_indexer(mask["anchor"]), ids.get_indexer(mask["positive"])
+        known = (a >= 0) & (p >= 0)
+        a, p = a[known], p[known]
+        order = np.argsort(a, kind="stable")
+        a, p = a[order], p[order]
+
+        def positives(block: np.ndarray) -> np.ndarray:
+            lo, hi = np.searchsorted(a, [block[0], block[-1] + 1])
+            m = np.zeros((len(block), n), dtype=bool)
+            m[a[lo:hi] - block[0], p[lo:hi]] = True
+            return m
+
+        z = np.vstack(rows[vec].to_numpy()).astype(np.float64)
+        loss = _anchor_losses(z, positives, temperature, base_temperature)
         return pd.DataFrame({batch: [rows[batch].iloc[0]], "loss": [float(loss.mean())], "anchors": [n]})
 
     # fresh aliases: the mask is usually derived from the same rows, and
@@ -185,13 +205,13 @@ def supcon_loss_masked(df: DataFrame, pairs: DataFrame, batch: str, key: str, ve
 
 
 def gram_rows(df: DataFrame, batch: str, key: str, vec: str, scale: float = 1.0,
-              normalize: bool = False, max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
+              normalize: bool = False) -> DataFrame:
     """The Gram matrix of each mini-batch as one row per anchor:
     ``(batch, key, partners, sims)`` with ``sims[j] = z_key · z_partners[j] / scale``
-    (partners in key order)."""
+    (partners in key order).  The matrix is the output, so a task holds B×B
+    numbers; the losses below do not need it."""
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        _check_batch(len(pdf), max_batch_rows, pdf[batch].iloc[0])
         pdf = pdf.sort_values(key)
         z = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
         if normalize:
@@ -208,36 +228,36 @@ def gram_rows(df: DataFrame, batch: str, key: str, vec: str, scale: float = 1.0,
 def ntxent_batch(z: np.ndarray, labels: np.ndarray, scale: float = 0.1, temperature: float = 0.07) -> float | None:
     """NT-Xent with labels over the rows of ``z·zᵀ/scale`` (z unit rows):
     mean over ordered positive pairs of ``-ln(e^{s_ap/τ} / (e^{s_ap/τ} + Σ_neg e^{s_an/τ}))``
-    with ``s`` the cosine similarity of the feature rows."""
+    with ``s`` the cosine similarity of the feature rows.
+
+    The inner product of two feature rows is ``z_a (zᵀz) z_bᵀ / scale²``, so the
+    feature matrix itself is never built."""
     z = _unit_rows(z)
-    r = (z @ z.T) / scale
-    r = _unit_rows(r)
-    s = (r @ r.T) / temperature
-    same = labels[:, None] == labels[None, :]
-    n = len(z)
-    pos = same & ~np.eye(n, dtype=bool)
-    neg = ~same
-    if not pos.any():
-        return None
-    m = s.max()
-    e = np.exp(s - m)
-    neg_sum = (e * neg).sum(axis=1)
-    a, p = np.nonzero(pos)
-    losses = -np.log(e[a, p] / (e[a, p] + neg_sum[a]))
-    return float(losses.mean())
+    h = z @ (z.T @ z)
+    norm = np.maximum(np.sqrt(np.maximum((h * z).sum(axis=1), 0.0)) / scale, 1e-12) * scale
+    total, pairs = 0.0, 0
+    for rows in _blocks(len(z)):
+        s = (h[rows] @ z.T) / (norm[rows, None] * norm[None, :] * temperature)
+        pos = labels[rows, None] == labels[None, :]
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        neg_sum = (e * ~pos).sum(axis=1)
+        pos[np.arange(len(rows)), rows] = False
+        a, p = np.nonzero(pos)
+        total -= float(np.log(e[a, p] / (e[a, p] + neg_sum[a])).sum())
+        pairs += len(a)
+    return total / pairs if pairs else None
 
 
 def ntxent_loss(df: DataFrame, batch: str, vec: str, label: str, scale: float = 0.1,
-                temperature: float = 0.07, max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
+                temperature: float = 0.07) -> DataFrame:
     """Archived NT-Xent variant per mini-batch → ``(batch, loss, pairs)``."""
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        _check_batch(len(pdf), max_batch_rows, pdf[batch].iloc[0])
         z = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
         labs = pdf[label].to_numpy()
         loss = ntxent_batch(z, labs, scale, temperature)
-        same = labs[:, None] == labs[None, :]
-        pairs = int(same.sum() - len(labs))
+        sizes = pd.Series(labs).value_counts().to_numpy()
+        pairs = int((sizes * (sizes - 1)).sum())
         return pd.DataFrame({batch: [pdf[batch].iloc[0]], "loss": [loss], "pairs": [pairs]})
 
     return df.select(batch, vec, label).groupBy(batch).applyInPandas(per_batch, f"{batch} long, loss double, pairs long")

@@ -36,8 +36,8 @@ win AS (SELECT v.subject_id, v.study_id, v.findings, v.impression, cons.cl, v.ex
 SELECT subject_id, study_id, findings, impression, cl AS label, explanation, cc AS confidence FROM win WHERE rn = 1
 """))
 def c1_consensus(spark, sf_dir):
-    # votes as a stored table: the operator scans it three times (dictionary
-    # check, narrow decision, text join), each reading only the columns it needs
+    # votes as a stored table: the operator scans it twice (narrow decision,
+    # text join), each reading only the columns it needs
     return C.consensus(stored_view(spark, sf_dir, "votes"))
 
 

@@ -135,7 +135,7 @@ SELECT subject_id, study_id, findings, impression FROM reports ORDER BY subject_
 def o2_test_slice(spark, sf_dir):
     # the reference's test split: first 5,217 reports of the sorted partition
     r = view(spark, sf_dir, "reports").select(*KEYS, "findings", "impression")
-    return S.top_k(r, KEYS, ST.TEST_SLICE_ROWS)
+    return S.first_rows(r, KEYS, ST.TEST_SLICE_ROWS)
 
 
 @register("o3_preview", oracle(["votes"], """
@@ -143,7 +143,7 @@ SELECT subject_id, study_id, model, label FROM votes ORDER BY subject_id, study_
 """))
 def o3_preview(spark, sf_dir):
     v = view(spark, sf_dir, "votes").select(*KEYS, "model", "label")
-    return v.orderBy(*KEYS, "model").limit(10)
+    return S.preview(v, [*KEYS, "model"], 10)
 
 
 @register("o4_prefix_subset", oracle(["reports"], f"""
@@ -151,8 +151,8 @@ SELECT study_id, findings FROM reports ORDER BY subject_id, study_id LIMIT {ST.P
 """))
 def o4_prefix_subset(spark, sf_dir):
     # the same first 2,000 rows for every model: explicit key order
-    r = view(spark, sf_dir, "reports")
-    return S.top_k(r, KEYS, ST.PREFIX_SUBSET_ROWS).select("study_id", "findings")
+    r = view(spark, sf_dir, "reports").select(*KEYS, "findings")
+    return S.first_rows(r, KEYS, ST.PREFIX_SUBSET_ROWS).select("study_id", "findings")
 
 
 @register("o6_cap_folders", oracle(["reports_raw"], rf"""

@@ -15,6 +15,7 @@ from labelforge.operators import consensus as C
 from labelforge.operators import incremental as I
 from labelforge.operators import metrics as M
 from labelforge.operators import teacher as TE
+from labelforge.plans import settings as ST
 from labelforge.plans.q_consensus import _CONSENSUS_CTES
 from labelforge.plans.q_metrics import _CONF, scored
 from labelforge.plans.q_text import FIND_SQL, IMPR_SQL, PATH_SQL, strip_sql
@@ -267,29 +268,56 @@ def _label(df):
 
 @register("j5_remaining_work", oracle(["reports_raw"], r"""
 f AS (SELECT path, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS folder FROM reports_raw),
-done AS (SELECT DISTINCT folder FROM f ORDER BY folder LIMIT 40)
-SELECT path, folder FROM f WHERE folder NOT IN (SELECT folder FROM done)
-"""))
+done AS (SELECT DISTINCT path FROM f ORDER BY path LIMIT {cap})
+SELECT path, folder FROM f WHERE path NOT IN (SELECT path FROM done)
+""".replace("{cap}", str(ST.TEST_FOLDER_CAP))))
 def j5_remaining_work(spark, sf_dir):
+    # the unit of work is a report file: what one capped run leaves
     root = scratch_path(spark, "resume_j5")
     units = _units(spark, sf_dir).select("path", "folder")
-    I.resume_labelling(spark, units, "folder", root, lambda d: d, cap=40)
+    I.resume_labelling(spark, units, "path", root, lambda d: d, cap=ST.TEST_FOLDER_CAP)
     processed, _ = I.load_state(spark, root)
-    return I.remaining_work(units, processed, "folder")
+    return I.remaining_work(units, processed, "path")
 
 
 @register("x1_resume_labelling", _PARSED_SQL)
 def x1_resume_labelling(spark, sf_dir):
     # capped runs until nothing is left; the union of committed results equals one full run
     root = scratch_path(spark, "resume_x1")
-    units = _units(spark, sf_dir)
+    _run_to_the_end(spark, _units(spark, sf_dir), root, _label)
+    return I.committed_results(spark, root, "folder").drop("folder")
+
+
+def _run_to_the_end(spark, units, root, label, **kw):
     total = units.select("folder").distinct().count()
-    cap = 40
-    for _ in range(-(-total // cap) + 1):
-        I.resume_labelling(spark, units, "folder", root, _label, cap=cap)
+    for _ in range(-(-total // ST.TEST_FOLDER_CAP) + 1):
+        I.resume_labelling(spark, units, "folder", root, label, cap=ST.TEST_FOLDER_CAP, **kw)
+
+
+def _label_or_fail(df):
+    """A labeller that cannot reach the folders whose number ends in 3."""
+    return _label(df).withColumn("error", F.when(F.col("folder").endswith("3"), F.concat(F.lit("unreachable: "), "folder")))
+
+
+@register("x1_resume_with_failures", _PARSED_SQL + r"""WHERE NOT regexp_matches(path, '3/[^/]+$')
+""")
+def x1_resume_with_failures(spark, sf_dir):
+    root = scratch_path(spark, "resume_failures")
+    _run_to_the_end(spark, _units(spark, sf_dir), root, _label_or_fail, error_col="error")
     return I.committed_results(spark, root, "folder").drop("folder")
 
 
+@register("s19_dead_letter", oracle(["reports_raw"], r"""
+f AS (SELECT DISTINCT regexp_extract(path, '([^/]+)/[^/]+$', 1) AS unit FROM reports_raw)
+SELECT unit, 'unreachable: ' || unit AS error FROM f WHERE ends_with(unit, '3')
+"""))
+def s19_dead_letter(spark, sf_dir):
+    root = scratch_path(spark, "resume_dead")
+    _run_to_the_end(spark, _units(spark, sf_dir), root, _label_or_fail, error_col="error")
+    _, dead = I.load_state(spark, root)
+    return dead.select("unit", "error")
+
+
 @register("s19_checkpoint_state", oracle(["reports_raw"], r"""
 SELECT DISTINCT regexp_extract(path, '([^/]+)/[^/]+$', 1) AS unit FROM reports_raw
 """))

@@ -289,7 +289,8 @@ def c2_consensus_from_teachers(spark, sf_dir):
     """T2 votes → T7 embeddings of context and explanation → T6 confidence → C2."""
     teachers = [TE.rule_teacher(shift, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0, gate=gate)
                 for shift, gate in PASS_TEACHERS]
-    votes = TE.label_sentences(sentences(spark, sf_dir), teachers, SENT_KEYS, passes=3)
+    # written once: both embeddings below read the votes, and each prompt is sent once
+    votes = TE.materialize(TE.label_sentences(sentences(spark, sf_dir), teachers, SENT_KEYS, passes=3), "sentence_votes")
     # the three passes share each context, and explanations repeat: embed distinct texts once
     ctx = TE.embed_text(votes, "Context", out="ctx_emb")
     both = TE.embed_text(ctx, "Explanation", out="exp_emb")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labelforge.operators.sentences import split_sentences
 from labelforge.session import table
 
 # name -> (sql text, base tables / views it reads)
@@ -75,17 +76,29 @@ WHERE r.doc_id % 23 <> t.k
     ("reports",),
 )
 
+# Every sentence of every document (P10).  Spark builds this view with the
+# operator itself (``BUILT`` below); the SQL is for DuckDB alone.
+VIEWS["document_sentences"] = (
+    r"""
+SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS i, unnest(s) AS sentence
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '.'),
+             lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM {documents})
+""",
+    ("documents",),
+)
+
+# Three teacher passes over those sentences; the votes depend on the sentence's length.
 VIEWS["sentence_votes"] = (
     """
 SELECT 'shard-' || cast(doc_id % 3 AS string) || '.parquet' AS parquet_file, doc_id AS row_index, s.i AS sentence_index, p.pass,
-       CASE WHEN (doc_id * (p.pass + 2) + s.i) % 5 < 2 THEN 'Yes' WHEN (doc_id + p.pass * s.i) % 7 < 5 THEN 'No' ELSE 'Uncertain' END AS Result,
-       ((doc_id * 13 + s.i * 7 + p.pass * 29) % 64) / 64e0 AS confidence
-FROM {documents}
-CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) s
+       CASE WHEN (length(sentence) * (p.pass + 2) + s.i) % 5 < 2 THEN 'Yes'
+            WHEN (doc_id + length(sentence) + p.pass * s.i) % 7 < 5 THEN 'No' ELSE 'Uncertain' END AS Result,
+       ((doc_id * 13 + length(sentence) * 7 + p.pass * 29) % 64) / 64e0 AS confidence
+FROM {document_sentences} s
 CROSS JOIN (SELECT 1 AS pass UNION ALL SELECT 2 UNION ALL SELECT 3) p
 WHERE (doc_id + s.i) % 41 <> p.pass
 """,
-    ("documents",),
+    ("document_sentences",),
 )
 
 VIEWS["raw_outputs"] = (
@@ -142,8 +155,19 @@ FROM {documents}
 )
 
 
+def _document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return split_sentences(docs, "text", "period", index="i")
+
+
+#: Views that Spark builds with an operator instead of the SQL text.
+BUILT = {"document_sentences": _document_sentences}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a derived view (or load a driver table) as a lazy DataFrame."""
+    if name in BUILT:
+        return BUILT[name](spark, sf_dir)
     if name not in VIEWS:
         return table(spark, sf_dir, name)
     text, deps = VIEWS[name]

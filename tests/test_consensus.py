@@ -4,6 +4,7 @@ plan shape."""
 import random
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from labelforge.operators import consensus as C
 
@@ -47,10 +48,8 @@ def test_rules(spark):
     # ignoring failed votes rescues s6
     out2 = result(C.consensus(v, ignore_failed_votes=True))
     assert out2["s6"] == ("Normal", 0.7, "Normal because a")
-    # the text-in-aggregation variant and the undictionaried string path agree
+    # the text-in-aggregation variant agrees
     assert result(C.consensus_with_text(v)) == out
-    assert result(C.consensus(v, dictionary_limit=0)) == out
-    assert result(C.consensus(v, dictionary_limit=2)) == out  # 3 labels > 2: falls back
 
 
 def test_duplicates_count_as_votes(spark):
@@ -103,8 +102,6 @@ def test_sentence_consensus_matches_python(spark):
                 truth[i] = (a, ma)
     df = spark.createDataFrame(rows)
     got = {r.row_index: (r.Result, r.confidence) for r in C.sentence_consensus(df).collect()}
-    assert got == {r.row_index: (r.Result, r.confidence)
-                   for r in C.sentence_consensus(df, dictionary_limit=0).collect()}
     assert got.keys() == truth.keys()
     for k in truth:
         assert got[k][0] == truth[k][0] and abs(got[k][1] - truth[k][1]) < 1e-12
@@ -151,7 +148,6 @@ def test_hot_study_third_of_rows(spark):
     v = votes(spark, rows).repartition(8)
     out = result(C.consensus(v))
     assert out["hot"] == ("Normal", 0.75, "Normal because a")
-    assert result(C.consensus(v, dictionary_limit=0)) == out
     assert len(out) == 1001
     plan = C.consensus(v)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
@@ -183,8 +179,33 @@ def test_budget_five_sample_files_do_not_align(spark):
     assert C.consensus_audit(df).first().total == 0
 
 
-def test_integer_labels_use_the_string_path(spark):
-    # labels that are not strings are not dictionary-encoded (the codes are string-keyed)
+def test_labels_that_change_between_scans_lose_no_study(spark):
+    # a sampling teacher gives other labels on every scan; every study is unanimous
+    def relabel(batches):
+        import uuid
+
+        label = uuid.uuid4().hex
+        for pdf in batches:
+            yield pdf.assign(label=label)
+
+    rows = [("p", f"s{i}", 0.5, m) for i in range(100) for m in ("a", "b", "c")]
+    base = spark.createDataFrame(rows, "subject_id string, study_id string, confidence double, model string").coalesce(1)
+    v = base.mapInPandas(relabel, "subject_id string, study_id string, confidence double, model string, label string")
+    sc = spark.sparkContext
+    sc.setJobGroup("build-consensus", "plans only")
+    try:
+        documents = C.consensus_labels(v)
+        s = v.select("subject_id", "study_id", F.col("label").alias("Result"), "confidence",
+                     (F.ascii("model") - 96).alias("pass"))
+        sentences = C.sentence_consensus(s, keys=["subject_id", "study_id"])
+        assert len(sc.statusTracker().getJobIdsForGroup("build-consensus")) == 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert documents.count() == 100
+    assert sentences.count() == 100
+
+
+def test_integer_labels(spark):
     rows = [("p", "s1", 1, 0.5, "a"), ("p", "s1", 1, 0.25, "b"), ("p", "s2", 0, 0.75, "a"),
             ("p", "s2", 0, 0.5, "b"), ("p", "s2", 1, 0.25, "c")]
     v = spark.createDataFrame(rows, "subject_id string, study_id string, label int, confidence double, model string")

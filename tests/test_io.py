@@ -122,11 +122,45 @@ def test_resume_with_dead_letters(spark):
     label = lambda d: d.withColumn("error", F.when(F.col("folder") == "f3", F.lit("boom")))
     I.resume_labelling(spark, units, "folder", root, label, error_col="error")
     processed, dead = I.load_state(spark, root)
-    assert sorted(r.unit for r in processed.collect()) == ["f0", "f1", "f2"]
-    assert [(r.unit, r.error) for r in dead.collect()] == [("f3", "boom")]
-    # the trouble list is reloaded and extended, not used to skip: f3 is tried again
+    assert sorted((r.unit, r.status) for r in processed.collect()) == \
+        [("f0", "done"), ("f1", "done"), ("f2", "done"), ("f3", "failed")]
+    assert [(r.unit, r.error) for r in dead.collect()] == [("f3", "boom")]  # one row per unit and run
+    # the queue moves past a failed unit: a second run finds nothing left to do
     I.resume_labelling(spark, units, "folder", root, label, error_col="error")
-    _, dead2 = I.load_state(spark, root)
-    assert dead2.count() == 2
+    processed, dead = I.load_state(spark, root)
+    assert processed.count() == 4 and dead.count() == 1
     got = sorted(r.x for r in I.committed_results(spark, root, "folder").collect())
     assert got == sorted(i for i in range(20) if i % 4 != 3)
+
+
+def test_capped_runs_move_past_failing_and_empty_units(spark):
+    root = tempfile.mkdtemp(prefix="lf-starve-")
+    units = spark.createDataFrame([(f"f{i % 6}", i) for i in range(30)], "folder string, x long")
+    # f0 and f1 always fail, f2 gives no rows, f3 fails in part
+    label = lambda d: d.where("folder <> 'f2'").withColumn(
+        "error", F.when(F.col("folder").isin("f0", "f1") | (F.col("x") == 3), F.lit("boom")))
+    for _ in range(4):
+        I.resume_labelling(spark, units, "folder", root, label, cap=2, error_col="error")
+    processed, dead = I.load_state(spark, root)
+    assert sorted((r.unit, r.status) for r in processed.collect()) == [
+        ("f0", "failed"), ("f1", "failed"), ("f2", "empty"), ("f3", "partial"), ("f4", "done"), ("f5", "done")]
+    assert sorted(r.unit for r in dead.collect()) == ["f0", "f1", "f3"]
+    got = sorted(r.x for r in I.committed_results(spark, root, "folder").collect())
+    assert got == [i for i in range(30) if i % 6 in (4, 5) or (i % 6 == 3 and i != 3)]
+
+
+def test_each_row_is_labelled_once(spark):
+    root = tempfile.mkdtemp(prefix="lf-once-")
+    calls = spark.sparkContext.accumulator(0)
+
+    def count_calls(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf.assign(error=[None if x % 2 else "odd one out" for x in pdf["x"]])
+
+    units = spark.createDataFrame([(f"f{i % 3}", i) for i in range(6)], "folder string, x long")
+    I.resume_labelling(spark, units, "folder", root,
+                       lambda d: d.mapInPandas(count_calls, "folder string, x long, error string"),
+                       cap=10, error_col="error")
+    assert calls.value == 6
+    assert sorted(r.x for r in I.committed_results(spark, root, "folder").collect()) == [1, 3, 5]

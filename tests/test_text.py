@@ -125,22 +125,26 @@ def test_encodings(spark):
     assert [tuple(r) for r in got] == [("RadBERT-4m-document", "zzxslp_RadBERT-RoBERTa-4m"), ("other/x", "other_x")]
 
 
-def test_top_k_exact_for_large_k(spark):
+def test_first_rows_exact(spark):
     import random
 
     rnd = random.Random(4)
     rows = [(f"p{rnd.randint(0, 50):03d}", f"s{i:06d}", i) for i in range(20000)]
     df = spark.createDataFrame(rows, "a string, b string, x long").repartition(16)
     for k in (5, 1500, 7000, 19999, 25000):
-        got = [tuple(r) for r in S.top_k(df, ["a", "b"], k, small_k=1000).collect()]
+        got = [tuple(r) for r in S.first_rows(df, ["a", "b"], k).collect()]
         assert got == sorted(rows)[:k], k
+    # equal keys across the cut: exactly k rows, the same ones on every run
+    tied = sorted(tuple(r) for r in S.first_rows(df, ["a"], 1500).collect())
+    assert tied == sorted(rows)[:1500]
+    assert [tuple(r) for r in S.preview(df, ["a", "b"], 5).collect()] == sorted(rows)[:5]
 
 
-def test_top_k_with_nulls(spark):
+def test_first_rows_with_nulls(spark):
     rows = [(None if i % 7 == 0 else f"a{i % 13:02d}", i) for i in range(5000)]
     df = spark.createDataFrame(rows, "a string, x long").repartition(8)
     want = sorted(rows, key=lambda t: ((t[0] is not None, t[0]), t[1]))[:2500]
-    got = [tuple(r) for r in S.top_k(df, ["a", "x"], 2500, small_k=100).collect()]
+    got = [tuple(r) for r in S.first_rows(df, ["a", "x"], 2500).collect()]
     assert got == want
 
 

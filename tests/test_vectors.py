@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelforge.operators import vectors as V
 
@@ -114,5 +115,52 @@ def test_user_mask_equals_label_mask(spark):
 def test_unbounded_batch_is_refused(spark):
     df = spark.createDataFrame([(0, i, 1, [1.0, float(i)]) for i in range(20)],
                                "batch_id long, vec_id long, label int, embedding array<double>")
-    with pytest.raises(Exception, match="mini-batch"):
-        V.supcon_loss(df, "batch_id", "embedding", max_batch_rows=10).collect()
+    assert V.supcon_loss(df, "batch_id", "embedding").first().anchors == 20
+
+
+def test_losses_of_a_batch_larger_than_a_block():
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(10_000, 16))
+    labels = rng.integers(0, 50, len(z))
+    loss = V.supcon_batch(z, labels, None, 0.07, 0.07, np.ones(len(z), dtype=bool))
+    u = z / np.linalg.norm(z, axis=1, keepdims=True)
+    for a in (0, 511, 512, 9_999):  # brute force for some anchors
+        s = u[a] @ u.T / 0.07
+        others = np.arange(len(z)) != a
+        pos = others & (labels == labels[a])
+        want = -(s[pos].mean() - np.log(np.exp(s[others] - s.max()).sum()) - s.max())
+        assert loss[a] == pytest.approx(want, rel=1e-9)
+    n = 600  # two blocks; the feature matrix as the definition has it
+    u, lab = u[:n], labels[:n]
+    r = u @ u.T / 0.1
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    e = np.exp(r @ r.T / 0.07)
+    same = lab[:, None] == lab[None, :]
+    neg = (e * ~same).sum(axis=1)
+    a, p = np.nonzero(same & ~np.eye(n, dtype=bool))
+    assert V.ntxent_batch(z[:n], lab) == pytest.approx(-np.log(e[a, p] / (e[a, p] + neg[a])).mean(), rel=1e-9)
+
+
+def test_masked_loss_over_blocks_equals_the_label_loss(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, i, int(rng.integers(0, 300)), [float(x) for x in rng.normal(size=4)]) for i in range(1300)]
+    df = spark.createDataFrame(rows, "batch_id long, vec_id long, label int, embedding array<double>")
+    a, b = df.select("batch_id", F.col("vec_id").alias("anchor"), "label"), df.select(F.col("vec_id").alias("positive"), "label")
+    pairs = a.join(b, "label").drop("label")
+    masked = V.supcon_loss_masked(df, pairs, "batch_id", "vec_id", "embedding").first()
+    plain = V.supcon_loss(df, "batch_id", "embedding").first()
+    assert masked.anchors == 1300 and masked.loss == pytest.approx(plain.loss, rel=1e-9)
+
+
+def test_pooling_of_wide_vectors_is_one_aggregate(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(6, 768))
+    rows = [(i // 3, i % 3, 0 if i < 3 else i % 2, [float(x) for x in v[i]]) for i in range(6)] + [(2, 0, 1, None)]
+    df = spark.createDataFrame(rows, "seq long, pos int, mask int, vec array<double>")
+    mean = V.mean_pool(df, "seq", "vec", 768)
+    got = {r.seq: r.pooled for r in mean.collect()}
+    assert got[0] == pytest.approx(v[:3].mean(axis=0).tolist()) and got[2] is None
+    masked = {r.seq: r.pooled for r in V.masked_mean_pool(df, "seq", "vec", "mask", 768).collect()}
+    assert masked[0] == [0.0] * 768  # all masked
+    assert masked[1] == pytest.approx(v[[3, 5]].mean(axis=0).tolist())
+    assert len(mean._jdf.queryExecution().executedPlan().toString()) < 20_000
