@@ -299,7 +299,8 @@ def _label_or_fail(df):
     return _label(df).withColumn("error", F.when(F.col("folder").endswith("3"), F.concat(F.lit("unreachable: "), "folder")))
 
 
-@register("x1_resume_with_failures", _PARSED_SQL + r"""WHERE NOT regexp_matches(path, '3/[^/]+$')
+@register("x1_resume_with_failures", _PARSED_SQL + r"""
+WHERE NOT regexp_matches(path, '3/[^/]+$')
 """)
 def x1_resume_with_failures(spark, sf_dir):
     root = scratch_path(spark, "resume_failures")
