@@ -50,6 +50,15 @@ def study_stats(stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_labels"))
 
 
+def with_study_stats(stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Label stats with their study's ``num_labels``: a count over the study
+    instead of a join, so the stats are shuffled once (one row per label of a
+    study, whatever its number of votes)."""
+    from pyspark.sql import Window
+
+    return stats.withColumn("num_labels", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
 def _decide(per_label: DataFrame, keys: list[str], label: str, extra: list[str]) -> DataFrame:
     """Second aggregation + the keep rule over one row per (key, label)."""
     packed = F.struct(F.col("n"), F.col("c"), F.col(label).alias("lbl"), *[F.col(e) for e in extra])
@@ -155,17 +164,16 @@ def pick_winner(rows: DataFrame, keys: list[str] = KEYS, order: str = "model") -
 
 
 def majority_join(stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """J1 + J2: label stats ⋈ study stats, then majority ⋈ minority with the
-    residual ``majority_conf > minority_conf`` (two-label studies)."""
-    joined = stats.join(study_stats(stats, keys), keys, "inner")
-    ranked = rank_labels(joined.where("num_labels = 2"), keys)
-    maj = ranked.where("rank = 1").select(*keys, F.col("label").alias("consensus_label"),
-                                          F.col("label_count").alias("majority_count"),
-                                          F.col("avg_conf").alias("majority_conf"))
-    mino = ranked.where("rank = 2").select(*keys, F.col("label_count").alias("minority_count"),
-                                           F.col("avg_conf").alias("minority_conf"))
-    return maj.join(mino, keys, "inner").where(
-        (F.col("majority_count") > F.col("minority_count")) & (F.col("majority_conf") > F.col("minority_conf")))
+    """J1 + J2: majority and minority of the two-label studies side by side, where
+    the majority has more votes and the higher mean.  Both are picked by one
+    aggregation; a tie in the counts, the only case where the pick would need
+    a further order, fails the condition."""
+    packed = F.struct(F.col("label_count").alias("n"), F.col("avg_conf").alias("c"), F.col("label").alias("lbl"))
+    per_key = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max(packed).alias("top"), F.min(packed).alias("bot"))
+    return (per_key.where("k = 2 AND top.n > bot.n AND top.c > bot.c")
+            .select(*keys, F.col("top.lbl").alias("consensus_label"), F.col("top.n").alias("majority_count"),
+                    F.col("top.c").alias("majority_conf"), F.col("bot.n").alias("minority_count"),
+                    F.col("bot.c").alias("minority_conf")))
 
 
 # ---------------------------------------------------------------- sentence level

@@ -16,6 +16,10 @@ from __future__ import annotations
 
 import json
 import math
+import queue
+import re
+import threading
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -204,9 +208,33 @@ def strict_json_object(text) -> bool:
         return False
 
 
+def _timed(call: Teacher, prompts: pd.Series, timeout: float | None) -> pd.Series:
+    """One request; without an answer after ``timeout`` seconds all its rows have failed."""
+    if timeout is None:
+        return call(prompts)
+    box: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            box.put((call(prompts), None))
+        except Exception as e:  # raised again in the task
+            box.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        replies, failure = box.get(timeout=timeout)
+    except queue.Empty:
+        late = TimeoutError(f"no reply within {timeout} s")
+        return pd.Series([late] * len(prompts), index=prompts.index, dtype=object)
+    if failure is not None:
+        raise failure
+    return replies
+
+
 def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: list[str], group: list[str],
                     max_errors: int = 50, out: str = "raw_ai_output",
-                    validate: Callable[[str], bool] | None = None) -> DataFrame:
+                    validate: Callable[[str], bool] | None = None, wait: float = 0.0, max_wait: float = 60.0,
+                    timeout: float | None = None, request_batch: int | None = None) -> DataFrame:
     """Calls with retries inside the task.
 
     Failed calls — an exception, or a reply ``validate`` rejects (e.g.
@@ -214,7 +242,13 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
     are re-sent (only the failed rows) until they succeed or the error count
     shared by all rows of the same ``group`` (the passes of one sentence)
     exceeds ``max_errors``; those rows come back with ``error`` set.  Output
-    adds ``attempts`` and ``error`` (NULL on success)."""
+    adds ``attempts`` and ``error`` (NULL on success).  Rows of one group must
+    be adjacent (``with_passes``): only the last group is remembered from one
+    Arrow batch to the next.
+
+    Before the n-th re-send the task sleeps ``wait * 2 ** (n - 1)`` seconds, at
+    most ``max_wait``; a request of ``request_batch`` prompts without an answer
+    after ``timeout`` seconds counts as failed."""
     src = df.select(*keep, prompt)
     schema = src.select(*keep, F.lit(None).cast("string").alias(out), F.lit(0).alias("attempts"),
                         F.lit(None).cast("string").alias("error")).schema
@@ -236,8 +270,12 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
             error: list[str | None] = [None] * n
             gkey = list(zip(*[pdf[g].tolist() for g in group]))
             pending = [i for i in range(n) if gkey[i] not in dead]
+            resent = 0
             while pending:
-                res = call(pdf[prompt].iloc[pending])
+                if resent and wait:
+                    time.sleep(min(wait * 2 ** min(resent - 1, 30), max_wait))
+                resent += 1
+                res = _chunked(lambda p: _timed(call, p, timeout), pdf[prompt].iloc[pending], request_batch)
                 nxt = []
                 for i, r in zip(pending, res):
                     attempts[i] += 1
@@ -258,6 +296,9 @@ def call_with_retry(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
                     error[i] = dead[gkey[i]]
                     reply[i] = None
             yield pdf[keep].assign(**{out: reply, "attempts": attempts, "error": error})
+            last = gkey[-1:]
+            errors = {g: errors[g] for g in last if g in errors}
+            dead = {g: dead[g] for g in last if g in dead}
 
     return src.mapInPandas(run, schema)
 
@@ -339,14 +380,8 @@ def api_budget(plan: DataFrame, order: list[str], budget: int, calls: str = "cal
 
 # --------------------------------------------------------------- confidence
 
-try:  # the same token rule as the JVM side: runs of letters / digits
-    import regex as _re
-
-    _TOKEN_SPLIT = _re.compile(r"[^\p{L}\p{N}]+")
-except ImportError:  # pragma: no cover
-    import re as _re
-
-    _TOKEN_SPLIT = _re.compile(r"[\W_]+")
+# runs of letters and digits, as on the JVM side
+_TOKEN_SPLIT = re.compile(r"[\W_]+")
 
 
 def _tf(text) -> Counter:

@@ -80,8 +80,7 @@ SELECT ls.subject_id, ls.study_id, ls.label, ls.label_count, ls.avg_conf, ss.num
 FROM ls JOIN ss ON ls.subject_id = ss.subject_id AND ls.study_id = ss.study_id
 """))
 def j1_stats_join(spark, sf_dir):
-    stats = C.label_stats(view(spark, sf_dir, "votes"))
-    return stats.join(C.study_stats(stats), C.KEYS, "inner")
+    return C.with_study_stats(C.label_stats(view(spark, sf_dir, "votes")))
 
 
 @register("w1_rank_labels", oracle(["votes"], """

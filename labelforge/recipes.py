@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelforge.functions.encode import parse_json_strict
+from labelforge.functions.text import context_period, sentence_prompt
 from labelforge.operators import consensus as C
 from labelforge.operators import cost as K
 from labelforge.operators import metrics as M
@@ -19,6 +21,9 @@ from labelforge.operators import teacher as TE
 from labelforge.sources import files
 
 KEYS = ["subject_id", "study_id"]
+#: Fixed value: the column order of a metrics file.
+METRICS_COLUMNS = ["run_timestamp_utc", "model_name", "method", "num_epochs", "learning_rate",
+                   "accuracy", "precision", "recall", "f1", "tn", "fp", "fn", "tp"]
 
 
 def reports_from_files(spark: SparkSession, root: str, partition: str | None = None,
@@ -40,6 +45,34 @@ def label_reports(reports: DataFrame, teachers: dict[str, TE.TeacherFactory], na
     return TE.materialize(TE.explanation_confidence(extract), name)
 
 
+def sentence_consensus(reports: DataFrame, teacher: TE.TeacherFactory, keys: list[str] = KEYS, passes: int = 3,
+                       call_budget: int | None = None, encoder=None, **retry) -> tuple[DataFrame, DataFrame]:
+    """The sentence labelling flow: sentences (P10) → call budget (T4) → passes
+    with retries (T2, T3) → embeddings and confidence (T7, T6) → consensus (C2)
+    with provenance (C4).  Returns the consensus and the failed reports.
+
+    A reply that is not one JSON object is a failed call.  ``retry`` goes to
+    ``call_with_retry`` (tries, waits, timeout, request size).  The replies are
+    written once, so every prompt is sent once per try; what follows a report's
+    first failed sentence is left out.  With a budget, only calls within it are
+    made, and a sentence without all its passes has no consensus."""
+    sentence_keys = [*keys, "sentence_index"]
+    text = reports.select(*keys, context_period("findings", "impression").alias("text"))
+    plan = TE.call_plan_rows(S.split_sentences(text, "text", "period"), passes)
+    if call_budget is not None:
+        plan = TE.api_budget(plan, [*sentence_keys, "pass"], call_budget)
+    asked = plan.select(*sentence_keys, "pass", F.col("sentence").alias("Context"), sentence_prompt("sentence").alias("prompt"))
+    replies = TE.materialize(TE.call_with_retry(asked, "prompt", teacher, [*sentence_keys, "pass", "Context"], sentence_keys,
+                                                validate=TE.strict_json_object, **retry), "sentence_replies")
+    fields = parse_json_strict("raw_ai_output", ("Result", "Explanation"))
+    votes = TE.skip_after_failure(replies, keys).withColumn("_p", fields).select(
+        *sentence_keys, "pass", "Context", F.col("_p.value.Result").alias("Result"), F.col("_p.value.Explanation").alias("Explanation"))
+    both = TE.embed_text(TE.embed_text(votes, "Context", encoder, "ctx_emb"), "Explanation", encoder, "exp_emb")
+    scored = TE.materialize(both.select(*sentence_keys, "pass", "Result", TE.embedding_confidence("ctx_emb", "exp_emb").alias("confidence")),
+                            "sentence_votes_scored")
+    return C.with_provenance(C.sentence_consensus(scored, sentence_keys, n_passes=passes)), TE.dead_letter(replies, keys)
+
+
 def consensus_training_set(votes: DataFrame) -> DataFrame:
     """Votes → consensus (C1) → training pairs ``(keys, Context, Result)``."""
     return M.training_pairs(C.consensus(votes))
@@ -54,7 +87,7 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, model_name: str, metho
     report = M.prediction_report(preds, test, KEYS)
     metrics = M.binary_metrics(M.confusion(preds, "label", "prediction"))
     row = M.run_metadata(metrics, model_name, num_epochs, learning_rate).withColumn("method", F.lit(method))
-    return report, row
+    return report, row.select(*METRICS_COLUMNS)
 
 
 def summary(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +99,5 @@ def summary(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cost_plan(reports: DataFrame) -> DataFrame:
     """K1–K5 over all sentences of the reports (period split of the ". "-joined
     sections, as the labeller splits them)."""
-    from labelforge.functions.text import context_period
-
     text = reports.select(*KEYS, context_period("findings", "impression").alias("text"))
     return K.cost_report(K.token_plan(S.split_sentences(text, "text", "period")))

@@ -6,7 +6,7 @@ hidden ``_metadata`` column, so nothing is listed or read on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,18 @@ def read_reports(spark: SparkSession, *paths: str) -> DataFrame:
                      F.col("_metadata.row_index").alias("row_index"))
 
 
+def _fields(schema: T.StructType | str) -> list[T.StructField]:
+    return (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+
+
 def read_study_list(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                     partitions: int | None = None) -> DataFrame:
-    """(gzip) CSV with a header.  Gzip is unsplittable — one task per file —
-    so an optional ``repartition`` spreads the rows for what follows."""
-    r = spark.read.option("header", True)
-    r = r.schema(schema) if schema is not None else r
-    df = r.csv(path)
+    """(gzip) CSV, columns found by their names in the header; a file whose
+    header differs from the first one's is an error.  Gzip is unsplittable — one
+    task per file — so an optional ``repartition`` spreads the rows for what follows."""
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    if schema is not None:
+        df = df.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in _fields(schema)))
     return df.repartition(partitions) if partitions else df
 
 
@@ -77,30 +82,43 @@ def read_folder_batches(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
 
 
-def unzip_reports(spark: SparkSession, zip_glob: str) -> DataFrame:
+def unzip_reports(spark: SparkSession, zip_glob: str, part_bytes: int = 32 << 20, batch_bytes: int = 4 << 20,
+                  partitions: int | None = None) -> DataFrame:
     """``.txt`` members (case-insensitive) of zip archives as ``(archive, member, text)``.
 
-    One task per archive (a zip is not splittable); members are streamed out
-    of the archive bytes inside the task.
+    An archive is dealt to tasks in ranges of ``part_bytes``: a task opens it as a
+    seekable stream, reads the directory and the members that start in its
+    range, and hands them on in batches of about ``batch_bytes`` of text.
     """
-    import io
     import zipfile
 
     import pandas as pd
 
     def members(batches):
+        from pyarrow import fs
+
+        names = ["archive", "member", "text"]
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+            for path, part in zip(pdf["path"], pdf["part"]):
+                store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                rows, held = [], 0
+                with store.open_input_file(inner) as stream, zipfile.ZipFile(stream) as zf:
                     for info in zf.infolist():
-                        if info.is_dir() or not info.filename.lower().endswith(".txt"):
+                        if info.is_dir() or not info.filename.lower().endswith(".txt") or info.header_offset // part_bytes != part:
                             continue
+                        if rows and held + info.file_size > batch_bytes:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
                         rows.append((path, info.filename, zf.read(info).decode("utf-8", errors="ignore")))
-            yield pd.DataFrame(rows, columns=["archive", "member", "text"])
+                        held += info.file_size
+                yield pd.DataFrame(rows, columns=names)
 
-    blobs = spark.read.format("binaryFile").load(zip_glob).select("path", "content")
-    return blobs.mapInPandas(members, "archive string, member string, text string")
+    last = F.expr(f"cast((length - 1) div {int(part_bytes)} as int)")
+    parts = (spark.read.format("binaryFile").load(zip_glob).where("length > 0")
+             .select("path", F.explode(F.sequence(F.lit(0), last)).alias("part")))
+    # a stated number of partitions: the rows are tiny, their work is not
+    parts = parts.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts.mapInPandas(members, "archive string, member string, text string")
 
 
 def read_vote_json(spark: SparkSession, path: str, schema: T.StructType = SENTENCE_VOTE_SCHEMA) -> DataFrame:
@@ -110,8 +128,27 @@ def read_vote_json(spark: SparkSession, path: str, schema: T.StructType = SENTEN
 
 
 def read_metrics_glob(spark: SparkSession, pattern: str, schema: T.StructType | str) -> DataFrame:
-    """Every ``*_metrics.csv`` matched by ``pattern`` (with header)."""
-    return spark.read.option("header", True).schema(schema).csv(pattern)
+    """The rows of every ``*_metrics.csv`` matched by ``pattern``.
+
+    Each file's columns are found by the names in its own header, so files of
+    different layouts mix; an absent column and an empty cell are NULL.  The
+    files are small (one row per run) and read whole; a cell holds no line break."""
+
+    def cells(line: Column) -> Column:
+        outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+        bare = lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))
+        return F.transform(F.split(line, outside_quotes), bare)
+
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = (spark.read.text(pattern, wholetext=True).select(lines.alias("lines")).where(F.size("lines") > 1)
+            .select(cells(F.col("lines")[0]).alias("names"), F.explode(F.expr("slice(lines, 2, size(lines))")).alias("line"))
+            .select("names", cells(F.col("line")).alias("cells")))
+
+    def value(f: T.StructField) -> Column:
+        cell = F.get("cells", (F.array_position("names", F.lit(f.name)) - 1).cast("int"))
+        return F.nullif(cell, F.lit("")).try_cast(f.dataType).alias(f.name)
+
+    return rows.select(*(value(f) for f in _fields(schema)))
 
 
 def describe_source(df: DataFrame, with_counts: bool = True) -> DataFrame:

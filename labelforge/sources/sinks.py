@@ -98,10 +98,20 @@ def append_metrics(df: DataFrame, path: str) -> None:
 
 
 def overwrite_metrics(df: DataFrame, path: str) -> None:
-    """Rewrite (no existence guard)."""
+    """Rewrite, whether or not the table is there."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def rewrite_metrics(df: DataFrame, path: str) -> bool:
+    """S16, guarded: rewrite only a table that is there; False if it is not."""
+    spark = df.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return False
+    overwrite_metrics(df, path)
+    return True
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """CSV safe for texts with newlines and quotes (read back with multiLine)."""
     (df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelforge.operators import incremental as I
@@ -164,3 +165,38 @@ def test_each_row_is_labelled_once(spark):
                        cap=10, error_col="error")
     assert calls.value == 6
     assert sorted(r.x for r in I.committed_results(spark, root, "folder").collect()) == [1, 3, 5]
+
+
+def test_one_archive_read_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "big.zip")
+    want = {f"files/p10/p{i}/s{i}.txt": f"FINDINGS: {i} " + "x" * (i % 50) for i in range(500)}
+    with zipfile.ZipFile(path, "w") as zf:
+        for name, text in want.items():
+            zf.writestr(name, text)
+    got = files.unzip_reports(spark, path, part_bytes=4096, batch_bytes=1000, partitions=8)
+    rows = got.select("member", "text", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 500 and {r.member: r.text for r in rows} == want
+    assert len({r.task for r in rows}) > 4
+
+
+def test_csv_columns_are_found_by_header(spark, tmp_path):
+    (tmp_path / "a_metrics.csv").write_text('model_name,tp,accuracy\n"a, ""b""",3,0.5\n')
+    (tmp_path / "b_metrics.csv").write_text("accuracy,extra,model_name,tp\n0.25,1,m,7\n,,n,\n")
+    (tmp_path / "c_metrics.csv").write_text("model_name,tp\n")
+    rows = files.read_metrics_glob(spark, f"{tmp_path}/*_metrics.csv", "model_name string, accuracy double, tp long").collect()
+    assert sorted(map(tuple, rows), key=str) == [("a, \"b\"", 0.5, 3), ("m", 0.25, 7), ("n", None, None)]
+    (tmp_path / "list.csv").write_text("url,page_id\nu1,1\nu2,x\n")
+    rows = files.read_study_list(spark, f"{tmp_path}/list.csv", "page_id long, url string").collect()
+    assert [tuple(r) for r in rows] == [(1, "u1"), (None, "u2")]
+    (tmp_path / "list2.csv").write_text("page_id,url\n3,u3\n")
+    with pytest.raises(Exception):
+        files.read_study_list(spark, f"{tmp_path}/list*.csv", "page_id long, url string").collect()
+
+
+def test_rewrite_only_where_the_table_is(spark, tmp_path):
+    df = spark.createDataFrame([("m", 1)], "model_name string, tp long")
+    path = str(tmp_path / "metrics")
+    assert not sinks.rewrite_metrics(df, path) and not os.path.exists(path)
+    sinks.append_metrics(df, path)
+    assert sinks.rewrite_metrics(df, path)
+    assert files.read_metrics_glob(spark, path, "model_name string, tp long").count() == 1

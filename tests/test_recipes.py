@@ -3,6 +3,7 @@ metrics → summary, and the cost plan."""
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -12,6 +13,41 @@ from labelforge.sources import sinks
 from labelforge.sources.fixtures import view
 
 
+def test_sentence_flow(spark, tmp_path):
+    """Every prompt is sent once per try; a report whose sentence fails ends there."""
+    log = str(tmp_path / "calls")
+    base = TE.rule_teacher(0, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0)
+
+    def teacher():
+        inner = base()
+        tries = {}
+
+        def call(prompts):
+            out = []
+            with open(log, "a") as f:
+                for p, r in zip(prompts, inner(prompts)):
+                    tries[p] = tries.get(p, 0) + 1
+                    f.write("x\n")
+                    out.append("not json" if "broken" in p or "shaky" in p and tries[p] == 1 else r)
+            return pd.Series(out, index=prompts.index, dtype=object)
+
+        return call
+
+    reports = spark.createDataFrame(
+        [("p1", "s1", "One clear lung. A shaky line.", "Nothing else."), ("p2", "s2", "All fine. A broken part. Never seen.", "End.")],
+        "subject_id string, study_id string, findings string, impression string")
+    out, failed = R.sentence_consensus(reports, teacher, max_errors=2)
+    got = sorted((r.subject_id, r.sentence_index) for r in out.collect())
+    assert got == [("p1", 0), ("p1", 1), ("p1", 2), ("p2", 0)]
+    assert {"text_file", "parquet_file", "row_index", "source", "confidence"} <= set(out.columns)
+    assert [(r.subject_id, r.first_failed_sentence) for r in failed.collect()] == [("p2", 1)]
+    # 7 sentences in 3 passes, one re-sent; the broken one is given up at its third failure
+    assert len(open(log).readlines()) == 21 + 1
+
+    out, failed = R.sentence_consensus(reports.where("subject_id = 'p1'"), base, call_budget=3 * 3 * 2)
+    assert sorted(r.sentence_index for r in out.collect()) == [0, 1] and failed.count() == 0
+
+
 def test_end_to_end(spark):
     root = tempfile.mkdtemp(prefix="lf-e2e-")
     sinks.write_report_files(view(spark, SMALL, "reports_raw"), root)
@@ -32,6 +68,7 @@ def test_end_to_end(spark):
     report, metrics = R.train_and_evaluate(train, test, "zzxslp/RadBERT-RoBERTa-4m", max_iter=5,
                                            num_features=1 << 12)
     m = metrics.first()
+    assert metrics.columns == R.METRICS_COLUMNS
     assert m.tn + m.fp + m.fn + m.tp == test.count() == report.count()
     table, delta = R.summary(metrics.unionByName(metrics.withColumn("method", F.lit("Contrastive_Last_Layer"))))
     assert [r.Loss for r in table.collect()] == ["baseline loss", "contrastive loss"]

@@ -143,3 +143,25 @@ def test_request_batches_are_capped(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(25)], "k int, prompt string").coalesce(1)
     out = TE.call_teacher(df, "prompt", counting, ["k"], request_batch=10).collect()
     assert len(out) == 25 and all(r.raw_ai_output for r in out)
+
+
+def test_wait_and_timeout(spark):
+    """A request without an answer in time is a failed call and is sent again after a wait."""
+
+    def slow_once():
+        calls = []
+
+        def call(prompts):
+            import time
+
+            calls.append(time.time())
+            if len(calls) == 1:
+                time.sleep(5)
+            assert len(calls) < 2 or calls[1] - calls[0] >= 0.9
+            return prompts
+
+        return call
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, prompt string").coalesce(1)
+    rows = TE.call_with_retry(df, "prompt", slow_once, ["k"], ["k"], wait=0.5, timeout=0.5).collect()
+    assert sorted((r.k, r.raw_ai_output, r.attempts, r.error) for r in rows) == [(1, "a", 2, None), (2, "b", 2, None)]
