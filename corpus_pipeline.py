@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from labelforge.llm import block_naming, decontaminate, mixing, pu_quality, simhash  # noqa: E402
-from labelforge.llm.common import column_or_null, keep_rows, stored  # noqa: E402
+from labelforge.llm.common import column_or_null, keep_rows, numbered, stored  # noqa: E402
 from labelforge.session import table  # noqa: E402
 
 #: No SQL: the quality model is trained and fingerprints are not SQL functions.
@@ -34,24 +34,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
+    docs = numbered(spark, docs)
     return keep_rows(docs, block_naming.exact_groups(spark, docs).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the row with the smallest doc_id."""
+    docs = numbered(spark, docs)
     groups = simhash.near_groups(spark, docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
     return keep_rows(docs, groups.where("row = first_row"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
+    docs = numbered(spark, docs)
     found = stored(spark, decontaminate.find(spark, docs, table(spark, sf_dir, "benchmark")).select("row").distinct(), "contaminated")
-    marked = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.monotonically_increasing_id().alias("__row"))
-    return marked.join(found.withColumnRenamed("row", "__row"), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keep_rows(docs, found, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by probabilities raked to source, language and topic targets."""
+    docs = numbered(spark, docs)
     return keep_rows(docs, mixing.mix(spark, docs).where("kept"))
 
 

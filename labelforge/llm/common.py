@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from labelforge.session import scratch_path, ship_package
 
 HASH_RANGE = 1 << 20
+#: Column that holds a table's stored row numbers.
+ROW = "__labelforge_row"
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -27,21 +29,32 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
 
 
+def numbered(spark: SparkSession, docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` (the named columns that it has, or all) with a number per row,
+    written once: every job that reads the result sees the same numbers.  A
+    scan position is no such number, since the splits of a scan depend on the
+    cores registered when its job starts.  A numbered table stays as it is."""
+    if ROW in docs.columns:
+        return docs
+    kept = [c for c in docs.columns if c in names or not names]
+    return stored(spark, docs.select(*(F.col(f"`{c}`") for c in kept), F.monotonically_increasing_id().alias(ROW)), "numbered")
+
+
 def documents(docs: DataFrame, *names: str) -> DataFrame:
     """``row`` (a number per row) plus the named columns of ``docs`` in their
     usual types; every other column is left behind, so names cannot clash.
 
-    ``row`` is the scan position: stable for a table, which is read in the same
-    splits by every job."""
+    ``row`` is the stored number of a table from ``numbered``; elsewhere it is the
+    scan position, which holds within one job and may be used by one job only."""
     kinds = {"doc_id": "bigint", "n_chars": "bigint"}
-    return docs.select(F.monotonically_increasing_id().alias("row"),
+    return docs.select((F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
                        *(column_or_null(docs, n, kinds.get(n, "string")).alias(n) for n in names))
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all its columns) whose scan position is in ``rows.row``."""
-    marked = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.monotonically_increasing_id().alias("__row"))
-    return marked.join(rows.select(F.col("row").alias("__row")), "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+def keep_rows(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of a table from ``numbered`` (its columns without the number) whose
+    number is in ``rows.row``, or with ``left_anti`` those whose number is not."""
+    return docs.join(rows.select(F.col("row").alias(ROW)), ROW, how).select(*(F.col(f"`{c}`") for c in docs.columns if c != ROW))
 
 
 def fold(modulus: int, remainder: int, name: str = "doc_id") -> Column:

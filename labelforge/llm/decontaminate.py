@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import column_or_null, documents, stored
+from labelforge.llm.common import column_or_null, documents, numbered, stored
 from labelforge.llm.shingles import SHINGLE_WORDS, hashes, lookup, once, texts, words
 
 SIMILARITY = 0.8
@@ -66,7 +66,7 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity:
     n_items, n_shingles, wide = n_items or 0, n_shingles or 0, (longest or 0) > 65_535
 
     # places of shared shingles
-    base = once(documents(docs, "doc_id", "text"), "w", words(F.col("text"))).select("row", "doc_id", "w")
+    base = once(documents(numbered(spark, docs, "doc_id", "text"), "doc_id", "text"), "w", words(F.col("text"))).select("row", "doc_id", "w")
     shared = items.select("m", F.explode("hs").alias("h")).distinct()
     hits = (once(base, "hs", hashes("w")).select("row", F.size("hs").alias("n"), F.posexplode("hs").alias("place", "h"))
             .join(lookup(shared, n_shingles), "h").select("row", "n", "m", "place").distinct())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import documents, ship, small_batches, stored, utf8
+from labelforge.llm.common import documents, numbered, ship, small_batches, stored, utf8
 
 MIN_WORDS = 13
 GRAM_WORDS = 4
@@ -213,12 +213,12 @@ def removed_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     that repeat an id are no repeats of each other.  Memory grows with the
     longest document and the shard size, not with the corpus.
 
-    The documents are read four times (minimizers, segments, places, result):
-    cheaper in disk than to keep the segments, which overlap.  Between distinct
+    The numbered documents are written once and read four times (minimizers,
+    segments, places, result): cheaper in disk than to keep the segments, which overlap.  Between distinct
     segments and their places a 128-bit digest stands for the words.
     """
     ship(spark)
-    base = documents(docs, "doc_id", "text")
+    base = documents(numbered(spark, docs, "doc_id", "text"), "doc_id", "text")
     masks, hot, pairs = minimizer_filters(spark, base, min_words, gram_words, hot_documents)
     shards = int(pairs * (min_words + 4) // shard_words) + 1
     filters = spark.sparkContext.broadcast((masks, hot))

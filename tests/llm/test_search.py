@@ -6,7 +6,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from labelforge.llm import block_naming, decontaminate, fm_dedup, license_scan
+from labelforge.llm import block_naming, decontaminate, fm_dedup, license_scan, mixing, simhash
+from labelforge.llm.common import stored
 from llm.small import LOREM, awkward, frame, words
 
 
@@ -90,3 +91,47 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     leaked = [i for i, t, *_ in awkward() if words(60, 4) in (t or "")]
     assert leaked == [6, 7]
     assert sorted((r.doc_id for r in clean), key=str) == sorted((i for i, *_ in awkward() if i not in leaked), key=str)
+
+
+def test_rows_keep_their_number_when_splits_change(spark, tmp_path, monkeypatch):
+    """Scans are dealt anew between the jobs, as after the loss of an executor."""
+    rows = awkward() + [(500 + i, words(50 + i, i, 3), "en", "s", 1) for i in range(20)] + [(600, words(60, 4), "fr", "s", 1)]
+    frame(spark, rows, extra=False).repartition(6, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, words(60, 4))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "benchmark"))
+    one = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+
+    def deal():
+        for k, v in one.items():
+            spark.conf.set(k, v)
+
+    def late(run):
+        """The result of a plan that is run after the splits have changed."""
+        try:
+            out = run()
+            deal()
+            return out.collect()
+        finally:
+            for k in one:
+                spark.conf.unset(k)
+
+    exact = late(lambda: corpus_pipeline.exact_dedup(spark, docs, str(tmp_path)))
+    assert sorted(r.text or "" for r in exact) == sorted({t or "" for _, t, *_ in rows})
+    near = late(lambda: corpus_pipeline.near_dedup(spark, docs, str(tmp_path)))
+    groups = simhash.near_groups(spark, docs).select("component_id").distinct().collect()
+    assert sorted((r.doc_id for r in near), key=str) == sorted((r.component_id for r in groups), key=str)
+    clean = late(lambda: corpus_pipeline.decontamination(spark, docs, str(tmp_path)))
+    assert sorted((r.doc_id for r in clean), key=str) == sorted((i for i, *_ in rows if i not in (6, 7, 600)), key=str)
+    mixed = late(lambda: corpus_pipeline.mix(spark, docs, str(tmp_path)))
+    kept = mixing.mix(spark, docs).where("kept").collect()
+    assert sorted((r.doc_id for r in mixed), key=str) == sorted((r.doc_id for r in kept), key=str)
+
+    def dealt(session, df, name):
+        out = stored(session, df, name)
+        if name == "benchmark-hits":
+            deal()
+        return out
+
+    monkeypatch.setattr(decontaminate, "stored", dealt)
+    found = late(lambda: decontaminate.find(spark, docs, bench))
+    assert sorted(r.doc_id for r in found) == [6, 7, 600]
