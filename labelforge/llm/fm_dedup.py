@@ -30,8 +30,10 @@ MIN_WORDS = 13
 GRAM_WORDS = 4
 #: Words that one shard's index holds, about.
 SHARD_WORDS = 1 << 18
-#: Documents of one minimizer above which its segments are routed as single windows, each by its own words.
+#: Documents, and windows in all of them, of one minimizer above which its
+#: segments are routed as single windows, each by its own words.
 HOT_DOCUMENTS = 2048
+HOT_WINDOWS = 1 << 14
 #: Distinct segments that a task holds before it passes them on.
 HELD_SEGMENTS = 1 << 16
 #: Bits of the filter of shared minimizers: 16 for each, within these bounds.  A
@@ -89,13 +91,22 @@ class FMIndex:
         self.bwt = WaveletMatrix(text[self.suffixes - 1], size)
 
     def intervals(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals [low, high) that match ``length`` symbols of ``text`` from each start."""
+        """Suffix intervals [low, high) that match ``length`` symbols of ``text``, the
+        indexed one, from each start.  Where a window's last symbols occur once, its
+        only match is its own place, and the search ends there."""
         last = text[starts + length - 1]
         low, high = self.before[last], self.before[last + 1]
+        live = np.flatnonzero(high - low > 1)
         for j in range(length - 2, -1, -1):
-            symbol = text[starts + j]
-            low = self.before[symbol] + self.bwt.rank(symbol, low)
-            high = self.before[symbol] + self.bwt.rank(symbol, high)
+            symbol = text[starts[live] + j]
+            low[live] = self.before[symbol] + self.bwt.rank(symbol, low[live])
+            high[live] = self.before[symbol] + self.bwt.rank(symbol, high[live])
+            live = live[high[live] - low[live] > 1]
+        place = np.empty(len(self.suffixes), np.int64)
+        place[self.suffixes] = np.arange(len(place))
+        alone = high - low == 1
+        low[alone] = place[starts[alone]]
+        high[alone] = low[alone] + 1
         return low, high
 
 
@@ -164,26 +175,33 @@ def _has(masks: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return (masks[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def minimizer_filters(spark: SparkSession, docs: DataFrame, min_words: int, gram_words: int, hot_documents: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Filters of the minimizers that occur in two documents or more and in more
-    than ``hot_documents``, and how many pairs of a document and a shared minimizer there are."""
+def minimizer_filters(spark: SparkSession, docs: DataFrame, min_words: int, gram_words: int, hot_documents: int,
+                      hot_windows: int = HOT_WINDOWS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Filters of the minimizers that occur in two documents or more, and of those
+    in more than ``hot_documents`` documents or ``hot_windows`` windows (a document
+    may repeat one many times), and the number of words that their segments hold."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            _, text, _, _, gram = segments_of(utf8(batch), min_words, gram_words)
+            _, text, _, count, gram = segments_of(utf8(batch), min_words, gram_words)
             order = np.lexsort((gram, text))
-            text, gram = text[order], gram[order]
+            text, gram, count = text[order], gram[order], count[order]
             new = np.ones(len(gram), bool)
             new[1:] = (np.diff(text) != 0) | (np.diff(gram) != 0)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[new])], names=["gram"])
-
-    found = docs.select("text").mapInArrow(grams, "gram bigint").groupBy("gram").count().where("count > 1")
-    shared = stored(spark, found, "shared-minimizers")
-    n, pairs = shared.agg(F.count("*"), F.sum("count")).first()
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(np.diff(np.append(at, len(gram)))),
+                                              pa.array(np.add.reduceat(count, at) if len(at) else count)], names=["gram", "segments", "windows"])
+
+    found = (docs.select("text").mapInArrow(grams, "gram bigint, segments bigint, windows bigint").groupBy("gram")
+             .agg(F.count("*").alias("documents"), F.sum("segments").alias("segments"), F.sum("windows").alias("windows")).where("documents > 1"))
+    hot = (F.col("documents") > hot_documents) | (F.col("windows") > hot_windows)
+    shared = stored(spark, found.select("gram", hot.alias("hot"), F.when(hot, F.col("windows") * min_words)
+                                        .otherwise(F.col("windows") + F.col("segments") * (min_words - 1)).alias("words")), "shared-minimizers")
+    n, held = shared.agg(F.count("*"), F.sum("words")).first()
     bits = FILTER_BITS[0]
     while bits < min(16 * n, FILTER_BITS[1]):
         bits *= 2
-    return _bit_filter(shared, bits), _bit_filter(shared.where(F.col("count") > hot_documents), bits), pairs or 0
+    return _bit_filter(shared, bits), _bit_filter(shared.where("hot"), bits), held or 0
 
 
 def shared_segments(texts: list[bytes], shared: np.ndarray, hot: np.ndarray, min_words: int, gram_words: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -202,7 +220,7 @@ def shared_segments(texts: list[bytes], shared: np.ndarray, hot: np.ndarray, min
 
 
 def removed_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS,
-                  shard_words: int = SHARD_WORDS, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+                  shard_words: int = SHARD_WORDS, hot_documents: int = HOT_DOCUMENTS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """``row, doc_id, n_words, n_removed, kept_sha256, kept_text, intervals`` for every row.
 
     A word is removed if a window of ``min_words`` words covers it whose word
@@ -219,8 +237,8 @@ def removed_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     """
     ship(spark)
     base = documents(numbered(spark, docs, "doc_id", "text"), "doc_id", "text")
-    masks, hot, pairs = minimizer_filters(spark, base, min_words, gram_words, hot_documents)
-    shards = int(pairs * (min_words + 4) // shard_words) + 1
+    masks, hot, held = minimizer_filters(spark, base, min_words, gram_words, hot_documents, hot_windows)
+    shards = int(held // shard_words) + 1
     filters = spark.sparkContext.broadcast((masks, hot))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,31 @@ def test_removed_words(spark):
     assert fm_dedup.removed_words(spark, frame(spark, [])).collect() == []
 
 
+def test_minimizer_repeated_inside_documents_is_hot(spark):
+    """A gram of two documents only, but of very many places in each: its segments must not meet in one shard."""
+    rng = random.Random(3)
+
+    def lines(gram, n, tag):
+        return " ".join(f"{gram} " + " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(9)) for _ in range(n)).encode()
+
+    def windows(gram):
+        _, _, _, count, found = fm_dedup.segments_of([lines(gram, 20, "x")], 13, 4)
+        return max((int(count[found == g].sum()), int(g)) for g in set(found.tolist()))
+
+    (many, gram), name = max((windows(f"a{k} b{k} c{k} d{k}"), f"a{k} b{k} c{k} d{k}") for k in range(60))
+    assert many > 100
+    shared = lines(name, 4, "s").decode()
+    rows = [(i, lines(name, 400, f"u{i}").decode() + " " + shared, "en", "s", 1) for i in (1, 2)] + awkward()
+    docs = frame(spark, rows)
+    seen, hot, words_held = fm_dedup.minimizer_filters(spark, docs.select("text"), 13, 4, 2048, 1000)
+    assert fm_dedup._has(seen, np.array([gram]))[0] and fm_dedup._has(hot, np.array([gram]))[0]
+    assert words_held > 2 * 400 * 13
+    _, cold, fewer = fm_dedup.minimizer_filters(spark, docs.select("text"), 13, 4, 2048)
+    assert not cold.any() and fewer > 2 * 400 * 13
+    got = fm_dedup.removed_words(spark, docs, 13, hot_windows=1000, shard_words=500).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_removed(rows, 13)
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(1, 4, 300), 0)
