@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from labelforge.session import scratch_path, ship_package
 
-HASH_RANGE = 1 << 20
 #: Column that holds a table's stored row numbers.
 ROW = "__labelforge_row"
 
@@ -62,11 +61,18 @@ def fold(modulus: int, remainder: int, name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def hash_sample(df: DataFrame, rows: int, total: int, seed: int, name: str = "doc_id") -> DataFrame:
-    """About ``rows`` of ``total`` rows, chosen by a hash of the id: the same
-    rows at every run and in every table that holds the id."""
-    share = 1.0 if total <= rows else rows / total
-    return df.where(F.pmod(F.xxhash64(F.col(name), F.lit(seed)), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
+def hash_sample(df: DataFrame, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` of the distinct rows, chosen by a 64-bit hash of the whole
+    row: the same rows at every run, however many there are and however often an
+    id or a row is repeated.  All distinct rows, if there are no more than ``rows``."""
+    place = F.shiftrightunsigned(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns), F.lit(seed)), 1)
+    total = df.select(place.alias("place")).distinct().count()
+    return (df if total <= rows else df.where(place < sample_bound(rows, total))).distinct()
+
+
+def sample_bound(rows: int, total: int) -> int:
+    """The 63-bit hashes below it are ``rows`` of ``total``; exact, so never zero."""
+    return max(1, (rows << 63) // total)
 
 
 def label_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int,
@@ -74,14 +80,16 @@ def label_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label:
     """(doc_id, text, label) of about ``rows`` labelled training documents, the
     number of labelled training rows and the share of label 1 among all of them.
 
-    Only the sampled ids are broadcast: their number is bounded by ``rows``."""
+    Only the sampled ids are broadcast: their number is bounded by ``rows``, and
+    so is, by a second choice, the number of documents that repeat them."""
     known = (labels.select(column_or_null(labels, "doc_id", "bigint").alias("doc_id"), column_or_null(labels, label, "int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & train)
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     total, ones = known.agg(F.count("*"), F.sum("label")).first()
-    ids = hash_sample(known, rows, total, seed)
+    ids = stored(spark, hash_sample(known, rows, seed), "sampled-ids")
     texts = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
-    return hash_sample(texts, rows, total, seed).join(F.broadcast(ids), "doc_id"), total, (ones or 0) / max(total, 1)
+    found = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    return hash_sample(found, max(rows, ids.count()), seed + 1), total, (ones or 0) / max(total, 1)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:

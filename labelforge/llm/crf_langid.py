@@ -194,7 +194,6 @@ def train(spark: SparkSession, docs: DataFrame, train_fold: Column, rows: int =
     ship(spark)
     known = (docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"), column_or_null(docs, "lang", "string").alias("lang"))
              .where(F.col("lang").isNotNull() & train_fold))
-    total = known.select("doc_id").count()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -205,7 +204,7 @@ def train(spark: SparkSession, docs: DataFrame, train_fold: Column, rows: int =
                 found.append(words[start:start + run_words])
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, pa.list_(pa.string()))], names=["lang", "words"])
 
-    sample = hash_sample(known, rows, total, 3).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("at")).mapInArrow(runs, "lang string, words array<string>").toArrow()
+    sample = hash_sample(known, rows, 3).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("at")).mapInArrow(runs, "lang string, words array<string>").toArrow()
     return fit(sorted(zip(sample.column("lang").to_pylist(), sample.column("words").to_pylist(), strict=True)))
 
 

@@ -108,7 +108,7 @@ def _vectors(df: DataFrame) -> np.ndarray:
     def vector(text: pd.Series) -> pd.Series:
         return text.map(lambda t: features(t).tobytes(), na_action=None)
 
-    rows = df.select(vector("text").alias("x")).toArrow().column("x").to_pylist()
+    rows = sorted(df.select(vector("text").alias("x")).toArrow().column("x").to_pylist())
     return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(np.float64) if rows else np.zeros((0, len(features(""))))
 
 
@@ -119,8 +119,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_fold: C
     ship(spark)
     sample, _, prior = label_sample(spark, docs, labels, "quality", train_fold, rows)
     texts = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text")).where(train_fold)
-    total = texts.select("doc_id").count()
-    return fit_nnpu(_vectors(sample.where("label = 1")), _vectors(hash_sample(texts, rows, total, 11)), min(max(prior, 0.01), 0.99))
+    return fit_nnpu(_vectors(sample.where("label = 1")), _vectors(hash_sample(texts, rows, 11)), min(max(prior, 0.01), 0.99))
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

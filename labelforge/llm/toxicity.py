@@ -201,7 +201,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_fold: C
 
     rows_ = sample.mapInArrow(measured, "x0 double, x1 double, label int").toArrow()
     x = np.stack([rows_.column("x0").to_numpy(), rows_.column("x1").to_numpy()], axis=1)
-    return Model(lexicon, exceptions, calibrate(x, rows_.column("label").to_numpy().astype(float)))
+    y = rows_.column("label").to_numpy().astype(float)
+    order = np.lexsort((y, x[:, 1], x[:, 0]))
+    return Model(lexicon, exceptions, calibrate(x[order], y[order]))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> tuple[float, float, float]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import MEDIUM
-from labelforge.llm import crf_langid, mixing, pu_quality, token_rollup, toxicity
+from labelforge.llm import common, crf_langid, mixing, pu_quality, token_rollup, toxicity
 from llm.small import SCHEMA, awkward, frame
 
 
@@ -55,6 +55,21 @@ def test_quality(spark):
     assert pu_quality.score_documents(spark, frame(spark, []), labels(spark, [])).collect() == []
 
 
+def test_samples_are_bounded_and_never_empty(spark):
+    for total in (10**4, 10**10, 10**13, 10**18):
+        assert common.sample_bound(4_000, total) / 2**63 == pytest.approx(4_000 / total)
+    plain = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    assert 350 < common.hash_sample(plain, 400, 3).count() < 450
+    hot = plain.unionByName(spark.range(10_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("h"), "id").alias("text")))
+    copies = plain.limit(100).unionByName(spark.range(10_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("same").alias("text")))
+    for seed in range(6):  # whichever ids the hash picks
+        assert 320 < common.hash_sample(hot, 400, seed).count() < 480
+        assert common.hash_sample(copies, 400, seed).count() == 101
+    known = labels(spark, [(i, i % 2, 0) for i in range(300)])
+    sample, total, share = common.label_sample(spark, hot, known, "quality", F.lit(True), 400)
+    assert (total, share) == (300, 0.5) and 320 < sample.count() < 480
+
+
 def test_nnpu_risk_ignores_positives_among_unlabelled():
     rng = np.random.default_rng(2)
     p, n = rng.normal(3, 1, (400, 1)), rng.normal(-3, 1, (300, 1))
