@@ -16,7 +16,10 @@ from labelforge.llm.shingles import SHINGLE_WORDS, hashes, once, texts, words
 BANDS = 40
 CONTAINMENT = 0.8
 
-#: Public licence statements and notices.
+#: Public licence statements, notices, and passages that the whole
+#: texts hold.  A statement that names a version has at most eight words (four
+#: shingles): one other word leaves a containment of 0.75 at most, so the version
+#: is part of the match.  Longer ones hold no version that another one could have.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-notice": (
@@ -27,10 +30,8 @@ TEMPLATES = {
     "Apache-2.0-notice": (
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-        "as published by the Free Software Foundation"),
+    "GPL-3.0": "GNU General Public License, version 3",
+    "GPL-notice": "under the terms of the GNU General Public License as published by the Free Software Foundation",
     "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -38,7 +39,63 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    # whole texts and notices, by a passage that no other licence holds
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY",
+    "ISC-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "Zlib-notice": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software",
+    "BSL-1.0-notice": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "BSD-3-Clause-text": "nor the names of its contributors may be",
+    "BSD-4-Clause-text": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004",
+    "GPL-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29",
+    "LGPL-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL-2.0-notice": "under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "AGPL-notice": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "GNU-version-2": "Software Foundation; either version 2 of the License",
+    "GNU-version-2.1": "Software Foundation; either version 2.1 of the",
+    "GNU-version-3": "Software Foundation, either version 3 of the License",
+    "GFDL-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0",
+    "MPL-1.1-text": "Mozilla Public License Version 1.1",
+    "EPL-2.0": "Eclipse Public License v 2.0",
+    "EPL-1.0": "Eclipse Public License v 1.0",
+    "Artistic-2.0": "The Artistic License 2.0",
+    "WTFPL": "Do What The Fuck You Want To Public License",
+    "CC0-1.0-text": "Legal Code CC0 1.0 Universal",
+    "CC0-1.0-line": "CC0 1.0 Universal (CC0 1.0)",
+    "CC0-1.0-url": "creativecommons.org/publicdomain/zero/1.0",
+    # usual one-line wordings
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-2.0-v": "GNU General Public License v2.0",
+    "GPL-2.0-v2": "GNU General Public License v2",
+    "GPL-3.0-v": "GNU General Public License v3.0",
+    "GPL-3.0-v3": "GNU General Public License v3",
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "LGPL-2.1-v": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0-v": "GNU Lesser General Public License v3",
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
+    "AGPL-3.0-v": "GNU Affero General Public License v3",
+    "Apache-2.0-line": "the Apache License 2.0",
+    "Apache-2.0-version": "Apache License, Version 2.0",
 }
+#: "licensed under the MIT License" and the like; one shingle each.  "Released ..." is above.
+TEMPLATES |= {f"MIT-{verb}": f"{verb} under the MIT License" for verb in ("licensed", "distributed", "available", "published", "provided", "covered")}
+TEMPLATES |= {"MIT-terms": "terms of the MIT License", "MIT-title": "The MIT License (MIT)  Copyright"}
+TEMPLATES |= {f"{name}-{verb}": f"{verb} under the {words_}" for verb in ("licensed", "released", "distributed")
+              for name, words_ in (("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("ISC", "ISC License"), ("GPLv2", "GNU GPLv2"), ("GPLv3", "GNU GPLv3"),
+                                   ("GPL-version-2", "GPL version 2"), ("GPL-version-3", "GPL version 3"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"))}
+TEMPLATES |= {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in (
+    "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")}
+#: Creative Commons by kind and version: name, address and short forms.
+_CC = {"BY": "", "BY-SA": "ShareAlike", "BY-NC": "NonCommercial", "BY-ND": "NoDerivatives", "BY-NC-SA": "NonCommercial-ShareAlike", "BY-NC-ND": "NonCommercial-NoDerivatives"}
+for _version in ("2.0", "2.5", "3.0", "4.0"):
+    for _kind, _name in _CC.items():
+        TEMPLATES[f"CC-{_kind}-{_version}-name"] = f"Creative Commons Attribution {_name} {_version}"
+        TEMPLATES[f"CC-{_kind}-{_version}-url"] = f"creativecommons.org/licenses/{_kind.lower()}/{_version}"
+        for _before in ("under", "a", "the") if _kind == "BY" else ("",):  # five words are needed
+            TEMPLATES[f"CC-{_kind}-{_version}-short" + f"-{_before}" * bool(_before)] = f"{_before} CC {_kind} {_version}"
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:

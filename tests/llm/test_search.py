@@ -87,6 +87,28 @@ def test_license_scan(spark):
     assert license_scan.scan(spark, frame(spark, [])).collect() == []
 
 
+def test_license_wordings_and_versions(spark):
+    lines = [
+        ("This project is licensed under the MIT License.", {"MIT-licensed"}),
+        ("Licensed under the Apache License 2.0.", {"Apache-2.0-line"}),
+        ("Licensed under CC BY 4.0.", {"CC-BY-4.0-short-under"}),
+        ("Licensed under CC BY-NC 3.0.", {"CC-BY-NC-3.0-short"}),
+        ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0", "CC-BY-NC-4.0-short"}),
+        ("Licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("GNU Lesser General Public License, version 3", {"LGPL-3.0"}),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+         "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", {"LGPL-notice", "GNU-version-2.1"}),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", {"AGPL-notice", "GNU-version-3"}),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+         "as published by the Free Software Foundation, either version 3 of the License.", {"GPL-notice", "GNU-version-3"}),
+    ]
+    rows = [(700 + i, f"{words(30, i)} {line} {words(20, i + 4)}", "en", "s", 1) for i, (line, _) in enumerate(lines)]
+    got = {(r.doc_id, r.license) for r in license_scan.scan(spark, frame(spark, rows)).collect()}
+    assert got == {(700 + i, name) for i, (_, names) in enumerate(lines) for name in names}
+
+
 def test_decontamination(spark):
     item = words(40, 11)
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, words(25, 2)), (5, item)], "item_id bigint, text string")
