@@ -25,7 +25,8 @@ TEMPERATURE = 0.5
 #: Share of all tokens to keep.
 KEEP = 0.5
 TOLERANCE = 1e-3
-MAX_ROUNDS = 30
+#: Raking that is not within the tolerance by then fails.
+MAX_ROUNDS = 10_000
 #: Cells up to which the raking runs on the driver.
 LOCAL_CELLS = 100_000
 SEED = 17
@@ -77,7 +78,8 @@ def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], k
     no weight changes by more than ``tolerance`` of itself.  Where the targets
     can be met, the marginals then meet them; a value with fewer tokens than its
     target is kept whole.  A value without a target gets nothing; shares are
-    rescaled over the values that have tokens.  Up to LOCAL_CELLS cells, by
+    rescaled over the values that have tokens.  Weights that still change after
+    ``max_rounds`` are an error, no result.  Up to LOCAL_CELLS cells, by
     count, are raked on the driver; more stay in Spark and one number comes back
     each round.  Both ways do the same steps."""
     if cells.count() <= LOCAL_CELLS:
@@ -99,8 +101,8 @@ def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], k
         change = now.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-12)))).first()[0] or 0.0
         now = now.drop("before")
         if change <= tolerance:
-            break
-    return now
+            return now
+    raise RuntimeError(f"raking still changes a weight by {change:.2g} of itself after {max_rounds} rounds")
 
 
 def _rake_here(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], keep: float, tolerance: float, max_rounds: int) -> DataFrame:
@@ -118,13 +120,17 @@ def _rake_here(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFra
         codes[d] = np.array([place[r[d]] for r in rows], np.int64)
         goal = np.array([share[v] for v in values])
         goals[d] = goal / (goal.sum() or 1.0) * keep * tokens.sum()
-    for _ in range(max_rounds if rows else 0):
+    change = np.inf if rows else 0.0
+    for _ in range(max_rounds):
+        if change <= tolerance:
+            break
         before = weight
         for d, goal in goals.items():
             have = np.bincount(codes[d], weight, minlength=len(goal))
             weight = np.minimum(weight * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[codes[d]], tokens)
-        if (np.abs(weight - before) / np.maximum(before, 1e-12)).max() <= tolerance:
-            break
+        change = (np.abs(weight - before) / np.maximum(before, 1e-12)).max()
+    if change > tolerance:
+        raise RuntimeError(f"raking still changes a weight by {change:.2g} of itself after {max_rounds} rounds")
     return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), int(r.n), float(w)) for r, w in zip(rows, weight, strict=True)],
                                  ", ".join(f"{d} string" for d in DIMENSIONS) + ", n bigint, weight double")
 

@@ -105,6 +105,22 @@ def test_rake_both_ways(spark, monkeypatch):
     assert here.keys() == there.keys() and all(here[k] == pytest.approx(there[k], rel=1e-6) for k in here)
 
 
+def test_raking_goes_on_until_it_converges(spark, monkeypatch):
+    """Sources nearly tied to languages need far more than 30 rounds."""
+    rows = [("a", "x", "t", 10**6), ("a", "y", "t", 10**3), ("b", "x", "t", 10**3), ("b", "y", "t", 10**6)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n bigint")
+    share = lambda p, q: spark.createDataFrame([(p, 0.5), (q, 0.5)], "value string, share double")
+    skew = spark.createDataFrame([("x", 0.52), ("y", 0.48)], "value string, share double")
+    goals = {"source": share("a", "b"), "lang": skew}
+    with pytest.raises(RuntimeError):
+        mixing.rake(spark, cells, goals, max_rounds=30)
+    weight = {tuple(r[:2]): r.weight for r in mixing.rake(spark, cells, goals).collect()}
+    assert weight["a", "x"] + weight["b", "x"] == pytest.approx(0.52 * 0.5 * sum(r[3] for r in rows), rel=1e-2)
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    with pytest.raises(RuntimeError):
+        mixing.rake(spark, cells, goals, max_rounds=2)
+
+
 def test_mix(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     rows = mixing.mix(spark, docs).toPandas()
