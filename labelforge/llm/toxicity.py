@@ -24,10 +24,10 @@ from labelforge.llm.common import documents, fold, label_sample, ship, small_bat
 #: Bounds: labelled rows of the training sample, entries of the lexicon.
 TRAIN_ROWS = 10_000
 MAX_LEXICON = 1_000
-#: Least z-score, log rate ratio and share of the commonest entry's documents.
+#: Least z-score, log rate ratio and toxic documents of an entry.
 MIN_Z = 5.0
 MIN_WEIGHT = 1.0
-MIN_SUPPORT = 0.05
+MIN_DOCUMENTS = 3
 MAX_WEIGHT = 8.0
 #: Lengths of the word beginnings that may become entries.
 PREFIX = (4, 8)
@@ -132,13 +132,13 @@ class Matcher:
         return (np.log1p(total), np.log1p(100 * total / max(folded.count(" ") + folded.count("\n") + 1, 1))) if total else (0.0, 0.0)
 
 
-def learn_lexicon(spark: SparkSession, sample: DataFrame, size: int = MAX_LEXICON, min_z: float = MIN_Z, min_weight: float = MIN_WEIGHT, support: float = MIN_SUPPORT) -> dict[str, float]:
+def learn_lexicon(spark: SparkSession, sample: DataFrame, size: int = MAX_LEXICON, min_z: float = MIN_Z, min_weight: float = MIN_WEIGHT, min_documents: int = MIN_DOCUMENTS) -> dict[str, float]:
     """At most ``size`` entries: folded words, or beginnings of words marked by a
     ``*``, weighted by the log ratio of their rates in toxic and other texts.
 
     An entry's toxic documents must exceed their expectation by ``min_z`` (the
-    signed root of the likelihood ratio) and number at least ``support`` times
-    those of the commonest entry.  A shorter beginning enters beside a longer
+    signed root of the likelihood ratio) and number at least ``min_documents``,
+    however common other entries are.  A shorter beginning enters beside a longer
     one only if it brings further toxic documents."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def learn_lexicon(spark: SparkSession, sample: DataFrame, size: int = MAX_LEXICO
 
     counted = (sample.mapInArrow(entries, "entry string, d bigint, t bigint, label int").groupBy("entry")
                .agg(*(F.sum(F.when(F.col("label") == at, F.col(x)).otherwise(0)).alias(name) for name, x, at in (("a", "d", 1), ("b", "d", 0), ("ta", "t", 1), ("tb", "t", 0)))))
-    counts = stored(spark, counted.where("a >= 3 or entry = ''"), "lexicon-counts")
+    counts = stored(spark, counted.where((F.col("a") >= min_documents) | (F.col("entry") == "")), "lexicon-counts")
     total = counts.where("entry = ''").first()
     if not total or not total.a or not total.b:
         return {}
@@ -176,10 +176,9 @@ def learn_lexicon(spark: SparkSession, sample: DataFrame, size: int = MAX_LEXICO
               .where((F.col("g") >= min_z**2) & (F.col("weight") >= min_weight)).orderBy(F.desc(F.round("g", 6)), F.desc(F.length("entry")), "entry").limit(size).collect())
     lexicon: dict[str, float] = {}
     documents_of: dict[str, int] = {}
-    most = max((r.a for r in ranked), default=0)
     for r in ranked:
         stem = r.entry.rstrip("*")
-        if r.a >= support * most and not any(x.startswith(stem) and r.a <= 1.05 * n for x, n in documents_of.items()):
+        if not any(x.startswith(stem) and r.a <= 1.05 * n for x, n in documents_of.items()):
             lexicon[r.entry] = min(r.weight, MAX_WEIGHT)
             documents_of[stem] = r.a
     return lexicon

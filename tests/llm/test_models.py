@@ -86,6 +86,14 @@ def test_toxicity(spark):
     assert toxicity.score_documents(spark, frame(spark, []), labels(spark, [])).collect() == []
 
 
+def test_rare_toxic_words_enter_the_lexicon(spark):
+    """A word of few toxic documents counts beside one that is twenty times as common."""
+    rows = [(f"some plain words {i} vile", 1) for i in range(1000)] + [(f"some plain words {i} crass", 1) for i in range(49)]
+    rows += [(f"some plain words {i}", 0) for i in range(2000)] + [("some plain words odd", 1)] * 2
+    lexicon = toxicity.learn_lexicon(spark, spark.createDataFrame(rows, "text string, label int"))
+    assert {"crass", toxicity.fold_text("vile")} <= set(lexicon) and not any(w.startswith(("odd", "some", "plai")) for w in lexicon)
+
+
 def test_toxic_matching():
     match = toxicity.Matcher({"idiot": 2.0, "ciown": 1.0, "mor*": 1.5, "moron": 3.0}, toxicity.EXCEPTIONS)
     hits = lambda t: sorted(h[2] for h in match.hits(toxicity.fold_text(t)))
