@@ -15,11 +15,11 @@ from labelforge.session import scratch_path, ship_package
 ROW = "__labelforge_row"
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: cuts
     the lineage, and a lost executor costs no recomputation."""
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

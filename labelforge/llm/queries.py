@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.llm import (
-    block_naming, crf_langid, decontaminate, fm_dedup, license_scan, mixing, pu_quality, simhash, token_rollup, toxicity,
+    block_naming, crf_langid, decontaminate, divergence, fm_dedup, license_scan, mixing, pu_quality, simhash, spelling, token_files,
+    token_rollup, toxicity,
 )
 from labelforge.session import scratch_path, table
 
@@ -130,3 +131,65 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probabilities of all documents, raked to tempered marginals."""
     return mixing.mix(spark, table(spark, sf_dir, "documents")).drop("row")
+
+
+@register("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in Huffman-coded files, read back from the files."""
+    import public_tokenizers
+
+    folder, files = token_files.write_corpus(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, folder, files)
+
+
+@register("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce((SELECT sum(c.c) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n
+        FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN kinds k ON k.lang = g.lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+             1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (g.n + 5 * g.v) AS p
+      FROM grp g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 5)) // (any_value(n) + 5 * any_value(v)) AS q
+      FROM p JOIN (SELECT lang, any_value(v) AS v, sum(n) AS n FROM grp GROUP BY 1) USING (lang) GROUP BY 1, 2),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+         FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) m
+         ON m.lang = a.lang AND m.s = a.source AND m.t = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language over its frequent terms."""
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+@register("op13_spelling_variants", r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t
+                       FROM (SELECT unnest(range(256)) AS i)),
+run AS (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS x
+        FROM documents) WHERE length(x) >= 7 GROUP BY ALL),
+code AS (SELECT x, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || x)) AS h FROM run),
+hashed AS (SELECT x, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM code, crc),
+seen AS (SELECT CASE WHEN h % 31 = 0 THEN left(x, (h % length(x))::INT) || substr(x, (h % length(x))::INT + 2) ELSE x END AS word, k FROM hashed),
+voc AS (SELECT word, sum(k)::BIGINT AS n FROM seen WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM voc)),
+pairs AS (SELECT DISTINCT * FROM (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.v = b.v AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION ALL SELECT c.word, c.n, v.word, v.n FROM cut c JOIN voc v ON c.v = v.word
+  UNION ALL SELECT v.word, v.n, c.word, c.n FROM cut c JOIN voc v ON c.v = v.word)),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM pairs GROUP BY 1),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n
+         FROM voc v LEFT JOIN near USING (word)),
+walk(word, last, step) AS (SELECT word, word, 0 FROM form UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN form f ON f.word = w.last WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN (SELECT word, arg_max(last, step) AS root FROM walk GROUP BY 1) USING (word)
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(spark, spelling.observed_words(table(spark, sf_dir, "documents")))
