@@ -13,13 +13,13 @@ discarded prefix and is discarded by its own count.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,8 @@ TOP_TERMS = 50
 FIRST_BYTES = 3
 #: Closes a term; no term has it.
 END = b" "
-CLOSED = re.compile(rb"[^ ]+ ")
+#: Bytes of terms that a task takes up at a time.
+HELD_BYTES = 16 << 20
 #: Terms and sources of one block of the distance matrix, about.
 TERM_BLOCK, SOURCE_BLOCK = 4096, 256
 
@@ -64,6 +65,22 @@ def _hashes(lang: str, keys: list[bytes]) -> np.ndarray:
     return np.fromiter((h(k, seed) for k in keys), np.uint64, len(keys))
 
 
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.DictionaryArray, np.ndarray]]:
+    """For each language of the batch: its name, its rows, the closed terms of these
+    rows and each term's place among the rows."""
+    langs, blobs = batch.column("lang").dictionary_encode(), batch.column("terms").to_pylist()
+    number = langs.indices.to_numpy()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        rows = np.flatnonzero(number == k)
+        data = b"".join(blobs[i] for i in rows)
+        if data:
+            ends = np.flatnonzero(np.frombuffer(data, np.uint8) == END[0]) + 1
+            upto = np.cumsum([len(blobs[i]) for i in rows])
+            holder = np.searchsorted(upto, ends, side="left")
+            starts = np.concatenate([[0], ends]).astype(np.int32)
+            yield lang, rows, pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(data)]), holder
+
+
 def _filter_of(spark: SparkSession, keys: DataFrame, n: int):
     """A broadcast Bloom filter of the ``lang, key`` rows; its size is bounded by ``bloom.MAX_BITS``."""
 
@@ -81,16 +98,20 @@ def _level(terms: DataFrame, size: int, done: int, parents) -> DataFrame:
     shorter term) whose prefix of ``done`` bytes may have survived."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "terms", 8 << 20):
-            seen = defaultdict(Counter)
-            for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-                seen[lang].update({t[:size] for t in CLOSED.findall(blob) if len(t) > done})
-            for lang, counter in seen.items():
-                keys, counts = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
+        for batch in small_batches(batches, "terms", HELD_BYTES):
+            for lang, _, closed, holder in _by_language(batch):
+                if done:
+                    longer = pc.greater(pc.binary_length(closed), done)
+                    closed, holder = closed.filter(longer), holder[longer.to_numpy(zero_copy_only=False)]
+                prefix = pc.binary_slice(closed, 0, size).dictionary_encode()
+                keys, key = prefix.dictionary, prefix.indices.to_numpy()
                 if parents is not None:
-                    held = bloom.contains(parents.value, _hashes(lang, [k[:done] for k in keys]))
-                    keys, counts = [k for k, h in zip(keys, held, strict=True) if h], counts[held]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(counts)], names=["lang", "key", "n"])
+                    held = bloom.contains(parents.value, _hashes(lang, pc.binary_slice(keys, 0, done).to_pylist()))
+                    key, holder = key[held[key]], holder[held[key]]
+                once = pa.table({"holder": holder, "key": key}).group_by(["holder", "key"], use_threads=False).aggregate([])
+                counts = np.bincount(once.column("key").to_numpy(), minlength=len(keys))
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), keys.take(pa.array(used)), pa.array(counts[used], pa.int64())], names=["lang", "key", "n"])
 
     found = terms.select("lang", "terms").mapInArrow(run, "lang string, key binary, n bigint")
     return found.groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -121,18 +142,18 @@ def term_counts(spark: SparkSession, terms: DataFrame, kept: DataFrame) -> DataF
     held = _filter_of(spark, kept, max(1, kept.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "terms", 8 << 20):
-            sums = defaultdict(Counter)
-            for lang, source, blob, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = sums[lang, source]
-                for t, n in zip(CLOSED.findall(blob), np.frombuffer(counts, "<u4").tolist(), strict=True):
-                    got[t] += n
-            for (lang, source), counter in sums.items():
-                keys = list(counter)
-                hit = bloom.contains(held.value, _hashes(lang, keys))
-                keys = [k for k, h in zip(keys, hit, strict=True) if h]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.string()), pa.array(keys, pa.binary()),
-                                                  pa.array([counter[k] for k in keys], pa.int64())], names=["lang", "source", "key", "n"])
+        for batch in small_batches(batches, "terms", HELD_BYTES):
+            sources, counts = batch.column("source").dictionary_encode(), batch.column("counts").to_pylist()
+            number = sources.indices.to_numpy()
+            for lang, rows, closed, holder in _by_language(batch):
+                term = closed.dictionary_encode()
+                keys, key = term.dictionary, term.indices.to_numpy()
+                hit = bloom.contains(held.value, _hashes(lang, keys.to_pylist()))[key]
+                n = np.frombuffer(b"".join(counts[i] for i in rows), "<u4").astype(np.int64)
+                sums = (pa.table({"source": number[rows[holder[hit]]], "key": key[hit], "n": n[hit]})
+                        .group_by(["source", "key"], use_threads=False).aggregate([("n", "sum")]).combine_chunks())
+                yield from pa.table([pa.array([lang] * len(sums), pa.string()), sources.dictionary.take(sums.column("source")), keys.take(sums.column("key")),
+                                     sums.column("n_sum")], names=["lang", "source", "key", "n"]).combine_chunks().to_batches()
 
     found = (terms.select("lang", "source", "terms", "counts").mapInArrow(run, "lang string, source string, key binary, n bigint")
              .groupBy("lang", "source", "key").agg(F.sum("n").alias("n")))
