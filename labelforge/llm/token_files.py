@@ -24,6 +24,7 @@ some blocks in step, one table look-up per id.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -49,15 +50,19 @@ BLOCK_IDS = 1 << 16
 CHECKPOINT = 1 << 9
 #: A file is closed after so many ids or documents; a document is never cut.
 FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
+#: Tasks that read the files at most.
+READ_TASKS = 1 << 14
 #: Blocks that are packed or decoded at a time.
 HELD_BLOCKS = 16
-#: Pieces of text whose ids a task remembers, and the longest such piece.
-HELD_PIECES, PIECE_CHARS = 1 << 18, 64
+#: Pieces, and parts of pieces, whose ids a Python worker remembers, and the longest such piece.
+HELD_PIECES, HELD_PARTS, PIECE_CHARS = 1 << 19, 1 << 20, 64
 
 HEADER, BLOCK, TRAILER = struct.Struct("<8sQI"), struct.Struct("<II"), struct.Struct("<QII8s")
-#: A single space between two other characters: no token of a byte-level BPE with
-#: the usual pattern reaches over the place before it.
+#: Places that no token of a byte-level BPE with the usual pattern reaches over: before a
+#: single space between two other characters; inside such a piece also between a
+#: letter and one of these marks, and after a line break between two other characters.
 GAP = re.compile(r"(?<=\S)(?= \S)")
+PART = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?\n])|(?<=\S\n)(?=\S)")
 
 
 # the code -------------------------------------------------------------------
@@ -110,11 +115,11 @@ class Decoder:
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         self.bits = int(lengths.max()) if len(used) else 1
-        self.table = np.zeros(1 << self.bits, np.uint64)
+        self.table = np.zeros(1 << self.bits, np.int32 if len(lengths) <= 1 << 25 else np.int64)
         codes = canonical(lengths)
         order = used[np.argsort(lengths[used], kind="stable")]
         shift = self.bits - lengths[order].astype(np.int64)
-        filled = np.repeat(order.astype(np.uint64) << np.uint64(8) | lengths[order], np.left_shift(1, shift))
+        filled = np.repeat(order << 6 | lengths[order], np.left_shift(1, shift))
         if len(order):
             first = int(codes[order[0]]) << int(shift[0])
             self.table[first:first + len(filled)] = filled
@@ -122,18 +127,22 @@ class Decoder:
     def run(self, payload: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
         """``steps`` ids from each bit offset in ``starts``, a row for each; what lies
         beyond a run's own ids is for the caller to cut off."""
-        padded = np.concatenate([payload, np.zeros(steps * self.bits // 8 + 8, np.uint8)]).astype(np.uint64)
+        padded = np.concatenate([payload, np.zeros(steps * self.bits // 8 + 16, np.uint8)]).astype(np.int64)
         n = len(padded) - 4
-        window = sum(padded[k:n + k] << np.uint64(32 - 8 * k) for k in range(5))
-        last, cut = np.int64(n - 1), np.uint64((1 << self.bits) - 1)
-        at = starts.astype(np.int64)
-        out = np.empty((steps, len(starts)), np.uint64)
-        for step in range(steps):
-            shift = (40 - self.bits - (at & 7)).astype(np.uint64)
-            hit = self.table[window[np.minimum(at >> 3, last)] >> shift & cut]
-            out[step] = hit >> np.uint64(8)
-            at += (hit & np.uint64(255)).astype(np.int64)
-        return out.T
+        window = padded[:n] << 32
+        for k in range(1, 5):
+            window |= padded[k:n + k] << (32 - 8 * k)
+        at, spare, cut = starts.astype(np.int64), 40 - self.bits, (1 << self.bits) - 1
+        out = np.empty((steps, len(starts)), self.table.dtype)
+        for row in out:
+            shift = np.bitwise_and(at, 7)
+            np.subtract(spare, shift, out=shift)
+            place = window.take(at >> 3)
+            np.right_shift(place, shift, out=place)
+            np.bitwise_and(place, cut, out=place)
+            self.table.take(place, out=row, mode="clip")
+            np.add(at, row & 63, out=at)
+        return (out >> 6).T
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -264,7 +273,7 @@ class Reader:
             counts.append(runs[cut:])
             base += size
         if not starts:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64)
         runs = np.concatenate(counts)
         out = self.decoder.run(np.concatenate(payloads), np.concatenate(starts), int(runs.max()))
         return out[np.arange(out.shape[1]) < runs[:, None]]
@@ -279,7 +288,7 @@ class Reader:
         file: only the blocks they lie in are read, from the nearest checkpoint on."""
         start, stop = max(start, self.first) - self.first, min(stop - self.first, int(self.sizes.sum()))
         if start >= stop:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64)
         first, skip = start // BLOCK_IDS, start % BLOCK_IDS // CHECKPOINT
         found = self._decode(first, -(-stop // BLOCK_IDS), skip)
         at = start - first * BLOCK_IDS - skip * CHECKPOINT
@@ -315,10 +324,73 @@ def pieces_stand_alone(path: str) -> bool:
             and not made.get("normalizer") and not plain)
 
 
+class PieceEncoder:
+    """Ids of texts from the ids of their pieces, each encoded once by the library
+    and remembered by the Python worker.
+
+    A piece is named by its text without the space before it; the first piece of a
+    text, which has none, by its text after a space."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode, self.pieces, self.parts = encode, {}, {}
+
+    def _add(self, names: list[str]) -> None:
+        cut = [(" " + n,) if n.isalpha() else PART.split(n[1:] if n.startswith(" ") else " " + n) for n in names]
+        new = list(set().union(*cut).difference(self.parts))
+        self.parts.update(zip(new, self.encode(new), strict=True))
+        part = self.parts.__getitem__
+        self.pieces.update(zip(names, (part(c[0]) if len(c) == 1 else b"".join(map(part, c)) for c in cut), strict=True))
+        for p in new:
+            if len(p) > PIECE_CHARS:
+                del self.parts[p]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Runs without garbage collection: nothing here is cyclic, and the
+        collector would visit all remembered strings over and over."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.pieces) > HELD_PIECES:
+            self.pieces.clear()
+        if len(self.parts) > HELD_PARTS:
+            self.parts.clear()
+        cut = [(" " + t).split(" ") for t in texts]  # the first piece as '', text
+        for c in cut:
+            del c[0]
+            c[0] = " " + c[0]
+        new = set().union(*cut).difference(self.pieces)
+        # pieces of texts with other white space beside a space: cut these by the pattern
+        odd = {n for n in new if not n.strip(" ") or n[-1].isspace() or n.removeprefix(" ")[0].isspace()}
+        if odd:
+            for k, c in enumerate(cut):
+                if not odd.isdisjoint(c):
+                    first, *rest = GAP.split(texts[k])
+                    cut[k] = [" " + first, *(p[1:] for p in rest)]
+            new = set().union(*cut).difference(self.pieces)
+        names = list(new)
+        self._add(names)
+        ids = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+        for n in names:
+            if len(n) > PIECE_CHARS:
+                del self.pieces[n]
+        return ids
+
+
+_ENCODERS: dict[tuple[str, str], Callable[[list[str]], list[bytes]]] = {}
+
+
 def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (raw integers of ``dtype``) by the
-    tokenizers library.  Where pieces stand alone, each distinct piece is encoded
-    once and its ids are remembered, up to ``HELD_PIECES`` pieces."""
+    tokenizers library; a Python worker keeps it for its next tasks.  Where pieces
+    do not stand alone, whole texts are encoded."""
+    if (path, dtype) in _ENCODERS:
+        return _ENCODERS[path, dtype]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     from tokenizers import Tokenizer
 
@@ -326,25 +398,9 @@ def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    if not pieces_stand_alone(path):
-        return whole
-    known: dict[str, bytes] = {}
-
-    def by_piece(texts: list[str]) -> list[bytes]:
-        cut = [GAP.split(t) for t in texts]
-        if len(known) > HELD_PIECES:
-            known.clear()
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        known.update(zip(new, whole(new), strict=True))
-        ids = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for p in new:
-            if len(p) > PIECE_CHARS:
-                del known[p]
-        return ids
+        return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return by_piece
+    return _ENCODERS.setdefault((path, dtype), PieceEncoder(whole) if pieces_stand_alone(path) else whole)
 
 
 def stored_ids(spark: SparkSession, docs: DataFrame, path: str, dtype: str) -> DataFrame:
@@ -362,7 +418,7 @@ def stored_ids(spark: SparkSession, docs: DataFrame, path: str, dtype: str) -> D
 
         encode, part, before = text_encoder(path, dtype), TaskContext.get().partitionId(), 0
         end, width = np.array([END_ID], dtype).tobytes(), np.dtype(dtype).itemsize
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, max_bytes=8 << 20):
             ids = [b + end for b in encode(batch.column("text").to_pylist())]
             sizes = np.array([len(b) // width for b in ids], np.int64)
             ends = before + np.cumsum(sizes)
@@ -436,7 +492,7 @@ LIST = pa.schema([("file", pa.string()), ("first", pa.int64()), ("ids", pa.int64
 def read_documents(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files alone."""
     ship(spark)
-    wanted = files.select("file").repartition("file")
+    wanted = files.select("file").repartition(max(1, min(files.count(), READ_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = crc = None
