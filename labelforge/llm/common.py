@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,49 +12,86 @@ from pyspark.sql import functions as F
 
 from labelforge.session import scratch_path, ship_package
 
-#: Column that holds a table's stored row numbers.
-ROW = "__labelforge_row"
+#: Folders that ``stored`` has written, by application, and nobody has removed.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+@dataclass(frozen=True)
+class Numbered:
+    """A stored table whose rows have a number, in a column ``row`` that no other column has the name of."""
+
+    frame: DataFrame
+    row: str
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.frame.columns if c != self.row]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: cuts
     the lineage, and a lost executor costs no recomputation."""
     path = scratch_path(spark, f"llm-{name}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The folders that ``stored`` has written so far in this application."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders that ``stored`` has written and nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    mine = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+        mine.remove(folder)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column cast to ``kind``, or NULL of that type where it is absent."""
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
 
 
-def numbered(spark: SparkSession, docs: DataFrame, *names: str) -> DataFrame:
+def numbered(spark: SparkSession, docs: DataFrame | Numbered, *names: str) -> Numbered:
     """``docs`` (the named columns that it has, or all) with a number per row,
     written once: every job that reads the result sees the same numbers.  A
     scan position is no such number, since the splits of a scan depend on the
     cores registered when its job starts.  A numbered table stays as it is."""
-    if ROW in docs.columns:
+    if isinstance(docs, Numbered):
         return docs
     kept = [c for c in docs.columns if c in names or not names]
-    return stored(spark, docs.select(*(F.col(f"`{c}`") for c in kept), F.monotonically_increasing_id().alias(ROW)), "numbered")
+    row = free_name(kept, "__row")
+    return Numbered(stored(spark, docs.select(*(F.col(f"`{c}`") for c in kept), F.monotonically_increasing_id().alias(row)), "numbered"), row)
 
 
-def documents(docs: DataFrame, *names: str) -> DataFrame:
+def documents(docs: DataFrame | Numbered, *names: str) -> DataFrame:
     """``row`` (a number per row) plus the named columns of ``docs`` in their
     usual types; every other column is left behind, so names cannot clash.
 
     ``row`` is the stored number of a table from ``numbered``; elsewhere it is the
     scan position, which holds within one job and may be used by one job only."""
     kinds = {"doc_id": "bigint", "n_chars": "bigint"}
-    return docs.select((F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
-                       *(column_or_null(docs, n, kinds.get(n, "string")).alias(n) for n in names))
+    frame, row = (docs.frame, F.col(docs.row)) if isinstance(docs, Numbered) else (docs, F.monotonically_increasing_id())
+    return frame.select(row.alias("row"), *(column_or_null(frame, n, kinds.get(n, "string")).alias(n) for n in names))
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of a table from ``numbered`` (its columns without the number) whose
-    number is in ``rows.row``, or with ``left_anti`` those whose number is not."""
-    return docs.join(rows.select(F.col("row").alias(ROW)), ROW, how).select(*(F.col(f"`{c}`") for c in docs.columns if c != ROW))
+def keep_rows(docs: Numbered, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of a numbered table (its columns without the number) whose number
+    is in ``rows.row``, or with ``left_anti`` those whose number is not."""
+    return docs.frame.join(rows.select(F.col("row").alias(docs.row)), docs.row, how).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def fold(modulus: int, remainder: int, name: str = "doc_id") -> Column:

@@ -9,13 +9,13 @@ has the largest share of posterior mass by letters.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ GRAMS = (1, 2, 3, 4)
 #: Words whose potentials a task keeps.
 CACHE_WORDS = 1 << 18
 STEPS = 60
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 
 

@@ -19,8 +19,16 @@ RADIUS = 19
 BLOCKS = 10
 
 
+def _features(run: str) -> str:
+    """SQL for the features of a run of shingle hashes: every occurrence of a
+    shingle is one, hashed with its number among the run's occurrences.  Weighted
+    Jaccard of the shingles is plain Jaccard of the features, so a repeated
+    shingle swings no more bits than another."""
+    return f"transform(array(array_sort({run})), s -> transform(s, (x, i) -> xxhash64(x, if(i > 0 AND s[i - 1] = x, i - array_position(s, x) + 1, 0L))))[0]"
+
+
 def _simhash(rows: DataFrame, wide: bool, *keys: str) -> DataFrame:
-    """``keys, fp``: SimHash of the hashes ``h`` of each key, a bit being set if
+    """``keys, fp``: SimHash of the feature hashes ``h`` of each key, a bit being set if
     more than half of the hashes have it.  Several bits are summed at a time in
     lanes of one long: 16 bits wide, or 32 where a window may hold more than
     65,535 shingles."""
@@ -79,9 +87,9 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity:
                     .select("row", "m", "start").distinct(), "benchmark-windows")
     inside = (starts.groupBy("row").agg(F.collect_list(F.struct("m", "start")).alias("windows"))  # within one document
               .join(once(found, "hs", hashes("w")), "row").select("row", "hs", F.explode("windows").alias("x"))
-              .select("row", "x.m", "x.start", F.explode(F.expr("slice(hs, x.start + 1, x.m)")).alias("h")))
+              .select("row", "x.m", "x.start", F.explode(F.expr(_features("slice(hs, x.start + 1, x.m)"))).alias("h")))
     windows = _simhash(inside, wide, "row", "m", "start")
-    prints = _simhash(items.select("item", "m", F.explode("hs").alias("h")), wide, "item", "m")
+    prints = _simhash(items.select("item", "m", F.explode(F.expr(_features("hs"))).alias("h")), wide, "item", "m")
 
     # Hamming blocks: the items' blocks with at most one bit changed
     near = prints.select("item", "m", "fp", F.explode(block_values("fp")).alias("b")).select(
