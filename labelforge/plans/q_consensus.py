@@ -193,9 +193,12 @@ def c2_sentence_consensus(spark, sf_dir):
     return C.sentence_consensus(view(spark, sf_dir, "sentence_votes"))
 
 
-@register("j4_align_passes", oracle(["sentence_votes"], _SENTENCE_CTES + """
-SELECT parquet_file, row_index, sentence_index, r1 AS result_1, s1 AS confidence_1, r2 AS result_2,
-       s2 AS confidence_2, r3 AS result_3, s3 AS confidence_3 FROM z
+@register("j4_align_passes", oracle(["sentence_votes"], """
+SELECT parquet_file, row_index, sentence_index,
+       max(Result) FILTER (WHERE pass = 1) AS result_1, max(confidence) FILTER (WHERE pass = 1) AS confidence_1,
+       max(Result) FILTER (WHERE pass = 2) AS result_2, max(confidence) FILTER (WHERE pass = 2) AS confidence_2,
+       max(Result) FILTER (WHERE pass = 3) AS result_3, max(confidence) FILTER (WHERE pass = 3) AS confidence_3
+FROM sentence_votes GROUP BY parquet_file, row_index, sentence_index
 """))
 def j4_align_passes(spark, sf_dir):
     return (C.align_passes(view(spark, sf_dir, "sentence_votes"))

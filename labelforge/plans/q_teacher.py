@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelforge.functions import text as T
 from labelforge.operators import consensus as C
 from labelforge.operators import sentences as S
+from labelforge.operators import calls as CA
 from labelforge.operators import teacher as TE
 from labelforge.plans.q_consensus import _CONSENSUS_CTES
 from labelforge.plans.q_text import _PERIOD_LIST
@@ -178,6 +179,36 @@ def t3_dead_letter(spark, sf_dir):
     return TE.dead_letter(_retry_results(spark, sf_dir), KEYS)
 
 
+@register("t3_ordered_calls", oracle(["reports"], _RETRY_CTE + """
+SELECT fl.subject_id, fl.study_id, fl.sentence_index, ps.pass, CASE WHEN NOT failed THEN fl.lab END AS Result,
+       CASE WHEN failed THEN 'RuntimeError: permanent failure' END AS error
+FROM fl CROSS JOIN ps LEFT JOIN fb ON fl.subject_id = fb.subject_id AND fl.study_id = fb.study_id
+WHERE fb.first_bad IS NULL OR fl.sentence_index <= fb.first_bad
+"""))
+def t3_ordered_calls(spark, sf_dir):
+    fan = TE.with_passes(sentences(spark, sf_dir), 3).select(
+        *SENT_KEYS, "pass", T.sentence_prompt("sentence").alias("prompt"))
+    teacher = TE.scripted_failures(TE.rule_teacher(0, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0))
+    made = CA.ordered_calls(fan, "prompt", teacher, [*SENT_KEYS, "pass"], KEYS, max_errors=ST.MAX_ERRORS_PER_SENTENCE,
+                            validate=TE.strict_json_object)
+    return made.select(*SENT_KEYS, "pass", F.get_json_object("raw_ai_output", "$.Result").alias("Result"), "error")
+
+
+@register("t4_shared_budget", oracle(["reports"], _SENT_CTE + """,
+n AS (SELECT count(*) * 3 AS records FROM se)
+SELECT records * 3 // 2 AS budget, (records * 3 // 2) // 3 AS records, (records * 3 // 2) // 3 * 3 AS calls FROM n
+"""))
+def t4_shared_budget(spark, sf_dir):
+    # half of the calls that all records would take, spent by tasks that run at the same time
+    fan = TE.with_passes(sentences(spark, sf_dir), 3).select(
+        *SENT_KEYS, "pass", T.sentence_prompt("sentence").alias("prompt"))
+    budget = fan.count() * 3 // 2
+    made = CA.ordered_calls(fan, "prompt", TE.rule_teacher(0, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0),
+                            [*SENT_KEYS, "pass"], KEYS, budget=budget)
+    return made.agg(F.lit(budget).cast("bigint").alias("budget"), F.count_if(F.col("raw_ai_output").isNotNull()).alias("records"),
+                    F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
+
+
 _PLAN_CTE = _SENT_CTE + """,
 ps AS (SELECT 1 AS pass UNION ALL SELECT 2 UNION ALL SELECT 3),
 pl AS (SELECT se.subject_id, se.study_id, se.sentence_index, ps.pass,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.encode import parse_json_strict
 from labelforge.functions.text import context_period, sentence_prompt
+from labelforge.operators import calls as CA
 from labelforge.operators import consensus as C
 from labelforge.operators import cost as K
 from labelforge.operators import metrics as M
@@ -47,23 +48,24 @@ def label_reports(reports: DataFrame, teachers: dict[str, TE.TeacherFactory], na
 
 def sentence_consensus(reports: DataFrame, teacher: TE.TeacherFactory, keys: list[str] = KEYS, passes: int = 3,
                        call_budget: int | None = None, encoder=None, **retry) -> tuple[DataFrame, DataFrame]:
-    """The sentence labelling flow: sentences (P10) → call budget (T4) → passes
-    with retries (T2, T3) → embeddings and confidence (T7, T6) → consensus (C2)
-    with provenance (C4).  Returns the consensus and the failed reports.
+    """The sentence labelling flow: sentences (P10) → passes with retries, in
+    report order and within a call budget (T2, T3, T4) → embeddings and
+    confidence (T7, T6) → consensus (C2) with provenance (C4).  Returns the
+    consensus and the failed reports.
 
     A reply that is not one JSON object is a failed call.  ``retry`` goes to
-    ``call_with_retry`` (tries, waits, timeout, request size).  The replies are
-    written once, so every prompt is sent once per try; what follows a report's
-    first failed sentence is left out.  With a budget, only calls within it are
-    made, and a sentence without all its passes has no consensus."""
+    ``ordered_calls`` (tries, waits, timeout, request size).  The replies are
+    written once, so every prompt is sent once per try; a report's calls stop at
+    its first dead sentence.  With a budget the running tasks share it, and a
+    sentence without all its passes has no consensus."""
     sentence_keys = [*keys, "sentence_index"]
     text = reports.select(*keys, context_period("findings", "impression").alias("text"))
-    plan = TE.call_plan_rows(S.split_sentences(text, "text", "period"), passes)
-    if call_budget is not None:
-        plan = TE.api_budget(plan, [*sentence_keys, "pass"], call_budget)
+    plan = TE.with_passes(S.split_sentences(text, "text", "period"), passes)
     asked = plan.select(*sentence_keys, "pass", F.col("sentence").alias("Context"), sentence_prompt("sentence").alias("prompt"))
-    replies = TE.materialize(TE.call_with_retry(asked, "prompt", teacher, [*sentence_keys, "pass", "Context"], sentence_keys,
-                                                validate=TE.strict_json_object, **retry), "sentence_replies")
+    replies = CA.ordered_calls(asked, "prompt", teacher, [*sentence_keys, "pass", "Context"], keys, validate=TE.strict_json_object,
+                               budget=call_budget, **retry)
+    if call_budget is None:
+        replies = TE.materialize(replies, "sentence_replies")
     fields = parse_json_strict("raw_ai_output", ("Result", "Explanation"))
     votes = TE.skip_after_failure(replies, keys).withColumn("_p", fields).select(
         *sentence_keys, "pass", "Context", F.col("_p.value.Result").alias("Result"), F.col("_p.value.Explanation").alias("Explanation"))

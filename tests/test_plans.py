@@ -3,11 +3,11 @@ shuffles outside bounded tiny inputs, filters and columns reach the scan."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SMALL
 from labelforge.plans.explain import physical_plan, plan_summary
+from labelforge.plans.registry import QUERIES, load_all
 
-QUERIES = E.queries()
+load_all()
 
 # operators whose work is Python by design (plug-in teachers / encoders, per-batch
 # matrix losses, file writers, ML); everything else must have no Python node
