@@ -261,3 +261,85 @@ def ntxent_loss(df: DataFrame, batch: str, vec: str, label: str, scale: float =
         return pd.DataFrame({batch: [pdf[batch].iloc[0]], "loss": [loss], "pairs": [pairs]})
 
     return df.select(batch, vec, label).groupBy(batch).applyInPandas(per_batch, f"{batch} long, loss double, pairs long")
+
+
+# ---------------------------------------------------------------- gradients
+
+def _through_norm(z: np.ndarray, du: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    """Gradient of the rows from the gradient of their unit vectors."""
+    n = np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), eps)
+    u = z / n
+    return (du - (du * u).sum(axis=1, keepdims=True) * u) / n
+
+
+def supcon_gradient(z: np.ndarray, labels: np.ndarray, temperature: float = 0.07, base_temperature: float = 0.07) -> tuple[float, np.ndarray]:
+    """V9 backward: the mean loss over all rows as anchors and its gradient by the
+    rows, block by block (a block of anchors times all rows is held at a time)."""
+    u = _unit_rows(z)
+    value, du = 0.0, np.zeros_like(u)
+    for rows in _blocks(len(z)):
+        g = (u[rows] @ u.T) / temperature
+        g -= g.max(axis=1, keepdims=True)
+        own = (np.arange(len(rows)), rows)
+        pos = labels[rows, None] == labels[None, :]
+        pos[own] = False
+        e = np.exp(g)
+        e[own] = 0.0
+        p, total = pos.sum(axis=1), e.sum(axis=1) + 1e-12
+        has = p > 0
+        value -= (((g * pos).sum(axis=1) / np.maximum(p, 1) - np.log(total)) * has).sum()
+        dg = (e / total[:, None] - pos / np.maximum(p, 1)[:, None]) * has[:, None]
+        du[rows] += dg @ u
+        du += dg.T @ u[rows]
+    factor = temperature / base_temperature / max(len(z), 1)
+    return float(value * factor), _through_norm(z, du * factor / temperature)
+
+
+def ntxent_gradient(z: np.ndarray, labels: np.ndarray, temperature: float = 0.07) -> tuple[float, np.ndarray]:
+    """V10 backward: the mean loss over ordered positive pairs (0 without any) and
+    its gradient by the rows.  The similarity of two rows is the cosine of their
+    rows of the Gram matrix, ``u_a (u'u) u_b`` over the norms, so neither the Gram
+    matrix nor the similarities are held whole."""
+    u = _unit_rows(z)
+    c = u.T @ u
+    h = u @ c
+    square = np.maximum((h * u).sum(axis=1), 1e-24)
+    norm = np.sqrt(square)
+    value, pairs = 0.0, 0
+    du, dc, dsquare = np.zeros_like(u), np.zeros_like(c), np.zeros(len(u))
+    for rows in _blocks(len(z)):
+        s = (h[rows] @ u.T) / (norm[rows, None] * norm[None, :])
+        pos = labels[rows, None] == labels[None, :]
+        e = np.exp((s - s.max(axis=1, keepdims=True)) / temperature)
+        negative = ~pos
+        pos[np.arange(len(rows)), rows] = False
+        rest = (e * negative).sum(axis=1, keepdims=True)
+        q = np.where(pos, e / (e + rest), 0.0)
+        value -= float(np.log(q[pos]).sum())
+        pairs += int(pos.sum())
+        ds = np.where(pos, q - 1.0, 0.0) + negative * e * np.where(pos, 1.0 / (e + rest), 0.0).sum(axis=1, keepdims=True)
+        dm = ds / (norm[rows, None] * norm[None, :])
+        dsquare[rows] -= (ds * s).sum(axis=1) / (2 * square[rows])
+        dsquare -= (ds * s).sum(axis=0) / (2 * square)
+        du[rows] += dm @ h
+        du += dm.T @ h[rows]
+        dc += u[rows].T @ (dm @ u)
+    if not pairs:
+        return 0.0, np.zeros_like(z)
+    du += 2 * dsquare[:, None] * h
+    dc += (u * dsquare[:, None]).T @ u
+    du += u @ (dc + dc.T)
+    return value / pairs, _through_norm(z, du / (temperature * pairs))
+
+
+def supcon_gradients(df: DataFrame, batch: str, key: str, vec: str, label: str, temperature: float = 0.07,
+                     base_temperature: float = 0.07) -> DataFrame:
+    """V9 backward per mini-batch: ``batch, key, loss, gradient, grad_norm`` of every row."""
+
+    def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        loss, dz = supcon_gradient(np.vstack(pdf[vec].to_numpy()).astype(np.float64), pdf[label].to_numpy(), temperature, base_temperature)
+        return pd.DataFrame({batch: pdf[batch].to_numpy(), key: pdf[key].to_numpy(), "loss": loss, "gradient": list(dz),
+                             "grad_norm": np.sqrt((dz * dz).sum(axis=1))})
+
+    schema = f"{batch} long, {key} long, loss double, gradient array<double>, grad_norm double"
+    return df.select(batch, key, vec, label).groupBy(batch).applyInPandas(per_batch, schema)

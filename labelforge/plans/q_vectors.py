@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelforge.operators import metrics as M
 from labelforge.operators import ml as ML
+from labelforge.operators import train as TR
 from labelforge.operators import vectors as V
 from labelforge.plans import settings as ST
 from labelforge.plans.registry import register
@@ -232,3 +233,81 @@ def v7_train_linear_head(spark, sf_dir):
 @register("v13_project_embeddings")
 def v13_project_embeddings(spark, sf_dir):
     return ML.project_embeddings(table(spark, sf_dir, "embeddings"), "embedding", 3, keep=["vec_id", "label"])
+
+
+@register("v9_supcon_gradient", oracle(["batches"], _NZ + """,
+pr AS (SELECT a.batch_id, a.vec_id AS i, c.vec_id AS j, a.label = c.label AND a.vec_id <> c.vec_id AS pos,
+              CASE WHEN a.vec_id <> c.vec_id THEN exp((list_dot_product(a.z, c.z) - 1) / 0.07) ELSE 0 END AS e
+       FROM nz a JOIN nz c ON a.batch_id = c.batch_id),
+tot AS (SELECT batch_id, i, sum(e) AS t, count(*) FILTER (WHERE pos) AS p, count(*) AS n FROM pr GROUP BY batch_id, i),
+dg AS (SELECT pr.batch_id, i, j, CASE WHEN p = 0 THEN 0 ELSE (e / t - pos::INT / p) / n / 0.07 END AS d FROM pr JOIN tot USING (batch_id, i)),
+twice AS (SELECT batch_id, i, j, d FROM dg UNION ALL SELECT batch_id, j, i, d FROM dg),
+dim AS (SELECT vec_id, unnest(z) AS x, unnest(range(0, len(z))) AS k FROM nz),
+du AS (SELECT twice.i, k, sum(d * x) AS d FROM twice JOIN dim ON twice.j = dim.vec_id GROUP BY twice.i, k),
+away AS (SELECT du.i, sum(du.d * dim.x) AS r FROM du JOIN dim ON dim.vec_id = du.i AND dim.k = du.k GROUP BY du.i),
+raw AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v))) AS norm FROM embeddings)
+SELECT b.batch_id, du.i AS vec_id, round(sqrt(sum(((du.d - r * dim.x) / norm) ** 2)), 6) AS grad_norm
+FROM du JOIN dim ON dim.vec_id = du.i AND dim.k = du.k JOIN away ON away.i = du.i JOIN raw ON raw.vec_id = du.i JOIN batches b ON b.vec_id = du.i
+GROUP BY ALL
+"""))
+def v9_supcon_gradient(spark, sf_dir):
+    g = V.supcon_gradients(view(spark, sf_dir, "batches"), "batch_id", "vec_id", "embedding", "label")
+    return g.select("batch_id", "vec_id", F.round("grad_norm", 6).alias("grad_norm"))
+
+
+BATCHES, EPOCHS, RATE = 4, 2, 0.5
+
+
+def _trained_sql() -> str:
+    """The training written out: one CTE per step, from zero weights.  With two
+    classes their weights are opposite, so one list of weights is enough."""
+    parts = ["""x AS (SELECT vec_id, list_append(list_transform(embedding, lambda v: v::DOUBLE), 1.0::DOUBLE) AS x, label % 2 AS y, vec_id % 4 = 0 AS test FROM embeddings),
+size AS (SELECT ceil(count(*) / 4)::BIGINT AS size FROM x WHERE NOT test),
+w0 AS (SELECT list_transform(range(0, 65), lambda i: 0.0::DOUBLE) AS w)"""]
+    logs = []
+    for step in range(1, BATCHES * EPOCHS + 1):
+        epoch, k = (step - 1) // BATCHES + 1, (step - 1) % BATCHES
+        parts.append(f"""b{step} AS (SELECT x, y, 1 / (1 + exp(-2 * list_dot_product(w, x))) AS p FROM w{step - 1},
+  (SELECT x, y, (row_number() OVER (ORDER BY md5(concat('{epoch}', vec_id)), vec_id) - 1) // size AS batch FROM x, size WHERE NOT test) WHERE batch = {k}),
+g{step} AS (SELECT list(d ORDER BY i) AS g FROM (SELECT i, avg((p - y) * v) AS d FROM (SELECT p, y, unnest(x) AS v, unnest(range(0, 65)) AS i FROM b{step}) GROUP BY i)),
+w{step} AS (SELECT list_transform(list_zip(w, g), lambda z: z[1] - {RATE} * z[2]) AS w FROM w{step - 1}, g{step}),
+l{step} AS (SELECT {epoch} AS epoch, {step} AS step, (SELECT count(*) FROM b{step}) AS rows,
+  (SELECT avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) FROM b{step}) AS loss, (SELECT sqrt(2 * list_dot_product(g, g)) FROM g{step}) AS grad_norm)""")
+        logs.append(f"SELECT * FROM l{step}")
+    return "WITH " + ",\n".join(parts) + ",\nlog AS (" + " UNION ALL ".join(logs) + ")"
+
+
+def _trained(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("y"))
+    train = rows.where(F.col("vec_id") % 4 != 0)
+    return rows, TR.train_softmax(train, "embedding", "y", ["vec_id"], 2, -(-train.count() // BATCHES), EPOCHS, TR.Sgd(RATE))
+
+
+@register("v6_step_log", _trained_sql() + """
+SELECT epoch, step, rows, round(loss, 9) AS loss, round(grad_norm, 9) AS grad_norm FROM log
+""")
+def v6_step_log(spark, sf_dir):
+    log = _trained(spark, sf_dir)[1][1]
+    return log.select("epoch", "step", "rows", F.round("loss", 9).alias("loss"), F.round("grad_norm", 9).alias("grad_norm"))
+
+
+@register("a7_trained_epochs", _trained_sql() + """
+SELECT 'softmax' AS model_name, epoch, round(avg(loss), 9) AS train_loss, count(*) AS steps, round(avg(grad_norm), 9) AS grad_norm_mean FROM log GROUP BY epoch
+""")
+def a7_trained_epochs(spark, sf_dir):
+    rolled = M.epoch_rollup(_trained(spark, sf_dir)[1][1])
+    return rolled.select("model_name", "epoch", F.round("train_loss", 9).alias("train_loss"), "steps", F.round("grad_norm_mean", 9).alias("grad_norm_mean"))
+
+
+@register("e5_trained_splits", _trained_sql() + f""",
+cf AS (SELECT CASE WHEN test THEN 'test' ELSE 'train' END AS split, y, (list_dot_product(w, x) > 0)::INT AS p FROM x, w{BATCHES * EPOCHS}),
+n AS (SELECT split, count(*) FILTER (WHERE y = 0 AND p = 0) AS tn, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
+             count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp FROM cf GROUP BY split)
+SELECT split, tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+       coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM n
+""")
+def e5_trained_splits(spark, sf_dir):
+    rows, (weights, _) = _trained(spark, sf_dir)
+    split = F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train").alias("split")
+    scored = TR.predict_softmax(rows.select("vec_id", "embedding", "y", split), "embedding", weights, ["split", "y"])
+    return M.split_metrics(scored, ["split"], "y", "prediction")

@@ -13,7 +13,7 @@ load_all()
 # matrix losses, file writers, ML); everything else must have no Python node
 PYTHON_BY_DESIGN = ("t1_", "t2_", "t3_", "c1_consensus_from_teachers", "c2_consensus_from_teachers",
                     "v6_", "v7_", "v9_", "v10_", "v12_", "v13_", "j6_", "w3_", "t4_", "v11_", "s4_", "s5_", "s6_",
-                    "s3_partition_glob", "s13_", "x1_", "j5_", "s19_", "s10_", "t5_", "p18_")
+                    "s3_partition_glob", "a7_trained", "e5_trained", "s13_", "x1_", "j5_", "s19_", "s10_", "t5_", "p18_")
 SQL_ONLY = sorted(n for n in QUERIES if not n.startswith(PYTHON_BY_DESIGN))
 
 
