@@ -141,6 +141,13 @@ def consensus_with_text(votes: DataFrame, keys: list[str] = KEYS,
                           F.col("top.c").alias("confidence"))
 
 
+def winning_votes(votes: DataFrame, decided: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The votes for their study's consensus label, with the decision; the
+    label is a join key, so other votes never leave the join."""
+    d = decided.select(*keys, F.col("consensus_label").alias("label"), "consensus_label", "consensus_confidence")
+    return votes.join(d, [*keys, "label"])
+
+
 def rank_labels(stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``row_number`` of labels per study by count desc (tie-break: mean
     confidence desc, then label) — the reference leaves ties arbitrary."""

@@ -94,11 +94,12 @@ def epoch_rollup(steps: DataFrame, group_by: list[str] = ["model_name", "epoch"]
 
 
 def prediction_report(preds: DataFrame, texts: DataFrame, key: list[str], text: str = "Context",
-                      label: str = "label", pred: str = "prediction") -> DataFrame:
+                      label: str = "label", pred: str = "prediction", keep: tuple[str, ...] = ()) -> DataFrame:
     """E4 + J7: predictions joined to their texts by key (never by position),
-    with the TP/FP/FN/TN status."""
+    with the TP/FP/FN/TN status; ``keep`` columns of the predictions (the method
+    of several) come along."""
     j = texts.select(*key, text).join(preds, key, "inner")
-    return j.select(*key, F.col(text).alias("text"), F.col(pred).alias("prediction"),
+    return j.select(*key, *keep, F.col(text).alias("text"), F.col(pred).alias("prediction"),
                     F.col(label).alias("true_label"), classification_status(label, pred).alias("status"))
 
 

@@ -499,18 +499,17 @@ def bucket_encoder(dim: int = 64) -> Callable[[DataFrame, str, str], DataFrame]:
         idx = F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim)
         # bucket counts from the sorted bucket ids: first and last position of
         # each bucket (compiled array_position) instead of a per-token pass
-        # over all buckets
-        srt = "_buckets_sorted"
-        d = df.withColumn(srt, F.coalesce(F.array_sort(idx), F.array().cast("array<bigint>")))
-        n = F.size(srt)
-
-        def count(b):
-            first = F.array_position(srt, b)
-            last = n - F.array_position(F.reverse(srt), b) + 1
+        # over all buckets; lambda variables hold what is evaluated once per row
+        buckets = F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<bigint>")
+
+        def count(up, down, b):
+            first = F.array_position(up, b)
+            last = F.size(up) - F.array_position(down, b) + 1
             return F.when(first > 0, last - first + 1).otherwise(0).cast("double")
 
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<bigint>"), count)
-        return d.withColumn(out, l2_normalize(counts)).drop(srt)
+        once = F.array(F.coalesce(F.array_sort(idx), F.array().cast("array<bigint>")))
+        counts = F.transform(once, lambda up: F.transform(F.array(F.reverse(up)), lambda down: F.transform(buckets, lambda b: count(up, down, b)))[0])[0]
+        return df.withColumn(out, l2_normalize(counts))
 
     return encode
 
@@ -532,16 +531,17 @@ def batch_encoder(encoder_factory: Callable[[], Callable[[pd.Series], list]]) ->
     return encode
 
 
-def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", dedupe: bool = True) -> DataFrame:
+def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", dedupe: bool | None = None) -> DataFrame:
     """Embed newline-flattened text with a pluggable encoder.
 
     ``dedupe=True`` embeds each distinct text once and joins the vectors back
     (the reference embeds the same context in each of 3 passes) — worth two
-    text shuffles when the encoder is a paid or slow model; with the cheap
-    JVM encoders (``bucket_encoder`` — the default —, ``hashed_encoder``)
-    ``dedupe=False`` embeds in place without a shuffle."""
+    text shuffles when the encoder is a paid or slow model, and the default for
+    a given encoder; the built-in ``bucket_encoder`` is a column expression and
+    embeds in place, without a shuffle."""
     from labelforge.functions.text import flatten_newlines
 
+    dedupe = encoder is not None if dedupe is None else dedupe
     encoder = encoder or bucket_encoder()
     if not dedupe:
         return encoder(df.withColumn("_flat", flatten_newlines(text)), "_flat", out).drop("_flat")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelforge.operators import consensus as C
+from labelforge.operators import consensus_state as CS
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
+from labelforge.session import scratch_path
 from labelforge.sources.fixtures import stored_view, view
 
 TEACHERS = ["teacher_a", "teacher_b", "teacher_c"]
@@ -134,8 +136,7 @@ SELECT subject_id, study_id, model, explanation, cl AS consensus_label FROM win
 def j3_join_back_winners(spark, sf_dir):
     votes = view(spark, sf_dir, "votes")
     d = C.consensus_labels(votes)
-    return (votes.join(d, C.KEYS, "inner").where(F.col("label") == F.col("consensus_label"))
-            .select(*C.KEYS, "model", "explanation", "consensus_label"))
+    return C.winning_votes(votes, d).select(*C.KEYS, "model", "explanation", "consensus_label")
 
 
 @register("w2_pick_winner", oracle(["votes"], _CONSENSUS_CTES + """
@@ -144,9 +145,7 @@ SELECT subject_id, study_id, model, cl AS consensus_label FROM win WHERE rn = 1
 def w2_pick_winner(spark, sf_dir):
     votes = view(spark, sf_dir, "votes")
     d = C.consensus_labels(votes)
-    winners = (votes.join(d, C.KEYS, "inner").where(F.col("label") == F.col("consensus_label"))
-               .select(*C.KEYS, "model", "consensus_label"))
-    return C.pick_winner(winners)
+    return C.pick_winner(C.winning_votes(votes, d).select(*C.KEYS, "model", "consensus_label"))
 
 
 @register("a9_distinct_consensus", oracle(["votes"], _CONSENSUS_CTES + """
@@ -253,3 +252,36 @@ def u3_concat_vote_lists(spark, sf_dir):
     sv = view(spark, sf_dir, "sentence_votes")
     lists = [sv.where(F.col("pass") == p) for p in (1, 2, 3)]
     return C.union_votes(lists)
+
+
+_KEPT_VOTES = """
+kept AS (SELECT * FROM votes WHERE NOT (model = 'teacher_b' AND right(study_id, 1) IN ('3', '7'))),
+lab AS (SELECT subject_id, study_id, label, count(*) AS n, avg(confidence) AS c, min(model) AS m, count(*) OVER (PARTITION BY subject_id, study_id) AS k
+        FROM kept GROUP BY subject_id, study_id, label)
+SELECT a.subject_id, a.study_id, a.label AS consensus_label, a.c AS consensus_confidence, a.m AS winner_model
+FROM lab a LEFT JOIN lab b ON a.subject_id = b.subject_id AND a.study_id = b.study_id AND a.label IS DISTINCT FROM b.label
+WHERE a.label IS NOT NULL AND (a.k = 1 OR (a.k = 2 AND a.n > b.n AND a.c > b.c))
+"""
+
+
+@register("c1_kept_up_to_date", oracle(["votes"], _KEPT_VOTES))
+def c1_kept_up_to_date(spark, sf_dir):
+    # a batch per teacher, one of them twice; then a teacher takes back some of its votes
+    votes = view(spark, sf_dir, "votes")
+    store = CS.ConsensusStore(spark, scratch_path(spark, "consensus_store"))
+    for m in TEACHERS:
+        store.apply(m, votes.where(F.col("model") == m))
+    store.compact()
+    store.apply(TEACHERS[0], votes.where(F.col("model") == TEACHERS[0]))
+    store.apply("taken back", retracted=votes.where((F.col("model") == "teacher_b") & F.expr("right(study_id, 1) IN ('3', '7')")))
+    return store.decisions()
+
+
+@register("c1_duplicate_votes", oracle(["votes"], """
+d AS (SELECT * FROM votes UNION ALL SELECT * FROM votes WHERE right(study_id, 1) = '5')
+SELECT subject_id, study_id, model, count(*) AS vote_rows, count(DISTINCT coalesce('=' || label, '')) AS labels
+FROM d GROUP BY ALL HAVING count(*) > 1
+"""))
+def c1_duplicate_votes(spark, sf_dir):
+    votes = view(spark, sf_dir, "votes")
+    return CS.duplicate_votes(votes.unionByName(votes.where(F.expr("right(study_id, 1) = '5'"))))

@@ -227,16 +227,15 @@ def s17_read_metrics_glob(spark, sf_dir):
 
 
 @register("s18_write_predictions", oracle(["predictions"], """
-SELECT p.doc_id, d.text, CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS prediction, p.label AS true_label
-FROM predictions p JOIN documents d ON d.doc_id = p.doc_id WHERE p.method = 'Baseline'
+SELECT p.doc_id, p.method, d.text, CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS prediction, p.label AS true_label
+FROM predictions p JOIN documents d ON d.doc_id = p.doc_id
 """))
 def s18_write_predictions(spark, sf_dir):
     path = scratch_path(spark, "predictions_csv")
-    s = scored(spark, sf_dir).where(F.col("method") == "Baseline")
-    rep = M.prediction_report(s, table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Context")),
-                              ["doc_id"])
-    sinks.write_predictions(rep.select("doc_id", "text", "prediction", "true_label"), path)
-    return sinks.read_predictions(spark, path, "doc_id long, text string, prediction int, true_label int")
+    rep = M.prediction_report(scored(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Context")),
+                              ["doc_id"], keep=("method",))
+    sinks.write_predictions(rep.select("doc_id", "method", "text", "prediction", "true_label"), path)
+    return sinks.read_predictions(spark, path, "doc_id long, method string, text string, prediction int, true_label int")
 
 
 @register("s20_describe_source", oracle([], """

@@ -136,16 +136,15 @@ def e3_specificity_sensitivity(spark, sf_dir):
 
 
 @register("e4_prediction_report", oracle(["predictions"], _SCORED + """
-SELECT sc.doc_id, d.text, sc.prediction, sc.label AS true_label,
+SELECT sc.doc_id, sc.method, d.text, sc.prediction, sc.label AS true_label,
        CASE WHEN label = 1 AND prediction = 1 THEN 'TP' WHEN label = 0 AND prediction = 1 THEN 'FP'
             WHEN label = 1 AND prediction = 0 THEN 'FN' WHEN label = 0 AND prediction = 0 THEN 'TN'
             ELSE 'Unknown' END AS status
-FROM sc JOIN documents d ON d.doc_id = sc.doc_id WHERE sc.method = 'Baseline'
+FROM sc JOIN documents d ON d.doc_id = sc.doc_id
 """))
 def e4_prediction_report(spark, sf_dir):
-    preds = scored(spark, sf_dir).where(F.col("method") == "Baseline")
     texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Context"))
-    return M.prediction_report(preds, texts, ["doc_id"])
+    return M.prediction_report(scored(spark, sf_dir), texts, ["doc_id"], keep=("method",))
 
 
 @register("j7_predictions_by_key", oracle(["predictions"], _SCORED + """

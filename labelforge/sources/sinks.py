@@ -67,10 +67,11 @@ def rewrite_with_column(spark: SparkSession, name: str, version: int, fn: Callab
     """Replace a table by a query over itself.
 
     Spark refuses to overwrite a table it is reading, so the result goes to
-    ``name_v{version+1}`` and the view ``name`` is swapped to it."""
+    ``name_v{version+1}`` and the catalog view ``name`` is swapped to it: other
+    sessions read the new table from then on, and a reader that has begun keeps the old one."""
     src = spark.table(f"{name}_v{version}")
     new = create_table_as(fn(src), name, version + 1, path)
-    spark.table(new).createOrReplaceTempView(name)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {new}")
     return new
 
 
