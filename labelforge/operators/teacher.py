@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelforge.functions.encode import extract_label_json, parse_json_strict
 from labelforge.functions.text import context_sql, doc_prompt, is_blank, sentence_prompt
@@ -343,7 +344,6 @@ def running_total(df: DataFrame, order: list[str], value: Column | str, out: str
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.select("*", v.cast("long").alias("_v"))
     ranged = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    from pyspark.sql import types as T
 
     schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
 
@@ -519,7 +519,7 @@ def batch_encoder(encoder_factory: Callable[[], Callable[[pd.Series], list]]) ->
     opened once per partition (Arrow batches via ``mapInPandas``)."""
 
     def encode(df: DataFrame, text: str, out: str) -> DataFrame:
-        schema = df.schema.add(out, "array<double>")
+        schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
         def run(batches):
             enc = encoder_factory()

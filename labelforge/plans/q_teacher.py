@@ -8,12 +8,14 @@ from labelforge.functions import text as T
 from labelforge.operators import consensus as C
 from labelforge.operators import sentences as S
 from labelforge.operators import calls as CA
+from labelforge.operators import embedding_store as ES
 from labelforge.operators import teacher as TE
 from labelforge.plans.q_consensus import _CONSENSUS_CTES
 from labelforge.plans.q_text import _PERIOD_LIST
 from labelforge.plans import settings as ST
 from labelforge.plans.registry import register
 from labelforge.plans.sqltext import oracle
+from labelforge.session import scratch_path
 from labelforge.sources.fixtures import view
 from labelforge.session import table
 
@@ -330,3 +332,19 @@ def c2_consensus_from_teachers(spark, sf_dir):
                             "sentence_votes_scored")
     out = C.sentence_consensus(scored, keys=SENT_KEYS)
     return out.withColumn("confidence", F.round("confidence", 9))
+
+
+@register("t7_embedding_store", oracle(["reports"], _SENT_CTE + """,
+fl AS (SELECT *, replace(sentence, chr(10), ' ') AS t FROM se),
+early AS (SELECT DISTINCT t FROM fl WHERE sentence_index % 2 = 0)
+SELECT subject_id, study_id, sentence_index, CASE WHEN early.t IS NULL THEN 'second' ELSE 'first' END AS embedded_in
+FROM fl LEFT JOIN early ON early.t = fl.t
+"""))
+def t7_embedding_store(spark, sf_dir):
+    # two runs: the second one meets the texts of the first again and embeds only the others
+    s = sentences(spark, sf_dir).select(*SENT_KEYS, "sentence")
+    store = ES.EmbeddingStore(spark, scratch_path(spark, "embedding_store"), "buckets")
+    store.embed(s.where(F.col("sentence_index") % 2 == 0), "sentence", TE.bucket_encoder(), batch="first")
+    both = store.embed(s, "sentence", TE.bucket_encoder(), batch="second").where(F.size("embedding") == 64)
+    named = store.vectors().select(F.col("digest"), F.col("batch").alias("embedded_in"))
+    return both.withColumn("digest", ES.text_digest("sentence")).join(named, "digest").select(*SENT_KEYS, "embedded_in")
