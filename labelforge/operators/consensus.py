@@ -76,8 +76,9 @@ def _decide(per_label: DataFrame, keys: list[str], label: str, extra: list[str])
 
 def consensus_labels(votes: DataFrame, keys: list[str] = KEYS, label: str = "label",
                      score: str = "confidence", model: str = "model",
-                     ignore_failed_votes: bool = False) -> DataFrame:
+                     ignore_failed_votes: bool = False, kind: str | None = None) -> DataFrame:
     """Winning (label, confidence, first model) per study — narrow columns only.
+    ``kind`` keeps the ``agreed`` studies (one label) or the ``majority`` ones (two).
 
     One plan at every size: votes are read once, and no job runs while it is
     built.  ``ignore_failed_votes=True`` drops NULL-label votes before counting
@@ -91,6 +92,8 @@ def consensus_labels(votes: DataFrame, keys: list[str] = KEYS, label: str = "lab
         F.min(model).alias("first_model"),
     )
     decided = _decide(per_label, keys, label, ["first_model"])
+    if kind:
+        decided = decided.where(F.col("k") == {"agreed": 1, "majority": 2}[kind])
     return decided.select(
         *keys,
         F.col("top.lbl").alias("consensus_label"),
@@ -99,6 +102,14 @@ def consensus_labels(votes: DataFrame, keys: list[str] = KEYS, label: str = "lab
     )
 
 
+def union_decisions(parts: list[DataFrame]) -> DataFrame:
+    """Decision tables of disjoint studies (agreed and majority ones, or those
+    of several corpora) as one, by column name."""
+    if not parts:
+        raise ValueError("need at least one decision table")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def consensus(votes: DataFrame, keys: list[str] = KEYS, text_cols: tuple[str, ...] = ("findings", "impression"),
               ignore_failed_votes: bool = False) -> DataFrame:
     """Consensus table ``keys + text_cols + label, explanation, confidence``.

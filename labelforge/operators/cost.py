@@ -131,3 +131,9 @@ def sampled_token_estimate(sample_sentences: DataFrame, total_sentences: DataFra
     out = per.withColumn("total_sentences", total)
     return out.select("*", (F.col("chat_tokens_per_sentence_all_passes") * F.col("total_sentences")).alias("total_chat_tokens"),
                       (F.col("embed_tokens_per_sentence_all_passes") * F.col("total_sentences")).alias("total_embed_tokens"))
+
+
+def corpus_totals(reports: DataFrame, sentences: Column) -> DataFrame:
+    """Reports, sentences (``sentences`` counts those of a report) and sentences per report, in one aggregation."""
+    return reports.select(sentences.alias("n")).agg(F.count(F.lit(1)).alias("total_reports"), F.sum("n").alias("total_sentences"),
+                                                    F.avg("n").alias("mean_sentences_per_report"))

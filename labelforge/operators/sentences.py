@@ -98,3 +98,9 @@ def first_rows(df: DataFrame, order: list[str], k: int) -> DataFrame:
     whole = found.where(F.col("_n") <= F.col("_room")).select(*df.columns)
     cut = running_total(found.where(F.col("_n") > F.col("_room")), [*order, *others], F.lit(1), out="_rank")
     return whole.unionByName(cut.where(F.col("_rank") <= F.col("_room")).select(*df.columns)).orderBy(*order)
+
+
+def order_reports(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """O1: reports in the order of their keys (a range-partitioned sort; equal keys
+    in the order of their other columns, so that the order is the same at every run)."""
+    return reports.orderBy(*keys, *[c for c in reports.columns if c not in keys])

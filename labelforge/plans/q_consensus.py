@@ -126,7 +126,8 @@ def u1_union_teachers(spark, sf_dir):
 SELECT subject_id, study_id, cl AS consensus_label, cc AS consensus_confidence FROM cons WHERE cl IS NOT NULL
 """))
 def u2_union_decisions(spark, sf_dir):
-    d = C.consensus_labels(view(spark, sf_dir, "votes"))
+    votes = view(spark, sf_dir, "votes")
+    d = C.union_decisions([C.consensus_labels(votes, kind=kind) for kind in ("agreed", "majority")])
     return d.select(*C.KEYS, "consensus_label", "consensus_confidence")
 
 

@@ -126,7 +126,7 @@ def k3_sampled_token_estimate(spark, sf_dir):
 SELECT subject_id, study_id, findings, impression FROM reports ORDER BY subject_id, study_id
 """))
 def o1_order_reports(spark, sf_dir):
-    return view(spark, sf_dir, "reports").select(*KEYS, "findings", "impression").orderBy(*KEYS)
+    return S.order_reports(view(spark, sf_dir, "reports").select(*KEYS, "findings", "impression"), KEYS)
 
 
 @register("o2_test_slice", oracle(["reports"], f"""
@@ -174,6 +174,4 @@ c AS (SELECT len({_PUNCT_LIST}) AS n FROM reports)
 SELECT count(*) AS total_reports, sum(n) AS total_sentences, avg(n) AS mean_sentences_per_report FROM c
 """))
 def a8_corpus_totals(spark, sf_dir):
-    r = view(spark, sf_dir, "reports").select(S.count_sentences(_count_text(), "punct").alias("n"))
-    return r.agg(F.count(F.lit(1)).alias("total_reports"), F.sum("n").alias("total_sentences"),
-                 F.avg("n").alias("mean_sentences_per_report"))
+    return K.corpus_totals(view(spark, sf_dir, "reports"), S.count_sentences(_count_text(), "punct"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelforge.operators import metrics as M
 from labelforge.operators import ml as ML
+from labelforge.operators import neighbours as NB
 from labelforge.operators import train as TR
 from labelforge.operators import vectors as V
 from labelforge.plans import settings as ST
@@ -311,3 +312,10 @@ def e5_trained_splits(spark, sf_dir):
     split = F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train").alias("split")
     scored = TR.predict_softmax(rows.select("vec_id", "embedding", "y", split), "embedding", weights, ["split", "y"])
     return M.split_metrics(scored, ["split"], "y", "prediction")
+
+
+@register("v13_neighbour_layout")
+def v13_neighbour_layout(spark, sf_dir):
+    # no SQL: the graph is approximate and the layout sampled; tests hold the graph against brute force
+    y = NB.neighbour_layout(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, rounds=8)
+    return y.select(F.col("key").alias("vec_id"), *[F.col("position")[i].alias(c) for i, c in enumerate("xyz")])

@@ -35,7 +35,7 @@ def reports_from_files(spark: SparkSession, root: str, partition: str | None = N
     the first rows in (subject, study) order, as the test split does."""
     path = f"{root.rstrip('/')}/files/{partition}/" if partition else root
     reports = files.parse_reports(files.read_report_files(spark, path))
-    return S.first_rows(reports, KEYS, first_n) if first_n else reports.orderBy(*KEYS)
+    return S.first_rows(reports, KEYS, first_n) if first_n else S.order_reports(reports, KEYS)
 
 
 def label_reports(reports: DataFrame, teachers: dict[str, TE.TeacherFactory], name: str = "extract",
