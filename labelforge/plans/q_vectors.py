@@ -240,7 +240,7 @@ def v13_project_embeddings(spark, sf_dir):
 pr AS (SELECT a.batch_id, a.vec_id AS i, c.vec_id AS j, a.label = c.label AND a.vec_id <> c.vec_id AS pos,
               CASE WHEN a.vec_id <> c.vec_id THEN exp((list_dot_product(a.z, c.z) - 1) / 0.07) ELSE 0 END AS e
        FROM nz a JOIN nz c ON a.batch_id = c.batch_id),
-tot AS (SELECT batch_id, i, sum(e) AS t, count(*) FILTER (WHERE pos) AS p, count(*) AS n FROM pr GROUP BY batch_id, i),
+tot AS (SELECT batch_id, i, sum(e) + 1e-12 AS t, count(*) FILTER (WHERE pos) AS p, count(*) AS n FROM pr GROUP BY batch_id, i),
 dg AS (SELECT pr.batch_id, i, j, CASE WHEN p = 0 THEN 0 ELSE (e / t - pos::INT / p) / n / 0.07 END AS d FROM pr JOIN tot USING (batch_id, i)),
 twice AS (SELECT batch_id, i, j, d FROM dg UNION ALL SELECT batch_id, j, i, d FROM dg),
 dim AS (SELECT vec_id, unnest(z) AS x, unnest(range(0, len(z))) AS k FROM nz),

@@ -1,14 +1,15 @@
-"""Every registered query against its DuckDB oracle (sf0.001), and the
+"""Every query of the library against its DuckDB oracle (sf0.001), and the
 rows-only queries for a stable, non-empty schema."""
 
 import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from labelforge.plans.registry import ORACLES, QUERIES, load_all
+from labelforge.session import ship_package
 from oracle_harness import compare, duck
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,11 @@ def con():
     return duck(SMALL)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    ship_package(spark)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle_matches(spark, con, name):
     r = compare(spark, con, SMALL, name, QUERIES[name], ORACLES[name])
