@@ -15,13 +15,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
     from labelforge.plans.explain import plan_summary
+    from labelforge.plans.registry import ORACLES as os_, QUERIES as qs, load_all
     from labelforge.session import get_spark
 
     spark = get_spark()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    qs, os_ = E.queries(), E.oracle_sql()
+    load_all()
     print("# PLANS — physical plan shape per query\n")
     print(f"Generated by `tools/plan_report.py` over `{sf_dir}` with AQE off (the optimizer's choice before runtime "
           "re-planning). `shuffles` counts hash/range/single-partition exchanges, `bcast` broadcast exchanges, "
