@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -55,6 +56,59 @@ def test_quality(spark):
     assert pu_quality.score_documents(spark, frame(spark, []), labels(spark, [])).collect() == []
 
 
+def plain_features(text):
+    """The shape features one character and one word at a time."""
+    kinds = [pu_quality._char_class(c) if ord(c) < 0x3000 else 2 for c in text or ""]
+    n = max(len(kinds), 1)
+    single, double = [0.0] * 8, [0.0] * 64
+    for i, k in enumerate(kinds):
+        single[k] += 1 / n
+        if i:
+            double[kinds[i - 1] * 8 + k] += 1 / n
+    words, lines = (text or "").split(), [x for x in (text or "").split("\n") if x]
+    w, kinds_of = max(len(words), 1), set(words)
+    odd = sum(1 for x in words if not x[-1].isalnum() and x[-1] not in ".,;:!?'\"()")
+    rest = [np.log1p(len(text or "")), len(text or "") / w, len(kinds_of) / w, max((words.count(x) for x in kinds_of), default=0) / w, odd / w,
+            1 - len(set(lines)) / max(len(lines), 1), w / max(len(lines), 1) / 100, min(len(kinds_of) / np.sqrt(w), 50.0)]
+    return np.array([x**0.5 for x in single + double] + rest, np.float32)
+
+
+def test_quality_query_against_brute_force(spark):
+    """The whole query by one process: the fold, both samples (all rows here), the prior, the fit and the scores."""
+    known = [(i, int(i % 3 > 0), 0) for i in range(1, 12)] + [(1, 0, 0), (None, 1, 1)]
+    rows = [r for r in awkward() if r[0] != 6]
+    got = pu_quality.score_documents(spark, frame(spark, rows), labels(spark, known))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    good = {i for i, q, _ in known if i is not None and q == 1}
+    train = sorted({(r[0], r[1]) for r in rows if r[0] is not None and not held(r[0])}, key=str)
+    vectors = lambda texts: np.array(sorted((plain_features(t) for t in texts), key=lambda x: x.tobytes()), np.float64)
+    p, u = vectors([t for i, t in train if i in good]), vectors([t for _, t in train])
+    assert 1 <= len(p) < len(u)
+    model = pu_quality.fit_nnpu(p, u, min(max(pu_quality.estimate_prior(p, u), 0.01), 0.99))
+    want = sorted((str(r[0]), held(r[0]), round(float(model.score(plain_features(r[1]))), 5)) for r in rows)
+    assert sorted((str(r.doc_id), r.held_out, round(r.score, 5)) for r in got.collect()) == want
+    assert got.where("predicted <> int(score >= 0.5)").count() == 0
+
+
+def test_prior_is_found_without_negatives():
+    rng = np.random.default_rng(6)
+    for share in (0.15, 0.5, 0.85):
+        n = int(4_000 * share)
+        u = np.concatenate([rng.normal(2, 1, (n, 3)), rng.normal(-2, 1, (4_000 - n, 3))])
+        assert pu_quality.estimate_prior(rng.normal(2, 1, (3_000, 3)), u) == pytest.approx(share, abs=0.04)
+    one = np.ones((1, 3))
+    assert pu_quality.estimate_prior(one[:0], one) == pu_quality.estimate_prior(one, one[:0]) == 0
+    assert 0 < pu_quality.estimate_prior(one, one) <= 1
+
+
+def test_no_negative_label_is_read(spark):
+    rows = [(i, f"text number {i} " * (1 + i % 5), "en", "a", 1) for i in range(60)]
+    both = [(i, i % 2, 0) for i in range(60)]
+    scores = [sorted((r.doc_id, r.score) for r in pu_quality.score_documents(spark, frame(spark, rows), labels(spark, known)).collect())
+              for known in (both, [x for x in both if x[1] == 1])]
+    assert scores[0] == scores[1]
+
+
 def test_samples_are_bounded_and_never_empty(spark):
     for total in (10**4, 10**10, 10**13, 10**18):
         assert common.sample_bound(4_000, total) / 2**63 == pytest.approx(4_000 / total)
