@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,15 +115,27 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @register("op6_token_rollup")
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals by source, language and tokenizer version, kept by deltas: all
-    documents are inserted (a replay of the batch changes nothing), then all
-    exact copies but the one with the largest id are deleted."""
+    """Token totals by source, language and tokenizer version, kept by deltas.
+
+    All documents are inserted under two versions (a replay changes nothing).  Where
+    collapsing white space changes a text of an id, the id's counts are revised.
+    The ledger is compacted, and all copies of a collapsed text but the one with the
+    largest id are deleted."""
     docs = table(spark, sf_dir, "documents")
     store = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
-    counts = token_rollup.token_counts(spark, docs, "byte_bpe_50k")
-    store.insert("load", counts)
-    store.insert("load", counts)
-    same = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+    versions = {"byte_bpe_50k": token_rollup.TOKENIZER, "byte_bpe_multi_50k": token_rollup.MULTILINGUAL}
+
+    def counts(df: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, (token_rollup.token_counts(spark, df, *v) for v in versions.items()))
+
+    store.insert("load", counts(docs))
+    store.insert("load", counts(docs))
+    collapsed = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    texts = docs.select("doc_id", "source", "lang", collapsed.alias("text"))
+    changed = docs.where(collapsed != F.coalesce("text", F.lit(""))).select("doc_id").distinct()
+    store.revise("collapse", counts(texts.join(changed, "doc_id", "left_semi")))
+    store.compact("compact")
+    same = texts.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     last = same.groupBy("h").agg(F.max("doc_id").alias("doc_id"))
     store.delete("copies", same.select("doc_id").join(last.select("doc_id"), "doc_id", "left_anti"))
     return store.totals()

@@ -3,8 +3,9 @@
 A batch of changes (inserts, deletes, revised counts) becomes signed rows that
 are added up by source, language and tokenizer version.  The store is a folder:
 ``ledger`` holds each document's signed counts by batch, ``deltas`` the batch's
-sums, ``commits`` one row for each finished batch.  A batch without its commit
-row is invisible and is written anew; one with it is never applied again.
+sums, ``commits`` a table for each finished batch, which names the batches that
+it stands for if it is a compaction.  A batch without its commit is invisible and
+is written anew; one with it is never applied again.  One writer at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from labelforge.llm.common import documents, ship, small_batches
 KEYS = ("source", "lang", "version")
 MEASURES = ("documents", "tokens", "chars")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MULTILINGUAL = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def _encoder(path: str):
@@ -50,8 +52,10 @@ def _encoder(path: str):
 def token_counts(spark: SparkSession, docs: DataFrame, version: str, path: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, lang, version, documents, tokens, chars`` for every row.
 
-    NULL text counts as empty and has no token.  The vocabulary file lies at the
-    same path on every executor."""
+    NULL text counts as empty and has no token; a long text is read whole; an empty
+    table gives no row; other columns are left behind, whatever their names.  The
+    vocabulary file lies at the same path on every executor, where a ``.tiktoken``
+    file also needs its split pattern from the module ``public_tokenizers``."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +94,17 @@ class Rollup:
         found = top.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(top)
         return sorted(x.getPath().getName() for x in found if self.committed(x.getPath().getName()))
 
-    def _read(self, part: str, schema: str) -> DataFrame:
+    def live(self) -> list[str]:
+        """The committed batches that no committed compaction stands for."""
         names = self.batches()
+        if not names:
+            return []
+        commits = self.spark.read.schema("replaces string").parquet(*(f"{self.root}/commits/{n}" for n in names))
+        replaced = {r.replaces for r in commits.where("replaces is not null").collect()}
+        return [n for n in names if n not in replaced]
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        names = self.live()
         if not names:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{part}/{n}" for n in names))
@@ -106,7 +119,7 @@ class Rollup:
         """``source, lang, version, documents, tokens, chars`` over all committed batches."""
         return self._read("deltas", self.DELTAS).groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).where("documents <> 0 or tokens <> 0 or chars <> 0")
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
+    def commit(self, batch: str, changes: DataFrame, replaces: list[str] | None = None) -> bool:
         """Apply signed changes (columns of the ledger) as ``batch``; False if it
         was applied before.  NULL keys are categories; an empty batch is a commit.
 
@@ -118,10 +131,13 @@ class Rollup:
         changes.select(*columns).write.mode("overwrite").parquet(f"{self.root}/ledger/{batch}")
         written = self.spark.read.schema(self.LEDGER).parquet(f"{self.root}/ledger/{batch}")
         written.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).write.mode("overwrite").parquet(f"{self.root}/deltas/{batch}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/commits/{batch}")
+        names = self.spark.createDataFrame([(n,) for n in replaces or []], "replaces string")
+        names.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/{batch}")
         return True
 
     def insert(self, batch: str, counts: DataFrame) -> bool:
+        """Add the counts.  An id that contributes already contributes both; to
+        replace what it contributes, use ``revise``."""
         return self.commit(batch, counts)
 
     def delete(self, batch: str, ids: DataFrame) -> bool:
@@ -133,9 +149,23 @@ class Rollup:
         return self.commit(batch, gone.select("doc_id", *KEYS, *((-F.col(m)).alias(m) for m in MEASURES)))
 
     def revise(self, batch: str, counts: DataFrame) -> bool:
-        """Replace what documents contribute under the counts' versions by new counts."""
+        """Replace what documents contribute under the counts' versions by new counts.
+
+        Several rows of one id and version are all added.  Rows without an id or a
+        version replace nothing and are left out.  The counts are evaluated once."""
         if self.committed(batch):
             return False
-        old = self.ledger().join(counts.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi")
+        counts.select("doc_id", *KEYS, *MEASURES).where("doc_id is not null and version is not null").write.mode("overwrite").parquet(f"{self.root}/revised/{batch}")
+        new = self.spark.read.schema(self.LEDGER).parquet(f"{self.root}/revised/{batch}")
+        old = self.ledger().join(new.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi")
         signed = old.select("doc_id", *KEYS, *((-F.col(m)).alias(m) for m in MEASURES))
-        return self.commit(batch, signed.unionByName(counts.select("doc_id", *KEYS, *MEASURES)))
+        return self.commit(batch, signed.unionByName(new))
+
+    def compact(self, batch: str) -> bool:
+        """Replace all live batches by one with a row per contributing id and key.
+
+        Until it is committed the old batches are read, afterwards the new one;
+        the old ones stay committed, so none of them is ever applied again."""
+        if self.committed(batch):
+            return False
+        return self.commit(batch, self.ledger(), self.live())

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import MEDIUM
 from labelforge.llm import common, crf_langid, mixing, pu_quality, token_rollup, toxicity
+from labelforge.llm.queries import QUERIES
 from llm.small import SCHEMA, awkward, frame
 
 
@@ -210,3 +212,42 @@ def test_rollup_commits(spark, tmp_path):
     assert got == {("a", "en", "v1"): (1, 7), (None, None, "v1"): (1, 0), ("b", "de", "v1"): (1, one[4])}
     counts.write.mode("overwrite").parquet(f"{tmp_path}/deltas/b4")  # a batch without its commit is not seen
     assert {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in store.totals().collect()} == got
+
+
+def test_compaction_keeps_totals_and_commits(spark, tmp_path):
+    store = token_rollup.Rollup(spark, str(tmp_path))
+    row = lambda i, n, v="v1": (i, "a", "en", v, 1, n, 10 * n)
+    counts = lambda *rows: spark.createDataFrame(list(rows), store.LEDGER)
+    total = lambda: {(r.version, r.documents, r.tokens) for r in store.totals().collect()}
+    assert store.compact("c0") and total() == set()
+    store.insert("b1", counts(row(1, 5), row(2, 6), row(1, 7, "v2")))
+    store.revise("b2", counts(row(1, 9), row(1, 1), row(None, 100), (3, "a", "en", None, 1, 1, 1)))
+    want = {("v1", 3, 16), ("v2", 1, 7)}
+    assert total() == want and store.compact("c1") and total() == want
+    assert store.live() == ["c1"] and not store.insert("b1", counts(row(9, 9))) and not store.compact("c1")
+    assert store.ledger().count() == 3
+    store.delete("b3", counts(row(2, 0)))
+    assert total() == {("v1", 2, 10), ("v2", 1, 7)} and store.compact("c2") and store.live() == ["c2"] and total() == {("v1", 2, 10), ("v2", 1, 7)}
+    store.spark.createDataFrame([("c2",)], "replaces string").write.parquet(f"{tmp_path}/commits/c3/_temporary")  # not finished
+    assert store.live() == ["c2"]
+
+
+@pytest.mark.parametrize("rows", [awkward() + [(20, " two  words\n", "en", "a", 1), (20, "two words", "en", "b", 1), (21, "two words", "en", "a", 1)], []])
+def test_rollup_query_against_brute_force(spark, tmp_path, rows):
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang, r.version): (r.documents, r.tokens, r.chars) for r in QUERIES["op6_token_rollup"](spark, str(tmp_path)).collect()}
+    flat = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "").strip(" ")
+    changed = {r[0] for r in rows if r[0] is not None and flat(r[1]) != (r[1] or "")}
+    last = {}
+    for r in rows:
+        last[flat(r[1])] = max(last.get(flat(r[1]), -1), -1 if r[0] is None else r[0])
+    stays = set(last.values())
+    want = {}
+    for version, path in (("byte_bpe_50k", token_rollup.TOKENIZER), ("byte_bpe_multi_50k", token_rollup.MULTILINGUAL)):
+        count = token_rollup._encoder(path)
+        for i, text, lang, source, _ in rows:
+            if i is None or i in stays:
+                text = flat(text) if i in changed else text or ""
+                old = want.get((source, lang, version), (0, 0, 0))
+                want[source, lang, version] = (old[0] + 1, old[1] + count(text), old[2] + len(text))
+    assert got == want
