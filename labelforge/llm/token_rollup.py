@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MULTILINGUAL = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
+@lru_cache(maxsize=4)
 def _encoder(path: str):
-    """A function from text to its number of tokens, for the vocabulary file at ``path``."""
+    """A function from text to its number of tokens, for the vocabulary file at
+    ``path``; built once in a worker process."""
     if path.endswith(".tiktoken"):
         import base64
 
