@@ -24,6 +24,7 @@ from labelforge.plans.sqltext import oracle
 from labelforge.session import scratch_path, table
 from labelforge.sources import files, sinks
 from labelforge.sources.fixtures import view
+from labelforge.streaming import folders
 from labelforge.streaming.resume import run_to_completion
 
 KEYS = ["subject_id", "study_id"]
@@ -338,3 +339,25 @@ def x1_resume_stream(spark, sf_dir):
     out = run_to_completion(spark, inbox, schema, scratch_path(spark, "stream_out"),
                             scratch_path(spark, "stream_ckpt"), lambda b: files.parse_reports(b), files_per_trigger=16)
     return out.drop("batch_id")
+
+
+@register("x1_stream_folder_status", oracle(["reports_raw"], r"""
+f AS (SELECT regexp_extract(path, '([^/]+)/[^/]+$', 1) AS unit, coalesce(length(text), 0) % 5 = 0 OR ends_with(regexp_extract(path, '([^/]+)/[^/]+$', 1), '3') AS bad
+      FROM reports_raw),
+n AS (SELECT unit, count(*) AS rows, count(*) FILTER (bad) AS failed FROM f GROUP BY 1)
+SELECT unit, rows, failed, CASE WHEN failed = 0 THEN 'done' WHEN failed < rows THEN 'partial' ELSE 'failed' END AS status,
+       CASE WHEN failed > 0 THEN 'unreachable: ' || unit END AS error
+FROM n
+"""))
+def x1_stream_folder_status(spark, sf_dir):
+    # the labeller fails on whole folders and on single texts (by length)
+    inbox, root = scratch_path(spark, "status_inbox"), scratch_path(spark, "status_run")
+    # shards of many folders: a file for each folder would be a file for each few reports
+    _units(spark, sf_dir).write.option("maxRecordsPerFile", 20_000).parquet(inbox)
+    schema = spark.read.parquet(inbox).schema
+
+    def label(df):
+        bad = (F.coalesce(F.length("text"), F.lit(0)) % 5 == 0) | F.col("folder").endswith("3")
+        return df.withColumn("error", F.when(bad, F.concat(F.lit("unreachable: "), "folder")))
+
+    return folders.drain(spark, inbox, schema, root, label, "folder", "error", files_per_trigger=4).drop("closed")
