@@ -42,6 +42,10 @@ SENTENCE_LABELS = ["Yes", "No", "Uncertain"]
 # ------------------------------------------------------------ offline teachers
 
 def rule_teacher(shift: int = 0, labels: list[str] = DOC_LABELS, label_key: str = "label",
+#: Answered prompts that the scripted teacher remembers, and tokens whose bucket an encoder remembers.
+REMEMBERED = 20_000
+TOKENS_REMEMBERED = 300_000
+
                  explanation_key: str = "explanation", fence_every: int = 11, gate: int = 1) -> TeacherFactory:
     """Deterministic offline teacher: with n = len(prompt), the label is
     labels[(n + shift) % 3] when n % gate == 0, else labels[n % 3]; every
@@ -70,11 +74,15 @@ def scripted_failures(base: TeacherFactory, permanent_mod: int = 13, transient_m
                       transient_failures: int = 2) -> TeacherFactory:
     """Wrap a teacher with scripted errors (tests of T3): prompts whose length
     is a multiple of ``permanent_mod`` always fail; multiples of
-    ``transient_mod`` fail their first ``transient_failures`` calls."""
+    ``transient_mod`` fail their first ``transient_failures`` calls.
+
+    Of the prompts that have been answered it remembers the last ``REMEMBERED``
+    ones; a prompt older than that fails anew when it comes back."""
 
     def make() -> Teacher:
         inner = base()
-        seen: dict[str, int] = {}
+        seen: dict[str, int] = {}  # prompts on their way: no more than the caller re-sends
+        answered: dict[str, None] = {}  # oldest first
 
         def call(prompts: pd.Series) -> pd.Series:
             good = inner(prompts)
@@ -83,12 +91,16 @@ def scripted_failures(base: TeacherFactory, permanent_mod: int = 13, transient_m
                 n = len(p) if p is not None else -1
                 if p is not None and n % permanent_mod == 0:
                     out.append(RuntimeError("permanent failure"))
-                elif p is not None and n % transient_mod == 0 and seen.get(p, 0) < transient_failures:
+                elif p is not None and n % transient_mod == 0 and p not in answered and seen.get(p, 0) < transient_failures:
                     seen[p] = seen.get(p, 0) + 1
                     out.append(TimeoutError("transient failure"))
                 else:
                     out.append(g)
             return pd.Series(out, index=prompts.index, dtype=object)
+                    if seen.pop(p, None) is not None:
+                        answered[p] = None
+                        if len(answered) > REMEMBERED:
+                            del answered[next(iter(answered))]
 
         return call
 
@@ -542,6 +554,41 @@ def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", d
     (the reference embeds the same context in each of 3 passes) — worth two
     text shuffles where texts repeat or the encoder is slow; ``dedupe=False``
     embeds in place, without a shuffle.  For the built-in ``bucket_encoder`` (some
+_BUCKET_UDFS: dict = {}
+
+
+def _buckets_udf(dim: int):
+    """Blank-separated tokens → unit vector of their bucket counts (built lazily, as ``tf_cosine_udf``)."""
+    if dim not in _BUCKET_UDFS:
+
+        known: dict[str, int] = {}  # of one worker
+
+        def bucket(token: str) -> int:
+            i = known.get(token)
+            if i is None:
+                if len(known) >= TOKENS_REMEMBERED:
+                    known.clear()
+                i = known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+            return i
+
+        def encode(texts: pa.Array) -> pa.Array:
+            once = texts.dictionary_encode()
+            n = len(once.dictionary) + 1  # the last row is that of NULL
+            place = once.indices.fill_null(n - 1).to_numpy(zero_copy_only=False)
+            tokens = pc.split_pattern(once.dictionary.cast(pa.large_string()), " ")
+            rows = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+            words = tokens.flatten().dictionary_encode()
+            ids = np.array([bucket(t) if t else -1 for t in words.dictionary.to_pylist()], dtype=np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+            some = ids >= 0  # no token before a leading blank
+            counts = np.bincount(rows[some] * dim + ids[some], minlength=n * dim).reshape(n, dim).astype(np.float64)
+            unit = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-12)
+            offsets = pa.array(np.arange(len(place) + 1, dtype=np.int32) * dim)
+            return pa.ListArray.from_arrays(offsets, pa.array(unit[place].reshape(-1)))
+
+        _BUCKET_UDFS[dim] = F.arrow_udf(encode, "array<double>")
+    return _BUCKET_UDFS[dim]
+
+
     45 µs a text) the first form is the faster one where passes repeat a context."""
     from labelforge.functions.text import flatten_newlines
 
