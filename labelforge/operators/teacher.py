@@ -325,7 +325,8 @@ def skip_after_failure(results: DataFrame, report_keys: list[str], index: str =
     reference's output at the price of those calls."""
     first_bad = (results.where(F.col("error").isNotNull()).groupBy(*report_keys)
                  .agg(F.min(index).alias("_first_bad")))
-    j = results.join(first_bad, report_keys, "left")
+    # hashed on the side with one row per report: the results are streamed, not sorted
+    j = results.join(first_bad.hint("shuffle_hash"), report_keys, "left")
     return j.where(F.col("_first_bad").isNull() | (F.col(index) < F.col("_first_bad"))).drop("_first_bad")
 
 
