@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,17 +88,18 @@ def parse_json_strict(raw: Column | str, fields: tuple[str, ...] = ("label", "ex
         def parse(texts: pd.Series) -> pd.DataFrame:
             import json
 
-            rows = []
-            for t in texts:
+            codes, once = pd.factorize(texts, use_na_sentinel=False)  # a reply that a batch holds several times is parsed once
+            found: list[list] = [[] for _ in range(len(names) + 1)]
+            for t in once:
                 try:
-                    v = json.loads(t) if t is not None else None
-                except (ValueError, TypeError):
+                    v = json.loads(t) if isinstance(t, str) else None
+                except ValueError:
                     v = None
-                if isinstance(v, dict):
-                    rows.append([True] + [_as_text(v.get(n)) for n in names])
-                else:
-                    rows.append([False] + [None] * len(names))
-            return pd.DataFrame(rows, columns=["ok", *names])
+                one = isinstance(v, dict)
+                found[0].append(one)
+                for column, n in zip(found[1:], names):
+                    column.append(_as_text(v.get(n)) if one else None)
+            return pd.DataFrame({n: np.array(c, dtype=object)[codes] for n, c in zip(["ok", *names], found)})
 
         schema = "ok boolean, " + ", ".join(f"`{n}` string" for n in names)
         _STRICT_UDFS[key] = F.pandas_udf(parse, schema)

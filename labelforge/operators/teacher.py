@@ -14,6 +14,7 @@ registered queries; its rule is simple enough to restate in SQL.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import queue
@@ -23,7 +24,10 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,32 +42,30 @@ TeacherFactory = Callable[[], Teacher]
 DOC_LABELS = ["Normal", "Abnormal", "Uncertain"]
 SENTENCE_LABELS = ["Yes", "No", "Uncertain"]
 
-
-# ------------------------------------------------------------ offline teachers
-
-def rule_teacher(shift: int = 0, labels: list[str] = DOC_LABELS, label_key: str = "label",
 #: Answered prompts that the scripted teacher remembers, and tokens whose bucket an encoder remembers.
 REMEMBERED = 20_000
 TOKENS_REMEMBERED = 300_000
 
+
+# ------------------------------------------------------------ offline teachers
+
+def rule_teacher(shift: int = 0, labels: list[str] = DOC_LABELS, label_key: str = "label",
                  explanation_key: str = "explanation", fence_every: int = 11, gate: int = 1) -> TeacherFactory:
     """Deterministic offline teacher: with n = len(prompt), the label is
     labels[(n + shift) % 3] when n % gate == 0, else labels[n % 3]; every
     ``fence_every``-th length gets a fenced (unparseable) reply; a NULL
     prompt gets a NULL reply."""
 
+    def reply(n: int) -> str:
+        lab = labels[(n + (shift if n % gate == 0 else 0)) % len(labels)]
+        body = json.dumps({label_key: lab, explanation_key: f"{lab} by rule {shift}: {n} characters"})
+        return "```json\n" + body + "\n```" if fence_every and n % fence_every == 0 else body
+
     def make() -> Teacher:
         def call(prompts: pd.Series) -> pd.Series:
-            out = []
-            for p in prompts:
-                if p is None:
-                    out.append(None)
-                    continue
-                n = len(p)
-                lab = labels[(n + (shift if n % gate == 0 else 0)) % len(labels)]
-                body = json.dumps({label_key: lab, explanation_key: f"{lab} by rule {shift}: {n} characters"})
-                out.append("```json\n" + body + "\n```" if fence_every and n % fence_every == 0 else body)
-            return pd.Series(out, index=prompts.index, dtype=object)
+            lengths = [None if p is None else len(p) for p in prompts]
+            said = {n: reply(n) for n in set(lengths) if n is not None}
+            return pd.Series([said.get(n) for n in lengths], index=prompts.index, dtype=object)
 
         return call
 
@@ -95,12 +97,12 @@ def scripted_failures(base: TeacherFactory, permanent_mod: int = 13, transient_m
                     seen[p] = seen.get(p, 0) + 1
                     out.append(TimeoutError("transient failure"))
                 else:
-                    out.append(g)
-            return pd.Series(out, index=prompts.index, dtype=object)
                     if seen.pop(p, None) is not None:
                         answered[p] = None
                         if len(answered) > REMEMBERED:
                             del answered[next(iter(answered))]
+                    out.append(g)
+            return pd.Series(out, index=prompts.index, dtype=object)
 
         return call
 
@@ -139,6 +141,24 @@ def call_teacher(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: list
     return src.mapInPandas(run, schema)
 
 
+def _replies(teachers: list[TeacherFactory], prompt: Column | str, request_batch: int | None = None) -> Column:
+    """The raw replies of several teachers to one prompt, as an array in their
+    order.  Only the prompt goes to Python and only the replies come back; the
+    clients are opened once per partition."""
+
+    def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        calls = [t() for t in teachers]
+        for batch in batches:
+            prompts = batch.to_pandas()
+            said = np.empty((len(prompts), len(calls)), dtype=object)
+            for j, call in enumerate(calls):
+                said[:, j] = [None if isinstance(v, BaseException) else v for v in _chunked(call, prompts, request_batch)]
+            offsets = np.arange(len(prompts) + 1, dtype=np.int32) * len(calls)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(said.reshape(-1), pa.string(), from_pandas=True))
+
+    return F.arrow_udf(ask, "array<string>").asNondeterministic()(prompt)
+
+
 def label_documents(reports: DataFrame, teacher: TeacherFactory, model: str,
                     keys: list[str] = ["subject_id", "study_id"], partitions: int | None = None) -> DataFrame:
     """Extract table of one teacher: report + label, explanation, raw_ai_output, model.
@@ -156,30 +176,19 @@ def label_documents(reports: DataFrame, teacher: TeacherFactory, model: str,
 def label_documents_all(reports: DataFrame, teachers: dict[str, TeacherFactory],
                         keys: list[str] = ["subject_id", "study_id"], partitions: int | None = None,
                         request_batch: int | None = None) -> DataFrame:
-    """T1 for several teachers in one pass: the reports are scanned and shipped
-    to Python once; every teacher labels each Arrow batch; one output row per
-    (report, teacher).  Same columns as ``label_documents``."""
+    """T1 for several teachers in one pass: the reports are scanned once, their
+    prompts go to Python once, and every teacher labels each Arrow batch; one
+    output row per (report, teacher).  Same columns as ``label_documents``."""
     src = reports.select(*keys, "findings", "impression", doc_prompt("findings", "impression").alias("prompt"))
     if partitions:
         src = src.repartition(partitions)
-    keep = [*keys, "findings", "impression"]
-    schema = src.select(*keep, F.lit(None).cast("string").alias("raw_ai_output"),
-                        F.lit(None).cast("string").alias("model")).schema
-    names = list(teachers)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        calls = {m: teachers[m]() for m in names}
-        for pdf in batches:
-            for m in names:
-                res = _chunked(calls[m], pdf["prompt"], request_batch)
-                res = res.map(lambda v: None if isinstance(v, BaseException) else v)
-                yield pdf[keep].assign(raw_ai_output=res.values, model=m)
-
-    raw = src.mapInPandas(run, schema)
+    said = src.select(*keys, "findings", "impression", _replies(list(teachers.values()), "prompt", request_batch).alias("_said"))
+    raw = said.select(*keys, "findings", "impression", F.posexplode("_said").alias("_i", "raw_ai_output"))
+    names = F.array(*[F.lit(m) for m in teachers])
     return raw.select(*keys, "findings", "impression",
                       extract_label_json("raw_ai_output", "label").alias("label"),
                       extract_label_json("raw_ai_output", "explanation").alias("explanation"),
-                      "raw_ai_output", "model")
+                      "raw_ai_output", F.get(names, F.col("_i")).alias("model"))
 
 
 def with_passes(df: DataFrame, passes: int = 3, col: str = "pass") -> DataFrame:
@@ -194,16 +203,15 @@ def label_sentences(sentences: DataFrame, teacher: TeacherFactory | list[Teacher
     ``pass`` column); fields ``Result``/``Explanation`` parsed from the reply.
 
     One teacher → one fan-out over the passes (one scan); a list → one
-    teacher per pass (e.g. differently seeded), stacked by name."""
+    teacher per pass (e.g. differently seeded), all asked in one scan."""
     base = sentences.select(*keys, F.col(sentence).alias("Context"), sentence_prompt(sentence).alias("prompt"))
     if isinstance(teacher, list):
         if len(teacher) != passes:
             raise ValueError("one teacher per pass")
-        from functools import reduce
-
-        parts = [call_teacher(base.withColumn("pass", F.lit(i + 1)), "prompt", t, [*keys, "pass", "Context"],
-                              partitions=partitions) for i, t in enumerate(teacher)]
-        raw = reduce(DataFrame.unionByName, parts)
+        src = base.repartition(partitions) if partitions else base
+        said = src.select(*keys, "Context", _replies(teacher, "prompt").alias("_said"))
+        raw = said.select(*keys, "Context", F.posexplode("_said").alias("_i", "raw_ai_output")).select(
+            *keys, (F.col("_i") + 1).alias("pass"), "Context", "raw_ai_output")
     else:
         fan = with_passes(base, passes)
         raw = call_teacher(fan, "prompt", teacher, [*keys, "pass", "Context"], partitions=partitions)
@@ -470,12 +478,38 @@ def explanation_confidence(extract: DataFrame, key: list[str] | None = None) ->
     return extract.withColumn("confidence", conf)
 
 
+def _dots(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Dot products row by row, each summed from the first place to the last; NULL
+    where a vector or a number is missing or the lengths differ."""
+    n = len(a)
+    size = [x.value_lengths() for x in (a, b)]
+    same = pc.equal(*size).fill_null(False)
+    dim = pc.max(size[0]).as_py() or 0
+    if not (a.null_count or b.null_count) and pc.all(pc.and_(same, pc.equal(size[0], dim))).as_py():
+        x, y = a.flatten(), b.flatten()
+        if not (x.null_count or y.null_count):
+            x, y = (v.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim) for v in (x, y))
+            total = np.zeros(n)
+            for j in range(dim):  # in the order of a sum over one row, whatever the batch
+                total += x[:, j] * y[:, j]
+            return pa.array(total)
+    out = []
+    for p, q, ok in zip(a.to_pylist(), b.to_pylist(), same.to_pylist()):
+        fit = ok and None not in p and None not in q
+        out.append(sum((float(u) * float(v) for u, v in zip(p, q)), 0.0) if fit else None)
+    return pa.array(out, pa.float64())
+
+
+_DOT_UDF = None
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
-    """Dot product of two numeric arrays (JVM higher-order functions)."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
+    """Dot product of two numeric arrays (an Arrow batch function: vectors that
+    another one has just made do not come back to the JVM in between)."""
+    global _DOT_UDF
+    if _DOT_UDF is None:
+        _DOT_UDF = F.arrow_udf(_dots, "double")
+    return _DOT_UDF(a, b)
 
 
 def embedding_confidence(a: Column | str, b: Column | str, normalize: bool = False) -> Column:
@@ -505,56 +539,21 @@ def hashed_encoder(num_features: int = 64) -> Callable[[DataFrame, str, str], Da
 
 
 def bucket_encoder(dim: int = 64) -> Callable[[DataFrame, str, str], DataFrame]:
-    """T7 offline encoder, JVM expressions only: lower-cased letter/digit
-    tokens are hashed to ``dim`` buckets by the first 32 bits of their md5,
-    counted, and L2-normalised → ``array<double>``.  Simple enough to restate
-    in SQL, so embeddings and everything built on them can be checked."""
-    from labelforge.operators.vectors import l2_normalize
+    """T7 offline encoder: lower-cased letter/digit tokens are hashed to ``dim``
+    buckets by the first 32 bits of their md5, counted, and L2-normalised →
+    ``array<double>``; NULL gives zeros.  Simple enough to restate in SQL, so
+    embeddings and everything built on them can be checked.
 
-    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
-        toks = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-        idx = F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim)
-        # bucket counts from the sorted bucket ids: first and last position of
-        # each bucket (compiled array_position) instead of a per-token pass
-        # over all buckets; lambda variables hold what is evaluated once per row
-        buckets = F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<bigint>")
-
-        def count(up, down, b):
-            first = F.array_position(up, b)
-            last = F.size(up) - F.array_position(down, b) + 1
-            return F.when(first > 0, last - first + 1).otherwise(0).cast("double")
-
-        once = F.array(F.coalesce(F.array_sort(idx), F.array().cast("array<bigint>")))
-        counts = F.transform(once, lambda up: F.transform(F.array(F.reverse(up)), lambda down: F.transform(buckets, lambda b: count(up, down, b)))[0])[0]
-        return df.withColumn(out, l2_normalize(counts))
-
-    return encode
-
-
-def batch_encoder(encoder_factory: Callable[[], Callable[[pd.Series], list]]) -> Callable[[DataFrame, str, str], DataFrame]:
-    """T7 remote/local model encoder: a batch function ``texts -> vectors``
-    opened once per partition (Arrow batches via ``mapInPandas``)."""
+    Tokens are cut by JVM expressions; the counting is an Arrow batch function
+    that encodes a text which a batch holds several times once."""
 
     def encode(df: DataFrame, text: str, out: str) -> DataFrame:
-        schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-        def run(batches):
-            enc = encoder_factory()
-            for pdf in batches:
-                yield pdf.assign(**{out: list(enc(pdf[text]))})
-
-        return df.mapInPandas(run, schema)
+        tokens = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
+        return df.withColumn(out, _buckets_udf(dim)(tokens))
 
     return encode
 
 
-def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", dedupe: bool = True) -> DataFrame:
-    """Embed newline-flattened text with a pluggable encoder.
-
-    ``dedupe=True`` embeds each distinct text once and joins the vectors back
-    (the reference embeds the same context in each of 3 passes) — worth two
-    text shuffles where texts repeat or the encoder is slow; ``dedupe=False``
-    embeds in place, without a shuffle.  For the built-in ``bucket_encoder`` (some
 _BUCKET_UDFS: dict = {}
 
 
@@ -590,7 +589,30 @@ def _buckets_udf(dim: int):
     return _BUCKET_UDFS[dim]
 
 
-    45 µs a text) the first form is the faster one where passes repeat a context."""
+def batch_encoder(encoder_factory: Callable[[], Callable[[pd.Series], list]]) -> Callable[[DataFrame, str, str], DataFrame]:
+    """T7 remote/local model encoder: a batch function ``texts -> vectors``
+    opened once per partition (Arrow batches via ``mapInPandas``)."""
+
+    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
+        schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+        def run(batches):
+            enc = encoder_factory()
+            for pdf in batches:
+                yield pdf.assign(**{out: list(enc(pdf[text]))})
+
+        return df.mapInPandas(run, schema)
+
+    return encode
+
+
+def embed_text(df: DataFrame, text: str, encoder=None, out: str = "embedding", dedupe: bool = True) -> DataFrame:
+    """Embed newline-flattened text with a pluggable encoder.
+
+    ``dedupe=True`` embeds each distinct text once and joins the vectors back
+    (the reference embeds the same context in each of 3 passes) — worth two
+    text shuffles where the encoder is slow; ``dedupe=False`` embeds in place,
+    without a shuffle: the faster form for the built-in ``bucket_encoder``."""
     from labelforge.functions.text import flatten_newlines
 
     encoder = encoder or bucket_encoder()

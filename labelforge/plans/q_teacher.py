@@ -282,7 +282,7 @@ SELECT subject_id, study_id, sentence_index, {_unit_sql("counts")} AS embedding
 """))
 def t7_embed_text(spark, sf_dir):
     s = sentences(spark, sf_dir)
-    return TE.embed_text(s, "sentence").select(*SENT_KEYS, "embedding")
+    return TE.embed_text(s, "sentence", dedupe=False).select(*SENT_KEYS, "embedding")
 
 
 _C2_CHAIN_SQL = _SENT_CTE + f""",
@@ -324,9 +324,9 @@ def c2_consensus_from_teachers(spark, sf_dir):
                 for shift, gate in PASS_TEACHERS]
     # written once: both embeddings below read the votes, and each prompt is sent once
     votes = TE.materialize(TE.label_sentences(sentences(spark, sf_dir), teachers, SENT_KEYS, passes=3), "sentence_votes")
-    # the three passes share each context, and explanations repeat: embed distinct texts once
-    ctx = TE.embed_text(votes, "Context", out="ctx_emb")
-    both = TE.embed_text(ctx, "Explanation", out="exp_emb")
+    # in place: a vector is far larger than its vote, and a vote needs both for one number only
+    ctx = TE.embed_text(votes, "Context", out="ctx_emb", dedupe=False)
+    both = TE.embed_text(ctx, "Explanation", out="exp_emb", dedupe=False)
     scored = TE.materialize(both.select(*SENT_KEYS, "pass", "Result",
                                         TE.embedding_confidence("ctx_emb", "exp_emb").alias("confidence")),
                             "sentence_votes_scored")
