@@ -33,8 +33,10 @@ from labelforge.session import scratch_path
 #: Reports that a task has calls for at a time, and rows that it reads ahead.
 OPEN_REPORTS = 256
 READ_AHEAD = 10_000
-#: Tries that a task asks for at a time; an exchange takes about a second.
+#: Tries that a task asks for at first.  An exchange takes about a second: while a
+#: share lasts less than ``SHARE_SECONDS``, the next one is twice as large.
 LEASE = 4_096
+SHARE_SECONDS = 20.0
 
 
 def fair_shares(wants: list[int], attempts: int) -> list[int]:
@@ -159,6 +161,7 @@ def ordered_calls(plan: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
         held: dict[tuple, _Report] = {}
         out: list[dict] = []
         last, n_held, ended, granted = None, 0, False, 0
+        share, since = lease, time.monotonic()
 
         def finished(r: _Report) -> None:
             """The current sentence of ``r`` is over."""
@@ -198,9 +201,13 @@ def ordered_calls(plan: DataFrame, prompt: str, teacher: TeacherFactory, keep: l
             alive = bool(held) or not ended
             if gate is not None:
                 if granted == 0 or n_held == 0:
-                    granted = gate.grant(min(n_held, lease), alive)
+                    if granted == 0 and n_held and time.monotonic() - since < SHARE_SECONDS:
+                        share *= 2
+                    # what a task has no rows for goes back at the next exchange
+                    granted = gate.grant(min(n_held, share) if ended else share, alive)
                     if gate.over:
                         break
+                    since = time.monotonic()
                 wave = wave[:granted]
                 granted -= len(wave)
             elif not alive:
