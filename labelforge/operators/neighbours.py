@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelforge.operators.teacher import running_total
 from labelforge.session import scratch_path
@@ -37,8 +38,10 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _points(df: DataFrame, key: str, vec: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(
-        F.col(key).cast("bigint").alias("key"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    # floats stay floats on their way: the tasks compute with doubles
+    narrow = df.select(vec).schema[0].dataType == T.ArrayType(T.FloatType(), df.select(vec).schema[0].dataType.containsNull)
+    v = F.col(vec) if narrow else F.transform(vec, lambda x: x.cast("double"))
+    return df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("bigint").alias("key"), v.alias("v"))
 
 
 def tree_leaves(points: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int = 0) -> DataFrame:
@@ -62,9 +65,10 @@ def tree_leaves(points: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: i
     for level in range(depth):
         now = _kept(spark, now, "tree-level")
         # ties: a shift far below the spread of the projections
-        place = F.col("along")[level] + F.xxhash64("key", F.lit(level)) / F.lit(2.0**63) * F.lit(1e-9)
+        place = F.col("along")[0] + F.xxhash64("key", F.lit(level)) / F.lit(2.0**63) * F.lit(1e-9)
         middle = now.groupBy("tree", "node").agg(F.percentile_approx(place, 0.5, 2000).alias("middle"))
-        now = now.join(middle, ["tree", "node"]).select("key", "tree", "along", (F.col("node") * 2 + (place > F.col("middle")).cast("int")).alias("node"))
+        # a level's projection is used up with it
+        now = now.join(middle, ["tree", "node"]).select("key", "tree", F.expr("slice(along, 2, size(along))").alias("along"), (F.col("node") * 2 + (place > F.col("middle")).cast("int")).alias("node"))
     return now.select("key", "tree", "node")
 
 
@@ -101,27 +105,34 @@ def nearest_neighbours(df: DataFrame, key: str, vec: str, k: int = 15, trees: in
     nearest = _kept(spark, _best(found, k), "neighbours")
     for _ in range(refine):
         mine = nearest.select("key", "neighbour")
-        onward = mine.select(F.col("key").alias("neighbour"), F.col("neighbour").alias("next"))
-        fresh = (mine.join(onward, "neighbour").select("key", F.col("next").alias("neighbour")).where("key <> neighbour").distinct()
-                 .join(mine, ["key", "neighbour"], "left_anti"))
-        both = (fresh.join(points, "key").join(points.select(F.col("key").alias("neighbour"), F.col("v").alias("w")), "neighbour")
-                .select("key", "neighbour", "v", "w").mapInArrow(_distances, "key bigint, neighbour bigint, distance double"))
+        # both ends of a pair meet at the neighbour between them: a vector travels once for
+        # each edge, not once for each pair
+        to = mine.join(points, "key").select("key", F.col("neighbour").alias("over"), "v")
+        on = mine.select(F.col("key").alias("over"), F.col("neighbour").alias("other")).join(
+            points.select(F.col("key").alias("other"), F.col("v").alias("w")), "other").select("other", "over", "w")
+        both = to.groupBy("over").cogroup(on.groupBy("over")).applyInArrow(_pairs, "key bigint, neighbour bigint, distance double")
         nearest = _kept(spark, _best(both.unionByName(nearest.select("key", "neighbour", "distance")), k), "neighbours")
     return nearest
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """Each point's ``k`` nearest of the found pairs."""
-    once = found.groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))
+    """Each point's ``k`` nearest of the found pairs (dealt by point once, for both steps)."""
+    once = found.repartition("key").groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))
     order = Window.partitionBy("key").orderBy("distance", "neighbour")
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            far = np.sqrt(((_matrix(b.column("v")) - _matrix(b.column("w"))) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("neighbour"), pa.array(far)], names=["key", "neighbour", "distance"])
+def _pairs(to: pa.Table, on: pa.Table) -> pa.Table:
+    """Distances from the points that have a neighbour to that one's neighbours."""
+    if not (to.num_rows and on.num_rows):  # a point without neighbours, or one that is nobody's
+        return pa.table({"key": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+    x, y, far = _matrix(to.column("v")), _matrix(on.column("w")), on.column("other").to_numpy()
+    found = []
+    for i, key in enumerate(to.column("key").to_pylist()):
+        other = far != key
+        found.append((np.full(int(other.sum()), key), far[other], np.sqrt(((x[i] - y[other]) ** 2).sum(axis=1))))
+    one, two, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table({"key": pa.array(one, pa.int64()), "neighbour": pa.array(two, pa.int64()), "distance": pa.array(d, pa.float64())})
 
 
 def neighbour_layout(df: DataFrame, key: str, vec: str, dimensions: int = 2, k: int = 15, rounds: int = 30, negatives: int = 5,
