@@ -12,11 +12,11 @@ task overwrites what its failed attempt wrote.
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,7 +173,10 @@ def write_json_arrays(df: DataFrame, root: str, add_empty: bool = True) -> int:
     """The reference's vote files: one JSON array per Arrow batch (plus an
     empty ``[]`` file, which is legal); returns the number of files."""
     root = root.rstrip("/")
-    cols = df.columns
+    # the objects are made by the JVM, the tasks only join them; a cell that is not a number is NULL
+    cells = [F.nanvl(F.col(f"`{f.name}`"), F.lit(None)).alias(f.name) if f.dataType.typeName() in ("float", "double") else F.col(f"`{f.name}`")
+             for f in df.schema.fields]
+    lines = df.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("line"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -181,14 +184,12 @@ def write_json_arrays(df: DataFrame, root: str, add_empty: bool = True) -> int:
         pid = TaskContext.get().partitionId()
         fs, base = _fs(root)
         fs.create_dir(base, recursive=True)
-        for i, pdf in enumerate(batches):
-            recs = [{c: (None if pd.isna(v) else (v.item() if hasattr(v, "item") else v)) for c, v in zip(cols, row)}
-                    for row in pdf.itertuples(index=False)]
+        for i, batch in enumerate(batches):
             with fs.open_output_stream(f"{base}/votes-{pid:05d}-{i:05d}.json") as out:
-                out.write(json.dumps(recs).encode("utf-8"))
-            yield pd.DataFrame({"n": [1]})
+                out.write(("[" + ",\n".join(batch.column("line").to_pylist()) + "]").encode("utf-8"))
+            yield pa.RecordBatch.from_pydict({"n": [1]})
 
-    n = df.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    n = lines.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
     if add_empty:
         fs, base = _fs(root)
         with fs.open_output_stream(f"{base}/votes-empty.json") as out:
