@@ -1,16 +1,20 @@
 """Readers for report sources.
 
 All readers return lazy DataFrames; provenance comes from the file source's
-hidden ``_metadata`` column, so nothing is listed or read on the driver.
+hidden ``_metadata`` column.  Report files, one for each report, are listed and
+read by tasks.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelforge.functions.text import findings, impression, study_id_from_path, subject_id_from_path
+from labelforge.session import scratch_path
 
 REPORT_SCHEMA = T.StructType([
     T.StructField("subject_id", T.StringType()),
@@ -58,16 +62,107 @@ def partition_prefix_filter(df: DataFrame, prefix: str, col: str = "path") -> Da
     return df.where(F.col(col).startswith(prefix))
 
 
-def read_report_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
+def _store(uri: str):
+    """File system and inner path of a URI."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.replace("file:/", "file:///", 1)
+    return fs.FileSystem.from_uri(quote(uri, safe=string.punctuation))
+
+
+def _in_uri(name: str) -> str:
+    """A file name as Spark writes it in a path: letters beyond ASCII stay."""
+    from urllib.parse import quote
+
+    return "".join(c if ord(c) > 127 else quote(c, safe="~!$&'()*+,;=:@-._") for c in name)
+
+
+def _name_patterns(glob: str) -> list[str]:
+    """A file-name glob without its alternatives: ``*.{a,b}`` → ``*.a``, ``*.b``."""
+    import re
+
+    m = re.search(r"\{([^{}]*)\}", glob)
+    if m is None:
+        return [glob.replace("[^", "[!")]
+    return [p for part in m[1].split(",") for p in _name_patterns(glob[:m.start()] + part + glob[m.end():])]
+
+
+def _list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """``path`` of the files below ``root`` whose name matches ``glob``; as Spark's
+    readers do, names that begin with ``_`` or ``.`` and empty files are left out.
+
+    A folder is listed by one task, level by level; the names stay in the shared
+    scratch folder, so their number is no matter for the driver."""
+    import fnmatch
+
+    import pandas as pd
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise FileNotFoundError(f"no such path: {root}")
+    patterns = _name_patterns(glob)
+
+    def entries(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            for path in pdf["path"]:
+                store, inner = _store(path)
+                one = store.get_file_info(inner)
+                inside = [one] if one.is_file else store.get_file_info(fs.FileSelector(inner))
+                names = [i.base_name for i in inside]
+                rows = pd.DataFrame({"path": [path if one.is_file else f"{path.rstrip('/')}/{_in_uri(n)}" for n in names],
+                                     "folder": [i.type == fs.FileType.Directory for i in inside]})
+                shown = [not n.startswith((".", "_")) and not n.endswith("._COPYING_") for n in names]
+                shown = [s and (f or i.size > 0) for s, f, i in zip(shown, rows["folder"], inside)]
+                asked = [f or any(fnmatch.fnmatchcase(n, p) for p in patterns) for n, f in zip(names, rows["folder"])]
+                rows = rows[[s and a for s, a in zip(shown, asked)]]
+                for start in range(0, len(rows), 10_000):
+                    yield rows.iloc[start:start + 10_000]
+
+    schema, here = "path string, folder boolean", scratch_path(spark, "listing")
+    level, depth = spark.createDataFrame([(f.getPath().toUri().toString().replace("file:///", "file:/", 1),) for f in found], "path string"), 0
+    while True:
+        out = f"{here}/{depth}"
+        level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(entries, schema).write.parquet(out)
+        level = spark.read.schema(schema).parquet(out).where("folder").select("path")
+        if level.isEmpty():
+            return spark.read.schema(schema).parquet(*[f"{here}/{d}" for d in range(depth + 1)]).where("NOT folder").select("path")
+        depth += 1
+
+
+def read_report_files(spark: SparkSession, root: str, glob: str = "*.txt", partitions: int | None = None,
+                      batch_bytes: int = 4 << 20) -> DataFrame:
     """Every ``*.txt`` below ``root`` as one row ``(path, text)``.
 
-    Undecodable bytes come back as U+FFFD; they are removed, matching a
-    decode with errors ignored.
+    Undecodable bytes are removed, matching a decode with errors ignored, and so
+    is U+FFFD.  Tasks list the folders and read the files, in batches of about
+    ``batch_bytes`` of text: reports are small and many, so that neither their
+    names pass through the driver nor a task is planned for every few of them.
     """
-    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-          .text(root, wholetext=True))
-    return df.select(F.col("_metadata.file_path").alias("path"),
-                     F.regexp_replace(F.col("value"), "�", "").alias("text"))
+    import pandas as pd
+
+    def texts(batches):
+        rows, held = [], 0
+        for pdf in batches:
+            for path in pdf["path"]:
+                store, inner = _store(path)
+                with store.open_input_stream(inner) as source:
+                    data = source.read()
+                rows.append((path, data.decode("utf-8", errors="replace").replace("\ufffd", "")))
+                held += len(data)
+                if held >= batch_bytes or len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["path", "text"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["path", "text"])
+
+    # a stated number of partitions: the names are short, their files are not
+    names = _list_files(spark, root, glob).repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return names.mapInPandas(texts, "path string, text string")
 
 
 def parse_reports(raw: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -95,12 +190,10 @@ def unzip_reports(spark: SparkSession, zip_glob: str, part_bytes: int = 32 << 20
     import pandas as pd
 
     def members(batches):
-        from pyarrow import fs
-
         names = ["archive", "member", "text"]
         for pdf in batches:
             for path, part in zip(pdf["path"], pdf["part"]):
-                store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                store, inner = _store(path)
                 rows, held = [], 0
                 with store.open_input_file(inner) as stream, zipfile.ZipFile(stream) as zf:
                     for info in zf.infolist():

@@ -133,10 +133,16 @@ def write_report_files(df: DataFrame, root: str, path: str = "path", text: str =
 
     def run(batches):
         fs, base = _fs(root)
+        made: set[str] = set()  # folders that this task has made
         for pdf in batches:
             for p, t in zip(pdf[path], pdf[text]):
                 full = f"{base}/{p}"
-                fs.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                folder = full.rsplit("/", 1)[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    if len(made) >= 10_000:
+                        made.clear()
+                    made.add(folder)
                 with fs.open_output_stream(full) as out:
                     out.write((t or "").encode("utf-8"))
             yield pd.DataFrame({"n": [len(pdf)]})
