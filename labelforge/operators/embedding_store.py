@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from labelforge.functions.text import flatten_newlines
 from labelforge.operators.incremental import _read_or_empty
+from labelforge.operators.teacher import materialize
 
 #: 16 bits for each digest, within these bounds (the largest filter has 16 MB).
 FILTER_BITS = (1 << 12, 1 << 27)
@@ -29,6 +30,12 @@ def text_digest(text: str) -> Column:
     return F.coalesce(F.sha2(flatten_newlines(text).cast("binary"), 256), F.lit("null"))
 
 
+def digest_key(digest: Column | str) -> Column:
+    """The digest's bytes, half as long as its letters: what joins shuffle."""
+    digest = F.col(digest) if isinstance(digest, str) else digest
+    return F.coalesce(F.when(digest != "null", F.unhex(digest)), digest.cast("binary"))
+
+
 def _places(digest: str, bits: int) -> list[Column]:
     h = F.xxhash64(digest)
     return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
@@ -37,6 +44,7 @@ def _places(digest: str, bits: int) -> list[Column]:
 def digest_filter(digests: DataFrame, n: int) -> tuple[DataFrame, int]:
     """One row with the filter's 64-bit words in order, and its number of bits."""
     bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * max(n, 1) - 1).bit_length()))
+    # digests may repeat: their bits are set where they are read, only words are shuffled
     place = digests.select(F.explode(F.array(*_places("digest", bits))).alias("p"))
     words = place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("ones"))
     every = digests.sparkSession.range(bits // 64).select(F.col("id").alias("word"))  # the words without a bit, too
@@ -70,14 +78,16 @@ class EmbeddingStore:
 
         A run that fails while embedding adds nothing.  NULL texts get the encoder's
         answer for NULL; repeated texts are embedded once; an empty ``df`` adds nothing."""
-        named = df.withColumn("_digest", text_digest(text))
-        wanted = named.groupBy(F.col("_digest").alias("digest")).agg(F.any_value(flatten_newlines(text)).alias("_text"))
-        digests = wanted.select("digest")
-        words, bits = digest_filter(digests, digests.count())
-        held = may_hold(self.vectors(), words, bits)
-        new = wanted.join(held.select("digest"), "digest", "left_anti")
+        digest = text_digest(text)
+        digests = df.select(digest.alias("digest"))
+        words, bits = digest_filter(digests, digests.agg(F.approx_count_distinct("digest")).first()[0])
+        words = materialize(words, "digest-filter")  # one row, read by both lookups
+        held = may_hold(self.vectors(), words, bits).select(digest_key("digest").alias("_key"))
+        # known texts leave before the others are made one of each: a text crosses the network once
+        unknown = df.select(digest_key(digest).alias("_key"), flatten_newlines(text).alias("_text")).join(held, "_key", "left_anti")
+        new = unknown.groupBy("_key").agg(F.any_value("_text").alias("_text")).select(text_digest("_text").alias("digest"), "_text")
         made = encoder(new, "_text", "embedding").select("digest", "embedding").withColumn("batch", F.lit(batch or uuid.uuid4().hex))
         made.write.mode("append").parquet(self.path)
         # read anew: what was added is there now
-        vectors = may_hold(self.vectors(), words, bits).select(F.col("digest").alias("_digest"), F.col("embedding").alias(out))
-        return named.join(vectors, "_digest", "left").drop("_digest")
+        vectors = may_hold(self.vectors(), words, bits).select(digest_key("digest").alias("_key"), F.col("embedding").alias(out))
+        return df.withColumn("_key", digest_key(digest)).join(vectors, "_key", "left").drop("_key")

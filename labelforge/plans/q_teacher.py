@@ -342,9 +342,10 @@ FROM fl LEFT JOIN early ON early.t = fl.t
 """))
 def t7_embedding_store(spark, sf_dir):
     # two runs: the second one meets the texts of the first again and embeds only the others
-    s = sentences(spark, sf_dir).select(*SENT_KEYS, "sentence")
+    # the digest is taken here: after the lookup the text itself is not needed any more
+    s = sentences(spark, sf_dir).select(*SENT_KEYS, "sentence", ES.digest_key(ES.text_digest("sentence")).alias("digest"))
     store = ES.EmbeddingStore(spark, scratch_path(spark, "embedding_store"), "buckets")
     store.embed(s.where(F.col("sentence_index") % 2 == 0), "sentence", TE.bucket_encoder(), batch="first")
     both = store.embed(s, "sentence", TE.bucket_encoder(), batch="second").where(F.size("embedding") == 64)
-    named = store.vectors().select(F.col("digest"), F.col("batch").alias("embedded_in"))
-    return both.withColumn("digest", ES.text_digest("sentence")).join(named, "digest").select(*SENT_KEYS, "embedded_in")
+    named = store.vectors().select(ES.digest_key("digest").alias("digest"), F.col("batch").alias("embedded_in"))
+    return both.join(named, "digest").select(*SENT_KEYS, "embedded_in")
