@@ -334,7 +334,8 @@ def s19_checkpoint_state(spark, sf_dir):
 def x1_resume_stream(spark, sf_dir):
     inbox = scratch_path(spark, "inbox")
     units = _units(spark, sf_dir)
-    units.write.partitionBy("folder").parquet(inbox)
+    # a folder's rows by one task: the files, and with them the micro-batches, grow with the rows, not with folders times tasks
+    units.repartition("folder").write.option("maxRecordsPerFile", 20_000).partitionBy("folder").parquet(inbox)
     schema = spark.read.parquet(inbox).schema
     out = run_to_completion(spark, inbox, schema, scratch_path(spark, "stream_out"),
                             scratch_path(spark, "stream_ckpt"), lambda b: files.parse_reports(b), files_per_trigger=16)
