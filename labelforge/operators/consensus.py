@@ -65,7 +65,8 @@ def _decide(per_label: DataFrame, keys: list[str], label: str, extra: list[str])
     per_key = per_label.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"),
         F.max(packed).alias("top"),
-        F.min(packed).alias("bot"),
+        # the loser's extras are never read: with texts among them they would double the shuffle
+        F.min(F.struct("n", "c", F.col(label).alias("lbl"))).alias("bot"),
     )
     keep = F.col("top.lbl").isNotNull() & (
         (F.col("k") == 1)
@@ -143,7 +144,8 @@ def consensus_with_text(votes: DataFrame, keys: list[str] = KEYS,
                         text_cols: tuple[str, ...] = ("findings", "impression")) -> DataFrame:
     """C1, two-exchange variant: the winner's text rides in the aggregation
     buffers (better when texts are short; text crosses the network twice)."""
-    w = F.min(F.struct(F.col("model"), F.col("explanation"), *[F.col(c) for c in text_cols])).alias("w")
+    # a NULL label never wins: its votes count, their text stays behind
+    w = F.min(F.when(F.col("label").isNotNull(), F.struct(F.col("model"), F.col("explanation"), *[F.col(c) for c in text_cols]))).alias("w")
     per_label = votes.groupBy(*keys, "label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), w)
     decided = _decide(per_label, keys, "label", ["w"])
