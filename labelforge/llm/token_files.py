@@ -54,15 +54,21 @@ FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
 READ_TASKS = 1 << 14
 #: Blocks that are packed or decoded at a time.
 HELD_BLOCKS = 16
-#: Pieces, and parts of pieces, whose ids a Python worker remembers, and the longest such piece.
-HELD_PIECES, HELD_PARTS, PIECE_CHARS = 1 << 19, 1 << 20, 64
+#: Pieces whose ids a Python worker remembers, the ids of them all, and the longest such piece in bytes.
+HELD_PIECES, HELD_IDS, PIECE_BYTES = 1 << 20, 1 << 24, 64
+#: New pieces that the library encodes as one text, where they may stand in a row.
+ROW_PIECES = 1 << 8
 
 HEADER, BLOCK, TRAILER = struct.Struct("<8sQI"), struct.Struct("<II"), struct.Struct("<QII8s")
-#: Places that no token of a byte-level BPE with the usual pattern reaches over: before a
-#: single space between two other characters; inside such a piece also between a
-#: letter and one of these marks, and after a line break between two other characters.
-GAP = re.compile(r"(?<=\S)(?= \S)")
-PART = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?\n])|(?<=\S\n)(?=\S)")
+#: Kinds of bytes: white space, letter, mark that ends a word, first byte of a character that may be white space.
+WHITE, LETTER, MARK, WIDE = 1, 2, 4, 8
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(9, 14), *range(28, 33)]] |= WHITE
+KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] |= LETTER
+KINDS[[*b".,;:!?\n"]] |= MARK
+KINDS[[0xC2, 0xE1, 0xE2, 0xE3]] |= WIDE
+WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
 
 
 # the code -------------------------------------------------------------------
@@ -324,25 +330,89 @@ def pieces_stand_alone(path: str) -> bool:
             and not made.get("normalizer") and not plain)
 
 
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces of some UTF-8 texts in a row, each of one byte or
+    more, that begin at ``starts``.  No token of a byte-level BPE with the usual
+    pattern reaches over such a place: before a single space between two other
+    characters, between a letter (A-Z, a-z, \u00C0 to \u00FF) and one of ``.,;:!?`` or
+    a line break, and after a line break between two other characters."""
+    kinds = KINDS[data]
+    wide = np.flatnonzero(kinds & WIDE)
+    if len(wide):
+        padded = np.append(data, np.zeros(2, np.uint8))
+        triple = padded[wide].astype(np.int64) << 16 | padded[wide + 1].astype(np.int64) << 8 | padded[wide + 2]
+        for space in WIDE_SPACES:
+            cut = 24 - 8 * len(space)
+            at = wide[triple >> cut == int.from_bytes(space)]
+            for k in range(len(space)):
+                kinds[at + k] |= WHITE
+    accent = np.flatnonzero(data[:-1] == 0xC3) + 1
+    kinds[accent[(data[accent] != 0x97) & (data[accent] != 0xB7)]] |= LETTER
+    solid = kinds & WHITE == 0
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kinds[:-1] & LETTER != 0) & (kinds[1:] & MARK != 0)
+    cut[1:-1] |= solid[:-2] & (data[1:-1] == ord(" ")) & solid[2:]
+    cut[2:] |= solid[:-2] & (data[1:-1] == ord("\n")) & solid[2:]
+    # what is at the edge of a text has no neighbour in the next one: at most a cut less
+    cut[starts] = True
+    edge = starts[1:]
+    cut[edge[edge + 1 < np.append(starts[2:], len(data))] + 1] = False
+    cut[edge[edge - 1 > starts[:-1]] - 1] = False
+    return np.flatnonzero(cut)
+
+
+def stands_in_row(piece: str) -> bool:
+    """True for a space before something that neither begins nor ends with white space."""
+    return len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace()
+
+
 class PieceEncoder:
     """Ids of texts from the ids of their pieces, each encoded once by the library
     and remembered by the Python worker.
 
-    A piece is named by its text without the space before it; the first piece of a
-    text, which has none, by its text after a space."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.pieces, self.parts = encode, {}, {}
-
-    def _add(self, names: list[str]) -> None:
-        cut = [(" " + n,) if n.isalpha() else PART.split(n[1:] if n.startswith(" ") else " " + n) for n in names]
-        new = list(set().union(*cut).difference(self.parts))
-        self.parts.update(zip(new, self.encode(new), strict=True))
-        part = self.parts.__getitem__
-        self.pieces.update(zip(names, (part(c[0]) if len(c) == 1 else b"".join(map(part, c)) for c in cut), strict=True))
-        for p in new:
-            if len(p) > PIECE_CHARS:
-                del self.parts[p]
+    ``encode`` gives the ids of some texts; ``widths`` the bytes that an id stands
+    for, by which the ids of pieces encoded in a row are told apart."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], widths: np.ndarray, dtype: str):
+        self.encode, self.widths, self.dtype = encode, widths, dtype
+        self._forget()
+
+    def _forget(self) -> None:
+        self.held: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64)  # piece k: ids ends[k] to ends[k + 1]
+        self.n = 0
+
+    def _counts(self, pieces: list[bytes], ids: np.ndarray) -> np.ndarray | None:
+        """Number of ids of each of some pieces encoded as one text."""
+        ends, wanted = np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in pieces])
+        at = np.searchsorted(ends, wanted)
+        return np.diff(at, prepend=-1) if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[at], wanted) else None
+
+    def _add(self, pieces: list[bytes]) -> None:
+        """Encodes and appends new pieces.  Those of a space and a word stand in rows,
+        as each begins at a place that ``piece_starts`` cuts at."""
+        words, others = [], []
+        for p in pieces:
+            (words if stands_in_row(p.decode()) else others).append(p)
+        rows = [words[k:k + ROW_PIECES] for k in range(0, len(words), ROW_PIECES)]
+        names, blobs, counts = [], [], []
+        for row, blob in zip(rows, self.encode([b"".join(r).decode() for r in rows]), strict=True):
+            n = self._counts(row, np.frombuffer(blob, self.dtype))
+            if n is None:
+                others.extend(row)
+            else:
+                names.extend(row), blobs.append(blob), counts.extend(n.tolist())
+        for p, blob in zip(others, self.encode([p.decode() for p in others]), strict=True):
+            names.append(p), blobs.append(blob), counts.append(len(blob) // self.ids.itemsize)
+        at, ends = int(self.ends[self.n]), int(self.ends[self.n]) + np.cumsum(counts)
+        while len(self.ids) < ends[-1]:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.ends) <= self.n + len(ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[at:ends[-1]] = np.frombuffer(b"".join(blobs), self.dtype)
+        self.ends[self.n + 1:self.n + 1 + len(ends)] = ends
+        self.held.update(zip(names, range(self.n, self.n + len(names)), strict=True))
+        self.n += len(names)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Runs without garbage collection: nothing here is cyclic, and the
@@ -356,30 +426,34 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > HELD_PIECES:
-            self.pieces.clear()
-        if len(self.parts) > HELD_PARTS:
-            self.parts.clear()
-        cut = [(" " + t).split(" ") for t in texts]  # the first piece as '', text
-        for c in cut:
-            del c[0]
-            c[0] = " " + c[0]
-        new = set().union(*cut).difference(self.pieces)
-        # pieces of texts with other white space beside a space: cut these by the pattern
-        odd = {n for n in new if not n.strip(" ") or n[-1].isspace() or n.removeprefix(" ")[0].isspace()}
-        if odd:
-            for k, c in enumerate(cut):
-                if not odd.isdisjoint(c):
-                    first, *rest = GAP.split(texts[k])
-                    cut[k] = [" " + first, *(p[1:] for p in rest)]
-            new = set().union(*cut).difference(self.pieces)
-        names = list(new)
-        self._add(names)
-        ids = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
-        for n in names:
-            if len(n) > PIECE_CHARS:
-                del self.pieces[n]
-        return ids
+        if len(self.held) > HELD_PIECES or self.ends[self.n] > HELD_IDS:
+            self._forget()
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        joined = b"".join(raw)
+        if not joined:
+            return [b""] * len(texts)
+        data = np.frombuffer(joined, np.uint8)
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        starts = piece_starts(data, first)
+        offsets = pa.py_buffer(np.append(starts, len(data)))
+        named = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(joined)]).dictionary_encode()
+        names = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.held.get, names))
+        new = [k for k, x in enumerate(found) if x is None]
+        if new:
+            self._add([names[k] for k in new])
+            for k in new:
+                found[k] = self.held[names[k]]
+                if len(names[k]) > PIECE_BYTES:
+                    del self.held[names[k]]
+        place = np.array(found, np.int64)
+        place = place[named.indices.to_numpy()]
+        begin, counts = self.ends[place], self.ends[place + 1] - self.ends[place]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + counts, counts)].tobytes()
+        bounds = np.append(0, np.append(0, ends)[np.searchsorted(starts, np.cumsum(sizes))]) * self.ids.itemsize
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[tuple[str, str], Callable[[list[str]], list[bytes]]] = {}
@@ -400,7 +474,14 @@ def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return _ENCODERS.setdefault((path, dtype), PieceEncoder(whole) if pieces_stand_alone(path) else whole)
+    if not pieces_stand_alone(path):
+        return _ENCODERS.setdefault((path, dtype), whole)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    widths[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character for each byte
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)  # no piece comes twice
+    return _ENCODERS.setdefault((path, dtype), PieceEncoder(whole, widths, dtype))
 
 
 def stored_ids(spark: SparkSession, docs: DataFrame, path: str, dtype: str) -> DataFrame:

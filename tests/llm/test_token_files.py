@@ -94,6 +94,33 @@ def test_pieces_give_the_ids_of_whole_texts(tmp_path):
     assert tf.text_encoder(str(other), "<u4")(["The END  x"]) == [np.array(lower.encode("The END  x", add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+def test_new_pieces_reach_the_library_in_rows(monkeypatch):
+    """Some calls of the library for thousands of new words, none for known ones, and the ids of whole texts however
+    little is held and where the bytes of ids do not tell the pieces of a row apart."""
+    rng, tokenizer, known = random.Random(2), Tokenizer.from_file(PATH), tf.text_encoder(PATH, "<u2")
+    tokenizer.encode_special_tokens = True
+    letters = ["a", "é", "ß", "×", "ÿ", "文", "'", "th", "ing", "7"]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", ".", ",\n", "\u3000", "\x1c"])
+                      for _ in range(400)) for _ in range(20)] + ["", " ", "\n", "b", ".", " b", "b\n", "\nb", "b " + "c" * 999, "  d"]
+    want = [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    sent = []
+
+    def library(rows):
+        sent.append(len(rows))
+        return known.encode(rows)
+
+    plain = [t.translate({c: " " for c in (0x3000, 0x1c, 0x0a)}).replace("  ", " ") for t in texts[:20]]
+    encoder = tf.PieceEncoder(library, known.widths, "<u2")
+    first, n = encoder(plain), sum(sent)
+    assert len(encoder.held) > 4000 and n < 400
+    assert encoder(plain) == first and sum(sent) == n
+    assert encoder(texts) == want
+    assert tf.PieceEncoder(known.encode, known.widths * 0 + 1, "<u2")(texts) == want
+    monkeypatch.setattr(tf, "HELD_PIECES", 10)
+    monkeypatch.setattr(tf, "HELD_IDS", 50)
+    assert [b for t in texts for b in encoder([t])] == want and len(encoder.held) < 4000
+
+
 def brute(rows):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
