@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,77 @@ HELD_SEGMENTS = 1 << 16
 #: fuller filter only lets more segments through.
 FILTER_BITS = (1 << 16, 1 << 27)
 NO_OWNER = np.iinfo(np.int64).max
+#: Bytes of words that are hashed at a time.
+HASHED_BYTES = 1 << 18
+HASH_BASE = 0x9E3779B97F4A7C15
+BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+class Words(NamedTuple):
+    """Words of some texts in a row, each followed by one space."""
+
+    data: bytes
+    #: First byte of each word, and the number of bytes.
+    bounds: np.ndarray
+    #: Number of words before each text, and of all.
+    first: np.ndarray
+
+    def pieces(self, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """Words ``start`` to ``stop`` (not included), joined by one space."""
+        return [self.data[a:b] for a, b in zip(self.bounds[start].tolist(), (self.bounds[stop] - 1).tolist(), strict=True)]
+
+
+def spaced(text: bytes) -> bytes:
+    """The words of a text, each followed by one space."""
+    text = text.translate(BLANKS).strip(b" ")
+    if b"  " in text:
+        text = b" ".join(text.split())
+    return text + b" " if text else text
+
+
+def words_of(rows: list[bytes]) -> Words:
+    """Words of texts from ``spaced``."""
+    data = b"".join(rows)
+    bounds = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == ord(" ")) + 1)
+    return Words(data, bounds, np.searchsorted(bounds, np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))))
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers, at least, of the hash base and of its inverse modulo 2^64."""
+    if n > len(_POWERS[0]):
+        for k, base in enumerate((HASH_BASE, pow(HASH_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
+    return _POWERS
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    """A polynomial hash of each word modulo 2^64: equal words have equal hashes."""
+    data, bounds = np.frombuffer(words.data, np.uint8), words.bounds
+    out, i = np.empty(len(bounds) - 1, np.uint64), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + HASHED_BYTES, side="right")) - 1)
+        begin, end = int(bounds[i]), int(bounds[j])
+        up, down = _powers(end - begin)
+        at = bounds[i:j] - begin
+        out[i:j] = np.add.reduceat(data[begin:end] * up[:end - begin], at) * down[at]
+        i = j
+    return out
+
+
+def _least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value in each window of ``width`` values."""
+    least, span = values, 1
+    while span < width:
+        step = min(span, width - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    offset = np.zeros(len(least), np.int32)
+    for k in range(width - 1, -1, -1):
+        np.copyto(offset, k, where=values[k:k + len(least)] == least)
+    return offset + np.arange(len(least))
 
 
 class WaveletMatrix:
@@ -110,45 +181,46 @@ class FMIndex:
         return low, high
 
 
-def window_owners(segments: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment, the smallest owner of a segment that contains each of its windows of ``length`` words."""
-    words = [s.split() for s in segments]
-    sizes = np.array([len(w) for w in words])
-    names: dict[bytes, int] = {}
-    ends = np.cumsum(sizes + 1)
-    text = np.zeros(int(ends[-1]), np.int64)  # 0 ends a segment
-    starts = ends - sizes - 1
-    for s, w in zip(starts, words, strict=True):
-        text[s:s + len(w)] = [names.setdefault(x, len(names) + 1) for x in w]
-    index = FMIndex(text, len(names) + 1, length)
-    holder = np.repeat(np.arange(len(words)), sizes + 1)
-    windows = np.concatenate([np.arange(s, s + n - length + 1) for s, n in zip(starts, sizes, strict=True)])
+def window_owners(segments: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest owner of a segment that contains it for each window of ``length`` words,
+    segment by segment; number of windows of each segment)."""
+    words = words_of([s + b" " for s in segments])
+    n = len(words.bounds) - 1
+    names = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(words.bounds), pa.py_buffer(words.data)]).dictionary_encode()
+    sizes = np.diff(words.first)
+    place = np.arange(len(segments))
+    text = np.zeros(n + len(segments), np.int64)  # 0 ends a segment
+    text[np.arange(n) + np.repeat(place, sizes)] = names.indices.to_numpy() + 1
+    counts = sizes - length + 1
+    windows = np.arange(counts.sum()) + np.repeat(words.first[:-1] + place - np.cumsum(counts) + counts, counts)
+    index = FMIndex(text, len(names.dictionary) + 1, length)
+    holder = np.repeat(place, sizes + 1)
     low, high = index.intervals(text, windows, length)
     at, which = np.unique(low, return_inverse=True)
     upto = np.zeros(len(at), np.int64)
     upto[which] = high
     own = np.append(owners[holder[index.suffixes]], NO_OWNER)
     least = np.minimum.reduceat(own, np.stack([at, upto], axis=1).reshape(-1))[::2]
-    return np.split(least[which.reshape(-1)], np.cumsum(sizes - length + 1)[:-1])
+    return least[which.reshape(-1)], counts
 
 
-def segments_of(texts: list[bytes], min_words: int, gram_words: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, and the segments' text number, first word, number of windows and minimizer."""
-    words = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    n, none = int(sizes.sum()), np.zeros(0, np.int64)
+def segments_of(texts: list[bytes], min_words: int, gram_words: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts, and the segments' text number, first word, number of windows and minimizer."""
+    words = words_of([spaced(t) for t in texts])
+    sizes = np.diff(words.first)
+    n, none = len(words.bounds) - 1, np.zeros(0, np.int64)
     if n < min_words:
         return words, none, none, none, none
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, n)
+    hashes = word_hashes(words)
     grams = np.zeros(n - gram_words + 1, np.uint64)
     for j in range(gram_words):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[j:n - gram_words + 1 + j]
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     whole = owner[:n - min_words + 1] == owner[min_words - 1:]
-    lowest = np.lib.stride_tricks.sliding_window_view(grams, min_words - gram_words + 1).argmin(axis=1) + np.arange(n - min_words + 1)
+    lowest = _least_places(grams, min_words - gram_words + 1)
     at = np.flatnonzero(whole)
     if not len(at):
         return words, none, none, none, none
@@ -156,7 +228,7 @@ def segments_of(texts: list[bytes], min_words: int, gram_words: int) -> tuple[li
     count = np.diff(np.append(first, len(at)))
     start = at[first]
     text = owner[start]
-    return words, text, start - (np.cumsum(sizes) - sizes)[text], count, grams[lowest[start]].view(np.int64)
+    return words, text, start - words.first[text], count, grams[lowest[start]].view(np.int64)
 
 
 def _bit_filter(minimizers: DataFrame, bits: int) -> np.ndarray:
@@ -204,19 +276,22 @@ def minimizer_filters(spark: SparkSession, docs: DataFrame, min_words: int, gram
     return _bit_filter(shared, bits), _bit_filter(shared.where("hot"), bits), held or 0
 
 
-def shared_segments(texts: list[bytes], shared: np.ndarray, hot: np.ndarray, min_words: int, gram_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(text number, first word, route, words) of each segment with a shared
+def shared_segments(texts: list[bytes], shared: np.ndarray, hot: np.ndarray, min_words: int,
+                    gram_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Text number, first word, route and words of each segment with a shared
     minimizer; those with a hot one window by window."""
     words, text, start, count, gram = segments_of(texts, min_words, gram_words)
     live = np.flatnonzero(_has(shared, gram))
     wide = _has(hot, gram[live])
-    for t, s, n, g, split in zip(text[live].tolist(), start[live].tolist(), count[live].tolist(), gram[live].tolist(), wide.tolist(), strict=True):
-        if split:
-            for i in range(s, s + n):
-                piece = b" ".join(words[t][i:i + min_words])
-                yield t, i, xxhash.xxh64_intdigest(piece) >> 1, piece
-        else:
-            yield t, s, g, b" ".join(words[t][s:s + n + min_words - 1])
+    times = np.where(wide, count[live], 1)
+    each, wide = np.repeat(live, times), np.repeat(wide, times)
+    start = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    text, route = text[each], gram[each]
+    at = words.first[text] + start
+    pieces = words.pieces(at, at + min_words - 1 + np.where(wide, 1, count[each]))
+    for k in np.flatnonzero(wide).tolist():
+        route[k] = xxhash.xxh64_intdigest(pieces[k]) >> 1
+    return text, start, route, pieces
 
 
 def removed_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS,
@@ -251,60 +326,77 @@ def removed_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
 
         for batch in small_batches(batches):
             ids = batch.column("doc_id").to_pylist()
-            for t, _, route, piece in shared_segments(utf8(batch), *filters.value, min_words, gram_words):
-                i = ids[t]
-                seen = held.setdefault(piece, [route % shards, NO_OWNER, -NO_OWNER])
+            text, _, route, pieces = shared_segments(utf8(batch), *filters.value, min_words, gram_words)
+            for t, shard, piece in zip(text.tolist(), (route % shards).tolist(), pieces, strict=True):
+                i, seen = ids[t], held.get(piece)
+                if seen is None:
+                    seen = held[piece] = [shard, NO_OWNER, -NO_OWNER]
                 if i is not None:
-                    seen[1], seen[2] = min(seen[1], i), max(seen[2], i)
+                    seen[1], seen[2] = i if i < seen[1] else seen[1], i if i > seen[2] else seen[2]
             if len(held) > HELD_SEGMENTS:
                 yield out()
                 held.clear()
         yield out()
 
     def index(shard: pa.Table) -> pa.Table:
-        merged: dict[bytes, list[int]] = {}
-        for piece, owner, latest in zip(*(shard.column(c).to_pylist() for c in ("segment", "owner", "latest")), strict=True):
-            seen = merged.setdefault(piece, [owner, latest])
-            seen[0], seen[1] = min(seen[0], owner), max(seen[1], latest)
-        pieces = [p for p, (owner, latest) in merged.items()]
-        found = window_owners(pieces, np.array([x[0] for x in merged.values()], np.int64), min_words)
-        live = [i for i, (o, x) in enumerate(zip(found, merged.values(), strict=True)) if o.min() < x[1]]
-        return pa.table({"digest": pa.array([xxhash.xxh3_128_digest(pieces[i]) for i in live], pa.binary()),
-                         "owners": pa.array([found[i].tolist() for i in live], pa.list_(pa.int64()))})
+        merged = shard.group_by("segment", use_threads=False).aggregate([("owner", "min"), ("latest", "max")])
+        pieces = merged.column("segment").to_numpy().tolist()
+        latest = merged.column("latest_max").to_numpy()
+        found, counts = window_owners(pieces, merged.column("owner_min").to_numpy(), min_words)
+        first = np.cumsum(counts) - counts
+        new = np.append(True, np.diff(found) != 0)
+        new[first] = True
+        at = np.flatnonzero(new)  # runs of windows of one owner
+        holder = np.searchsorted(first, at, side="right") - 1
+        n = np.diff(np.append(at, len(found)))
+        some = found[at] < latest[holder]
+        at, holder, n = at[some], holder[some], n[some]
+        live = np.unique(holder)
+        runs = pa.StructArray.from_arrays([pa.array(at - first[holder]), pa.array(n), pa.array(found[at])], names=["at", "n", "owner"])
+        return pa.table({"digest": pa.array([xxhash.xxh3_128_digest(pieces[i]) for i in live.tolist()], pa.binary()),
+                         "runs": pa.ListArray.from_arrays(pa.array(np.searchsorted(holder, np.append(live, len(pieces))), pa.int32()), runs)})
 
     owned = stored(spark, base.select("doc_id", "text").mapInArrow(distinct, "shard int, segment binary, owner bigint, latest bigint")
-                   .groupBy("shard").applyInArrow(index, "digest binary, owners array<bigint>"), "window-owners")
+                   .groupBy("shard").applyInArrow(index, "digest binary, runs array<struct<at bigint, n bigint, owner bigint>>"), "window-owners")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [(t, s, xxhash.xxh3_128_digest(piece)) for t, s, _, piece in shared_segments(utf8(batch), *filters.value, min_words, gram_words)]
-            at = pa.array([x[0] for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), pa.array([x[1] for x in found], pa.int64()),
-                                              pa.array([x[2] for x in found], pa.binary())], names=["row", "doc_id", "start", "digest"])
+            text, start, _, pieces = shared_segments(utf8(batch), *filters.value, min_words, gram_words)
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), pa.array(start),
+                                              pa.array([xxhash.xxh3_128_digest(p) for p in pieces], pa.binary())], names=["row", "doc_id", "start", "digest"])
 
     repeats = (base.mapInArrow(places, "row bigint, doc_id bigint, start bigint, digest binary").join(owned, "digest")
-               .select("row", "start", F.expr("transform(owners, o -> o < doc_id)").alias("gone"))
-               .where("exists(gone, g -> g)")
-               .groupBy("row").agg(F.collect_list(F.struct("start", "gone")).alias("repeats")))  # within one document
+               .select("row", F.expr("transform(filter(runs, r -> r.owner < doc_id), r -> struct(start + r.at AS first, r.n AS n))").alias("spans"))
+               .where("size(spans) > 0")
+               .groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")))  # within one document
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            total, removed, sha, kept, spans = [], [], [], [], []
-            for text, found in zip(utf8(batch), batch.column("repeats").to_pylist(), strict=True):
-                words = text.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for x in found or ():
-                    at = x["start"] + np.flatnonzero(x["gone"])
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + min_words, -1)
-                gone = np.cumsum(edge)[:len(words)] > 0
-                rest = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if found else words)
-                turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))) if found else np.zeros(0, np.int64)
-                total.append(len(words)), removed.append(int(gone.sum())), sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest.decode() if found else None), spans.append(turns.reshape(-1, 2).tolist())
+            words, spans = words_of([spaced(t) for t in utf8(batch)]), batch.column("spans")
+            n, first, found = len(words.bounds) - 1, words.first, spans.is_valid().to_pylist()
+            begin, windows = (x.to_numpy() for x in spans.flatten().flatten())
+            begin = begin + np.repeat(first[:-1], spans.value_lengths().fill_null(0).to_numpy())
+            edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + windows + min_words - 1, minlength=n + 1)
+            gone = np.cumsum(edge)[:n] > 0
+            sizes = np.diff(words.bounds)
+            kept = np.frombuffer(words.data, np.uint8)[np.repeat(~gone, sizes)].tobytes()
+            ends = np.append(0, np.cumsum(np.where(gone, 0, sizes)))[first].tolist()
+            rest = [kept[a:max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            filled = np.flatnonzero(np.diff(first))  # texts with words
+            opens, closes = gone.copy(), gone.copy()
+            opens[1:] &= ~gone[:-1]
+            closes[:-1] &= ~gone[1:]
+            opens[first[filled]] = gone[first[filled]]
+            closes[first[filled + 1] - 1] = gone[first[filled + 1] - 1]
+            turns = np.stack([np.flatnonzero(opens), np.flatnonzero(closes) + 1], axis=1)
+            holder = np.searchsorted(first, turns[:, 0], side="right") - 1
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(turns) + 1, 2), pa.int32()), pa.array((turns - first[holder][:, None]).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()),
-                 pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
+                [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(np.append(0, np.cumsum(gone))[first])),
+                 pa.array([hashlib.sha256(r).hexdigest() for r in rest], pa.string()),
+                 pa.array([r.decode() if f else None for r, f in zip(rest, found, strict=True)], pa.string()),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(holder, np.arange(batch.num_rows + 1)), pa.int32()), pairs)],
                 names=["row", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "intervals"])
 
     return base.join(repeats, "row", "left").mapInArrow(

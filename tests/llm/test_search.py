@@ -67,6 +67,70 @@ def test_minimizer_repeated_inside_documents_is_hot(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_removed(rows, 13)
 
 
+def test_segments_by_whole_arrays(monkeypatch):
+    """Words, hashes and minimizers of many texts without a call for each word, whatever blanks part the words."""
+    def called(*_):
+        raise AssertionError("a word hashed on its own")
+
+    rng = random.Random(8)
+    blanks, known = [" ", "  ", "\n", "\t\r\n", "\x0b", "\x0c "], [*LOREM[:6], "é", "文字", "a\u00a0b", "\x1c", "x" * 50]
+    texts = ["".join(rng.choice(known) + rng.choice(blanks) for _ in range(rng.randrange(60))) for _ in range(40)]
+    texts = [t.encode() for t in ["", " \n", *texts, " " + texts[0], "one", ""]]
+    monkeypatch.setattr(fm_dedup.xxhash, "xxh64_intdigest", called)
+    words, text, start, count, gram = fm_dedup.segments_of(texts, 13, 4)
+    split = [t.split() for t in texts]
+    assert np.diff(words.first).tolist() == [len(w) for w in split]
+    flat = [w for ws in split for w in ws]
+    assert words.pieces(np.arange(len(flat)), np.arange(len(flat)) + 1) == flat
+    hashes = fm_dedup.word_hashes(words)
+    assert len(set(hashes.tolist())) == len(set(flat)) == len(set(zip(flat, hashes.tolist())))
+    monkeypatch.setattr(fm_dedup, "HASHED_BYTES", 20)  # less than a word
+    assert np.array_equal(fm_dedup.word_hashes(words), hashes)
+    found = {}  # every window in one segment; equal windows have one minimizer
+    for t, s, n, g in zip(text.tolist(), start.tolist(), count.tolist(), gram.tolist()):
+        for i in range(s, s + n):
+            assert (t, i) not in found
+            found[t, i] = (tuple(split[t][i:i + 13]), g)
+    assert set(found) == {(t, i) for t, w in enumerate(split) for i in range(len(w) - 12)}
+    assert len(set(found.values())) == len({w for w, _ in found.values()})
+    values = np.array([rng.randrange(4) for _ in range(200)], np.uint64)
+    assert fm_dedup._least_places(values, 10).tolist() == [i + int(values[i:i + 10].argmin()) for i in range(191)]
+
+
+def test_window_owners_in_a_row():
+    rng = random.Random(9)
+    segments = list({" ".join(rng.choice(LOREM[:2]) for _ in range(rng.randrange(5, 15))).encode() for _ in range(60)})
+    owners = np.array([rng.randrange(100) for _ in segments])
+    least, counts = fm_dedup.window_owners(segments, owners, 5)
+    windows = [tuple(s.split()[i:i + 5]) for s in segments for i in range(len(s.split()) - 4)]
+    assert counts.tolist() == [len(s.split()) - 4 for s in segments]
+    holder, best = np.repeat(owners, counts).tolist(), {}
+    for w, o in zip(windows, holder, strict=True):
+        best[w] = min(best.get(w, 100), o)
+    assert least.tolist() == [best[w] for w in windows]
+
+
+def test_kept_text_and_intervals(spark):
+    """Texts and spans of documents with several repeats, side by side in a batch with others that have none or no words."""
+    rng = random.Random(4)
+    first, second = words(20, 1), words(15, 9, 3)
+    rows = [(1, first, "en", "s", 1), (2, second, "en", "s", 1), (3, f"x {first}\ny  {second}", "en", "s", 1), (4, "", "en", "s", 1),
+            (5, first, "en", "s", 1), (6, f" {second} z", "en", "s", 1), (7, None, "en", "s", 1), (None, first, "en", "s", 1), (8, "é z", "en", "s", 1)]
+    rows += [(9 + k, " ".join([first, second, "q" * k, first][:rng.randrange(1, 5)]), "en", "s", 1) for k in range(9)]
+    seen, want = {}, []
+    for i, t, *_ in rows:  # ids ascend
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 12):
+            if i is not None and seen.setdefault(tuple(w[s:s + 13]), i) < i:
+                gone[s:s + 13] = [True] * 13
+        turns = [k for k, (a, b) in enumerate(zip([False, *gone], [*gone, False])) if a != b]
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        want.append((i, kept if any(gone) else None, [[a, b] for a, b in zip(turns[::2], turns[1::2])]))
+    got = fm_dedup.removed_words(spark, frame(spark, rows).coalesce(1)).collect()
+    assert sorted(((r.doc_id, r.kept_text, [list(x) for x in r.intervals]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(1, 4, 300), 0)
