@@ -25,6 +25,8 @@ def corpus():
         rows.append((i, "click here $$$ !!! " * rng.randrange(1, 9), "en", "a", 1))
     rows += [(i + 300, t, g, s, n) for i, t, g, s, n in rows[20:50]] + [rows[30]] * 3
     rows += [(900 + i, f"{words(30, i)} {words(40, 11)} {words(9, i + 3)}", "en", "b", 1) for i in range(4)]
+    # near copies that the quality stage accepts
+    rows += [(950 + i, f"{words(400, 3, 5).capitalize()}{' end' * i}.", "en", "a", 1) for i in range(2)]
     return rows
 
 
@@ -103,6 +105,7 @@ def brute(spark, docs, rows, labels, items):
 
 
 def test_run_against_brute_force(spark, tmp_path):
+    common.remove(spark, common.written(spark))  # of tests that are over: what this run leaves is counted
     rows, items = corpus(), [(1, words(40, 11)), (2, None), (3, "too short")]
     labels = [(i, int(i < 190), 0) for i in range(100, 230, 2)] + [(None, 1, 0), (101, None, 0)]
     docs = write(spark, tmp_path, rows, labels, items)
