@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +73,26 @@ def _as_text(v):
 _STRICT_UDFS: dict = {}
 
 
+def _parse_strict(texts: pa.Array, names: tuple[str, ...]) -> pa.StructArray:
+    """``ok`` and the named fields of each text; a text that a batch holds several times is parsed once."""
+    import json
+
+    once = texts.dictionary_encode()
+    found: list[list] = [[] for _ in range(len(names) + 1)]
+    for t in [*once.dictionary.to_numpy(zero_copy_only=False), None]:  # the last one is NULL
+        try:
+            v = json.loads(t) if t is not None else None
+        except ValueError:
+            v = None
+        one = isinstance(v, dict)
+        found[0].append(one)
+        for column, n in zip(found[1:], names):
+            column.append(_as_text(v.get(n)) if one else None)
+    place = once.indices.fill_null(len(found[0]) - 1)
+    columns = [pa.array(c, pa.string() if i else pa.bool_()).take(place) for i, c in enumerate(found)]
+    return pa.StructArray.from_arrays(columns, ["ok", *names])
+
+
 def parse_json_strict(raw: Column | str, fields: tuple[str, ...] = ("label", "explanation")) -> Column:
     """Struct ``(ok, value)`` with exactly ``json.loads`` semantics: ``ok``
     only when the whole text is one JSON object (trailing data, single quotes,
@@ -81,33 +101,34 @@ def parse_json_strict(raw: Column | str, fields: tuple[str, ...] = ("label", "ex
     A small Arrow-batched helper — no built-in parser rejects trailing data
     the way the reference's parser does; replies are short, so the cost is a
     ``json.loads`` per reply."""
-    key = tuple(fields)
-    if key not in _STRICT_UDFS:
-        names = list(fields)
-
-        def parse(texts: pd.Series) -> pd.DataFrame:
-            import json
-
-            codes, once = pd.factorize(texts, use_na_sentinel=False)  # a reply that a batch holds several times is parsed once
-            found: list[list] = [[] for _ in range(len(names) + 1)]
-            for t in once:
-                try:
-                    v = json.loads(t) if isinstance(t, str) else None
-                except ValueError:
-                    v = None
-                one = isinstance(v, dict)
-                found[0].append(one)
-                for column, n in zip(found[1:], names):
-                    column.append(_as_text(v.get(n)) if one else None)
-            return pd.DataFrame({n: np.array(c, dtype=object)[codes] for n, c in zip(["ok", *names], found)})
-
-        schema = "ok boolean, " + ", ".join(f"`{n}` string" for n in names)
-        _STRICT_UDFS[key] = F.pandas_udf(parse, schema)
-    out = _STRICT_UDFS[key](_c(raw))
+    out = _strict_udf(tuple(fields), False)(_c(raw))
     value = F.struct(*[out[n].alias(n) for n in fields])
     return F.struct(out["ok"].alias("ok"), F.when(out["ok"], value).alias("value"))
 
 
+def parse_json_strict_each(raws: Column | str, fields: tuple[str, ...] = ("label", "explanation")) -> Column:
+    """P18 of every text of an array: an array of structs ``(ok, fields…)``; the
+    fields of a text that is not one object are NULL."""
+    return _strict_udf(tuple(fields), True)(_c(raws))
+
+
+def _strict_udf(names: tuple[str, ...], each: bool):
+    """Built lazily: a module-level UDF would need a session on the Python workers that import this module."""
+    if (names, each) not in _STRICT_UDFS:
+
+        def parse(texts: pa.Array) -> pa.Array:
+            return _parse_strict(texts, names)
+
+        def parse_each(lists: pa.Array) -> pa.Array:
+            lists = lists.fill_null([]) if lists.null_count else lists
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), _parse_strict(lists.flatten(), names))
+
+        schema = "struct<ok: boolean, " + ", ".join(f"`{n}`: string" for n in names) + ">"
+        _STRICT_UDFS[names, each] = F.arrow_udf(parse_each, f"array<{schema}>") if each else F.arrow_udf(parse, schema)
+    return _STRICT_UDFS[names, each]
+
+
 def first_text_part(parts: Column | str) -> Column:
     """Text of the first ``type='text'`` part with non-NULL text, else ``""``."""
     hits = F.filter(_c(parts), lambda p: (p["type"] == "text") & p["text"].isNotNull())

@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.functions.encode import extract_label_json, parse_json_strict
-from labelforge.functions.text import context_sql, doc_prompt, is_blank, sentence_prompt
+from labelforge.functions.encode import extract_label_json, parse_json_strict, parse_json_strict_each
+from labelforge.functions.text import context_sql, doc_prompt, is_blank, sentence_prompt, sentence_prompts
 from labelforge.session import checkpoint_root, scratch_path
 
 Teacher = Callable[[pd.Series], pd.Series]
@@ -63,7 +63,7 @@ def rule_teacher(shift: int = 0, labels: list[str] = DOC_LABELS, label_key: str
 
     def make() -> Teacher:
         def call(prompts: pd.Series) -> pd.Series:
-            lengths = [None if p is None else len(p) for p in prompts]
+            lengths = [None if p is None else len(p) for p in prompts.to_numpy()]
             said = {n: reply(n) for n in set(lengths) if n is not None}
             return pd.Series([said.get(n) for n in lengths], index=prompts.index, dtype=object)
 
@@ -141,15 +141,17 @@ def call_teacher(df: DataFrame, prompt: str, teacher: TeacherFactory, keep: list
     return src.mapInPandas(run, schema)
 
 
-def _replies(teachers: list[TeacherFactory], prompt: Column | str, request_batch: int | None = None) -> Column:
+def _replies(teachers: list[TeacherFactory], prompt: Column | str, request_batch: int | None = None,
+             build: Callable[[pa.Array], pa.Array] | None = None) -> Column:
     """The raw replies of several teachers to one prompt, as an array in their
-    order.  Only the prompt goes to Python and only the replies come back; the
-    clients are opened once per partition."""
+    order.  Only the prompt — or, with ``build``, the text that it is made of in
+    the worker — goes to Python and only the replies come back; the clients are
+    opened once per partition."""
 
     def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         calls = [t() for t in teachers]
         for batch in batches:
-            prompts = batch.to_pandas()
+            prompts = (build(batch) if build else batch).to_pandas()
             said = np.empty((len(prompts), len(calls)), dtype=object)
             for j, call in enumerate(calls):
                 said[:, j] = [None if isinstance(v, BaseException) else v for v in _chunked(call, prompts, request_batch)]
@@ -198,29 +200,43 @@ def with_passes(df: DataFrame, passes: int = 3, col: str = "pass") -> DataFrame:
 
 
 def label_sentences(sentences: DataFrame, teacher: TeacherFactory | list[TeacherFactory], keys: list[str],
-                    passes: int = 3, sentence: str = "sentence", partitions: int | None = None) -> DataFrame:
+                    passes: int = 3, sentence: str = "sentence", partitions: int | None = None,
+                    together: bool = False) -> DataFrame:
     """Independent votes of ``passes`` calls per sentence (one table with a
     ``pass`` column); fields ``Result``/``Explanation`` parsed from the reply.
 
     One teacher → one fan-out over the passes (one scan); a list → one
-    teacher per pass (e.g. differently seeded), all asked in one scan."""
-    base = sentences.select(*keys, F.col(sentence).alias("Context"), sentence_prompt(sentence).alias("prompt"))
+    teacher per pass (e.g. differently seeded), all asked in one scan.
+    ``together`` (a list only) leaves the votes of a sentence in one row, as the
+    array ``votes``: what is done with the sentence itself is then done once,
+    not once per pass; ``spread_votes`` takes them apart."""
     if isinstance(teacher, list):
         if len(teacher) != passes:
             raise ValueError("one teacher per pass")
+        base = sentences.select(*keys, F.col(sentence).alias("Context"))
         src = base.repartition(partitions) if partitions else base
-        said = src.select(*keys, "Context", _replies(teacher, "prompt").alias("_said"))
-        raw = said.select(*keys, "Context", F.posexplode("_said").alias("_i", "raw_ai_output")).select(
-            *keys, (F.col("_i") + 1).alias("pass"), "Context", "raw_ai_output")
-    else:
-        fan = with_passes(base, passes)
-        raw = call_teacher(fan, "prompt", teacher, [*keys, "pass", "Context"], partitions=partitions)
+        said = src.select(*keys, "Context", _replies(teacher, "Context", build=sentence_prompts).alias("_said"))
+        read = said.withColumn("_p", parse_json_strict_each("_said", ("Result", "Explanation")))
+        vote = lambda v, i: F.struct((i + 1).alias("pass"), v["_p"]["Result"].alias("Result"),
+                                     v["_p"]["Explanation"].alias("Explanation"), v["_said"].alias("raw_ai_output"))
+        votes = read.select(*keys, "Context", F.transform(F.arrays_zip("_said", "_p"), vote).alias("votes"))
+        return votes if together else spread_votes(votes, keys, "Context")
+    if together:
+        raise ValueError("votes stay together with one teacher per pass")
+    base = sentences.select(*keys, F.col(sentence).alias("Context"), sentence_prompt(sentence).alias("prompt"))
+    raw = call_teacher(with_passes(base, passes), "prompt", teacher, [*keys, "pass", "Context"], partitions=partitions)
     # the sentence path parses replies as strict JSON (one object, nothing after it)
     parsed = raw.withColumn("_p", parse_json_strict("raw_ai_output", ("Result", "Explanation")))
     return parsed.select(*keys, "pass", F.col("_p.value.Result").alias("Result"),
                          F.col("_p.value.Explanation").alias("Explanation"), "Context", "raw_ai_output")
 
 
+def spread_votes(votes: DataFrame, keys: list[str], *keep: str) -> DataFrame:
+    """One row per vote of a table with the votes of a sentence ``together``; the columns ``keep`` are repeated."""
+    one = votes.select(*keys, *keep, F.explode("votes").alias("_v"))
+    return one.select(*keys, "_v.pass", "_v.Result", "_v.Explanation", *keep, "_v.raw_ai_output")
+
+
 def strict_json_object(text) -> bool:
     """Reply validator: the whole reply is one JSON object (``json.loads``)."""
     try:
@@ -486,8 +502,47 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def embedding_confidence(a: Column | str, b: Column | str, normalize: bool = False) -> Column:
-    """``(a·b + 1) / 2`` on raw vectors (``normalize=True`` uses unit vectors)."""
+#: A place of a sparse vector that is not zero; the places ascend.
+PLACE = np.dtype([("place", "<i4"), ("value", "<f8")])
+
+
+def _places_of(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all sparse vectors of a batch one after another, and the row of each."""
+    sizes = pc.fill_null(pc.binary_length(vectors), 0).to_numpy(zero_copy_only=False)
+    joined = b"" if vectors.null_count == len(vectors) else memoryview(vectors.buffers()[2])
+    first = np.frombuffer(vectors.buffers()[1], dtype=np.int32)[vectors.offset] if len(vectors) else 0
+    places = np.frombuffer(joined, dtype=PLACE, count=int(sizes.sum()) // PLACE.itemsize, offset=int(first) if len(joined) else 0)
+    return places, np.repeat(np.arange(len(vectors)), sizes // PLACE.itemsize)
+
+
+def _sparse_dot(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``dot`` of an Arrow batch of sparse vectors: the same sums, from the first place to the last; NULL where one is NULL."""
+    (x, x_rows), (y, y_rows) = _places_of(a), _places_of(b)
+    wide = 1 + max(int(v["place"].max(initial=0)) for v in (x, y))
+    ours, theirs = x_rows * wide + x["place"], y_rows * wide + y["place"]  # both ascend
+    at = np.minimum(np.searchsorted(ours, theirs), max(len(ours) - 1, 0))
+    both = np.flatnonzero(ours[at] == theirs) if len(ours) else np.zeros(0, dtype=np.int64)
+    products = x["value"][at[both]] * y["value"][both]
+    sums = np.bincount(y_rows[both], weights=products, minlength=len(a)).astype(np.float64)
+    unknown = pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    return pa.array(sums, mask=unknown)
+
+
+_SPARSE_DOT_UDF = None
+
+
+def embedding_confidence(a: Column | str, b: Column | str, normalize: bool = False, sparse: bool = False) -> Column:
+    """``(a·b + 1) / 2`` on raw vectors (``normalize=True`` uses unit vectors).
+
+    ``sparse=True`` takes sparse vectors (see ``bucket_encoder``) and multiplies
+    whole Arrow batches in Python, to the same sums."""
+    if sparse:
+        if normalize:
+            raise ValueError("sparse vectors are taken as they are")
+        global _SPARSE_DOT_UDF
+        if _SPARSE_DOT_UDF is None:
+            _SPARSE_DOT_UDF = F.arrow_udf(_sparse_dot, "double")
+        return (_SPARSE_DOT_UDF(a, b) + 1) / 2
     if normalize:
         from labelforge.operators.vectors import l2_normalize
 
@@ -512,18 +567,21 @@ def hashed_encoder(num_features: int = 64) -> Callable[[DataFrame, str, str], Da
     return encode
 
 
-def bucket_encoder(dim: int = 64) -> Callable[[DataFrame, str, str], DataFrame]:
+def bucket_encoder(dim: int = 64, sparse: bool = False) -> Callable[[DataFrame, str, str], DataFrame]:
     """T7 offline encoder: lower-cased letter/digit tokens are hashed to ``dim``
     buckets by the first 32 bits of their md5, counted, and L2-normalised →
     ``array<double>``; NULL gives zeros.  Simple enough to restate in SQL, so
     embeddings and everything built on them can be checked.
 
     Tokens are cut by JVM expressions; the counting is an Arrow batch function
-    that encodes a text which a batch holds several times once."""
+    that encodes a text which a batch holds several times once.  ``sparse``
+    vectors are ``binary``, a ``PLACE`` for each bucket that is not empty: a row
+    carries a few bytes a token, where an array is copied bucket by bucket at
+    every step between the JVM and Python."""
 
     def encode(df: DataFrame, text: str, out: str) -> DataFrame:
         tokens = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
-        return df.withColumn(out, _buckets_udf(dim)(tokens))
+        return df.withColumn(out, _buckets_udf(dim, sparse)(tokens))
 
     return encode
 
@@ -531,9 +589,9 @@ def bucket_encoder(dim: int = 64) -> Callable[[DataFrame, str, str], DataFrame]:
 _BUCKET_UDFS: dict = {}
 
 
-def _buckets_udf(dim: int):
+def _buckets_udf(dim: int, sparse: bool):
     """Blank-separated tokens → unit vector of their bucket counts (built lazily, as ``tf_cosine_udf``)."""
-    if dim not in _BUCKET_UDFS:
+    if (dim, sparse) not in _BUCKET_UDFS:
 
         known: dict[str, int] = {}  # of one worker
 
@@ -552,15 +610,22 @@ def _buckets_udf(dim: int):
             tokens = pc.split_pattern(once.dictionary.cast(pa.large_string()), " ")
             rows = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
             words = tokens.flatten().dictionary_encode()
-            ids = np.array([bucket(t) if t else -1 for t in words.dictionary.to_pylist()], dtype=np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+            each = words.dictionary.to_numpy(zero_copy_only=False)
+            ids = np.array([bucket(t) if t else -1 for t in each], dtype=np.int64)[words.indices.to_numpy(zero_copy_only=False)]
             some = ids >= 0  # no token before a leading blank
             counts = np.bincount(rows[some] * dim + ids[some], minlength=n * dim).reshape(n, dim).astype(np.float64)
             unit = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-12)
+            if sparse:
+                row, bucket_of = np.nonzero(unit)
+                places = np.empty(len(row), dtype=PLACE)
+                places["place"], places["value"] = bucket_of, unit[row, bucket_of]
+                ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32) * PLACE.itemsize
+                return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(places)]).take(pa.array(place))
             offsets = pa.array(np.arange(len(place) + 1, dtype=np.int32) * dim)
             return pa.ListArray.from_arrays(offsets, pa.array(unit[place].reshape(-1)))
 
-        _BUCKET_UDFS[dim] = F.arrow_udf(encode, "array<double>")
-    return _BUCKET_UDFS[dim]
+        _BUCKET_UDFS[dim, sparse] = F.arrow_udf(encode, "binary" if sparse else "array<double>")
+    return _BUCKET_UDFS[dim, sparse]
 
 
 def batch_encoder(encoder_factory: Callable[[], Callable[[pd.Series], list]]) -> Callable[[DataFrame, str, str], DataFrame]:

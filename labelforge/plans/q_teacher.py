@@ -322,13 +322,14 @@ def c2_consensus_from_teachers(spark, sf_dir):
     """T2 votes → T7 embeddings of context and explanation → T6 confidence → C2."""
     teachers = [TE.rule_teacher(shift, TE.SENTENCE_LABELS, "Result", "Explanation", fence_every=0, gate=gate)
                 for shift, gate in PASS_TEACHERS]
-    # written once: both embeddings below read the votes, and each prompt is sent once
-    votes = TE.materialize(TE.label_sentences(sentences(spark, sf_dir), teachers, SENT_KEYS, passes=3), "sentence_votes")
+    # written once, so that each prompt is sent once; one row per sentence: its context is the same in every pass
+    votes = TE.materialize(TE.label_sentences(sentences(spark, sf_dir), teachers, SENT_KEYS, passes=3, together=True), "sentence_votes")
     # in place: a vector is far larger than its vote, and a vote needs both for one number only
-    ctx = TE.embed_text(votes, "Context", out="ctx_emb", dedupe=False)
-    both = TE.embed_text(ctx, "Explanation", out="exp_emb", dedupe=False)
+    encoder = TE.bucket_encoder(sparse=True)
+    ctx = TE.embed_text(votes, "Context", encoder, out="ctx_emb", dedupe=False)
+    both = TE.embed_text(TE.spread_votes(ctx, SENT_KEYS, "ctx_emb"), "Explanation", encoder, out="exp_emb", dedupe=False)
     scored = TE.materialize(both.select(*SENT_KEYS, "pass", "Result",
-                                        TE.embedding_confidence("ctx_emb", "exp_emb").alias("confidence")),
+                                        TE.embedding_confidence("ctx_emb", "exp_emb", sparse=True).alias("confidence")),
                             "sentence_votes_scored")
     out = C.sentence_consensus(scored, keys=SENT_KEYS)
     return out.withColumn("confidence", F.round("confidence", 9))
