@@ -586,6 +586,23 @@ def bucket_encoder(dim: int = 64, sparse: bool = False) -> Callable[[DataFrame,
     return encode
 
 
+def jvm_bucket_encoder(dim: int = 64) -> Callable[[DataFrame, str, str], DataFrame]:
+    """T7 offline encoder: the vectors of ``bucket_encoder`` without Python.  Every
+    token of every row is hashed, so it is the slower one where words repeat."""
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
+        tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+        buckets = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("string"))
+        named = df.withColumn("_tok", F.coalesce(buckets, F.array().cast("array<string>")))
+        count = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_tok", outputCol="_tf")
+        v = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(count.transform(named))
+        return v.withColumn(out, vector_to_array("_vec")).drop("_tok", "_tf", "_vec")
+
+    return encode
+
+
 _BUCKET_UDFS: dict = {}
 
 

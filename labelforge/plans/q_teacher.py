@@ -282,7 +282,7 @@ SELECT subject_id, study_id, sentence_index, {_unit_sql("counts")} AS embedding
 """))
 def t7_embed_text(spark, sf_dir):
     s = sentences(spark, sf_dir)
-    return TE.embed_text(s, "sentence", dedupe=False).select(*SENT_KEYS, "embedding")
+    return TE.embed_text(s, "sentence", TE.jvm_bucket_encoder(), dedupe=False).select(*SENT_KEYS, "embedding")
 
 
 _C2_CHAIN_SQL = _SENT_CTE + f""",

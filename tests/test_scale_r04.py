@@ -89,3 +89,12 @@ def test_strip_takes_all_of_pythons_spaces(spark):
     df = spark.createDataFrame(rows, "i int, t string")
     assert {r.i: r.s for r in df.select("i", T.strip("t").alias("s")).collect()} == {i: t.strip() for i, t in rows}
     assert "regexp" not in df.select(T.strip("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_buckets_without_python(spark):
+    """The JVM's vectors are those of the Arrow batches, bit by bit."""
+    rows = [(0, "A b, Ünï-code 12 b"), (1, None), (2, ""), (3, " .,"), (4, ",x y\nz x"), (5, "İstanbul ΣΑΣ 语言 ²")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    found = [{r.i: r.x for r in TE.embed_text(df, "t", encoder, "x", dedupe=False).collect()}
+             for encoder in (TE.bucket_encoder(), TE.jvm_bucket_encoder(), TE.bucket_encoder(7), TE.jvm_bucket_encoder(7))]
+    assert found[0] == found[1] and found[2] == found[3] and len(found[0][1]) == 64 and sum(found[0][3]) == 0
