@@ -209,34 +209,54 @@ def align_passes(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_col: st
     slot.  Built as one conditional aggregation (partial agg before the
     shuffle), which is the full-outer join of the pass tables on the key.
     """
+    return votes.groupBy(*keys).agg(*_by_pass(pass_col, n_passes, "Result", "confidence"))
+
+
+def _by_pass(pass_col: str, n_passes: int, label: str, score: str) -> list[Column]:
     aggs = []
     for p in range(1, n_passes + 1):
         this = F.col(pass_col) == p
         aggs += [
-            F.max(F.when(this, F.col("Result"))).alias(f"result_{p}"),
-            F.max(F.when(this, F.col("confidence"))).alias(f"confidence_{p}"),
+            F.max(F.when(this, F.col(label))).alias(f"result_{p}"),
+            F.max(F.when(this, F.col(score))).alias(f"confidence_{p}"),
             F.count(F.when(this, F.lit(1))).alias(f"n_{p}"),
         ]
-    return votes.groupBy(*keys).agg(*aggs)
+    return aggs
 
 
 def _sentence_decisions(votes: DataFrame, keys: list[str], pass_col: str, n_passes: int,
                         label: str, score: str) -> DataFrame:
-    """Per sentence key: number of labels, top/bottom (count, mean), the top
-    label, and whether every pass voted exactly once.  Two partial+final
-    aggregations; the pass set travels as a bit mask, so no extra join."""
-    mask = F.bit_or(F.expr(f"shiftleft(1, cast(`{pass_col}` AS int))")).alias("m")
-    full_mask = sum(1 << p for p in range(1, n_passes + 1))
-    v = votes.select(*keys, label, score, pass_col)
-    per_label = v.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("c"), mask)
-    packed = F.struct(F.col("n"), F.col("c"), F.col(label).alias("lbl"))
-    per_key = per_label.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k"), F.max(packed).alias("top"), F.min(packed).alias("bot"),
-        F.sum("n").alias("votes"), F.bit_or("m").alias("mask"))
-    flat = per_key.select(*keys, "k", F.col("top.n").alias("top_n"), F.col("bot.n").alias("bot_n"),
-                          F.col("top.c").alias("top_c"), F.col("bot.c").alias("bot_c"), "votes", "mask",
-                          F.col("top.lbl").alias("top_lbl"))
-    return flat.withColumn("complete", (F.col("mask") == full_mask) & (F.col("votes") == n_passes))
+    """Per sentence key whether every pass voted exactly once (``complete``) and, for
+    those, the number of labels ``k`` (3: three or more), the label with more votes
+    (``top_``) and the other one (``bot_``) with their counts and mean scores.
+
+    One partial+final aggregation sets the passes side by side, so the votes
+    are shuffled once; it sorts by a hash of the key, which differs in its
+    first bytes where keys begin alike."""
+    passes = range(1, n_passes + 1)
+    aligned = votes.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(
+        F.count(F.lit(1)).alias("votes"), *_by_pass(pass_col, n_passes, label, score))
+    complete = reduce(lambda a, b: a & b, [F.col(f"n_{p}") == 1 for p in passes], F.col("votes") == n_passes)
+    first = [F.col(f"result_{p}").eqNullSafe(F.col("result_1")) for p in passes]
+    other = reduce(lambda found, p: F.when(~first[p - 1], F.col(f"result_{p}")).otherwise(found), reversed(passes), F.lit(None))
+    second = [~f & F.col(f"result_{p}").eqNullSafe(F.col("_other")) for f, p in zip(first, passes)]
+
+    def total(values: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, values)
+
+    def mean(among: list[Column]) -> Column:
+        scores = [F.when(a, F.col(f"confidence_{p}")).cast("double") for a, p in zip(among, passes)]
+        return F.try_divide(total([F.coalesce(s, F.lit(0.0)) for s in scores]), total([s.isNotNull().cast("int") for s in scores]).cast("double"))
+
+    d = aligned.withColumn("complete", complete).withColumn("_other", other)
+    d = d.select(*keys, "complete", "result_1", "_other", mean(first).alias("_c1"), mean(second).alias("_c2"),
+                 total([f.cast("int") for f in first]).alias("_n1"), total([s.cast("int") for s in second]).alias("_n2"))
+    more = F.col("_n1") >= F.col("_n2")
+    k = F.when(F.col("_n1") == n_passes, 1).when(F.col("_n1") + F.col("_n2") == n_passes, 2).otherwise(3)
+    return d.select(*keys, "complete", k.alias("k"), F.when(more, F.col("result_1")).otherwise(F.col("_other")).alias("top_lbl"),
+                    F.greatest("_n1", "_n2").alias("top_n"), F.least("_n1", "_n2").alias("bot_n"),
+                    F.when(more, F.col("_c1")).otherwise(F.col("_c2")).alias("top_c"),
+                    F.when(more, F.col("_c2")).otherwise(F.col("_c1")).alias("bot_c"))
 
 
 def sentence_consensus(votes: DataFrame, keys: list[str] = SENTENCE_KEYS, pass_col: str = "pass",
